@@ -1,0 +1,110 @@
+"""Small graphs as dense matrices: one task per graph, many graphs at once.
+
+Only graphs of at most ``DENSE_NODES`` nodes and ``DENSE_EDGES`` edges are given to these kernels; larger ones take the
+set-based operators of the same name.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DENSE_NODES, DENSE_EDGES = 2_000, 400_000
+
+
+def small_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ids of graphs that fit the dense kernels; one row per graph."""
+    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") <= DENSE_NODES)
+    m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
+    return n.join(m, "graph_id", "left").where(F.coalesce("m", F.lit(0)) <= DENSE_EDGES).select("graph_id")
+
+
+def matrix(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """The node ids in the order of ``ord``, and the weighted adjacency matrix in that order."""
+    ids = nodes.sort_values(["ord", "node_id"])["node_id"].tolist()
+    at = {v: i for i, v in enumerate(ids)}
+    a = np.zeros((len(ids), len(ids)))
+    if len(edges):
+        a[edges["src"].map(at).to_numpy(), edges["dst"].map(at).to_numpy()] = edges["weight"].to_numpy()
+    return ids, a
+
+
+def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``kernel(nodes, edges)`` for every small graph; ``columns`` are those of the nodes that it needs besides id and ord."""
+    fit = small_graphs(nodes, edges)
+    n = nodes.select("graph_id", "node_id", "ord", *columns).join(fit, "graph_id", "left_semi")
+    e = edges.select("graph_id", "src", "dst", "weight").join(fit, "graph_id", "left_semi")
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = kernel(a, b)
+        out.insert(0, "graph_id", key[0])
+        return out
+
+    return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(run, f"graph_id string, {schema}")
+
+
+def spectral_gap(nodes: DataFrame, edges: DataFrame, symmetrize: str = "lower") -> DataFrame:
+    """``(graph_id, spectral_gap)``: the two largest eigenvalues of the symmetric matrix, from the lower triangle mirrored
+    (``lower``) or the mean with the transpose (``avg``); 0 below two nodes."""
+
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        _, a = matrix(n, e)
+        if len(a) < 2:
+            return pd.DataFrame({"spectral_gap": [0.0]})
+        s = np.tril(a) + np.tril(a, -1).T if symmetrize == "lower" else (a + a.T) / 2
+        values = np.sort(np.linalg.eigvalsh(s))
+        return pd.DataFrame({"spectral_gap": [max(0.0, float(values[-1] - values[-2]))]})
+
+    return per_graph(nodes, edges, kernel, "spectral_gap double")
+
+
+def acyclic(a: np.ndarray) -> bool:
+    left = a > 0
+    keep = np.ones(len(a), bool)
+    while keep.any():
+        free = keep & ~(left[keep].any(axis=0))
+        if not free.any():
+            return False
+        keep &= ~free
+    return True
+
+
+def spectral_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(graph_id, node_id, lambda_max, vector)``: the largest real part of an eigenvalue and the moduli of its right eigenvector
+    over their largest. A graph without cycles is nilpotent: 0 and an undefined vector, given as 0."""
+
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids, a = matrix(n, e)
+        if not len(ids) or acyclic(a):
+            return pd.DataFrame({"node_id": ids, "lambda_max": 0.0, "vector": 0.0})
+        values, vectors = np.linalg.eig(a)
+        k = int(values.real.argmax())
+        v = np.abs(vectors[:, k])
+        return pd.DataFrame({"node_id": ids, "lambda_max": float(values[k].real), "vector": v / v.max()})
+
+    return per_graph(nodes, edges, kernel, "node_id string, lambda_max double, vector double")
+
+
+def layout(nodes: DataFrame, edges: DataFrame, k: float = 2.0, rounds: int = 50, seed: int = 42) -> DataFrame:
+    """``(graph_id, node_id, x, y, z)``: a spring layout scaled to -10..10, and 10 x privilege as height."""
+
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids, a = matrix(n, e)
+        pull = ((a + a.T) > 0).astype(float)
+        place = np.random.default_rng(seed).random((len(ids), 2))
+        for step in range(rounds):
+            away = place[:, None] - place[None]
+            far = np.maximum(np.sqrt((away**2).sum(-1)), 0.01)
+            move = (away * (k * k / far**2 - pull * far / k)[..., None]).sum(1)
+            length = np.maximum(np.sqrt((move**2).sum(-1, keepdims=True)), 0.01)
+            place = place + move / length * 0.1 * (1 - step / (rounds + 1))
+        low, high = place.min(0), place.max(0)
+        place = np.where(high > low, (place - low) / np.where(high > low, high - low, 1) * 20 - 10, 0.0)
+        z = 10 * n.set_index("node_id").loc[ids, "privilege_level"].fillna(0).to_numpy()
+        return pd.DataFrame({"node_id": ids, "x": place[:, 0].round(4), "y": place[:, 1].round(4), "z": z.round(4)})
+
+    return per_graph(nodes, edges, kernel, "node_id string, x double, y double, z double", ("privilege_level",))
