@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _text(part: Column | str | int) -> Column:
+    """A column, a column's name, or a whole number, as text."""
+    return (part if isinstance(part, Column) else F.col(part) if isinstance(part, str) else F.lit(part)).cast("string")
+
+
 def unit(*parts: Column | str | int) -> Column:
     """A double in [0, 1) from the text of ``parts`` joined by ``|``: the first 32 bits of its MD5."""
-    texts = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *map(_text, parts))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def draw_order(*parts: Column | str | int) -> Column:
     """A key to sort by for a random order."""
-    texts = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws("|", *texts))
+    return F.md5(F.concat_ws("|", *map(_text, parts)))

@@ -89,6 +89,68 @@ def spectral_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per_graph(nodes, edges, kernel, "node_id string, lambda_max double, vector double")
 
 
+#: Sources x edges up to which shortest paths are counted by one task.
+PATH_WORK = 20_000_000
+
+
+def path_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ids of graphs whose shortest paths one task can count."""
+    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
+    return n.join(m, "graph_id", "left").where((F.col("n") <= DENSE_NODES) & (F.col("n") * (F.col("n") + F.coalesce("m", F.lit(0))) <= PATH_WORK)).select("graph_id")
+
+
+def _levels(out: list[list[int]], s: int, n: int) -> tuple[list[int], list[int], list[float]]:
+    """Breadth first from ``s``: the order of visits, the distances (-1: none) and the numbers of shortest paths."""
+    dist, sigma, order = [-1] * n, [0.0] * n, [s]
+    dist[s], sigma[s] = 0, 1.0
+    for v in order:
+        for w in out[v]:
+            if dist[w] < 0:
+                dist[w] = dist[v] + 1
+                order.append(w)
+            if dist[w] == dist[v] + 1:
+                sigma[w] += sigma[v]
+    return order, dist, sigma
+
+
+def path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(graph_id, node_id, betweenness, directed_sum, directed_pairs, undirected_sum)``: per node as source, the sums of distances
+    and the number of nodes reached. For graphs of :func:`path_graphs`."""
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids = a["node_id"].tolist()
+        n, at = len(ids), {v: i for i, v in enumerate(ids)}
+        pairs = {(at[x], at[y]) for x, y in zip(b["src"], b["dst"], strict=True) if x != y}
+        out, both = [[] for _ in ids], [set() for _ in ids]
+        for x, y in pairs:
+            out[x].append(y)
+            both[x].add(y)
+            both[y].add(x)
+        back = [[] for _ in ids]
+        for x, y in pairs:
+            back[y].append(x)
+        score, rows = [0.0] * n, []
+        for s in range(n):
+            order, dist, sigma = _levels(out, s, n)
+            delta = [0.0] * n
+            for w in reversed(order):
+                for v in back[w]:
+                    if dist[v] == dist[w] - 1 and dist[v] >= 0:
+                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+                if w != s:
+                    score[w] += delta[w]
+            _, und, _ = _levels(both, s, n)
+            rows.append((sum(dist[v] for v in order), len(order) - 1, sum(x for x in und if x > 0)))
+        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        return pd.DataFrame([(key[0], v, b_ * scale, *r) for v, b_, r in zip(ids, score, rows, strict=True)], columns=["graph_id", "node_id", "betweenness", "directed_sum", "directed_pairs", "undirected_sum"])
+
+    fit = path_graphs(nodes, edges)
+    n = nodes.select("graph_id", "node_id").join(fit, "graph_id", "left_semi")
+    e = edges.select("graph_id", "src", "dst").join(fit, "graph_id", "left_semi")
+    return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(run, "graph_id string, node_id string, betweenness double, directed_sum bigint, directed_pairs bigint, undirected_sum bigint")
+
+
 def layout(nodes: DataFrame, edges: DataFrame, k: float = 2.0, rounds: int = 50, seed: int = 42) -> DataFrame:
     """``(graph_id, node_id, x, y, z)``: a spring layout scaled to -10..10, and 10 x privilege as height."""
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,41 @@ def graph_traversal(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_de
 def _mat_vec(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, scale: DataFrame | float, steps: int, tolerance: float, hold_seeds: bool, direction: str) -> DataFrame:
     """Values after x <- clip(scale A x), from 1 at the seeds; a graph stops when its change is below ``tolerance``.
 
-    Only nodes with a value above 0 take part in a step, and only of graphs that still move.
+    Small graphs are iterated one to a task, the others by a join and a sum per step.
     """
     check_seeds(nodes, seeds)
+    fit = cut(dense.small_graphs(nodes, edges))
+    n = nodes.select("graph_id", "node_id", "ord").join(seeds.select("graph_id", "node_id").distinct().withColumn("seed", F.lit(1.0)), ["graph_id", "node_id"], "left")
+    n = n.join(scale, "graph_id", "left") if isinstance(scale, DataFrame) else n.withColumn("scale", F.lit(float(scale)))
+
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values(["ord", "node_id"])
+        ids, a = dense.matrix(v, e)
+        a = a * float(v["scale"].iloc[0])
+        a = a if direction == "reverse" else a.T
+        start = v["seed"].fillna(0.0).to_numpy()
+        x = start.copy()
+        for _ in range(steps):
+            y = np.clip(a @ x, 0.0, 1.0)
+            if hold_seeds:
+                y = np.where(start > 0, 1.0, y)
+            move = float(np.sqrt(((y - x) ** 2).sum()))
+            x = y
+            if tolerance > 0 and move < tolerance:
+                break
+        return pd.DataFrame({"node_id": ids, "risk": x})
+
+    out = dense.per_graph(n, edges, kernel, "node_id string, risk double", ("seed", "scale"))
+    big = nodes.join(fit, "graph_id", "left_anti")
+    if big.take(1):
+        part = scale.join(fit, "graph_id", "left_anti") if isinstance(scale, DataFrame) else scale
+        out = out.unionByName(_mat_vec_joined(big, edges.join(fit, "graph_id", "left_anti"), seeds.join(fit, "graph_id", "left_anti"), part, steps, tolerance, hold_seeds, direction))
+    return out
+
+
+def _mat_vec_joined(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, scale: DataFrame | float, steps: int, tolerance: float, hold_seeds: bool, direction: str) -> DataFrame:
+    """:func:`_mat_vec` for graphs of any size. Only nodes with a value above 0 take part in a step, and only of graphs that still move.
+    """
     to, by = ("src", "dst") if direction == "reverse" else ("dst", "src")
     a = edges.where("weight > 0").select("graph_id", F.col(to).alias("node_id"), F.col(by).alias("_by"), "weight")
     if isinstance(scale, DataFrame):

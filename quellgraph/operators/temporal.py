@@ -68,10 +68,11 @@ def walk(edges: pd.DataFrame, privilege: dict[str, float], start: str, strategy:
     return rows
 
 
-def simulate(nodes: DataFrame, edges: DataFrame, starts: DataFrame, runs: DataFrame, *, blocked: DataFrame | None = None, **options) -> DataFrame:
-    """Timelines of every run of ``runs`` (strategy, seed) from the start (graph_id, node_id) of every small graph."""
+def simulate(nodes: DataFrame, edges: DataFrame, starts: DataFrame, runs: list[tuple[str, int]], *, blocked: DataFrame | None = None, **options) -> DataFrame:
+    """Timelines of every run of ``runs`` (strategy, seed pairs) from the start (graph_id, node_id) of every small graph."""
     fit = small_graphs(nodes, edges)
-    todo = starts.join(fit, "graph_id", "left_semi").crossJoin(F.broadcast(runs)).select("graph_id", "strategy", "seed", F.col("node_id").alias("start"))  # the parameter grid
+    grid = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(k).alias("seed")) for s, k in runs])
+    todo = starts.join(fit, "graph_id", "left_semi").select("graph_id", F.col("node_id").alias("start"), F.inline(grid))
     e = edges.select("graph_id", "src", "dst", "weight", "edge_type")
     e = e.join(blocked.select("graph_id", "src", "dst").distinct().withColumn("b", F.lit(True)), ["graph_id", "src", "dst"], "left") if blocked is not None else e.withColumn("b", F.lit(None).cast("boolean"))
     p = nodes.select("graph_id", "node_id", "privilege_level")

@@ -6,10 +6,12 @@ shuffle. Every level is kept in the shared folder, so that the plan doesn't grow
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quellgraph.functions.rng import unit
+from quellgraph.operators import dense
 from quellgraph.runtime import cut
 
 BROADCAST_ROWS = 200_000
@@ -29,11 +31,45 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, edge_t
     """``(*keys, node_id, dist)``: hops from the nearest seed along edges, seeds included at 0. Weights don't matter.
 
     ``keys`` may name more than the graph, such as a source or a trial, for many traversals at once; edges need the keys they share.
+    Graphs with few edges are walked one to a task, all others level by level.
     """
     hop = edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else edges
     on = [k for k in keys if k in edges.columns]
-    hop = hop.select(*on, "src", "dst").distinct()
-    front = cut(seeds.select(*keys, "node_id").distinct().withColumn("dist", F.lit(0)))
+    hop = cut(hop.select(*on, "src", "dst").distinct())
+    start = cut(seeds.select(*keys, "node_id").distinct())
+    if list(keys) != on:
+        return _bfs_levels(hop, start, max_depth, keys, on)
+    big = hop.groupBy(*on).agg(F.count("*").alias("m")).where(F.col("m") > dense.DENSE_EDGES).select(*on)
+    some = bool(big.take(1))
+    few = lambda df: df.join(big, on, "left_anti") if some else df
+    out = _bfs_small(few(hop), few(start), max_depth, on)
+    if some:
+        out = out.unionByName(_bfs_levels(hop.join(big, on, "left_semi"), start.join(big, on, "left_semi"), max_depth, keys, on))
+    return out
+
+
+def _bfs_small(hop: DataFrame, start: DataFrame, max_depth: int | None, on: list[str]) -> DataFrame:
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in start.select(*on).schema)
+
+    def run(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        for a, b in zip(e["src"], e["dst"], strict=True):
+            near.setdefault(a, []).append(b)
+        dist = dict.fromkeys(s["node_id"], 0)
+        queue = list(dist)
+        for v in queue:
+            if max_depth is None or dist[v] < max_depth:
+                for w in near.get(v, ()):
+                    if w not in dist:
+                        dist[w] = dist[v] + 1
+                        queue.append(w)
+        return pd.DataFrame([(*key, v, k) for v, k in dist.items()], columns=[*on, "node_id", "dist"])
+
+    return start.groupBy(*on).cogroup(hop.groupBy(*on)).applyInPandas(run, f"{kinds}, node_id string, dist int")
+
+
+def _bfs_levels(hop: DataFrame, start: DataFrame, max_depth: int | None, keys: tuple[str, ...], on: list[str]) -> DataFrame:
+    front = start.withColumn("dist", F.lit(0))
     seen, n, depth = front, front.count(), 0
     while n and (max_depth is None or depth < max_depth):
         depth += 1
@@ -71,7 +107,7 @@ def gated(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int =
     ``steps`` has one row per attempt, ``(graph_id, src, dst, level, outcome)``.
     """
     check_seeds(nodes, seeds)
-    hop = edges.select("graph_id", "src", "dst", "weight", "delegation_depth_limit")
+    hop = cut(edges.select("graph_id", "src", "dst", "weight", "delegation_depth_limit"))
     front = cut(seeds.select("graph_id", "node_id").distinct().withColumn("level", F.lit(0)))
     seen, n, log = front, front.count(), []
     for depth in range(max_depth):
@@ -112,7 +148,7 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, target_
 
     Their number can grow as the paths of the graph do; ``max_hops`` is the reference's bound and bounds the rounds.
     """
-    hop = edges.select("graph_id", "src", "dst")
+    hop = cut(edges.select("graph_id", "src", "dst"))
     high = nodes.where(F.col("privilege_level") >= target_privilege).select("graph_id", F.col("node_id").alias("_last"))
     walk = cut(sources.select("graph_id", F.array("node_id").alias("path")))
     found = None
@@ -132,7 +168,23 @@ def all_pairs(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> Data
 
 
 def average_path(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """``(graph_id, avg_path_length)`` on the largest weak component: directed if it is strongly connected, else undirected."""
+    """``(graph_id, avg_path_length)`` on the largest weak component: directed if it is strongly connected, else undirected.
+
+    Small graphs are counted one to a task, the others by joins."""
+    fit = dense.path_graphs(nodes, edges)
+    size = comps.groupBy("graph_id", "component").agg(F.count("*").alias("k"))
+    largest = size.groupBy("graph_id").agg(F.max_by("component", F.struct("k", "component")).alias("component"), F.max("k").alias("k"))
+    inside = comps.join(largest, ["graph_id", "component"]).select("graph_id", "node_id", "k")
+    g = dense.path_counts(nodes, edges).join(inside, ["graph_id", "node_id"]).groupBy("graph_id").agg(F.first("k").alias("k"), F.sum("directed_sum").alias("d1"), F.sum("directed_pairs").alias("p1"), F.sum("undirected_sum").alias("d2"))
+    full = F.col("k") * (F.col("k") - 1)
+    out = g.select("graph_id", F.when(F.col("k") < 2, 0.0).when(F.col("p1") == full, F.col("d1") / full).otherwise(F.col("d2") / full).alias("avg_path_length"))
+    big = nodes.join(fit, "graph_id", "left_anti")
+    if big.take(1):
+        out = out.unionByName(_average_path_joined(big, edges.join(fit, "graph_id", "left_anti"), comps.join(fit, "graph_id", "left_anti")))
+    return out
+
+
+def _average_path_joined(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
     size = comps.groupBy("graph_id", "component").agg(F.count("*").alias("k"))
     largest = size.groupBy("graph_id").agg(F.max_by("component", F.struct("k", F.expr("component"))).alias("component"), F.max("k").alias("k"))
     inside = comps.join(largest, ["graph_id", "component"]).select("graph_id", "node_id", "k")
@@ -145,9 +197,17 @@ def average_path(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFr
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(graph_id, node_id, betweenness)``: directed, unweighted, normalised by (n - 1)(n - 2).
+    """``(graph_id, node_id, betweenness)``: directed, unweighted, normalised by (n - 1)(n - 2). Small graphs are counted one to a
+    task, the others by :func:`betweenness_joined`."""
+    fit = dense.path_graphs(nodes, edges)
+    out = dense.path_counts(nodes, edges).select("graph_id", "node_id", "betweenness")
+    big = nodes.join(fit, "graph_id", "left_anti")
+    return out.unionByName(betweenness_joined(big, edges.join(fit, "graph_id", "left_anti"))) if big.take(1) else out
+
 
-    Brandes' two sweeps as joins, for all sources at once: forwards the numbers of shortest paths by level, backwards the
+def betweenness_joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Betweenness of graphs of any size: Brandes' two
+    sweeps as joins, for all sources at once: forwards the numbers of shortest paths by level, backwards the
     dependencies. Rows are (source, node) pairs, spread over the cluster by both.
     """
     hop = cut(edges.where("src != dst").select("graph_id", "src", "dst").distinct())

@@ -1 +1,4 @@
-"""plans of the engine."""
+"""Queries over the driver's tables. Importing this package fills the registry."""
+
+from quellgraph.plans import found, spread, structure  # noqa: F401
+from quellgraph.plans.registry import ORACLES, QUERIES  # noqa: F401

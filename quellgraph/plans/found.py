@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from quellgraph.operators import drift, key_states, nested, orphans, packed_fields, same_records
 from quellgraph.operators.json_walk import fields_of
+from quellgraph.plans.registry import query
 from quellgraph.runtime import table, trimmed
 
 
+@query()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packed_fields.split_packed(table(spark, sf_dir, "model_history"), "id", ["predicted_nodes", "actual_nodes"])
     return rows.select("id", "field_name", "pos", F.col("value").alias("node_id"))
 
 
+@query()
 def p1_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packed_fields.split_packed(table(spark, sf_dir, "model_history"), "id", ["predicted_nodes", "actual_nodes"])
     return rows.groupBy("field_name", "dialect").agg(F.sum(F.when(F.col("pos") == 1, 1).otherwise(0)).alias("n_fields"), F.count("*").alias("n_values"))
@@ -52,18 +55,22 @@ def _policy_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.lit("account_dump").alias("ref_table"), F.col("dump_id").alias("ref_id"), F.lit("PolicyArn").alias("ref_field"), "ref_key", reason.alias("reason"), "ref_month")
 
 
+@query()
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge_orphans(spark, sf_dir).unionByName(_policy_orphans(spark, sf_dir)).distinct()
 
 
+@query()
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(p2_found(spark, sf_dir))
 
 
+@query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.items(table(spark, sf_dir, "account_dump"), ["dump_id"]).distinct()
 
 
+@query()
 def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.entities(table(spark, sf_dir, "account_dump"), ["dump_id", "account_id", "captured_at"]).distinct()
 
@@ -82,35 +89,39 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return key_states.key_states(history, "topology_type", ["precision_score", "recall_score", "f1_score"]), key_states.key_states(_resources(spark, sf_dir), "resource")
 
 
+@query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     topologies, resources = (key_states.dominating(s) for s in _states(spark, sf_dir))
     named = [s.select(F.lit(n).alias("field_name"), "key_value") for n, s in (("topology_type", topologies), ("Resource", resources))]
     return named[0].unionByName(named[1])
 
 
+@query()
 def p4_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     topologies, resources = _states(spark, sf_dir)
     cols = ["key_value", "n_rows", F.round("share", 9).alias("share"), *[F.round(f"avg_{m}", 6).alias(f"avg_{m}") for m in ("precision_score", "recall_score", "f1_score")]]
     return topologies.select(F.lit("topology_type").alias("field_name"), *cols).unionByName(resources.select(F.lit("Resource").alias("field_name"), "key_value", "n_rows", F.round("share", 9).alias("share")), allowMissingColumns=True)
 
 
+@query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = drift.read_files(table(spark, sf_dir, "policy_files"))
     return drift.changes(files).select("file_id", "change_kind", "field_path", "new_path").distinct()
 
 
+@query()
 def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = drift.read_files(table(spark, sf_dir, "policy_files"), values=True, keep=["family"])
     return drift.consistent(files, drift.changes(files)).select("feed", "file_id", "family", "version", "fingerprint", "values")
 
 
+@query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = same_records.same_records(table(spark, sf_dir, "role_statements"), "record_id", "family", "raw_text")
     return same.where("id != first_id").select("first_id", F.col("id").alias("copy_id"))
 
 
+@query()
 def p6_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_records.distinct_records(table(spark, sf_dir, "role_statements"), "record_id", "family", "raw_text").withColumnRenamed("part", "family")
 
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_dialects, p2_found, p2_report, p3_found, p3_entities, p4_found, p4_states, p5_found, p5_consistent, p6_found, p6_distinct)}

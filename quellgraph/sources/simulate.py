@@ -130,7 +130,7 @@ def mixed(g: DataFrame, n: int = 50) -> tuple[DataFrame, DataFrame]:
         a = a.withColumn("node_id", pre("node_id")).withColumn("ord", F.col("ord") + k * 1_000_000).withColumn("tags", F.map_concat(F.coalesce("tags", F.create_map().cast("map<string,string>")), F.create_map(F.lit("origin"), F.lit(label))))
         b = b.withColumn("src", pre("src")).withColumn("dst", pre("dst")).withColumn("ord", F.col("ord") + k * 10_000_000).withColumn("tags", F.lit(None).cast("map<string,string>"))
         nodes, edges = (a, b) if nodes is None else (nodes.unionByName(a), edges.unionByName(b))
-    pick = lambda label, what: nodes.where(F.col("node_id").startswith(f"{label}_")).groupBy("graph_id").agg(F.min_by("node_id", draw_order(what, "graph_id", F.col("node_id"))).alias(what))
+    pick = lambda label, what: nodes.where(F.col("node_id").startswith(f"{label}_")).groupBy("graph_id").agg(F.min_by("node_id", draw_order(F.lit(what), "graph_id", "node_id")).alias(what))
     for k, (a, b) in enumerate((("hub", "chain"), ("chain", "cluster"))):
         j = pick(a, "src").join(pick(b, "dst"), "graph_id")
         j = j.select("graph_id", F.lit(100_000_000 + k).alias("ord"), "src", "dst", F.lit("ASSUME_ROLE").alias("edge_type"), _between(0.4, 0.75, "graph_id", F.lit(f"bridge{k}")).alias("weight"), F.lit(2).alias("delegation_depth_limit"), F.create_map(F.lit("cross_topology_bridge"), F.lit("true")).alias("tags"))

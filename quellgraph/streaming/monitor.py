@@ -50,13 +50,15 @@ def checked(traffic: DataFrame, blocked: DataFrame) -> DataFrame:
     return traffic.join(b, ["src", "dst"], "left").withColumn("status", F.when(F.col("_b"), "blocked").otherwise("allowed")).drop("_b")
 
 
-def traffic(spark: SparkSession, edges: DataFrame, cycles: DataFrame | None = None, rate: int = 1, p: float = 0.45, seed: int = 42) -> DataFrame:
-    """Pings on edges: each edge fires with probability ``p`` per cycle. Cycles come from a rate source, or from a batch ``(value, timestamp)``."""
+def traffic(spark: SparkSession, edges: DataFrame, ticks: DataFrame | None = None, rate: int = 100, p: float = 0.45, seed: int = 42) -> DataFrame:
+    """Pings on edges (idx, src, dst), idx from 0: tick number v is edge v modulo their number in cycle v over their number, and fires
+    with probability ``p``. Ticks come from a rate source, or from a batch (value, timestamp)."""
     from quellgraph.functions.rng import unit
 
-    ticks = cycles if cycles is not None else spark.readStream.format("rate").option("rowsPerSecond", rate).load()
-    fired = ticks.select(F.col("value").alias("cycle"), F.col("timestamp").alias("ts")).withColumn("_k", F.lit(1)).join(edges.select("src", "dst").withColumn("_k", F.lit(1)), "_k")
-    return fired.where(unit(seed, "cycle", F.col("src"), F.col("dst")) < p).select("cycle", "ts", "src", "dst")
+    n = max(1, edges.count())
+    t = ticks if ticks is not None else spark.readStream.format("rate").option("rowsPerSecond", rate).load()
+    t = t.select((F.col("value") % n).alias("idx"), F.floor(F.col("value") / n).alias("cycle"), F.col("timestamp").alias("ts"))
+    return t.join(edges.select("idx", "src", "dst"), "idx").where(unit(seed, "cycle", F.col("src"), F.col("dst")) < p).select("cycle", "ts", "src", "dst")
 
 
 def strictness_stream(events: DataFrame, key: str = "graph_id", ts: str = "ts") -> DataFrame:
