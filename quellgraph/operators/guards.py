@@ -78,7 +78,7 @@ def sensor(events: DataFrame, by: list, seconds: float = 60.0, threshold: float
     )
     g = g.withColumn("frequency", F.col("n_events") / seconds).withColumn("validation_rate", F.col("n_allowed") / F.col("n_events"))
     score = anomaly_score(F.col("frequency"), F.col("validation_rate"), F.col("escalations"), F.col("jumps"))
-    return g.withColumn("anomaly_score", F.round(score, 4)).withColumn("anomaly", score > threshold)
+    return g.withColumn("score", score).withColumn("anomaly_score", F.round("score", 4)).withColumn("anomaly", F.col("score") > threshold)
 
 
 def block(edges: DataFrame, guards: DataFrame, levels: DataFrame) -> DataFrame:

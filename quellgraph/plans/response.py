@@ -79,11 +79,11 @@ def guard_statistics(spark, d):
 def _sensor_sql(start: str, seconds: float, source: str = "decided") -> str:
     return f"""WITH {GUARD_SQL}, g AS (SELECT {start} AS window_start, count(*) AS n_events, sum((decision = 'ALLOWED')::INT)::BIGINT AS n_allowed, sum((decision = 'BLOCKED' AND contains(lower(reason), 'depth'))::INT)::BIGINT AS escalations, sum((decision = 'ALLOWED' AND edge_type IN ('ASSUME_ROLE', 'AUTHENTICATE_AS'))::INT)::BIGINT AS jumps FROM {source} GROUP BY 1),
     s AS (SELECT *, 0.3 * least(1.0, n_events / {seconds}::DOUBLE / 5) + 0.2 * greatest(0.0, (0.8 - n_allowed / n_events::DOUBLE) / 0.8) + 0.3 * least(1.0, escalations / 5.0::DOUBLE) + 0.2 * least(1.0, jumps / 3.0::DOUBLE) AS score FROM g)
-    SELECT epoch_us(window_start) // 1000000 AS window_start, n_events, n_allowed, escalations, jumps, round(score, 4) AS anomaly_score, score > 0.6 AS anomaly FROM s"""
+    SELECT epoch_us(window_start) // 1000000 AS window_start, n_events, n_allowed, escalations, jumps, round(score, 8) AS score, score > 0.6 AS anomaly FROM s"""
 
 
 def _windows(df):
-    return df.select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "n_events", "n_allowed", "escalations", "jumps", "anomaly_score", "anomaly")
+    return df.select(F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "n_events", "n_allowed", "escalations", "jumps", F.round("score", 8).alias("score"), "anomaly")
 
 
 @query(_sensor_sql("time_bucket(INTERVAL '1 hour', ts)", 3600.0))
