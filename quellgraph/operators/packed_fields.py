@@ -166,7 +166,9 @@ def code_book(packed: DataFrame, n_fields: int, make: Callable[[], Splitter], bo
     rows = [r for r in rows if r["shape"] is not None]
     kept = sum(r["weight"] for r in rows)
     rest = max(everything - kept, 0.5)
-    return {r["shape"]: -math.log2(r["weight"] / (kept + rest)) for r in rows}, -math.log2(rest / (kept + rest))
+    # An entry of the book has to be spelt out once; its uses share that.
+    own = {r["shape"]: -math.log2(r["weight"] / (kept + rest)) + SPELL_BITS * len(r["shape"]) / r["weight"] for r in rows}
+    return own, -math.log2(rest / (kept + rest))
 
 
 def split_packed(
