@@ -57,7 +57,8 @@ def embed(windows: np.ndarray, seed: int) -> np.ndarray:
 
 def keys(windows: np.ndarray, seed: int, sample: int) -> np.ndarray:
     """One bit-sampling hash of each window: its embedding at ``sample`` random places."""
-    places = np.sort(np.random.default_rng(seed).choice(3 * windows.shape[1], sample, replace=False))
+    # Walks end after twice the window's length on average; places beyond hold the same 0 for most windows.
+    places = np.sort(np.random.default_rng(seed).choice(2 * windows.shape[1], sample, replace=False))
     out = np.full(len(windows), seed, np.uint64)
     for column in embed(windows, seed)[:, places].T:
         out = _mix(out ^ column.astype(np.uint64), seed)
@@ -129,7 +130,7 @@ def build_index(items: list[tuple[str, str]], window: int, max_edits: int, recal
     rng = np.random.default_rng(11)
     probe = windows[rng.permutation(len(windows))[:2000]]
     near, missed, tables = _edited(probe, max_edits, len(vocabulary), rng), np.ones(len(probe), bool), []
-    while len(windows) and not tables or (len(tables) < most and missed.mean() > 1 - recall):
+    while len(windows) and (not tables or (len(tables) < most and missed.mean() > 1 - recall)):
         seed = len(tables) + 1
         k = keys(windows, seed, sample)
         order = np.argsort(k, kind="stable")
