@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quellgraph.operators import drift, key_states, nested, orphans, packed_fields, same_records
 from quellgraph.operators.json_walk import fields_of
+from quellgraph.plans import found_sql as sql
 from quellgraph.plans.registry import query
 from quellgraph.runtime import table, trimmed
 
 
-@query()
+@query(sql.P1)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packed_fields.split_packed(table(spark, sf_dir, "model_history"), "id", ["predicted_nodes", "actual_nodes"])
     return rows.select("id", "field_name", "pos", F.col("value").alias("node_id"))
@@ -55,22 +56,22 @@ def _policy_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.lit("account_dump").alias("ref_table"), F.col("dump_id").alias("ref_id"), F.lit("PolicyArn").alias("ref_field"), "ref_key", reason.alias("reason"), "ref_month")
 
 
-@query()
+@query(sql.P2_FOUND)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge_orphans(spark, sf_dir).unionByName(_policy_orphans(spark, sf_dir)).distinct()
 
 
-@query()
+@query(sql.P2_REPORT)
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(p2_found(spark, sf_dir))
 
 
-@query()
+@query(sql.P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.items(table(spark, sf_dir, "account_dump"), ["dump_id"]).distinct()
 
 
-@query()
+@query(sql.P3_ENTITIES)
 def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.entities(table(spark, sf_dir, "account_dump"), ["dump_id", "account_id", "captured_at"]).distinct()
 
@@ -89,14 +90,14 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return key_states.key_states(history, "topology_type", ["precision_score", "recall_score", "f1_score"]), key_states.key_states(_resources(spark, sf_dir), "resource")
 
 
-@query()
+@query(sql.P4)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     topologies, resources = (key_states.dominating(s) for s in _states(spark, sf_dir))
     named = [s.select(F.lit(n).alias("field_name"), "key_value") for n, s in (("topology_type", topologies), ("Resource", resources))]
     return named[0].unionByName(named[1])
 
 
-@query()
+@query(sql.P4_STATES)
 def p4_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     topologies, resources = _states(spark, sf_dir)
     cols = ["key_value", "n_rows", F.round("share", 9).alias("share"), *[F.round(f"avg_{m}", 6).alias(f"avg_{m}") for m in ("precision_score", "recall_score", "f1_score")]]
