@@ -56,7 +56,7 @@ def _known(name, other) -> F.Column:
 
 def load(docs: DataFrame, infer: bool = True) -> tuple[DataFrame, DataFrame]:
     r = parse(docs)
-    tags = lambda **kv: F.map_from_entries(F.array(*[F.struct(F.lit(k), v) for k, v in kv.items()]))
+    tags = lambda **kv: F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in kv.items()]))
     roles = r.where("kind in ('Role', 'ClusterRole')")
     role_id = F.when((F.col("kind") == "ClusterRole") | F.col("namespace").isNull(), F.concat(F.lit("clusterrole:"), "name")).otherwise(F.concat_ws(":", F.lit("role"), "namespace", "name"))
     roles = roles.withColumn("node_id", role_id)

@@ -29,11 +29,16 @@ def load_state(docs: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame, D
     return nodes, edges, seeds
 
 
+def _in_order(rows: Column) -> Column:
+    """By ``ord`` alone: the maps in the rows can't be compared."""
+    return F.array_sort(rows, lambda a, b: F.signum(a["ord"] - b["ord"]).cast("int"))
+
+
 def snapshots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph_id, content)``: each graph as JSON, in the order of insertion. One row per graph: for graphs that fit one row."""
-    n = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct(*[c for c in nodes.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("n"))
+    n = nodes.groupBy("graph_id").agg(_in_order(F.collect_list(F.struct("ord", F.struct(*[c for c in nodes.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("n"))
     named = edges.withColumnsRenamed({"src": "source", "dst": "target"})
-    e = named.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct(*[c for c in named.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("e"))
+    e = named.groupBy("graph_id").agg(_in_order(F.collect_list(F.struct("ord", F.struct(*[c for c in named.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("e"))
     return n.join(e, "graph_id", "left").select("graph_id", F.to_json(F.struct(F.transform("n", lambda r: r["x"]).alias("nodes"), F.coalesce(F.transform("e", lambda r: r["x"]), F.array()).alias("edges"))).alias("content"))
 
 

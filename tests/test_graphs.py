@@ -213,17 +213,29 @@ def test_gcn(spark, chain):
     h = np.maximum(a @ (h @ np.array(w["w2"]).T + w["b2"]), 0)
     want = 1 / (1 + np.exp(-(h @ np.array(w["w3"]).T + w["b3"])[:, 0]))
     assert sorted(np.round(list(got.values()), 9)) == sorted(np.round(want, 9)) and len(ids) == 4
+
+
+def test_gcn_training():
+    rng = np.random.default_rng(0)
     graphs = []
-    for k in range(12):
+    for _ in range(40):
         m = 10
-        adj = np.eye(m)
-        for i in range(m - 1):
-            adj[i, i + 1] = 1
+        adj = np.eye(m) + (rng.random((m, m)) < 0.1)
         f = rng.random((m, 13))
-        f[:, 1] = np.arange(m) > k % m
-        graphs.append((f, adj / adj.sum(1, keepdims=True), f[:, 1].copy()))
-    _, f1 = gcn.train(graphs[:8], graphs[8:], epochs=60, rate=1e-2)
-    assert f1 > 0.7
+        y = (f[:, 1] > 0.6).astype(float)
+        f[:, 2] = y
+        graphs.append((f, adj / adj.sum(1, keepdims=True), y))
+    p = gcn._layers(rng, (13, 5, 4, 1))
+    _, grad, _ = gcn._loss(p, graphs[:3], 3.0)
+    for k, at in (("w1", (2, 3)), ("b1", (1,)), ("w2", (1, 2)), ("w3", (0, 1)), ("b3", (0,))):
+        up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        slope = (gcn._loss(up, graphs[:3], 3.0)[0] - gcn._loss(down, graphs[:3], 3.0)[0]) / 2e-5
+        assert abs(slope - grad[k][at]) < 1e-6
+    _, f1 = gcn.train(graphs[:30], graphs[30:], epochs=120, rate=1e-2, patience=60, threshold=0.5)
+    everything = gcn._macro_f1([np.ones(10)] * 10, graphs[30:], 0.5)
+    assert f1 > everything + 0.1
 
 
 def test_temporal(spark, chain):

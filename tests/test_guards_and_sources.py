@@ -71,11 +71,17 @@ def services(spark):
 
 def test_feedback_and_containment_run(spark, services):
     n, e = services
-    s = seed(spark, "s0")
-    r = guards.contain(n, e.withColumn("weight", F.lit(1.0)), s, n.select("graph_id", "node_id", F.lit(1.0).alias("exploitability")), lambda a, b, c: propagation.graph_traversal(a, b, c), traversal.bfs(e, s), 2)
-    assert rows(r["after"], "node_id") == {("s0",)} and r["log"].count() == 2
+    s, sure = seed(spark, "s0"), e.withColumn("weight", F.lit(1.0))
+    scores = n.select("graph_id", "node_id", F.lit(1.0).alias("exploitability"))
+    risky = lambda nodes, *_: nodes.select("graph_id", "node_id", F.lit(0.9).alias("risk"), F.lit(True).alias("compromised"))
+    r = guards.contain(n, sure, s, scores, risky, traversal.bfs(e, s), 2)
+    assert rows(r["after"], "node_id") == {("s0",)} and rows(r["log"], "cycle", "strictness") == {(0, "LOCKDOWN"), (1, "LOCKDOWN")}
     m = r["metrics"].first()
-    assert m["missed"] == 1 and m["guard_blocks"] == 6
+    assert (m["missed"], m["guard_blocks"], m["natural_blocks"]) == (1, 6, 3)
+    assert rows(guards.transitions(r["log"]), "before", "after") == {("NOMINAL", "LOCKDOWN")}
+    # Low risk stays nominal and blocks nothing.
+    calm = guards.feedback(n, sure, s, r["guards"], lambda nodes, *_: risky(nodes).withColumn("risk", F.lit(0.1)), 1)
+    assert guards.blocked(calm[0]).count() == 0 and rows(calm[2], "strictness") == {("NOMINAL",)}
 
 
 def test_mutations(spark, services):
