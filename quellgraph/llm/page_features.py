@@ -18,7 +18,7 @@ FUNCTION_WORDS = frozenset(
     der die das ein eine einen dem den des und oder ist war sind wird werden nicht mit von zu zum zur im in auf für bei aus als wenn weil dass sich es er sie wir
     nur noch auch nach vor
     el la los las un una unos unas de del y o es son fue era no con por para en al que se su sus lo como cuando si porque más pero este esta esto sin
-    le les des du et ou est sont était ne pas avec par pour dans sur au aux que qui ce cette ces il elle nous vous plus mais quand car sans
+    le les des du et ou est sont était ne avec par pour dans sur au aux que qui ce cette ces il elle nous vous plus mais quand sans
     os as um uma do da dos das e ou é são foi não com por para em no na nos nas ao que se seu sua mais mas quando porque este esta isto sem
     """.split()
 )
@@ -96,9 +96,11 @@ def features(text: str | None) -> list[float]:
         w_all += k + URL_WORDS * len(urls)
         if line[0] in "-*+•" and line[1:2] == " ":
             bullets += 1
-        function = sum(w in FUNCTION_WORDS for w in words)
+        function = [w for w in words if w in FUNCTION_WORDS]
+        kinds_of = len(set(function))
+        varied = k < 8 or len(set(words)) >= 0.55 * k  # keywords repeat themselves, sentences hardly
         ends = plain.rstrip(" \"'`)*_|")[-1:] in (".", "!", "?", "。")
-        if k >= 4 and not meta and (function >= max(2, 0.12 * k) or (ends and function >= 1 and function >= 0.06 * k)):
+        if k >= 4 and varied and not meta and ((kinds_of >= 2 and len(function) >= 0.12 * k) or (ends and kinds_of and len(function) >= 0.06 * k)):
             sentences += 1
             w_sentence += k
             block = 0
@@ -142,7 +144,7 @@ def weak_label(f: list[float]) -> int:
     marked = v["link_lines"] + v["tags"] + v["price_lines"]
     if v["sentence_share"] > 0.6 or v["block"] < 15 or (not marked and (v["keyword_kinds"] > 0.75 or v["block"] < 30)):
         return 0
-    if v["sentence_share"] < 0.4 and lists > 0.6:
+    if (v["sentence_share"] < 0.4 and lists > 0.6) or (v["sentences"] <= 2 and lists > 0.45):
         if v["link_lines"] >= 6 and v["hosts"] >= 5 and v["link_share"] > 0.5:
             return 1
         if v["price_lines"] >= 6 and v["price_share"] > 0.5:
