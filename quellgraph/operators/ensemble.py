@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quellgraph.runtime import top_within
 from quellgraph.schema import MODELS, TOPOLOGIES
 
 # Prior weights by topology, in the order of MODELS.
@@ -96,8 +97,7 @@ def consensus_counts(results: DataFrame) -> DataFrame:
 
 def most_dangerous(results: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` nodes of each graph flagged by most models, then by mean risk."""
-    w = Window.partitionBy("graph_id").orderBy(F.desc("consensus"), F.desc(F.round("avg_risk", 9)), "node_id")
-    return consensus_counts(results).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top_within(consensus_counts(results), ["graph_id"], [F.desc("consensus"), F.desc(F.round("avg_risk", 9)), "node_id"], k)
 
 
 def cascade_spread(headers: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quellgraph.runtime import place_within
+
 
 def tag_graphs(df: DataFrame, label: str) -> DataFrame:
     """The same graphs again under another id, to run several variants in one pass."""
@@ -25,8 +27,9 @@ def first_with_edges(edges: DataFrame) -> DataFrame:
 
 def nth_node(nodes: DataFrame, index: int) -> DataFrame:
     """The node at ``index`` modulo the size of its graph, in the order of ids."""
-    a = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list("node_id")).alias("a"))  # ids of a graph given to the sweeps
-    return a.select("graph_id", F.element_at("a", (F.lit(index) % F.size("a") + 1).cast("int")).alias("node_id"))
+    placed = place_within(nodes.select("graph_id", "node_id"), "graph_id", ["node_id"])
+    n = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
+    return placed.join(n, "graph_id").where(F.col("i") == F.lit(index) % F.col("_n")).select("graph_id", "node_id")
 
 
 def compare_mutation(before: DataFrame, after: DataFrame) -> DataFrame:

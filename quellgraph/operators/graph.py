@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.runtime import cut, no_rows
+from quellgraph.runtime import cut, no_rows, place_within
 
 
 def get_node(nodes: DataFrame, node_id: str, graph_id: str = "g") -> DataFrame:
@@ -39,7 +39,7 @@ def neighbors(edges: DataFrame, direction: str = "out") -> DataFrame:
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The weighted adjacency matrix as coordinates ``(graph_id, i, j, weight)``, 0-based in the order of ``ord``."""
-    at = nodes.select("graph_id", "node_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("ord", "node_id")) - 1).alias("i"))
+    at = place_within(nodes.select("graph_id", "node_id", "ord"), "graph_id", ["ord", "node_id"]).select("graph_id", "node_id", "i")
     a, b = at.select("graph_id", F.col("node_id").alias("src"), "i"), at.select("graph_id", F.col("node_id").alias("dst"), F.col("i").alias("j"))
     return edges.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).select("graph_id", "i", "j", "weight")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quellgraph.functions.rng import draw_order
 from quellgraph.functions.tokens import anomaly_score, consensus, guard_decision, strictness_of
 from quellgraph.operators.traversal import gated
-from quellgraph.runtime import cut
+from quellgraph.runtime import cut, top_within
 
 GUARDS_PER_EDGE = 3
 
@@ -22,16 +22,13 @@ def scored_edges(edges: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def top_edges(edges: DataFrame, by: str, k: int) -> DataFrame:
-    """The ``k`` edges of each graph with the largest ``by``, the first among equals. Cut to k in 64 salted parts first, so that a
-    graph with a third of all edges isn't sorted by one task."""
-    order = [F.desc(F.round(by, 9)), "ord", "src", "dst"]
-    part = edges.withColumn("_r", F.row_number().over(Window.partitionBy("graph_id", F.pmod(F.xxhash64("src", "dst"), F.lit(64))).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(*order))).where(F.col("rank") <= k)
+    """The ``k`` edges of each graph with the largest ``by``, the first among equals."""
+    return top_within(edges.select("graph_id", "src", "dst", "ord", by), ["graph_id"], [F.desc(F.round(by, 9)), "ord", "src", "dst"], k)
 
 
 def random_edges(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    drawn = edges.withColumn("_d", draw_order(seed, "graph_id", F.col("src"), F.col("dst")))
-    return drawn.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy("_d"))).where(F.col("rank") <= k).drop("_d")
+    drawn = edges.select("graph_id", "src", "dst", draw_order(seed, "graph_id", "src", "dst").alias("_d"))
+    return top_within(drawn, ["graph_id"], ["_d"], k).drop("_d")
 
 
 def guard_set(edges: DataFrame, scores: DataFrame, steps: DataFrame, verified: DataFrame, seeds: DataFrame, top_k: int = 20) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quellgraph.functions.rng import draw_order, unit
+from quellgraph.runtime import place_within
 from quellgraph.schema import EDGES, NODES, conform
 
 STRATEGIES = ("EDGE_SPLITTING", "PRIVILEGE_DILUTION", "CHAIN_OBFUSCATION")
@@ -28,8 +29,8 @@ def service_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def sample_share(edges: DataFrame, intensity: float, seed: int) -> DataFrame:
     """A random ``round(n * intensity)`` edges of each graph, numbered."""
     n = edges.groupBy("graph_id").agg(F.round(F.count("*") * intensity).alias("_k"))
-    w = Window.partitionBy("graph_id").orderBy(draw_order(seed, "graph_id", F.col("src"), F.col("dst")))
-    return edges.withColumn("_i", F.row_number().over(w) - 1).join(n, "graph_id").where(F.col("_i") < F.col("_k")).drop("_k")
+    drawn = edges.withColumn("_d", draw_order(seed, "graph_id", "src", "dst"))
+    return place_within(drawn, "graph_id", ["_d"], "_i").join(n, "graph_id").where(F.col("_i") < F.col("_k")).drop("_k", "_d")
 
 
 def _through(nodes: DataFrame, edges: DataFrame, picked: DataFrame, mid_id, node: dict, first: str, second: str, factor: float) -> tuple[DataFrame, DataFrame]:

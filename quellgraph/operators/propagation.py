@@ -16,7 +16,7 @@ from quellgraph.functions.rng import unit
 from quellgraph.operators import dense
 from quellgraph.operators.graph import components
 from quellgraph.operators.traversal import bfs, check_seeds, reachability
-from quellgraph.runtime import cut
+from quellgraph.runtime import cut, top_within
 
 # The stated confidence of each model, and of the stand-in for the network without trained weights.
 CONFIDENCE = {"graph_traversal": 1.0, "epidemic": 0.2608, "spectral_cascade": 0.2974, "percolation": 0.7279, "control_system": 0.1267, "gnn": 0.62}
@@ -195,19 +195,15 @@ def percolation_header(trials: DataFrame) -> DataFrame:
 
 def component_sizes(trials: DataFrame, top: int = 20) -> DataFrame:
     """The ``top`` most common component sizes of each graph over all trials."""
-    from quellgraph.operators.traversal import rank_within
-
     sizes = trials.select("graph_id", "trial", "component", "size").distinct().groupBy("graph_id", "size").agg(F.count("*").alias("n"))
-    return rank_within(sizes, ["graph_id"], [F.desc("n"), "size"]).where(F.col("rank") <= top).drop("rank")
+    return top_within(sizes, ["graph_id"], [F.desc("n"), "size"], top).drop("rank")
 
 
 def critical_edges(edges: DataFrame, risks: DataFrame, threshold: float = 0.4, first: int = 10) -> DataFrame:
     """The first edges, by their order and not by risk, with both ends at or above the threshold."""
-    from quellgraph.operators.traversal import rank_within
-
     r = risks.where(F.col("risk") >= threshold).select("graph_id", "node_id")
     e = edges.join(r.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi").join(r.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"], "left_semi")
-    return rank_within(e, ["graph_id"], ["ord", "src", "dst"]).where(F.col("rank") <= first).select("graph_id", "src", "dst", "rank")
+    return top_within(e.select("graph_id", "src", "dst", "ord"), ["graph_id"], ["ord", "src", "dst"], first).select("graph_id", "src", "dst", "rank")
 
 
 def control_system(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_steps: int = 50, tolerance: float = 1e-4, threshold: float = 0.4, direction: str = "reverse") -> DataFrame:

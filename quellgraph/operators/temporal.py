@@ -73,9 +73,9 @@ def simulate(nodes: DataFrame, edges: DataFrame, starts: DataFrame, runs: list[t
     fit = small_graphs(nodes, edges)
     grid = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(k).alias("seed")) for s, k in runs])
     todo = starts.join(fit, "graph_id", "left_semi").select("graph_id", F.col("node_id").alias("start"), F.inline(grid))
-    e = edges.select("graph_id", "src", "dst", "weight", "edge_type")
+    e = edges.select("graph_id", "src", "dst", "weight", "edge_type").join(fit, "graph_id", "left_semi")
     e = e.join(blocked.select("graph_id", "src", "dst").distinct().withColumn("b", F.lit(True)), ["graph_id", "src", "dst"], "left") if blocked is not None else e.withColumn("b", F.lit(None).cast("boolean"))
-    p = nodes.select("graph_id", "node_id", "privilege_level")
+    p = nodes.select("graph_id", "node_id", "privilege_level").join(fit, "graph_id", "left_semi")
     packed = e.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "weight", "edge_type", "b")).alias("e")).join(p.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.coalesce("privilege_level", F.lit(0.0))))).alias("p")), "graph_id")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

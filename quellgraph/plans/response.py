@@ -14,7 +14,7 @@ from quellgraph.operators import verification as ve
 from quellgraph.plans.registry import query
 from quellgraph.plans.spread import FLAGS, GATED_SQL, _org, flags
 from quellgraph.plans.views import GUARD_SQL, ORG_SQL, guard_events
-from quellgraph.runtime import cut, table
+from quellgraph.runtime import cut, table, top_within
 from quellgraph.streaming import monitor
 
 KEY = bytes(range(32))
@@ -173,7 +173,7 @@ def mock_guard_join(spark, d):
 @query(f"WITH RECURSIVE {ORG_SQL}, {GATED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY level, node_id) AS rank FROM seen) SELECT graph_id, node_id, level, rank FROM r WHERE rank <= 18")
 def timeline_order(spark, d):
     seen, _ = t.gated(*_org(spark, d))
-    return t.rank_within(seen, ["graph_id"], ["level", "node_id"]).where("rank <= 18")
+    return top_within(seen, ["graph_id"], ["level", "node_id"], 18)
 
 
 @query(f"WITH RECURSIVE {ORG_SQL}, {GATED_SQL}, {WALKED} SELECT w.graph_id, s.level, count(*) AS n_steps, count(DISTINCT w.dst) AS n_nodes FROM walked w JOIN seen s ON s.graph_id = w.graph_id AND s.node_id = w.src GROUP BY 1, 2")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a session of this engine needs; a cluster sets its own partition counts and sizes.
@@ -87,6 +87,21 @@ def global_index(df: DataFrame, order: list[str], name: str = "idx", partitions:
     return ordered.withColumn("_part", part).join(F.broadcast(base), "_part").select(*df.columns, (F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
+def place_within(df: DataFrame, key: str, order: list[str], name: str = "i") -> DataFrame:
+    """``df`` with each row's 0-based place within its ``key`` in the order of ``order``; no key has to fit in one task."""
+    index = global_index(df, [key, *order], "_idx")
+    first = index.groupBy(key).agg(F.min("_idx").alias("_first"))
+    return index.join(first, key).withColumn(name, F.col("_idx") - F.col("_first")).drop("_idx", "_first")
+
+
+def top_within(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each key with their ``rank``. Cut to k in 64 salted parts first, so that a key with a third of all
+    rows isn't sorted by one task."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(64))
+    part = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, salt).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 #: Whitespace of any kind: what Unicode calls white space, and the ASCII separators.
 SPACE = r"[\s\x1c-\x1f]"
 
