@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from quellgraph.runtime import trimmed
 
 _LANE = (1 << 55) - 1
-_PAIR = "struct<name:string,vals:array<string>>"
-PAIRS = f"array<{_PAIR}>"
 
 
 def _listed(c: Column) -> Column:
@@ -49,18 +47,22 @@ def reduced(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
 
 
+_SEP = "\x1f"  # isn't a letter or digit, so that a pair's text can be read in one way only
+
+
 def normal_pairs(pairs: Column) -> Column:
-    return F.transform(pairs, lambda p: F.struct(reduced(p["name"]).alias("name"), F.transform(p["vals"], lambda v: reduced(F.coalesce(v, F.lit("")))).alias("vals")))
+    """Each pair as one text: its reduced name and values in order."""
+    return F.transform(pairs, lambda p: F.array_join(F.concat(F.array(reduced(p["name"])), F.transform(p["vals"], lambda v: reduced(F.coalesce(v, F.lit(""))))), _SEP))
 
 
 def _lane(pairs: Column, seed: int) -> Column:
     """A sum modulo 2**55 of the pairs' hashes: commutative, and never out of range."""
-    return F.aggregate(F.transform(pairs, lambda p: F.xxhash64(F.lit(seed), p["name"], F.size(p["vals"]), p["vals"]).bitwiseAND(_LANE)), F.lit(0).cast("bigint"), lambda a, x: (a + x).bitwiseAND(_LANE))
+    return F.aggregate(F.transform(pairs, lambda p: F.xxhash64(F.lit(seed), p).bitwiseAND(_LANE)), F.lit(0).cast("bigint"), lambda a, x: (a + x).bitwiseAND(_LANE))
 
 
 def fingerprints(df: DataFrame, id_col: str, part: str, text: str) -> DataFrame:
     """``(id, part, pairs, f1, f2, n)`` per record with an id and a readable text."""
-    pairs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(part).alias("part"), F.coalesce(normal_pairs(parse_pairs(F.col(text))), F.when(F.col(text).isNotNull(), F.array(F.struct(F.lit("").alias("name"), F.array(reduced(F.col(text))).alias("vals"))))).alias("pairs"))
+    pairs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(part).alias("part"), F.coalesce(normal_pairs(parse_pairs(F.col(text))), F.when(F.col(text).isNotNull(), F.array(F.concat(F.lit(_SEP), reduced(F.col(text)))))).alias("pairs"))
     return pairs.where("pairs is not null").select("id", "part", "pairs", _lane(F.col("pairs"), 17).alias("f1"), _lane(F.col("pairs"), 40503).alias("f2"), F.size("pairs").alias("n"))
 
 
@@ -70,7 +72,7 @@ def same_records(df: DataFrame, id_col: str, part: str, text: str) -> DataFrame:
     Records are compared within ``part`` (null is a part of its own). Text in no known notation is compared as one value. Null
     texts and null ids give no row; an id that occurs twice gives one.
     """
-    prints = fingerprints(df, id_col, part, text).dropDuplicates(["id"])
+    prints = fingerprints(df, id_col, part, text).dropDuplicates(["id"])  # one shuffle, which both sides below reuse
     key = ["part", "f1", "f2", "n"]
     first = prints.groupBy(*key).agg(F.min(F.struct("id", "pairs")).alias("rep"))
     joined = prints.alias("r").join(first.alias("g"), F.expr(" and ".join(f"r.{k} <=> g.{k}" for k in key)))
