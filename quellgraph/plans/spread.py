@@ -286,4 +286,4 @@ def temporal_outcomes(spark, d):
     from quellgraph.operators.temporal import outcomes, simulate
 
     n, e, s = _org(spark, d)
-    return outcomes(simulate(n, e, s, [("greedy", 1), ("stealthy", 1), ("random", 1)], steps=40))
+    return outcomes(simulate(n, e, s, [("greedy", 1), ("stealthy", 1), ("random", 1)]))

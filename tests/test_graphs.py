@@ -245,3 +245,17 @@ def test_temporal(spark, chain):
     assert sure["detected_at"] == 1
     never = temporal.outcomes(temporal.simulate(n, e, s, [("greedy", 1), ("stealthy", 1)], detection=0.0, steps=40)).collect()
     assert all(r["detected_at"] is None and r["attacker_success"] and r["n_final"] == 4 for r in never)
+
+
+def test_temporal_on_any_graph(spark, random_graphs, monkeypatch):
+    n, e = random_graphs
+    n = n.unionByName(n.where("node_id = 'v00' and graph_id = 'r0'").withColumn("graph_id", F.lit("lone")))
+    s = n.where("node_id = 'v00'").select("graph_id", "node_id")
+    stop = e.where("ord % 7 = 0").select("graph_id", "src", "dst")
+    runs = [("greedy", 1), ("stealthy", 1), ("random", 1), ("random", 2)]
+    for options in ({"detection": 0.01, "steps": 30, "blocked": stop}, {"steps": 18}, {"detection": 0.0, "steps": 13, "dwell": 2}):
+        dense_form = sorted(map(tuple, temporal.simulate(n, e, s, runs, **options).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(dense, "DENSE_NODES", 0)
+            joined = sorted(map(tuple, temporal.simulate(n, e, s, runs, **options).collect()))
+        assert len(dense_form) == 4 * 4 * options["steps"] and joined == dense_form
