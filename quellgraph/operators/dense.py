@@ -33,9 +33,9 @@ def matrix(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list[str], np.ndar
     return ids, a
 
 
-def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = ()) -> DataFrame:
-    """``kernel(nodes, edges)`` for every small graph; ``columns`` are those of the nodes that it needs besides id and ord."""
-    fit = small_graphs(nodes, edges)
+def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = (), fit: DataFrame | None = None) -> DataFrame:
+    """``kernel(nodes, edges)`` for every small graph, or those of ``fit``; ``columns`` are those of the nodes that it needs besides id and ord."""
+    fit = small_graphs(nodes, edges) if fit is None else fit
     n = nodes.select("graph_id", "node_id", "ord", *columns).join(fit, "graph_id", "left_semi")
     e = edges.select("graph_id", "src", "dst", "weight").join(fit, "graph_id", "left_semi")
 

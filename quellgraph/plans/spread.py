@@ -11,7 +11,7 @@ from quellgraph.operators import verification as ve
 from quellgraph.plans.registry import query
 from quellgraph.plans.structure import BFS_SQL, RISK_SQL
 from quellgraph.plans.views import ORG_SQL, org_edges, org_nodes, org_seeds
-from quellgraph.runtime import cut, table
+from quellgraph.runtime import cut, table, written
 
 STEPS, TRIALS = 6, 5
 
@@ -77,19 +77,26 @@ def percolation_reach(spark, d):
     return trials.where("reached").groupBy("graph_id", "node_id").agg(F.count("*").alias("times_reached"))
 
 
+@query()
+def percolation_reach_full(spark, d):
+    """:func:`percolation_reach` over all trials of the operator; its SQL follows 5."""
+    trials = pr.percolation_trials(*_org(spark, d))
+    return trials.where("reached").groupBy("graph_id", "node_id").agg(F.count("*").alias("times_reached"))
+
+
 @query()
 def percolation_risk(spark, d):
-    return _rounded(pr.percolation(*_org(spark, d), n_trials=TRIALS), "risk")
+    return _rounded(pr.percolation(*_org(spark, d)), "risk")
 
 
 @query()
 def percolation_giants(spark, d):
-    return _rounded(pr.percolation_header(pr.percolation_trials(*_org(spark, d), n_trials=TRIALS)), "giant_probability", "mean_giant_size")
+    return _rounded(pr.percolation_header(written(pr.percolation_trials(*_org(spark, d)))), "giant_probability", "mean_giant_size")
 
 
 @query()
 def percolation_sizes(spark, d):
-    return pr.component_sizes(pr.percolation_trials(*_org(spark, d), n_trials=TRIALS))
+    return pr.component_sizes(pr.percolation_trials(*_org(spark, d)))
 
 
 def _three(spark, d):
@@ -151,7 +158,7 @@ def top_dangerous(spark, d):
 @query()
 def ensemble_all_models(spark, d):
     n, e, s = _org(spark, d)
-    return _rounded(en.weighted(pr.run_all(n, e, s, percolation={"n_trials": TRIALS}), _mixed(spark)), "risk")
+    return _rounded(en.weighted(pr.run_all(n, e, s), _mixed(spark)), "risk")
 
 
 @query(f"WITH RECURSIVE {THREE} SELECT graph_id, sum(compromised::INT)::BIGINT AS n_compromised, max(dist) AS depth FROM (SELECT b.*, h.dist FROM bfs b LEFT JOIN hit h USING (graph_id, node_id)) GROUP BY 1")

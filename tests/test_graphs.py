@@ -259,3 +259,26 @@ def test_temporal_on_any_graph(spark, random_graphs, monkeypatch):
             m.setattr(dense, "DENSE_NODES", 0)
             joined = sorted(map(tuple, temporal.simulate(n, e, s, runs, **options).collect()))
         assert len(dense_form) == 4 * 4 * options["steps"] and joined == dense_form
+
+
+def test_percolation_tiers(spark, random_graphs, monkeypatch):
+    n, e = random_graphs
+    s = n.where("node_id = 'v00'").select("graph_id", "node_id")
+    cols = ("graph_id", "trial", "node_id", "in_giant", "reached", "component", "size")
+    few = rows(propagation.percolation_trials(n, e, s, n_trials=20), *cols)
+    monkeypatch.setattr(propagation, "TRIAL_WORK", 0)
+    assert len(few) == 3 * 20 * 12 and few == rows(propagation.percolation_trials(n, e, s, n_trials=20), *cols)
+
+
+def test_full_queries(spark, tmp_path):
+    from quellgraph import plans
+
+    path = [f"p{k}" for k in range(8)]
+    spark.createDataFrame([("o", v, "SERVICE" if v == "p0" else "ROLE", v, 0.9 if v == "p7" else 0.1, 0.5) for v in path], "org_id string, node_id string, node_type string, name string, privilege_level double, sensitivity double").write.parquet(f"{tmp_path}/org_graph.parquet")
+    spark.createDataFrame([("o", i, a, b, "TOKEN_MINT", 0.9, 3) for i, (a, b) in enumerate(zip(path, path[1:]))], "org_id string, edge_id int, source string, target string, edge_type string, weight double, delegation_depth_limit int").write.parquet(f"{tmp_path}/org_edges.parquet")
+    d = str(tmp_path)
+    assert rows(plans.QUERIES["simple_paths_full"](spark, d), "path") == {(" > ".join(path),)}
+    times = dict(rows(plans.QUERIES["percolation_reach_full"](spark, d), "node_id", "times_reached"))
+    assert times["p0"] == 100 and 30 < times["p1"] < 80
+    risk = dict(rows(plans.QUERIES["percolation_risk"](spark, d), "node_id", "risk"))
+    assert any(abs(r * 25 - round(r * 25)) > 1e-6 for r in risk.values())
