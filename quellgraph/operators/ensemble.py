@@ -77,8 +77,9 @@ def confidence(results: DataFrame, n_models: int = len(MODELS), uncertain: float
 
 
 def contributions(results: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(graph_id, model, node_id, risk, weight, weighted)``."""
-    j = results.join(F.broadcast(weights.select("model", "weight")), "model", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    """``(graph_id, model, node_id, risk, weight, weighted)``; ``weights`` as of :func:`weighted`."""
+    on = ["graph_id", "model"] if "graph_id" in weights.columns else ["model"]
+    j = results.join(F.broadcast(weights.select(*on, "weight")) if on == ["model"] else weights.select(*on, "weight"), on, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return j.select("graph_id", "model", "node_id", "risk", "weight", (F.col("risk") * F.col("weight")).alias("weighted"))
 
 

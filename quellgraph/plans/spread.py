@@ -8,6 +8,7 @@ from quellgraph.operators import ensemble as en
 from quellgraph.operators import propagation as pr
 from quellgraph.operators import traversal as t
 from quellgraph.operators import verification as ve
+from quellgraph.operators.analysis import analyse
 from quellgraph.plans.registry import query
 from quellgraph.plans.structure import BFS_SQL, RISK_SQL
 from quellgraph.plans.views import ORG_SQL, org_edges, org_nodes, org_seeds
@@ -155,10 +156,22 @@ def top_dangerous(spark, d):
     return _rounded(en.most_dangerous(_three(spark, d)[3]), "avg_risk")
 
 
+def _analysed(spark, d):
+    """Graphs, results of all six models with their defaults, weights by topology and the fused prediction."""
+    n, e, s = _org(spark, d)
+    return n, e, s, *analyse(n, e, s, table(spark, d, "model_history"))
+
+
 @query()
 def ensemble_all_models(spark, d):
-    n, e, s = _org(spark, d)
-    return _rounded(en.weighted(pr.run_all(n, e, s), _mixed(spark)), "risk")
+    return _rounded(_analysed(spark, d)[5], "risk")
+
+
+@query()
+def ensemble_analysis(spark, d):
+    *_, w, p = _analysed(spark, d)
+    of = w.select("graph_id", "topology_type", F.col("source").alias("weight_source")).distinct()
+    return _rounded(p.join(of, "graph_id"), "risk").select("graph_id", "topology_type", "weight_source", "node_id", "risk", "compromised")
 
 
 @query(f"WITH RECURSIVE {THREE} SELECT graph_id, sum(compromised::INT)::BIGINT AS n_compromised, max(dist) AS depth FROM (SELECT b.*, h.dist FROM bfs b LEFT JOIN hit h USING (graph_id, node_id)) GROUP BY 1")

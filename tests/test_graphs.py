@@ -282,3 +282,23 @@ def test_full_queries(spark, tmp_path):
     assert times["p0"] == 100 and 30 < times["p1"] < 80
     risk = dict(rows(plans.QUERIES["percolation_risk"](spark, d), "node_id", "risk"))
     assert any(abs(r * 25 - round(r * 25)) > 1e-6 for r in risk.values())
+
+
+def test_analysis_takes_weights_of_the_topology(spark, chain, random_graphs):
+    from quellgraph.operators.analysis import analyse, graph_weights
+
+    n, e = chain[0].unionByName(random_graphs[0].where("graph_id = 'r0'")), chain[1].unionByName(random_graphs[1].where("graph_id = 'r0'"))
+    s = n.where("node_id in ('A', 'v00')").select("graph_id", "node_id")
+    results, weights, fused = analyse(n, e, s, percolation={"n_trials": 10})
+    kind = {r["graph_id"]: r["topology_type"] for r in fingerprint.fingerprint(n, e).collect()}
+    assert kind["g"] == "HUB" and results.select("model").distinct().count() == 6
+    want = {}
+    for r in results.collect():
+        ws = ensemble.PRIORS[kind[r["graph_id"]]]
+        k = r["graph_id"], r["node_id"]
+        want[k] = want.get(k, 0.0) + r["risk"] * ws[ensemble.MODELS.index(r["model"])] / sum(ws)
+    got = {(r["graph_id"], r["node_id"]): (r["risk"], r["compromised"]) for r in fused.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - min(1, v)) < 1e-9 and got[k][1] == (round(v, 9) >= 0.35) for k, v in want.items())
+    history = spark.createDataFrame([(i, "HUB", m, 0.5 if m != "gnn" else 1.0) for i, m in enumerate(ensemble.MODELS * 6)], "id int, topology_type string, model_name string, f1_score double")
+    w = {(r["graph_id"], r["model"]): (round(r["weight"], 6), r["source"]) for r in graph_weights(fingerprint.fingerprint(n, e), history).collect()}
+    assert w["g", "gnn"] == (round(1 / 3.5, 6), "adaptive") and (kind["r0"] == "HUB" or w["r0", "gnn"][1] == "topology_prior")
