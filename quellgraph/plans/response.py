@@ -12,7 +12,7 @@ from quellgraph.operators import propagation as pr
 from quellgraph.operators import traversal as t
 from quellgraph.operators import verification as ve
 from quellgraph.plans.registry import query
-from quellgraph.plans.spread import FLAGS, GATED_SQL, _org, flags
+from quellgraph.plans.spread import FLAGS, GATED_SQL, _org, flags, flags_full
 from quellgraph.plans.views import GUARD_SQL, ORG_SQL, guard_events
 from quellgraph.runtime import cut, table, top_within
 from quellgraph.streaming import monitor
@@ -31,6 +31,19 @@ def high_risk_edges(spark, d):
     return gu.top_edges(gu.scored_edges(e, f), "score", 10).select("graph_id", "src", "dst", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def high_risk_edges_full(spark, d):
+    """:func:`high_risk_edges` from the analysis by all six models."""
+    _, e, _, f, *_ = flags_full(spark, d)
+    return gu.top_edges(gu.scored_edges(e, f), "score", 10).select("graph_id", "src", "dst", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def guard_edges_full(spark, d):
+    _, e, s, f, seen, steps = flags_full(spark, d)
+    return gu.guard_set(e, f, steps, seen, s)
+
+
 @query(f"WITH RECURSIVE {FLAGS}, {SCORED}, {TOP}, {GUARDS} SELECT * FROM guards")
 def guard_edges_union(spark, d):
     _, e, s, f, seen, steps = flags(spark, d)

@@ -156,6 +156,11 @@ def top_dangerous(spark, d):
     return _rounded(en.most_dangerous(_three(spark, d)[3]), "avg_risk")
 
 
+def _six(spark, d):
+    """Results of all six models with their defaults."""
+    return pr.run_all(*_org(spark, d))
+
+
 def _analysed(spark, d):
     """Graphs, results of all six models with their defaults, weights by topology and the fused prediction."""
     n, e, s = _org(spark, d)
@@ -174,6 +179,37 @@ def ensemble_analysis(spark, d):
     return _rounded(p.join(of, "graph_id"), "risk").select("graph_id", "topology_type", "weight_source", "node_id", "risk", "compromised")
 
 
+@query()
+def ensemble_voting_full(spark, d):
+    return _rounded(en.voting(_six(spark, d)), "risk")
+
+
+@query()
+def ensemble_confidence_full(spark, d):
+    return _rounded(en.confidence(_six(spark, d)), "mean", "std")
+
+
+@query()
+def model_contributions_full(spark, d):
+    *_, r, w, _ = _analysed(spark, d)
+    return _rounded(en.contributions(r, w), "risk", "weighted")
+
+
+@query()
+def model_consensus_full(spark, d):
+    return _rounded(en.consensus_counts(_six(spark, d)), "avg_risk")
+
+
+@query()
+def jaccard_agreement_full(spark, d):
+    return _rounded(en.agreement(_six(spark, d)), "jaccard")
+
+
+@query()
+def top_dangerous_full(spark, d):
+    return _rounded(en.most_dangerous(_six(spark, d)), "avg_risk")
+
+
 @query(f"WITH RECURSIVE {THREE} SELECT graph_id, sum(compromised::INT)::BIGINT AS n_compromised, max(dist) AS depth FROM (SELECT b.*, h.dist FROM bfs b LEFT JOIN hit h USING (graph_id, node_id)) GROUP BY 1")
 def traversal_header(spark, d):
     n, e, s = _org(spark, d)
@@ -213,6 +249,23 @@ def flags(spark, d):
     return n, e, s, cut(ve.flags(n, en.weighted(r, _mixed(spark)), seen)), seen, steps
 
 
+def flags_full(spark, d):
+    """:func:`flags` from the analysis by all six models."""
+    n, e, s, _, _, p = _analysed(spark, d)
+    seen, steps = t.gated(n, e, s)
+    return n, e, s, cut(ve.flags(n, p, seen)), seen, steps
+
+
+@query()
+def blast_radius_full(spark, d):
+    return ve.blast_radius(flags_full(spark, d)[3])
+
+
+@query()
+def node_gap_class_full(spark, d):
+    return ve.node_class(flags_full(spark, d)[3])
+
+
 @query(f"WITH RECURSIVE {BLAST} SELECT * FROM blast")
 def blast_radius(spark, d):
     return ve.blast_radius(flags(spark, d)[3])
@@ -242,14 +295,14 @@ def critical_paths(spark, d):
 
 @query()
 def executive_summaries(spark, d):
-    n, _, _, f, *_ = flags(spark, d)
+    n, _, _, f, *_ = flags_full(spark, d)
     return ve.summary_text(ve.blast_radius(f), n.groupBy("graph_id").agg(F.count("*").alias("n_nodes")))
 
 
 @query()
 def ensemble_metrics(spark, d):
-    r = _three(spark, d)[3]
-    return en.metrics(en.weighted(r, _mixed(spark)), en.confidence(r), en.agreement(r))
+    *_, r, _, p = _analysed(spark, d)
+    return en.metrics(p, en.confidence(r), en.agreement(r))
 
 
 @query("SELECT topology_type, model, weight FROM (VALUES " + ", ".join(f"('{k}', '{m}', {w}::DOUBLE)" for k, ws in en.PRIORS.items() for m, w in zip(en.MODELS, ws, strict=True)) + ") t(topology_type, model, weight)")

@@ -302,3 +302,17 @@ def test_analysis_takes_weights_of_the_topology(spark, chain, random_graphs):
     history = spark.createDataFrame([(i, "HUB", m, 0.5 if m != "gnn" else 1.0) for i, m in enumerate(ensemble.MODELS * 6)], "id int, topology_type string, model_name string, f1_score double")
     w = {(r["graph_id"], r["model"]): (round(r["weight"], 6), r["source"]) for r in graph_weights(fingerprint.fingerprint(n, e), history).collect()}
     assert w["g", "gnn"] == (round(1 / 3.5, 6), "adaptive") and (kind["r0"] == "HUB" or w["r0", "gnn"][1] == "topology_prior")
+
+
+def test_six_models_vote(spark, small):
+    from quellgraph import plans
+
+    n, e, s, r, _, _ = plans.spread._analysed(spark, small)
+    votes = {}
+    for x in r.where("compromised").collect():
+        votes.setdefault((x["graph_id"], x["node_id"]), set()).add(x["model"])
+    got = plans.QUERIES["ensemble_voting_full"](spark, small).collect()
+    assert len(got) == n.count() and any(x["compromised"] for x in got)
+    for x in got:
+        k = len(votes.get((x["graph_id"], x["node_id"]), ()))
+        assert x["risk"] == round(k / 6, 6) and x["compromised"] == (k >= 4)
