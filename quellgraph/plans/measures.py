@@ -167,8 +167,9 @@ def arn_parse(spark, d):
     return a.select("arn", iam.arn_node_id(F.col("arn")).alias("node_id"))
 
 
-def _files(spark, d, family):
-    f = table(spark, d, "policy_files").where(F.col("family") == family).dropDuplicates(["file_id"])
+def _files(spark, d, family=None):
+    f = table(spark, d, "policy_files")
+    f = (f if family is None else f.where(F.col("family") == family)).dropDuplicates(["file_id"])
     return f.select(F.col("file_id").cast("string").alias("graph_id"), "content")
 
 
@@ -183,9 +184,30 @@ def policy_edges(spark, d):
     return iam_source.load_policies(_files(spark, d, "s3_read_only"))[1].select("graph_id", "src", "dst", "edge_type", "weight", "delegation_depth_limit")
 
 
+def _role_bundles(spark, d):
+    """The graphs of all role bundles, whatever their family."""
+    return iam_source.load_role_bundles(_files(spark, d).where(iam_source.detect_format(F.col("content")) == "role_bundle"))
+
+
 @query()
 def role_bundle_nodes(spark, d):
-    return iam_source.load_role_bundles(_files(spark, d, "lambda_execution_role"))[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
+    return _role_bundles(spark, d)[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
+
+
+@query()
+def role_bundle_edges(spark, d):
+    return _role_bundles(spark, d)[1].select("graph_id", "src", "dst", "edge_type", "weight", "delegation_depth_limit")
+
+
+@query()
+def policy_file_nodes(spark, d):
+    """Every file by its detected format."""
+    return iam_source.load_any(_files(spark, d))[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
+
+
+@query()
+def policy_file_edges(spark, d):
+    return iam_source.load_any(_files(spark, d))[1].select("graph_id", "src", "dst", "edge_type", "weight", "delegation_depth_limit")
 
 
 def _dumps(spark, d):

@@ -226,3 +226,15 @@ def test_state_round_trip(spark, services, tmp_path):
     state.upsert_weights(spark, w.withColumn("topology_type", F.lit("CHAIN")), str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w")).count() == 2
     assert state.render(w, ["model", "weight"]).splitlines()[-1] == "| a | 1 |" and "toprule" in state.render(w, ["model"], "latex")
+
+
+def test_all_policy_files_become_graphs(spark, small):
+    from quellgraph import plans
+
+    f = spark.read.parquet(f"{small}/policy_files.parquet").dropDuplicates(["file_id"]).withColumn("format", iam.detect_format(F.col("content"))).select(F.col("file_id").cast("string").alias("graph_id"), "family", "format")
+    bundles, q = f.where("format = 'role_bundle'"), plans.QUERIES
+    assert bundles.where("family = 'codepipeline_role'").count()
+    ids = rows(bundles, "graph_id")
+    assert rows(q["role_bundle_nodes"](spark, small), "graph_id") == ids and rows(q["role_bundle_edges"](spark, small), "graph_id") == ids
+    known = rows(f.where("format != 'unknown'"), "graph_id")
+    assert rows(q["policy_file_nodes"](spark, small), "graph_id") == known and rows(q["policy_file_edges"](spark, small), "graph_id") <= known
