@@ -1,14 +1,12 @@
 """Several values packed in one field: split by the dialect with the minimum description length.
 
-A dialect is a delimiter (one character, any of them, or none) and a quote character. Every field is parsed with
-each dialect that its characters allow, and each parse is priced in bits: a value costs the code length of its
-shape (word characters collapsed to ``w``, everything else kept), and a dialect that allows several delimiters pays
-at every boundary for saying which one. The code lengths come from counting shapes over all fields of the table,
-first over all candidate parses in equal parts, then over the cheapest parse of each field. Every field is finally
-parsed with its cheapest dialect.
-
-The code book that is sent to the executors holds at most ``book_size`` shapes of at most ``MAX_SHAPE`` characters.
-Any other shape is spelt out character by character, so that it still has a price.
+A dialect is a delimiter (one character, any of them, or none) and a quote character. What a dialect makes of a field depends
+only on the field's skeleton, in which every run of letters and digits is one ``w``; so each distinct skeleton is parsed once
+with each dialect that its characters allow, and each parse is priced in bits. A value costs the code length of its shape, a
+delimiter left inside an unquoted value is spelt out, and a dialect of several delimiters pays at every boundary for saying
+which one. Code lengths come from counting shapes over all fields of the table, first over all candidate parses in equal
+parts, then over the cheapest parse of each field. The code book is a table that is joined, whatever its size: no shape is left
+out of it, and each pays for its own spelling. Every field is finally parsed with the cheapest dialect of its skeleton.
 """
 
 from __future__ import annotations
@@ -17,16 +15,19 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quellgraph.runtime import spread_join, written
+
 DELIMITERS = (",", ";", "|", "\t", "\n", " ", "；", "，", "、")
 QUOTES = ('"', "'")
 BRACKETS = {"[": "]", "{": "}", "(": ")"}
-MAX_SHAPE, SPELL_BITS, CACHE = 64, 6.0, 200_000
+SPELL_BITS, CACHE = 6.0, 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", re.S)
@@ -51,16 +52,19 @@ def _pattern(delims: str, quote: str) -> re.Pattern:
 
 
 class Splitter:
-    """Parses one field under every dialect and picks by price. ``book`` holds bits by shape; None prices all shapes alike."""
+    """Parses fields, or their skeletons, under every dialect."""
 
-    def __init__(self, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES, book: dict[str, float] | None = None, other_bits: float = 0.0):
-        self.delimiters, self.quotes, self.book, self.other_bits = delimiters, quotes, book, other_bits
+    def __init__(self, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES):
+        self.delimiters, self.quotes = delimiters, quotes
         self.any = "".join(c for c in delimiters if not c.isspace()) + ("\x00" if any(c.isspace() for c in delimiters) else "")
         self.any_bits = math.log2(max(2, len(delimiters)))
-        self.dialects = {(d, q): _pattern(d, q) for d in (*delimiters, self.any, "") for q in (*quotes, "")}
-        self.names = {(d, q): json.dumps(["any" if d == self.any else d, q], ensure_ascii=False) for d, q in self.dialects}
+        self.dialects = [(d, q) for d in (*delimiters, self.any, "") for q in (*quotes, "")]
+        self.number = {x: i for i, x in enumerate(self.dialects)}
+        self.patterns = {x: _pattern(*x) for x in self.dialects}
+        self.names = [json.dumps(["any" if d == self.any else d, q], ensure_ascii=False) for d, q in self.dialects]
+        self.every = re.compile("[" + "".join(r"\s" if c == "\x00" else re.escape(c) for c in self.any) + "]")
         self.runs = re.compile(f"[{''.join(re.escape(c) for c in delimiters)}\\s]+")
-        self.shapes: dict[str, str] = {}
+        self.shapes: dict[str, tuple[int, int]] = {}
 
     def body(self, raw: str) -> str:
         s = raw.strip()
@@ -68,152 +72,152 @@ class Splitter:
             s = s[1:-1].strip()
         return s
 
-    def parse(self, body: str, dialect: tuple[str, str], present: str = "") -> tuple[list[str], float]:
-        """The values, and the bits of what isn't in their shapes: delimiters that stay inside unquoted values, and which delimiter stands at each boundary."""
-        out, quote, extra = [], dialect[1], 0.0
-        for quoted, bare in self.dialects[dialect].findall(body):
+    def bare(self, body: str, delim: str) -> list[str]:
+        """Unquoted values."""
+        parts = [body] if not delim else self.every.split(body) if delim == self.any else body.split(delim)
+        return [v for v in map(str.strip, parts) if v]
+
+    def values(self, body: str, dialect: tuple[str, str]) -> list[str]:
+        quote = dialect[1]
+        if not quote:
+            return self.bare(body, dialect[0])
+        out = []
+        for quoted, bare in self.patterns[dialect].findall(body):
+            v = bare
             if quoted:
-                v = quoted
-                if "\\" in v:
-                    v = _ESCAPE.sub(_unescape, v)
-                v = v.replace(quote + quote, quote).strip()
-            else:
-                v = bare.strip()
-                for d in present:
-                    if d in v:
-                        extra += SPELL_BITS * v.count(d)
+                v = _ESCAPE.sub(_unescape, quoted) if "\\" in quoted else quoted
+                v = v.replace(quote + quote, quote)
+            v = v.strip()
             if v:
                 out.append(v)
-        if dialect[0] == self.any and len(out) > 1:
+        return out
+
+    def priced(self, body: str, dialect: tuple[str, str], present: str) -> tuple[list[str], float]:
+        """The values, and the bits of what isn't in their shapes: delimiters that stay inside unquoted values, and which delimiter stands at each boundary."""
+        quote, extra = dialect[1], 0.0
+        if not quote:
+            out = inside = self.bare(body, dialect[0])
+        else:
+            out, inside = self.values(body, dialect), [b for _, b in self.patterns[dialect].findall(body) if b]
+        if dialect[0] != self.any:
+            extra = SPELL_BITS * sum(v.strip().count(d) for v in inside for d in present)
+        elif len(out) > 1:
             kinds = self.kinds(body)
-            for v in out:
+            for v in out if quote else ():
                 if any(d in v for d in present):
                     kinds.subtract(self.kinds(v))
             counts = [n for n in kinds.values() if n > 0]
-            extra += self.any_bits * len(counts) + (math.lgamma(sum(counts) + 1) - sum(math.lgamma(n + 1) for n in counts)) / math.log(2)
+            extra = self.any_bits * len(counts) + (math.lgamma(sum(counts) + 1) - sum(math.lgamma(n + 1) for n in counts)) / math.log(2)
         return out, extra
 
     def kinds(self, s: str) -> Counter[str]:
         return Counter(run.strip()[:1] or run[0] for run in self.runs.findall(s))
 
-    def shape(self, v: str) -> str:
-        if len(v) > MAX_SHAPE:
-            return _WORD.sub("w", v)
+    def shape(self, v: str) -> tuple[int, int]:
+        """A hash of the value's shape, and the shape's length."""
         s = self.shapes.get(v)
         if s is None:
             if len(self.shapes) >= CACHE:
                 self.shapes.clear()
-            s = self.shapes[v] = _WORD.sub("w", v)
+            w = _WORD.sub("w", v)
+            s = self.shapes[v] = (xxhash.xxh64_intdigest(w) - (1 << 63), len(w))
         return s
 
-    def bits(self, values: list[str]) -> float:
-        total, book, shape = 0.0, self.book or {}, self.shape
-        for v in values:
-            s = shape(v)
-            b = book.get(s)
-            total += b if b is not None else self.other_bits + SPELL_BITS * len(s)
-        return total
-
     def candidates(self, body: str) -> list[tuple[tuple[str, str], list[str], float]]:
+        """All parses. At equal price the first is taken: any delimiter, one, none; quoted before not."""
         present = "".join(d for d in self.delimiters if d in body)
         delims = [*present, ""]
         if len(present) > 1 or present.isspace():
             delims.insert(0, self.any)
         quotes = [q for q in self.quotes if q in body]
-        return [((d, q), *self.parse(body, (d, q), present)) for d in delims for q in (*quotes, "")]
+        return [((d, q), *self.priced(body, (d, q), present)) for d in delims for q in (*quotes, "")]
+
 
-    def split(self, raw: str) -> tuple[tuple[str, str], list[str]]:
-        """The cheapest dialect and its values; at equal price the first of: any delimiter, one, none; quoted before not."""
-        body = self.body(raw)
-        if not body:
-            return ("", ""), []
-        found = self.candidates(body)
-        return min(found, key=lambda x: x[2] + self.bits(x[1]))[:2] if len(found) > 1 else found[0][:2]
+_PARSES = "h1 bigint, h2 bigint, n bigint, parses int, rank int, dialect int, extra double, shapes array<struct<h:bigint,size:int,k:int>>"
+_SHAPES = pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("k", pa.int32())]))
 
 
-def _counter(make: Callable[[], Splitter], n_fields: int) -> Callable:
-    """Partial counts of shapes, one batch of rows at a time."""
+def parses(skeletons: DataFrame, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES) -> DataFrame:
+    """One row per candidate parse of each of ``skeletons`` (h1, h2, skeleton, n); none for blank ones."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = make()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(delimiters, quotes)
         for batch in batches:
-            weights: Counter[str] = Counter()
-            for k in range(n_fields):
-                for raw in batch.column(k + 1).to_pylist():
-                    body = splitter.body(raw) if raw else ""
-                    if not body:
-                        continue
-                    if splitter.book is None:
-                        found = splitter.candidates(body)
-                        for _, values, _ in found:
-                            for v in values:
-                                weights[splitter.shape(v)[: MAX_SHAPE + 1]] += 1 / len(found)
-                    else:
-                        for v in splitter.split(raw)[1]:
-                            weights[splitter.shape(v)[: MAX_SHAPE + 1]] += 1
-            shapes, counts = [*weights, None], [*weights.values(), sum(weights.values())]  # null: all of them
-            yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.string()), pa.array(counts, pa.float64())], ["shape", "weight"])
-
-    return count
-
-
-def code_book(packed: DataFrame, n_fields: int, make: Callable[[], Splitter], book_size: int) -> tuple[dict[str, float], float]:
-    """Bits by shape over all rows, and the bits of saying that a shape isn't in the book."""
-    counts = packed.mapInArrow(_counter(make, n_fields), "shape string, weight double").groupBy("shape").agg(F.sum("weight").alias("weight"))
-    short = F.coalesce(F.length("shape") <= MAX_SHAPE, F.lit(True))
-    rows = counts.where(short).orderBy(F.col("shape").isNotNull(), F.desc("weight"), "shape").limit(book_size + 1).collect()
-    everything = sum(r["weight"] for r in rows if r["shape"] is None) or 1.0
-    rows = [r for r in rows if r["shape"] is not None]
-    kept = sum(r["weight"] for r in rows)
-    rest = max(everything - kept, 0.5)
-    # An entry of the book has to be spelt out once; its uses share that.
-    own = {r["shape"]: -math.log2(r["weight"] / (kept + rest)) + SPELL_BITS * len(r["shape"]) / r["weight"] for r in rows}
-    return own, -math.log2(rest / (kept + rest))
-
-
-def split_packed(
-    df: DataFrame,
-    id_col: str,
-    fields: list[str],
-    *,
-    delimiters: tuple[str, ...] = DELIMITERS,
-    quotes: tuple[str, ...] = QUOTES,
-    rounds: int = 2,
-    book_size: int = 4096,
-) -> DataFrame:
+            rows: list[list] = [[] for _ in range(6)]
+            for i, raw in enumerate(batch.column(2).to_pylist()):
+                body = splitter.body(raw)
+                found = splitter.candidates(body) if body else ()
+                for rank, (dialect, values, extra) in enumerate(found):
+                    shapes = Counter(map(splitter.shape, values))
+                    for column, x in zip(rows, (i, len(found), rank, splitter.number[dialect], extra, [{"h": h, "size": size, "k": k} for (h, size), k in shapes.items()]), strict=True):
+                        column.append(x)
+            take = pa.array(rows[0], pa.int64())
+            kept = [batch.column(c).take(take) for c in (0, 1, 3)]
+            made = [pa.array(r, t) for r, t in zip(rows[1:], (pa.int32(), pa.int32(), pa.int32(), pa.float64(), _SHAPES), strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], ["h1", "h2", "n", "parses", "rank", "dialect", "extra", "shapes"])
+
+    return skeletons.mapInArrow(run, _PARSES)
+
+
+def code_lengths(found: DataFrame, share) -> DataFrame:
+    """``(h, weight, bits, unseen)`` per shape: its code length, and that of a shape that isn't in the book but for its spelling.
+
+    ``share`` is what a parse counts for. An entry has to be spelt out once; its uses share that."""
+    uses = found.select(F.inline("shapes"), (F.col("n") * share).alias("w"))
+    book = uses.groupBy("h").agg(F.sum(F.col("k") * F.col("w")).alias("weight"), F.max("size").alias("size"))
+    book = written(book)
+    total = book.agg(F.sum("weight")).scalar() + 0.5
+    return book.select("h", "weight", (-F.log2(F.col("weight") / total) + SPELL_BITS * F.col("size") / F.col("weight")).alias("bits"), (-F.log2(0.5 / total)).alias("unseen"))
+
+
+def cheapest(found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``(h1, h2, rank)``: the cheapest parse of each skeleton. Prices are compared to 1/1024 bit, so that the order of adding doesn't matter."""
+    open_ = found.where("parses > 1").select("h1", "h2", "rank", "extra", "n", F.explode_outer("shapes").alias("s")).select("h1", "h2", "rank", "extra", "n", "s.*")
+    unseen = F.coalesce(lengths.agg(F.max("unseen")).scalar(), F.lit(0.0))
+    priced = spread_join(open_, lengths.select("h", "weight", "bits"), ["h"], "weight", F.xxhash64("h1", "rank"))
+    bits = F.coalesce(F.col("k") * F.coalesce(F.col("bits"), unseen + SPELL_BITS * F.col("size")), F.lit(0.0))
+    cost = priced.groupBy("h1", "h2", "rank").agg((F.sum(bits) + F.max("extra")).alias("cost"))
+    best = cost.groupBy("h1", "h2").agg(F.min(F.round(F.col("cost") * 1024).cast("bigint") * 64 + F.col("rank")).alias("b"))
+    chosen = best.select("h1", "h2", F.pmod("b", F.lit(64)).cast("int").alias("rank"))
+    return chosen.unionByName(found.where("parses = 1").select("h1", "h2", "rank"))
+
+
+def split_packed(df: DataFrame, id_col: str, fields: list[str], *, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES, rounds: int = 2) -> DataFrame:
     """One row ``(id, field_name, pos, value, dialect)`` for each value packed in ``fields``.
 
     ``pos`` counts the values of a field from 1. Values are bare: unquoted, unescaped, trimmed. Null and blank fields and
     empty places give no row; repeated values and repeated rows stay. A null id stays null. Other columns of ``df``, whatever
     their names, aren't touched. Fields are parsed whole, of any length. An empty table gives no rows.
     """
-    packed = df.select(F.col(id_col).alias("_0"), *[F.col(f).cast("string").alias(f"_{k + 1}") for k, f in enumerate(fields)])
-    book: dict[str, float] | None = None
-    other = 0.0
+    each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("raw")) for f in fields])
+    packed = df.select(F.col(id_col).alias("id"), F.inline(each)).where("raw is not null")
+    packed = packed.withColumn("skeleton", F.regexp_replace("raw", r"[\p{L}\p{N}]+", "w"))
+    hashes = [F.xxhash64("skeleton").alias("h1"), F.xxhash64(F.lit(7), "skeleton").alias("h2")]
+    skeletons = packed.groupBy("skeleton").agg(F.count("*").alias("n")).select(*hashes, "skeleton", "n")
+    found = written(parses(skeletons, delimiters, quotes))
+    chosen: DataFrame | None = None
     for _ in range(rounds):
-        book, other = code_book(packed, len(fields), lambda b=book, o=other: Splitter(delimiters, quotes, b, o), book_size)
-    final, final_other = book or {}, other
-    id_type = packed.schema["_0"].dataType
+        counted, share = (found, 1 / F.col("parses")) if chosen is None else (found.join(chosen, ["h1", "h2", "rank"], "left_semi"), F.lit(1.0))
+        chosen = written(cheapest(found, code_lengths(counted, share)))
+    dialects = found.join(chosen, ["h1", "h2", "rank"], "left_semi").select("h1", "h2", "dialect", "n")
+    named = spread_join(packed.select("id", "field_name", "raw", *hashes), dialects, ["h1", "h2"], "n", F.xxhash64("id", "field_name")).select("id", "field_name", "raw", "dialect")
+    id_type = packed.schema["id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(delimiters, quotes, final, final_other)
+        splitter = Splitter(delimiters, quotes)
         for batch in batches:
-            take, names, places, values, dialects = [], [], [], [], []
-            for k, name in enumerate(fields):
-                for i, raw in enumerate(batch.column(k + 1).to_pylist()):
-                    if not raw:
-                        continue
-                    dialect, found = splitter.split(raw)
-                    if found:
-                        n = len(found)
-                        take += [i] * n
-                        names += [name] * n
-                        places += range(1, n + 1)
-                        values += found
-                        dialects += [splitter.names[dialect]] * n
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(take, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(values, pa.string()), pa.array(dialects, pa.string())],
-                ["id", "field_name", "pos", "value", "dialect"],
-            )
-
-    return packed.mapInArrow(emit, f"id {id_type.simpleString()}, field_name string, pos int, value string, dialect string")
+            take, places, values, names = [], [], [], []
+            for i, (raw, d) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                body = splitter.body(raw) if d is not None else ""
+                if body:
+                    some = splitter.values(body, splitter.dialects[d])
+                    n = len(some)
+                    take += [i] * n
+                    places += range(1, n + 1)
+                    values += some
+                    names += [splitter.names[d]] * n
+            at = pa.array(take, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(values, pa.string()), pa.array(names, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "field_name", "pos", "value", "dialect"])
+
+    return named.mapInArrow(emit, f"id {id_type}, field_name string, pos int, value string, dialect string")

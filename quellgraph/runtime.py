@@ -61,6 +61,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold at least 1 / HOT_SHARE of all rows are hot. There can't be more than so many of them, however large the data.
+HOT_SHARE = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], load: str, spread: F.Column) -> DataFrame:
+    """``left`` left-joined with ``right``, which has one row per key and in ``load`` how much of ``left`` has that key.
+
+    Hot keys, at most ``HOT_SHARE`` of them whatever the data, are broadcast; their rows of ``left`` are spread over all tasks by
+    ``spread``, so that no task gets a key with a third of all rows. All other keys meet by shuffle. ``load`` isn't in the result.
+    """
+    values = [c for c in right.columns if c not in keys and c != load]
+    total = right.agg(F.sum(load)).scalar()
+    cold = F.col(load) * HOT_SHARE < total
+    hot = right.where(~cold).select(*keys, F.struct(F.lit(True).alias("_on"), *values).alias("_hot"))
+    out = left.withColumn("_by", spread).join(F.broadcast(hot), keys, "left")
+    out = out.withColumn("_by", F.when(F.col("_hot").isNotNull(), F.pmod("_by", F.lit(1 << 20)) + 1).otherwise(0))
+    rest = right.where(cold).select(*keys, F.lit(0).cast("bigint").alias("_by"), F.struct(F.lit(True).alias("_on"), *values).alias("_cold"))
+    out = out.join(rest, [*keys, "_by"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return out.select(*left.columns, *[F.col("_found").getField(v).alias(v) for v in values])
+
+
 def no_rows(df: DataFrame) -> bool:
     return not df.take(1)
 
