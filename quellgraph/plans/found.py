@@ -116,13 +116,13 @@ def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent(files, drift.changes(files)).select("feed", "file_id", "family", "version", "fingerprint", "values")
 
 
-@query()
+@query(sql.P6)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = same_records.same_records(table(spark, sf_dir, "role_statements"), "record_id", "family", "raw_text")
     return same.where("id != first_id").select("first_id", F.col("id").alias("copy_id"))
 
 
-@query()
+@query(sql.P6_DISTINCT)
 def p6_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_records.distinct_records(table(spark, sf_dir, "role_statements"), "record_id", "family", "raw_text").withColumnRenamed("part", "family")
 

@@ -48,3 +48,22 @@ P4 = f"""WITH RECURSIVE {RESOURCES}, t AS (SELECT topology_type AS v FROM model_
 P4_STATES = f"""WITH RECURSIVE {RESOURCES}, t AS (SELECT * FROM model_history WHERE topology_type IS NOT NULL)
     SELECT 'topology_type' AS field_name, topology_type AS key_value, count(*) AS n_rows, round(count(*) / (SELECT count(*) FROM t)::DOUBLE, 9) AS share, round(avg(precision_score), 6) AS avg_precision_score, round(avg(recall_score), 6) AS avg_recall_score, round(avg(f1_score), 6) AS avg_f1_score FROM t GROUP BY topology_type
     UNION ALL SELECT 'Resource', v, count(*), round(count(*) / (SELECT count(*) FROM res)::DOUBLE, 9), NULL, NULL, NULL FROM res GROUP BY v"""
+
+# Statements in their four notations, as sorted lists of name and values reduced to letters and digits.
+P6_TEXTS = rf"""
+    texts AS (SELECT record_id, family, {sql_trim('raw_text')} AS t FROM role_statements WHERE raw_text IS NOT NULL),
+    kinds AS (SELECT *, CASE WHEN starts_with(t, '{{') THEN 'json' WHEN regexp_matches(t, '^[^\n=\[]+=\[') THEN 'bar' WHEN regexp_matches(t, '^[^\n:=]+ =') THEN 'line' ELSE 'tree' END AS kind FROM texts),
+    js AS (SELECT record_id, family, (CASE WHEN json_valid(o) THEN o ELSE replace(o, '''', '"') END)::JSON AS j FROM (SELECT record_id, family, regexp_extract(t, '(?s)^\{{.*\}}') AS o FROM kinds WHERE kind = 'json')),
+    js_fields AS (SELECT record_id, family, k, json_extract(j, '$."' || k || '"') AS v FROM (SELECT record_id, family, j, unnest(json_keys(j)) AS k FROM js)),
+    fields AS (
+        SELECT record_id, family, k AS name, CASE json_type(v) WHEN 'ARRAY' THEN list_transform(v::JSON[], lambda x: json_extract_string(x, '$')) ELSE [json_extract_string(v, '$')] END AS vals FROM js_fields
+        UNION ALL SELECT record_id, family, split_part(s, '=[', 1), list_filter(string_split(regexp_extract(s, '(?s)=\[(.*)\]\s*$', 1), ','), lambda x: trim(x) <> '') FROM (SELECT record_id, family, unnest(regexp_split_to_array(t, '\s\|\s')) AS s FROM kinds WHERE kind = 'bar')
+        UNION ALL SELECT record_id, family, split_part(s, '=', 1), string_split(substr(s, strpos(s, '=') + 1), ',') FROM (SELECT record_id, family, unnest(regexp_split_to_array(t, '\r?\n')) AS s FROM kinds WHERE kind = 'line') WHERE contains(s, '=')
+        UNION ALL SELECT record_id, family, split_part(s, ':', 1), CASE WHEN regexp_matches(s, '\n[ \t]*-') THEN regexp_split_to_array(s, '\n[ \t]*-')[2:] ELSE [substr(s, strpos(s, ':') + 1)] END
+            FROM (SELECT record_id, family, unnest(regexp_extract_all(t, '(?m)^[^\s:\-][^:\n]*:[ \t]*[^\n]*(?:\n[ \t]*-[^\n]*)*')) AS s FROM kinds WHERE kind = 'tree')
+    ),
+    plain AS (SELECT record_id, family, array_to_string(list_transform(list_prepend(name, vals), lambda x: lower(regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g'))), chr(31)) AS pair FROM fields),
+    whole AS (SELECT record_id, family, list_sort(list(pair)) AS content FROM plain GROUP BY 1, 2),
+    firsts AS (SELECT record_id, family, min(record_id) OVER (PARTITION BY family, content) AS first_id FROM whole)"""
+P6 = f"WITH {P6_TEXTS} SELECT first_id, record_id AS copy_id FROM firsts WHERE record_id <> first_id"
+P6_DISTINCT = f"WITH {P6_TEXTS} SELECT family, first_id, count(*) AS copies FROM firsts GROUP BY 1, 2"
