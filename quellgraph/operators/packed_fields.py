@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -133,56 +134,93 @@ class Splitter:
         return [((d, q), *self.priced(body, (d, q), present)) for d in delims for q in (*quotes, "")]
 
 
-_PARSES = "h1 bigint, h2 bigint, n bigint, parses int, rank int, dialect int, extra double, shapes array<struct<h:bigint,size:int,k:int>>"
-_SHAPES = pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("k", pa.int32())]))
+#: Shapes up to which the code book is sent to the tasks, 16 bytes each. A larger one is joined, with the same result.
+BOOK_ROWS = 500_000
+_SHAPES = "array<struct<h:bigint,size:int,k:int>>"
+_CANDIDATES = pa.list_(pa.struct([("dialect", pa.int32()), ("extra", pa.float64()), ("shapes", pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("k", pa.int32())])))]))
 
 
 def parses(skeletons: DataFrame, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES) -> DataFrame:
-    """One row per candidate parse of each of ``skeletons`` (h1, h2, skeleton, n); none for blank ones."""
+    """``(h1, h2, n, candidates)``: all candidate parses of each of ``skeletons`` (h1, h2, skeleton, n); no row for blank ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(delimiters, quotes)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            take, rows = [], []
             for i, raw in enumerate(batch.column(2).to_pylist()):
                 body = splitter.body(raw)
-                found = splitter.candidates(body) if body else ()
-                for rank, (dialect, values, extra) in enumerate(found):
-                    shapes = Counter(map(splitter.shape, values))
-                    for column, x in zip(rows, (i, len(found), rank, splitter.number[dialect], extra, [{"h": h, "size": size, "k": k} for (h, size), k in shapes.items()]), strict=True):
-                        column.append(x)
-            take = pa.array(rows[0], pa.int64())
-            kept = [batch.column(c).take(take) for c in (0, 1, 3)]
-            made = [pa.array(r, t) for r, t in zip(rows[1:], (pa.int32(), pa.int32(), pa.int32(), pa.float64(), _SHAPES), strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], ["h1", "h2", "n", "parses", "rank", "dialect", "extra", "shapes"])
-
-    return skeletons.mapInArrow(run, _PARSES)
-
-
-def code_lengths(found: DataFrame, share) -> DataFrame:
-    """``(h, weight, bits, unseen)`` per shape: its code length, and that of a shape that isn't in the book but for its spelling.
-
-    ``share`` is what a parse counts for. An entry has to be spelt out once; its uses share that."""
-    uses = found.select(F.inline("shapes"), (F.col("n") * share).alias("w"))
-    book = uses.groupBy("h").agg(F.sum(F.col("k") * F.col("w")).alias("weight"), F.max("size").alias("size"))
-    book = written(book)
-    total = book.agg(F.sum("weight")).scalar() + 0.5
-    return book.select("h", "weight", (-F.log2(F.col("weight") / total) + SPELL_BITS * F.col("size") / F.col("weight")).alias("bits"), (-F.log2(0.5 / total)).alias("unseen"))
-
-
-def cheapest(found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``(h1, h2, rank)``: the cheapest parse of each skeleton. Prices are compared to 1/1024 bit, so that the order of adding doesn't matter."""
-    open_ = found.where("parses > 1").select("h1", "h2", "rank", "extra", "n", F.explode_outer("shapes").alias("s")).select("h1", "h2", "rank", "extra", "n", "s.*")
-    unseen = F.coalesce(lengths.agg(F.max("unseen")).scalar(), F.lit(0.0))
-    priced = spread_join(open_, lengths.select("h", "weight", "bits"), ["h"], "weight", F.xxhash64("h1", "rank"))
+                if body:
+                    take.append(i)
+                    rows.append([{"dialect": splitter.number[d], "extra": extra, "shapes": [{"h": h, "size": z, "k": k} for (h, z), k in Counter(map(splitter.shape, values)).items()]} for d, values, extra in splitter.candidates(body)])
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in (0, 1, 3)], pa.array(rows, _CANDIDATES)], ["h1", "h2", "n", "candidates"])
+
+    return skeletons.mapInArrow(run, f"h1 bigint, h2 bigint, n bigint, candidates array<struct<dialect:int,extra:double,shapes:{_SHAPES}>>")
+
+
+def code_book(uses: DataFrame) -> tuple[DataFrame, float, int]:
+    """``(h, weight, bits)`` per shape of ``uses`` (h, size, weight), the bits of a shape that isn't there but for its spelling, and the number of shapes.
+
+    An entry has to be spelt out once; its uses share that."""
+    book = written(uses.groupBy("h").agg(F.sum("weight").alias("weight"), F.max("size").alias("size")))
+    n, total = book.agg(F.count("*"), F.sum("weight")).first()
+    total = (total or 0.0) + 0.5
+    return book.select("h", "weight", (-F.log2(F.col("weight") / total) + SPELL_BITS * F.col("size") / F.col("weight")).alias("bits")), math.log2(total / 0.5), n
+
+
+def _cost(c: float | np.ndarray) -> np.ndarray:
+    """Prices to 1/1024 bit, so that the order of adding doesn't matter."""
+    return np.floor(c * 1024 + 0.5).astype(np.int64)
+
+
+def cheapest(found: DataFrame, book: tuple[DataFrame, float, int], book_rows: int = BOOK_ROWS) -> DataFrame:
+    """``(h1, h2, n, dialect, shapes)``: the cheapest parse of each skeleton, the first among equals."""
+    lengths, unseen, n_shapes = book
+    schema = f"h1 bigint, h2 bigint, n bigint, dialect int, shapes {_SHAPES}"
+    if n_shapes > book_rows:
+        return _cheapest_joined(found, lengths, unseen)
+    known = lengths.select("h", "bits").orderBy("h").toArrow()
+    hashes, bits = known.column("h").to_numpy(), known.column("bits").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cands = batch.column(3)
+            flat = cands.flatten()
+            shapes, extra = flat.field("shapes"), flat.field("extra").to_numpy()
+            each = shapes.flatten()
+            h, size, k = (each.field(c).to_numpy() for c in ("h", "size", "k"))
+            price = unseen + SPELL_BITS * size
+            if len(hashes) and len(h):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                price = np.where(hashes[at] == h, bits[at], price)
+            sums = np.concatenate([[0.0], np.cumsum(k * price)]) if len(h) else np.zeros(1)
+            ends = np.cumsum(shapes.value_lengths().to_numpy()) if len(flat) else np.zeros(0, np.int64)
+            starts = ends - shapes.value_lengths().to_numpy() if len(flat) else ends
+            rows = cands.value_lengths().to_numpy()
+            first = np.cumsum(rows) - rows
+            # Sums of few terms, taken apart from a running sum: rounded like the others to 1/1024 bit.
+            cost = _cost(sums[ends] - sums[starts] + extra) if len(flat) else np.zeros(0, np.int64)
+            rank = np.arange(len(cost)) - np.repeat(first, rows)
+            key = cost * 64 + rank
+            best = first + (np.minimum.reduceat(key, first) % 64 if len(key) else 0)
+            picked = flat.take(pa.array(best))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (0, 1, 2)], picked.field("dialect"), picked.field("shapes")], ["h1", "h2", "n", "dialect", "shapes"])
+
+    return found.mapInArrow(run, schema)
+
+
+def _cheapest_joined(found: DataFrame, lengths: DataFrame, unseen: float) -> DataFrame:
+    """:func:`cheapest` for code books of any size."""
+    each = found.select("h1", "h2", F.posexplode("candidates").alias("rank", "c")).select("h1", "h2", "rank", "c.extra", F.explode_outer("c.shapes").alias("s")).select("h1", "h2", "rank", "extra", "s.*")
+    priced = spread_join(each, lengths, ["h"], "weight", F.xxhash64("h1", "rank"))
     bits = F.coalesce(F.col("k") * F.coalesce(F.col("bits"), unseen + SPELL_BITS * F.col("size")), F.lit(0.0))
     cost = priced.groupBy("h1", "h2", "rank").agg((F.sum(bits) + F.max("extra")).alias("cost"))
-    best = cost.groupBy("h1", "h2").agg(F.min(F.round(F.col("cost") * 1024).cast("bigint") * 64 + F.col("rank")).alias("b"))
-    chosen = best.select("h1", "h2", F.pmod("b", F.lit(64)).cast("int").alias("rank"))
-    return chosen.unionByName(found.where("parses = 1").select("h1", "h2", "rank"))
+    best = cost.groupBy("h1", "h2").agg(F.min(F.floor(F.col("cost") * 1024 + 0.5) * 64 + F.col("rank")).alias("b"))
+    picked = found.join(best, ["h1", "h2"]).withColumn("c", F.get("candidates", F.pmod("b", F.lit(64)).cast("int")))
+    return picked.select("h1", "h2", "n", "c.dialect", "c.shapes")
 
 
-def split_packed(df: DataFrame, id_col: str, fields: list[str], *, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES, rounds: int = 2) -> DataFrame:
+def split_packed(df: DataFrame, id_col: str, fields: list[str], *, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES, rounds: int = 2, book_rows: int = BOOK_ROWS) -> DataFrame:
     """One row ``(id, field_name, pos, value, dialect)`` for each value packed in ``fields``.
 
     ``pos`` counts the values of a field from 1. Values are bare: unquoted, unescaped, trimmed. Null and blank fields and
@@ -195,12 +233,13 @@ def split_packed(df: DataFrame, id_col: str, fields: list[str], *, delimiters: t
     hashes = [F.xxhash64("skeleton").alias("h1"), F.xxhash64(F.lit(7), "skeleton").alias("h2")]
     skeletons = packed.groupBy("skeleton").agg(F.count("*").alias("n")).select(*hashes, "skeleton", "n")
     found = written(parses(skeletons, delimiters, quotes))
-    chosen: DataFrame | None = None
+    share = F.col("n") / F.size("candidates")
+    uses = found.select(F.inline(F.flatten(F.transform("candidates", lambda c: c["shapes"]))), share.alias("w"))
+    chosen = found
     for _ in range(rounds):
-        counted, share = (found, 1 / F.col("parses")) if chosen is None else (found.join(chosen, ["h1", "h2", "rank"], "left_semi"), F.lit(1.0))
-        chosen = written(cheapest(found, code_lengths(counted, share)))
-    dialects = found.join(chosen, ["h1", "h2", "rank"], "left_semi").select("h1", "h2", "dialect", "n")
-    named = spread_join(packed.select("id", "field_name", "raw", *hashes), dialects, ["h1", "h2"], "n", F.xxhash64("id", "field_name")).select("id", "field_name", "raw", "dialect")
+        chosen = written(cheapest(found, code_book(uses.select("h", "size", (F.col("k") * F.col("w")).alias("weight"))), book_rows))
+        uses = chosen.select(F.inline("shapes"), F.col("n").alias("w"))
+    named = spread_join(packed.select("id", "field_name", "raw", *hashes), chosen.select("h1", "h2", "dialect", "n"), ["h1", "h2"], "n", F.xxhash64("id", "field_name")).select("id", "field_name", "raw", "dialect")
     id_type = packed.schema["id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
