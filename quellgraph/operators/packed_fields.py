@@ -28,7 +28,7 @@ from quellgraph.runtime import spread_join, written
 DELIMITERS = (",", ";", "|", "\t", "\n", " ", "；", "，", "、")
 QUOTES = ('"', "'")
 BRACKETS = {"[": "]", "{": "}", "(": ")"}
-SPELL_BITS, CACHE = 6.0, 100_000
+SPELL_BITS = 6.0
 
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", re.S)
@@ -65,7 +65,6 @@ class Splitter:
         self.names = [json.dumps(["any" if d == self.any else d, q], ensure_ascii=False) for d, q in self.dialects]
         self.every = re.compile("[" + "".join(r"\s" if c == "\x00" else re.escape(c) for c in self.any) + "]")
         self.runs = re.compile(f"[{''.join(re.escape(c) for c in delimiters)}\\s]+")
-        self.shapes: dict[str, tuple[int, int]] = {}
 
     def body(self, raw: str) -> str:
         s = raw.strip()
@@ -95,14 +94,13 @@ class Splitter:
 
     def priced(self, body: str, dialect: tuple[str, str], present: str) -> tuple[list[str], float]:
         """The values, and the bits of what isn't in their shapes: delimiters that stay inside unquoted values, and which delimiter stands at each boundary."""
-        quote, extra = dialect[1], 0.0
-        if not quote:
-            out = inside = self.bare(body, dialect[0])
-        else:
-            out, inside = self.values(body, dialect), [b for _, b in self.patterns[dialect].findall(body) if b]
-        if dialect[0] != self.any:
-            extra = SPELL_BITS * sum(v.strip().count(d) for v in inside for d in present)
-        elif len(out) > 1:
+        delim, quote = dialect
+        out = self.values(body, dialect)
+        if delim != self.any:
+            inside = "\0".join([b for _, b in self.patterns[dialect].findall(body) if b] if quote else out)
+            return out, SPELL_BITS * sum(inside.count(d) for d in present if d != delim)
+        extra = 0.0
+        if len(out) > 1:
             kinds = self.kinds(body)
             for v in out if quote else ():
                 if any(d in v for d in present):
@@ -114,16 +112,6 @@ class Splitter:
     def kinds(self, s: str) -> Counter[str]:
         return Counter(run.strip()[:1] or run[0] for run in self.runs.findall(s))
 
-    def shape(self, v: str) -> tuple[int, int]:
-        """A hash of the value's shape, and the shape's length."""
-        s = self.shapes.get(v)
-        if s is None:
-            if len(self.shapes) >= CACHE:
-                self.shapes.clear()
-            w = _WORD.sub("w", v)
-            s = self.shapes[v] = (xxhash.xxh64_intdigest(w) - (1 << 63), len(w))
-        return s
-
     def candidates(self, body: str) -> list[tuple[tuple[str, str], list[str], float]]:
         """All parses. At equal price the first is taken: any delimiter, one, none; quoted before not."""
         present = "".join(d for d in self.delimiters if d in body)
@@ -137,7 +125,6 @@ class Splitter:
 #: Shapes up to which the code book is sent to the tasks, 16 bytes each. A larger one is joined, with the same result.
 BOOK_ROWS = 500_000
 _SHAPES = "array<struct<h:bigint,size:int,k:int>>"
-_CANDIDATES = pa.list_(pa.struct([("dialect", pa.int32()), ("extra", pa.float64()), ("shapes", pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("k", pa.int32())])))]))
 
 
 def parses(skeletons: DataFrame, delimiters: tuple[str, ...] = DELIMITERS, quotes: tuple[str, ...] = QUOTES) -> DataFrame:
@@ -145,15 +132,29 @@ def parses(skeletons: DataFrame, delimiters: tuple[str, ...] = DELIMITERS, quote
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(delimiters, quotes)
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            take, rows = [], []
+            take, dialects, extras, h, size, k = [], [], [], [], [], []
+            parses_end, shapes_end = [0], [0]
             for i, raw in enumerate(batch.column(2).to_pylist()):
                 body = splitter.body(raw)
-                if body:
-                    take.append(i)
-                    rows.append([{"dialect": splitter.number[d], "extra": extra, "shapes": [{"h": h, "size": z, "k": k} for (h, z), k in Counter(map(splitter.shape, values)).items()]} for d, values, extra in splitter.candidates(body)])
+                if not body:
+                    continue
+                take.append(i)
+                for dialect, values, extra in splitter.candidates(body):
+                    for v, times in Counter(values).items():
+                        v = _WORD.sub("w", v) if "ww" in v else v
+                        h.append(digest(v) - (1 << 63))
+                        size.append(len(v))
+                        k.append(times)
+                    dialects.append(splitter.number[dialect])
+                    extras.append(extra)
+                    shapes_end.append(len(h))
+                parses_end.append(len(dialects))
+            shapes = pa.ListArray.from_arrays(pa.array(shapes_end, pa.int32()), pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(size, pa.int32()), pa.array(k, pa.int32())], ["h", "size", "k"]))
+            found = pa.StructArray.from_arrays([pa.array(dialects, pa.int32()), pa.array(extras, pa.float64()), shapes], ["dialect", "extra", "shapes"])
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in (0, 1, 3)], pa.array(rows, _CANDIDATES)], ["h1", "h2", "n", "candidates"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in (0, 1, 3)], pa.ListArray.from_arrays(pa.array(parses_end, pa.int32()), found)], ["h1", "h2", "n", "candidates"])
 
     return skeletons.mapInArrow(run, f"h1 bigint, h2 bigint, n bigint, candidates array<struct<dialect:int,extra:double,shapes:{_SHAPES}>>")
 
