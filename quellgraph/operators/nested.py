@@ -95,3 +95,14 @@ def policies(dumps: DataFrame, keys: list[str], dump: str = "dump") -> DataFrame
     lists = _with_bodies(dumps, keys, dump)
     rows = F.transform(as_list(F.col("_policies"), "struct<Arn:string>"), lambda p, i: F.struct((i + 1).alias("policy_pos"), trimmed(p["Arn"]).alias("policy_arn")))
     return lists.select(*[F.col(f"_{k}").alias(k) for k in keys], F.inline(rows))
+
+
+def policy_arns(dumps: DataFrame, keys: list[str], dump: str = "dump") -> DataFrame:
+    """``(*keys, listed, policy_arn)``: the policies that a dump attaches to its entities (not listed), and those that it lists itself, in one
+    parse. Repeated ones stay repeated; absent and null Arns give an empty string or null."""
+    lists = _with_bodies(dumps, keys, dump)
+    attached = [F.coalesce(F.flatten(F.transform(x, lambda e: F.coalesce(_items(e, "AttachedManagedPolicies"), F.array()))), F.array()) for x in ENTITY_LISTS]
+    own = F.coalesce(F.transform(as_list(F.col("_policies"), "struct<Arn:string>"), lambda p: trimmed(p["Arn"])), F.array())
+    row = lambda listed: lambda a: F.struct(F.lit(listed).alias("listed"), a.alias("policy_arn"))
+    rows = F.concat(F.transform(F.flatten(F.array(*attached)), row(False)), F.transform(own, row(True)))
+    return lists.select(*[F.col(f"_{k}").alias(k) for k in keys], F.inline(rows))

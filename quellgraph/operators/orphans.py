@@ -1,13 +1,16 @@
 """References to records that do not exist: as-of matching against contiguous runs of integer parent keys.
 
-A parent side says, per key, at which integers it exists: single integers (row numbers, versions, instants) or half-open
-spans of them. Sorted by integer, these compress into runs without a gap. A reference is an integer too. It belongs to
-the last run that starts at or before it and is sound if it lies before that run's end; else it is an orphan, and whether
-some run starts before it, after it only, or nowhere says why.
-
-Both sides travel once, as one stream of events that is sorted by key and integer. Keys with more than ``hot_rows`` events
-are cut into slices of the integer axis, so that no key, however large, is sorted by one task. Runs are cut at the slice
-borders, which leaves every answer as it was.
+Keys are numbered first: the distinct keys of both sides, in sorted order, get gapless integers, and from there on only integers
+travel. A parent side says at which integers of an axis each key exists: single integers (row numbers, versions) or half-open
+spans of them (microseconds). Sorted, these compress into contiguous runs, overlapping and touching ones joined, so that of a
+parent delivered a thousand times one run is left. A reference is an integer on the same axis. It belongs to the last run that
+starts at or before it and is sound if it lies before that run's end; else it is an orphan, and whether some run starts before
+it, after it only, or nowhere says why.
+
+Runs and references meet as one stream of events, sorted by key and integer. Keys with more than ``hot_rows`` events are cut into
+slices of the integer axis, and slices that hold too many references to one integer are dealt to several tasks, with a copy of
+the slice's runs each; so no key, however large, is sorted by one task. Runs are cut at the slice borders, which leaves every
+answer as it was.
 """
 
 from __future__ import annotations
@@ -15,88 +18,106 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Events of one key that one task may sort. At most total / HOT_ROWS keys can be above it.
-HOT_ROWS = 2_000_000
+from quellgraph.runtime import global_index, spread_join, written
+
+#: Events of one key that one task may sort, unless 1 / MOST_HOT of all events is more. At most MOST_HOT keys can be above it.
+HOT_ROWS, MOST_HOT = 2_000_000, 4096
 FOREVER = (1 << 63) - 1
 
 
-def integer_spans(df: DataFrame, key: str) -> DataFrame:
-    """Integer keys as spans of length one, for parents that exist at single integers."""
-    return df.select(F.col(key).alias("span_start"), (F.col(key) + 1).alias("span_end"))
+def number_keys(sides: list[DataFrame], keys: list[str]) -> DataFrame:
+    """``(*keys, key, load)``: the distinct keys of ``sides`` without nulls, numbered from 0 in sorted order, and how many rows have each."""
+    rows = sides[0].select(*keys)
+    for more in sides[1:]:
+        rows = rows.unionByName(more.select(*keys))
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("load"))
+    return written(global_index(counts, keys, "key"))
 
 
-def _keyed(df: DataFrame, keys: list[str], start: str, end: str | None, rest: list[str]) -> DataFrame:
-    cols = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    a = F.col(start).cast("bigint")
-    b = F.coalesce(F.col(end).cast("bigint"), F.lit(FOREVER)) if end else a
-    return df.select(*cols, a.alias("_a"), b.alias("_b"), *[F.col(c) for c in rest])
+def with_number(df: DataFrame, numbers: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the number ``key`` of its ``keys``; null where one of them is null."""
+    return spread_join(df, numbers, keys, "load", F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]))
 
 
-def compress_runs(parents: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """The contiguous runs ``(*keys, run_start, run_end)`` of half-open spans, overlapping and touching ones joined.
+def compress_runs(spans: DataFrame, by: list[str]) -> DataFrame:
+    """The contiguous runs ``(*by, a, b, first)`` of half-open integer spans ``(*by, a, b, first)``; ``first`` is the smallest of a run's spans."""
+    w = Window.partitionBy(*by).orderBy("a", "b")
+    before = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("_new", F.when(before.isNull() | (before < F.col("a")), F.col("a")))
+    run = begun.withColumn("_run", F.last("_new", ignorenulls=True).over(w))
+    return run.groupBy(*by, F.col("_run").alias("a")).agg(F.max("b").alias("b"), F.min("first").alias("first")).select(*by, "a", "b", "first")
 
-    Spans with a null key or start, or that don't last, are left out; a null end never ends. Repeated spans change nothing.
-    """
-    spans = _keyed(parents, keys, start, end, []).where("_a is not null and _b > _a").distinct()
-    ks = [f"_k{i}" for i in range(len(keys))]
-    spans = spans.dropna(subset=ks) if ks else spans
-    by = Window.partitionBy(*ks).orderBy("_a", "_b")
-    before = F.max("_b").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    begun = spans.withColumn("_new", F.when(before.isNull() | (before < F.col("_a")), F.col("_a")))
-    run = begun.withColumn("_run", F.last("_new", ignorenulls=True).over(by))
-    runs = run.groupBy(*ks, "_run").agg(F.max("_b").alias("run_end"))
-    return runs.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_run").alias("run_start"), "run_end")
-
-
-def match_runs(refs: DataFrame, ref_keys: list[str], at: str, parents: DataFrame, parent_keys: list[str], start: str, end: str, *, hot_rows: int = HOT_ROWS, prefix: str = "") -> DataFrame:
+
+def _slices(events: DataFrame, hot_rows: int) -> DataFrame | None:
+    """``(key, cuts)`` of the keys with too many events; None if there are none. Counted map-side, one row per key."""
+    counts = events.groupBy("key").agg(F.count("*").alias("n"))
+    limit = F.greatest(F.lit(hot_rows), counts.agg(F.sum("n")).scalar() / MOST_HOT)
+    heavy = [(r["key"], r["n"]) for r in counts.where(F.col("n") > limit).collect()]
+    if not heavy:
+        return None
+    spark = events.sparkSession
+    parts = max(2, -(-max(n for _, n in heavy) // hot_rows))
+    at = ", ".join(str(i / parts) for i in range(1, parts))
+    named = events.join(F.broadcast(spark.createDataFrame([(k,) for k, _ in heavy], "key bigint")), "key")
+    cuts = named.groupBy("key").agg(F.sort_array(F.array_distinct(F.expr(f"percentile_approx(a, array({at}), 10000)"))).alias("cuts"))
+    return spark.createDataFrame(cuts.collect(), "key bigint, cuts array<bigint>")  # as many rows as heavy keys
+
+
+def match_runs(
+    refs: DataFrame, ref_keys: list[str], at: str, parents: DataFrame, parent_keys: list[str], start: str, end: str | None, *, hot_rows: int = HOT_ROWS, prefix: str = ""
+) -> DataFrame:
     """``refs`` with ``run_start``, ``run_end`` of the run that starts last at or before ``at``, and ``first_start`` of the key.
 
-    Null where there is none. References with a null key or integer match nothing. Repeated references stay repeated;
-    repeated spans change nothing. Columns of ``parents`` other than those named don't matter, nor whether names clash.
+    Null where there is none. Parents exist from ``start`` up to but not including ``end``, for ever where it is null, or at
+    ``start`` only if ``end`` is None. Spans with a null key or start, or that don't last, don't count. References with a null
+    key or integer match nothing. Repeated references stay repeated; repeated spans change nothing. Columns of ``parents``
+    other than those named don't matter, nor whether names clash. ``refs`` should be a stored table, as it is read twice.
     """
     rest = refs.columns
     ks = [f"_k{i}" for i in range(len(ref_keys))]
-    left = _keyed(refs.select(F.struct("*").alias("_row"), *[F.col(k).alias(f"_x{i}") for i, k in enumerate(ref_keys)], F.col(at).alias("_t")), [f"_x{i}" for i in range(len(ref_keys))], "_t", None, ["_row"])
-    spans = _keyed(parents, parent_keys, start, end, []).where("_a is not null and _b > _a").dropna(subset=ks).distinct()
-    # Slices for keys with more events than one task should sort. Counting needs one row per key and map-side state only.
-    load = left.select(*ks, "_a").unionByName(spans.select(*ks, "_a")).where(" and ".join(f"{k} is not null" for k in ks))
-    heavy = load.groupBy(*ks).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    heavy = {tuple(r[k] for k in ks): r["_n"] for r in heavy.collect()}
-    if heavy:
-        spark = refs.sparkSession
-        names = spark.createDataFrame([(*k, n) for k, n in heavy.items()], load.select(*ks).withColumn("_n", F.lit(0).cast("bigint")).schema)
-        parts = max(2, -(-max(heavy.values()) // hot_rows))
-        cuts = load.join(F.broadcast(names), ks).groupBy(*ks).agg(F.expr(f"percentile_approx(_a, array({', '.join(str(i / parts) for i in range(1, parts))}), 10000)").alias("_cuts"))
-        cuts = spark.createDataFrame(cuts.collect(), cuts.schema)  # as many rows as heavy keys
-        slice_of = lambda c: F.coalesce(F.size(F.filter("_cuts", lambda x: x <= c)), F.lit(0))
-        left = left.join(F.broadcast(cuts), ks, "left").withColumn("_s", slice_of(F.col("_a"))).drop("_cuts")
-        wide = spans.join(F.broadcast(cuts), ks, "left").withColumn("_s", F.explode(F.sequence(slice_of(F.col("_a")), slice_of(F.col("_b") - 1))))
-        wide = wide.withColumn("_low", F.when(F.col("_s") > 0, F.element_at("_cuts", F.col("_s")))).withColumn("_high", F.element_at("_cuts", F.least(F.col("_s") + 1, F.size("_cuts"))))
-        last = F.col("_s") >= F.coalesce(F.size("_cuts"), F.lit(0))
-        spans_in = wide.select(*ks, "_s", F.greatest("_a", F.coalesce("_low", "_a")).alias("_a"), F.when(last, F.col("_b")).otherwise(F.least("_b", "_high")).alias("_b"), F.col("_a").alias("_first"))
-        # Every slice of a cut key learns the key's first start, and the run that ended before it.
-        marks = spans.join(F.broadcast(cuts), ks).withColumn("_s", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
-        marks = marks.withColumn("_low", F.when(F.col("_s") > 0, F.element_at("_cuts", F.col("_s"))))
-        marks = marks.groupBy(*ks, "_s").agg(F.min("_a").alias("_first"), F.max(F.when(F.col("_a") < F.col("_low"), F.struct(F.least("_b", "_low").alias("b"), F.col("_a").alias("a")))).alias("_p"))
-        marks = marks.select(*ks, "_s", F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"), "_first")
-        spans_in = spans_in.unionByName(marks)
+    a = F.col(start).cast("bigint")
+    b = a + 1 if end is None else F.coalesce(F.col(end).cast("bigint"), F.lit(FOREVER))
+    spans = parents.select(*[F.col(k).alias(n) for k, n in zip(parent_keys, ks, strict=True)], a.alias("a"), b.alias("b")).where("a is not null and b > a").dropna(subset=ks).distinct()
+    rows = refs.select(*[F.col(k).alias(n) for k, n in zip(ref_keys, ks, strict=True)], F.col(at).cast("bigint").alias("a"), F.struct("*").alias("row"))
+    spans = written(spans)
+    numbers = number_keys([rows, spans], ks)
+    left = written(with_number(rows, numbers, ks).select("key", "a", "row"))
+    spans = with_number(spans, numbers, ks).select("key", "a", "b", F.col("a").alias("first"))
+    cuts = _slices(left.where("key is not null and a is not null").select("key", "a").unionByName(spans.select("key", "a")), hot_rows)
+    if cuts is None:
+        left, runs = left.withColumn("s", F.lit(0)).withColumn("p", F.lit(0)), compress_runs(spans.withColumn("s", F.lit(0)), ["key", "s"]).withColumn("p", F.lit(0))
     else:
-        left = left.withColumn("_s", F.lit(0))
-        spans_in = spans.withColumn("_s", F.lit(0)).withColumn("_first", F.col("_a"))
-    none = F.lit(None).cast(left.schema["_row"].dataType)
+        left, runs = _sliced(left, spans, F.broadcast(cuts), hot_rows)
+    none = F.lit(None).cast(left.schema["row"].dataType)
     null = F.lit(None).cast("bigint")
-    missing = " or ".join(f"{k} is null" for k in ks) + " or _a is null"
-    events = spans_in.select(*ks, "_s", "_a", "_b", "_first", F.lit(0).alias("_kind"), none.alias("_row"))
-    events = events.unionByName(left.where(f"not ({missing})").select(*ks, "_s", "_a", null.alias("_b"), null.alias("_first"), F.lit(1).alias("_kind"), "_row"))
-    by = Window.partitionBy(*ks, "_s").orderBy("_a", "_kind")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = F.max("_b").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    begun = events.withColumn("_new", F.when((F.col("_kind") == 0) & (reach.isNull() | (reach < F.col("_a"))), F.col("_a")))
-    run = begun.select(
-        "_row", "_kind", F.last("_new", ignorenulls=True).over(upto).alias("_rs"), F.max("_b").over(upto).alias("_re"), F.min("_first").over(Window.partitionBy(*ks, "_s")).alias("_fs")
-    ).where("_kind = 1")
-    out = run.select("_row", "_rs", "_re", "_fs").unionByName(left.where(missing).select("_row", null.alias("_rs"), null.alias("_re"), null.alias("_fs")))
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in rest], F.col("_rs").alias(f"{prefix}run_start"), F.col("_re").alias(f"{prefix}run_end"), F.col("_fs").alias(f"{prefix}first_start"))
+    by = ["key", "s", "p"]
+    events = runs.select(*by, "a", "b", "first", F.lit(0).alias("kind"), none.alias("row"))
+    events = events.unionByName(left.where("key is not null and a is not null").select(*by, "a", null.alias("b"), null.alias("first"), F.lit(1).alias("kind"), "row"))
+    w = Window.partitionBy(*by).orderBy("a", "kind")
+    last = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = events.select("row", "kind", last(F.when(F.col("kind") == 0, F.col("a"))).alias("rs"), last("b").alias("re"), F.min("first").over(Window.partitionBy(*by)).alias("fs")).where("kind = 1").drop("kind")
+    out = run.unionByName(left.where("key is null or a is null").select("row", null.alias("rs"), null.alias("re"), null.alias("fs")))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("rs").alias(f"{prefix}run_start"), F.col("re").alias(f"{prefix}run_end"), F.col("fs").alias(f"{prefix}first_start"))
+
+
+def _sliced(left: DataFrame, spans: DataFrame, cuts: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """References and runs with their slice ``s`` and part ``p``. Every slice of a cut key also learns the key's first start, and the
+    last run that ended before the slice."""
+    slice_of = lambda c: F.coalesce(F.size(F.filter("cuts", lambda x: x <= c)), F.lit(0))
+    low = F.when(F.col("s") > 0, F.get("cuts", F.col("s") - 1))
+    placed = left.join(cuts, "key", "left").withColumn("s", slice_of(F.col("a")))
+    crowd = placed.where("cuts is not null").groupBy("key", "s").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("parts")).where("parts > 1")
+    crowd = F.broadcast(left.sparkSession.createDataFrame(crowd.collect(), "key bigint, s int, parts int"))  # at most events / hot_rows rows
+    deal = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.to_json("row")), F.col("parts"))).otherwise(0).cast("int")
+    placed = placed.join(crowd, ["key", "s"], "left").select("key", "a", "row", "s", deal.alias("p"))
+    wide = spans.join(cuts, "key", "left").withColumn("s", F.explode(F.sequence(slice_of(F.col("a")), slice_of(F.col("b") - 1))))
+    high = F.coalesce(F.get("cuts", "s"), F.lit(FOREVER))
+    runs = compress_runs(wide.select("key", "s", F.greatest("a", low).alias("a"), F.least("b", high).alias("b"), "first"), ["key", "s"])
+    marks = spans.join(cuts, "key").withColumn("s", F.explode(F.sequence(F.lit(0), F.size("cuts")))).withColumn("low", low)
+    marks = marks.groupBy("key", "s").agg(F.min("a").alias("first"), F.max(F.when(F.col("a") < F.col("low"), F.struct(F.least("b", "low").alias("b"), F.col("a").alias("a")))).alias("m"))
+    runs = runs.unionByName(marks.select("key", "s", F.col("m.a").alias("a"), F.col("m.b").alias("b"), "first"))
+    dealt = runs.join(crowd, ["key", "s"], "left").withColumn("p", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return placed, dealt.select("key", "s", "p", "a", "b", "first")
 
 
 def orphan_reason(at: str, prefix: str = "") -> F.Column:

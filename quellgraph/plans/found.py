@@ -9,7 +9,7 @@ from quellgraph.operators import drift, key_states, nested, orphans, packed_fiel
 from quellgraph.operators.json_walk import fields_of
 from quellgraph.plans import found_sql as sql
 from quellgraph.plans.registry import query
-from quellgraph.runtime import table, trimmed
+from quellgraph.runtime import global_index, table, trimmed, written
 
 
 @query(sql.P1)
@@ -37,22 +37,27 @@ def _edge_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edge_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "org_graph").select(trimmed(F.col("org_id")).alias("org"), trimmed(F.col("node_id")).alias("node"), _micros("added_at").alias("a"), _micros("removed_at").alias("b"))
-    found = orphans.match_runs(_edge_refs(spark, sf_dir), ["org", "ref_key"], "at", nodes, ["org", "node"], "a", "b")
+    refs = written(_edge_refs(spark, sf_dir).distinct())
+    found = orphans.match_runs(refs, ["org", "ref_key"], "at", nodes, ["org", "node"], "a", "b")
     found = found.withColumn("reason", orphans.orphan_reason("at")).where("reason is not null")
     return found.select(F.lit("org_edges").alias("ref_table"), "ref_id", "ref_field", "ref_key", "reason", "ref_month")
 
 
 def _policy_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dumps are numbered in the order of accounts and instants; an account's policy exists at the numbers of the dumps that list it."""
     dumps = table(spark, sf_dir, "account_dump").select("dump_id", "account_id", _micros("captured_at").alias("at"), F.date_format("captured_at", "yyyy-MM").alias("ref_month"), "dump")
-    keys = ["dump_id", "account_id", "at", "ref_month"]
-    refs = nested.items(dumps, keys, fields=("AttachedManagedPolicies",)).where("item != ''").select(*keys, F.col("item").alias("ref_key")).distinct()
-    own = nested.policies(dumps, keys).where("policy_arn != ''").select("account_id", "policy_arn", "at", (F.col("at") + 1).alias("until"))
+    order = ["account_id", "at", "dump_id"]
+    arns = written(nested.policy_arns(dumps, [*order, "ref_month"]).where("policy_arn != ''").withColumnRenamed("policy_arn", "ref_key").distinct())
+    numbers = global_index(arns.select(*order).distinct(), order, "nr")
+    arns = written(arns.join(numbers, order, "left"))
+    refs, own = arns.where("not listed").drop("listed"), arns.where("listed").select("account_id", "ref_key", "nr")
     catalog = table(spark, sf_dir, "policy_catalog").select(trimmed(F.col("policy_arn")).alias("policy_arn"), _micros("created_at").alias("a"), _micros("retired_at").alias("b"))
-    found = orphans.match_runs(refs, ["account_id", "ref_key"], "at", own, ["account_id", "policy_arn"], "at", "until", prefix="own_")
-    found = found.where("own_run_end is null or at >= own_run_end")
+    found = orphans.match_runs(refs, ["account_id", "ref_key"], "nr", own, ["account_id", "ref_key"], "nr", None, prefix="own_")
+    found = written(found.where("own_run_end is null or nr >= own_run_end"))
     found = orphans.match_runs(found, ["ref_key"], "at", catalog, ["policy_arn"], "a", "b", prefix="cat_").where("cat_run_end is null or at >= cat_run_end")
-    first = F.least("own_first_start", "cat_first_start")  # nulls don't count
-    reason = F.when(first <= F.col("at"), "deleted").when(first.isNotNull(), "late").otherwise("missing")
+    before = (F.col("own_first_start") < F.col("nr")) | (F.col("cat_first_start") <= F.col("at"))
+    known = F.col("own_first_start").isNotNull() | F.col("cat_first_start").isNotNull()
+    reason = F.when(before, "deleted").when(known, "late").otherwise("missing")
     return found.select(F.lit("account_dump").alias("ref_table"), F.col("dump_id").alias("ref_id"), F.lit("PolicyArn").alias("ref_field"), "ref_key", reason.alias("reason"), "ref_month")
 
 
@@ -78,11 +83,11 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource values in the permission statements of the lambda files, each file once, whatever the feed calls the field."""
-    files = table(spark, sf_dir, "policy_files").where("family = 'lambda_execution_role'")
+    files = table(spark, sf_dir, "policy_files").where("family = 'lambda_execution_role'").select("file_id", "content").distinct()
     fields = fields_of(files, ["file_id"], "content", values=True).select("file_id", F.inline("fields"))
     name = F.lower(F.element_at(F.split("path", r"\."), -1))
     fields = fields.where(name.startswith("resource") & F.lower("path").contains("statement") & ~F.lower("path").startswith("trust"))
-    return fields.dropDuplicates(["file_id", "path"]).select(F.explode("items").alias("resource"))
+    return fields.select(F.explode("items").alias("resource"))
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
