@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quellgraph.runtime import global_index, spread_join, written
+from quellgraph.runtime import global_index, spread_join
 
 #: Events of one key that one task may sort, unless 1 / MOST_HOT of all events is more. At most MOST_HOT keys can be above it.
 HOT_ROWS, MOST_HOT = 2_000_000, 4096
@@ -31,7 +31,7 @@ def number_keys(sides: list[DataFrame], keys: list[str]) -> DataFrame:
     for more in sides[1:]:
         rows = rows.unionByName(more.select(*keys))
     counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("load"))
-    return written(global_index(counts, keys, "key"))
+    return global_index(counts, keys, "key")
 
 
 def with_number(df: DataFrame, numbers: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,11 +48,10 @@ def compress_runs(spans: DataFrame, by: list[str]) -> DataFrame:
     return run.groupBy(*by, F.col("_run").alias("a")).agg(F.max("b").alias("b"), F.min("first").alias("first")).select(*by, "a", "b", "first")
 
 
-def _slices(events: DataFrame, hot_rows: int) -> DataFrame | None:
-    """``(key, cuts)`` of the keys with too many events; None if there are none. Counted map-side, one row per key."""
-    counts = events.groupBy("key").agg(F.count("*").alias("n"))
-    limit = F.greatest(F.lit(hot_rows), counts.agg(F.sum("n")).scalar() / MOST_HOT)
-    heavy = [(r["key"], r["n"]) for r in counts.where(F.col("n") > limit).collect()]
+def _slices(events: DataFrame, numbers: DataFrame, hot_rows: int) -> DataFrame | None:
+    """``(key, cuts)`` of the keys with too many events by their load; None if there are none."""
+    limit = F.greatest(F.lit(hot_rows), numbers.agg(F.sum("load")).scalar() / MOST_HOT)
+    heavy = [(r["key"], r["load"]) for r in numbers.where(F.col("load") > limit).select("key", "load").collect()]
     if not heavy:
         return None
     spark = events.sparkSession
@@ -71,19 +70,24 @@ def match_runs(
     Null where there is none. Parents exist from ``start`` up to but not including ``end``, for ever where it is null, or at
     ``start`` only if ``end`` is None. Spans with a null key or start, or that don't last, don't count. References with a null
     key or integer match nothing. Repeated references stay repeated; repeated spans change nothing. Columns of ``parents``
-    other than those named don't matter, nor whether names clash. ``refs`` should be a stored table, as it is read twice.
+    other than those named don't matter, nor whether names clash. ``refs`` is read twice, and should be stored if it is costly.
     """
     rest = refs.columns
     ks = [f"_k{i}" for i in range(len(ref_keys))]
     a = F.col(start).cast("bigint")
     b = a + 1 if end is None else F.coalesce(F.col(end).cast("bigint"), F.lit(FOREVER))
-    spans = parents.select(*[F.col(k).alias(n) for k, n in zip(parent_keys, ks, strict=True)], a.alias("a"), b.alias("b")).where("a is not null and b > a").dropna(subset=ks).distinct()
+    spans = parents.select(*[F.col(k).alias(n) for k, n in zip(parent_keys, ks, strict=True)], a.alias("a"), b.alias("b")).where("a is not null and b > a").dropna(subset=ks)
     rows = refs.select(*[F.col(k).alias(n) for k, n in zip(ref_keys, ks, strict=True)], F.col(at).cast("bigint").alias("a"), F.struct("*").alias("row"))
-    spans = written(spans)
     numbers = number_keys([rows, spans], ks)
-    left = written(with_number(rows, numbers, ks).select("key", "a", "row"))
+    # References without a key match nothing; each gets a number below 0, so that they don't meet in one task.
+    lone = F.lit(False)
+    for c in (*ks, "a"):
+        lone |= F.col(c).isNull()
+    number = F.lit(-1).cast("bigint") - F.pmod(F.xxhash64(*[F.col("row").getField(c) for c, t in refs.dtypes if "map<" not in t]), F.lit(1 << 40))
+    rows = rows.withColumn("lone", F.when(lone, number))
+    left = with_number(rows, numbers, ks).select(F.coalesce("lone", "key").alias("key"), "a", "row")
     spans = with_number(spans, numbers, ks).select("key", "a", "b", F.col("a").alias("first"))
-    cuts = _slices(left.where("key is not null and a is not null").select("key", "a").unionByName(spans.select("key", "a")), hot_rows)
+    cuts = _slices(left.where("key >= 0").select("key", "a").unionByName(spans.select("key", "a")), numbers, hot_rows)
     if cuts is None:
         left, runs = left.withColumn("s", F.lit(0)).withColumn("p", F.lit(0)), compress_runs(spans.withColumn("s", F.lit(0)), ["key", "s"]).withColumn("p", F.lit(0))
     else:
@@ -92,12 +96,11 @@ def match_runs(
     null = F.lit(None).cast("bigint")
     by = ["key", "s", "p"]
     events = runs.select(*by, "a", "b", "first", F.lit(0).alias("kind"), none.alias("row"))
-    events = events.unionByName(left.where("key is not null and a is not null").select(*by, "a", null.alias("b"), null.alias("first"), F.lit(1).alias("kind"), "row"))
+    events = events.unionByName(left.select(*by, "a", null.alias("b"), null.alias("first"), F.lit(1).alias("kind"), "row"))
     w = Window.partitionBy(*by).orderBy("a", "kind")
     last = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = events.select("row", "kind", last(F.when(F.col("kind") == 0, F.col("a"))).alias("rs"), last("b").alias("re"), F.min("first").over(Window.partitionBy(*by)).alias("fs")).where("kind = 1").drop("kind")
-    out = run.unionByName(left.where("key is null or a is null").select("row", null.alias("rs"), null.alias("re"), null.alias("fs")))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("rs").alias(f"{prefix}run_start"), F.col("re").alias(f"{prefix}run_end"), F.col("fs").alias(f"{prefix}first_start"))
+    return run.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("rs").alias(f"{prefix}run_start"), F.col("re").alias(f"{prefix}run_end"), F.col("fs").alias(f"{prefix}first_start"))
 
 
 def _sliced(left: DataFrame, spans: DataFrame, cuts: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:

@@ -37,8 +37,7 @@ def _edge_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edge_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "org_graph").select(trimmed(F.col("org_id")).alias("org"), trimmed(F.col("node_id")).alias("node"), _micros("added_at").alias("a"), _micros("removed_at").alias("b"))
-    refs = written(_edge_refs(spark, sf_dir).distinct())
-    found = orphans.match_runs(refs, ["org", "ref_key"], "at", nodes, ["org", "node"], "a", "b")
+    found = orphans.match_runs(_edge_refs(spark, sf_dir), ["org", "ref_key"], "at", nodes, ["org", "node"], "a", "b")
     found = found.withColumn("reason", orphans.orphan_reason("at")).where("reason is not null")
     return found.select(F.lit("org_edges").alias("ref_table"), "ref_id", "ref_field", "ref_key", "reason", "ref_month")
 
@@ -47,8 +46,8 @@ def _policy_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dumps are numbered in the order of accounts and instants; an account's policy exists at the numbers of the dumps that list it."""
     dumps = table(spark, sf_dir, "account_dump").select("dump_id", "account_id", _micros("captured_at").alias("at"), F.date_format("captured_at", "yyyy-MM").alias("ref_month"), "dump")
     order = ["account_id", "at", "dump_id"]
-    arns = written(nested.policy_arns(dumps, [*order, "ref_month"]).where("policy_arn != ''").withColumnRenamed("policy_arn", "ref_key").distinct())
-    numbers = global_index(arns.select(*order).distinct(), order, "nr")
+    numbers = global_index(dumps.select(*order).distinct(), order, "nr")
+    arns = nested.policy_arns(dumps, [*order, "ref_month"]).where("policy_arn != ''").withColumnRenamed("policy_arn", "ref_key").distinct()
     arns = written(arns.join(numbers, order, "left"))
     refs, own = arns.where("not listed").drop("listed"), arns.where("listed").select("account_id", "ref_key", "nr")
     catalog = table(spark, sf_dir, "policy_catalog").select(trimmed(F.col("policy_arn")).alias("policy_arn"), _micros("created_at").alias("a"), _micros("retired_at").alias("b"))

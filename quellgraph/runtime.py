@@ -128,5 +128,6 @@ SPACE = r"[\s\x1c-\x1f]"
 
 
 def trimmed(c) -> F.Column:
-    """``c`` without whitespace of any kind at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """``c`` without whitespace of any kind at both ends. Text that starts and ends with visible ASCII isn't searched."""
+    visible = lambda x: (F.ascii(x) > 32) & (F.ascii(x) < 127)
+    return F.when(visible(c) & visible(F.right(c, F.lit(1))), c).otherwise(F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", ""))

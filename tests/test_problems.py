@@ -32,17 +32,21 @@ def test_found_against_brute_force(spark, small):
 # packed fields
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [
+PACKED = [
         ("a:b:c,d:e:f", ["a:b:c", "d:e:f"]), ("a:b:c; d:e:f ;", ["a:b:c", "d:e:f"]), ('["a:b:c", "d, e"]', ["a:b:c", "d, e"]), ("('a:b:c', 'd:e:f')", ["a:b:c", "d:e:f"]), ("{}", []), (" ", []), ("", []), (None, []),
         ('"x ""y"" z","a:b:c"', ['x "y" z', "a:b:c"]), ("a:b:c|d:e:f,g:h:i", ["a:b:c", "d:e:f", "g:h:i"]), ("a:b:c\r\nd:e:f\r\n", ["a:b:c", "d:e:f"]), ("a:b:c，d:e:f", ["a:b:c", "d:e:f"]), (",,a:b:c,,", ["a:b:c"]), ("a:b:c a:b:c", ["a:b:c", "a:b:c"]),
         ('["q \\"r\\" s"]', ['q "r" s']),
-    ],
-)
-def test_packed_dialects(raw, want):
-    book = {"w:w:w": 1.0, "w, w": 6.0, 'w "w" w': 6.0}
-    assert packed_fields.Splitter(book=book, other_bits=8.0).split(raw)[1] == want if raw is not None else want == []
+    ]
+
+
+@pytest.mark.parametrize("book_rows", [10**6, 0])
+def test_packed_dialects(spark, book_rows):
+    usual = [(-1 - i, f"a:b:c{i},d:e:f") for i in range(200)] + [(-1000 - i, f"a:b:c{i}") for i in range(200)]
+    df = spark.createDataFrame(usual + [(i, raw) for i, (raw, _) in enumerate(PACKED)], "id long, f string")
+    got = {}
+    for r in packed_fields.split_packed(df, "id", ["f"], book_rows=book_rows).orderBy("pos").collect():
+        got.setdefault(r["id"], []).append(r["value"])
+    assert {i: got.get(i, []) for i in range(len(PACKED))} == {i: want for i, (_, want) in enumerate(PACKED)}
 
 
 def test_packed_table(spark):
@@ -57,8 +61,15 @@ def test_packed_table(spark):
 
 
 def test_runs_of_integer_keys(spark):
-    keys = orphans.integer_spans(spark.createDataFrame([(x,) for x in (1, 2, 3, 3, 7, 9, 10, None)], "k long"), "k").withColumn("g", F.lit("a"))
-    assert rows(orphans.compress_runs(keys, ["g"], "span_start", "span_end")) == {("a", 1, 4), ("a", 7, 8), ("a", 9, 11)}
+    spans = spark.createDataFrame([("a", x, x + 1, x) for x in (1, 2, 3, 3, 7, 9, 10)] + [("b", 0, 9, 0), ("b", 2, 5, 2)], "key string, a long, b long, first long")
+    assert rows(orphans.compress_runs(spans, ["key"])) == {("a", 1, 4, 1), ("a", 7, 8, 7), ("a", 9, 11, 9), ("b", 0, 9, 0)}
+
+
+def test_single_integers_and_crowded_instants(spark):
+    parents = spark.createDataFrame([("a", x) for x in (1, 2, 2, 5)] + [("h", 7)], "k string, n long")
+    refs = spark.createDataFrame([(i, "h", 7 if i % 2 else 8) for i in range(40)] + [(100, "a", 2), (101, "a", 3), (102, "a", 0), (103, "h", None)], "id int, k string, at long")
+    got = {r["id"]: r["reason"] for r in orphans.match_runs(refs, ["k"], "at", parents, ["k"], "n", None, hot_rows=5).withColumn("reason", orphans.orphan_reason("at")).collect()}
+    assert got == {i: None if i % 2 else "deleted" for i in range(40)} | {100: None, 101: "deleted", 102: "late", 103: "missing"}
 
 
 @pytest.mark.parametrize("hot", [10**9, 3])
