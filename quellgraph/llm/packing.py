@@ -2,8 +2,11 @@
 
 The state of a packer is its level array: for each fill level, how many partly filled containers stand at it. An item goes to
 the level where, afterwards, the sum of the squared counts is smallest; a new container is level 0 and doesn't count. Items are
-dealt to shards by hash, each shard is packed by one task, and containers that are left at most half full are packed again as
-items, until one shard holds them. Only ids and sizes take part, never texts.
+numbered in the order of their ids and dealt to shards by hash, and each shard is packed by one task. On sizes that don't add up
+to the capacity the rule leaves many containers with room; so the items of containers less than nine tenths full are packed
+once more, largest first into the fullest container that takes them, and the better packing of the two stays. Containers of
+different shards that are left at most half full are packed again as items, until one shard holds them. Only ids and sizes
+take part, never texts.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.runtime import cut
+from quellgraph.runtime import cut, global_index
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the vocabulary above is used with.
@@ -77,12 +80,48 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return containers, offsets
 
 
+def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Container and offset of each item: the largest first, each into the fullest container that takes it."""
+    standing: list[list[int]] = [[] for _ in range(capacity + 1)]
+    there = np.zeros(capacity + 1, bool)  # levels with a container
+    containers, offsets, opened = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        s = int(sizes[i])
+        fits = there[capacity - s :: -1]
+        back = int(fits.argmax())
+        level = capacity - s - back if fits[back] else 0
+        if level:
+            k = standing[level].pop()
+            there[level] = bool(standing[level])
+        else:
+            k, opened = opened, opened + 1
+        containers[i], offsets[i] = k, level
+        level += s
+        if level < capacity:
+            standing[level].append(k)
+            there[level] = True
+    return containers, offsets
+
+
+def pack_shard(sizes: np.ndarray, capacity: int, full: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sum_of_squares`, with the items of containers below ``full`` of the capacity packed once more if that takes fewer."""
+    containers, offsets = sum_of_squares(sizes, capacity)
+    fill = np.bincount(containers, weights=sizes)
+    poor = np.flatnonzero(fill[containers] < full * capacity)
+    if len(poor):
+        k, at = best_fit_decreasing(sizes[poor], capacity)
+        names = np.unique(containers[poor])
+        if k.max() + 1 < len(names):
+            containers[poor], offsets[poor] = names[k], at
+    return containers, offsets
+
+
 def _pack(items: DataFrame, capacity: int, shards: int, stage: int) -> DataFrame:
     """``items`` (key, size) with ``bin`` and ``offset``; bins are named by stage, shard and number."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("key", kind="stable")
-        k, offset = sum_of_squares(part["size"].to_numpy(), capacity)
+        k, offset = pack_shard(part["size"].to_numpy(), capacity)
         shard = part["shard"].iloc[0]
         return pd.DataFrame({"key": part["key"], "size": part["size"], "bin": [f"{stage}-{shard}-{x}" for x in k], "offset": offset})
 
@@ -95,9 +134,9 @@ def pack(sizes: DataFrame, capacity: int = 2048, *, shard_items: int = 100_000)
 
     Items up to ``capacity`` are one piece, number 1, and are never split. Longer ones are cut into full containers and a rest,
     which is packed like any other item. Items of size 0 take no room: container and offset are null. An id that occurs twice
-    is two items.
+    is two items. The result follows from the ids and sizes alone, not from their layout in files.
     """
-    sizes = cut(sizes.withColumn("_u", F.monotonically_increasing_id()))
+    sizes = global_index(sizes.select("id", "n_tokens"), ["id", "n_tokens"], "_u")
     full = sizes.where(F.col("n_tokens") >= capacity).select("id", "_u", F.posexplode(F.sequence(F.lit(1), F.floor(F.col("n_tokens") / capacity).cast("int"))).alias("_i", "piece"))
     full = full.select("id", "piece", F.lit(capacity).cast("bigint").alias("n_tokens"), F.concat_ws("-", F.lit("full"), "_u", "piece").alias("container_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = F.col("n_tokens") % capacity

@@ -7,10 +7,10 @@ leakage = pytest.importorskip("quellgraph.llm.leakage")
 def test_embedding_of_equal_and_near_windows():
     rng = np.random.default_rng(0)
     a = rng.integers(1, 1000, (300, 12))
-    near = leakage._edited(a, 1, 1000, rng)
     far = rng.integers(1, 1000, (300, 12))
-    ham = lambda x, y: (leakage.embed(x, 3) != leakage.embed(y, 3)).mean()
-    assert ham(a, a.copy()) == 0 and ham(a, near) < 0.45 < 0.7 < ham(a, far)
+    ham = lambda x, y: (leakage.embed(leakage.padded(x, 13), 3) != leakage.embed(leakage.padded(y, 13), 3)).mean()
+    near = [ham(a, leakage.edited(a, 1, 1000, rng, kind)) for kind in leakage.KINDS]
+    assert ham(a, a.copy()) == 0 and max(near) < 0.55 < 0.65 < ham(a, far)
     assert (leakage.keys(a, 1, 8) == leakage.keys(a.copy(), 1, 8)).all()
 
 
@@ -50,14 +50,24 @@ def test_leaks(spark):
     assert leakage.leaked_windows(df.limit(0), it).count() == 0 and leakage.leaked_windows(df, it.limit(0)).count() == 0
 
 
-def test_recall_of_near_windows(spark):
+@pytest.mark.parametrize("kind", leakage.KINDS)
+def test_recall_of_near_windows(spark, kind):
+    """Passages with one word replaced, put in or left out, against all of them."""
     rng = np.random.default_rng(4)
     vocab = [f"w{i}" for i in range(2000)]
     items = [(f"i{k}", " ".join(rng.choice(vocab, 12))) for k in range(400)]
     docs = []
     for k, (_, t) in enumerate(items):
         x = t.split()
-        x[k % 12] = "changed"
-        docs.append((k, " ".join(x)))
+        at = int(rng.integers(1, 11))
+        x[at : at + (kind != "put in")] = [] if kind == "left out" else ["changed"]
+        docs.append((k, " ".join(["before", *x, "after"])))
     got = leakage.leaked_windows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, item_text string"), max_edits=1)
-    assert got.where("edits = 1 and item_id = concat('i', doc_id)").select("doc_id").distinct().count() >= 0.9 * 400
+    hit = got.where("edits = 1 and item_id = concat('i', doc_id)")
+    assert hit.select("doc_id").distinct().count() >= 0.9 * 400 and got.where("edits = 0").count() == 0
+
+
+def test_recall_that_is_not_reached():
+    items = tuple((f"i{k}", " ".join(f"w{k}x{i}" for i in range(12))) for k in range(50))
+    with pytest.raises(ValueError, match="recall"):
+        leakage.build_index(items, 12, 3, 0.99, 16, most=2)

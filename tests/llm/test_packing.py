@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 packing = pytest.importorskip("quellgraph.llm.packing")
 
@@ -49,6 +50,22 @@ def test_pack_is_whole(spark, shard):
     assert real["container_id"].nunique() <= 1.06 * sum(n for _, n in data) / 32 + 4
 
 
+@pytest.mark.parametrize(("size", "least"), [(700, 1000), (600, 667), (500, 500), (1000, 1000), (1024, 1000)])
+def test_sizes_that_do_not_add_up(size, least):
+    sizes = np.full(2000, size)
+    k, at = packing.pack_shard(sizes, 2048)
+    fill = np.bincount(k, weights=sizes)
+    assert len(fill) <= 1.01 * least + 1 and fill.max() <= 2048
+    for c in range(len(fill)):
+        assert sorted(at[k == c].tolist()) == list(range(0, int(fill[c]), size))
+
+
+def test_pack_follows_from_ids_and_sizes(spark):
+    df = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(60)) + 1).alias("n_tokens"))
+    a, b = (sorted(map(tuple, packing.pack(d, 64, shard_items=700).collect())) for d in (df.repartition(7), df.orderBy(F.desc("id")).coalesce(1)))
+    assert a == b
+
+
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "id long, n_tokens long")).count() == 0
 
