@@ -4,7 +4,8 @@ The state of a packer is its level array: for each fill level, how many partly f
 the level where, afterwards, the sum of the squared counts is smallest; a new container is level 0 and doesn't count. Items are
 numbered in the order of their ids and dealt to shards by hash, and each shard is packed by one task. On sizes that don't add up
 to the capacity the rule leaves many containers with room; so the items of containers less than nine tenths full are packed
-once more, largest first into the fullest container that takes them, and the better packing of the two stays. Containers of
+once more, largest first into the fullest container that takes them, and the better packing of the two stays; then those of
+containers below 96 and below 99 %. Containers of
 different shards that are left at most half full are packed again as items, until one shard holds them. Only ids and sizes
 take part, never texts.
 """
@@ -103,12 +104,14 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return containers, offsets
 
 
-def pack_shard(sizes: np.ndarray, capacity: int, full: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`sum_of_squares`, with the items of containers below ``full`` of the capacity packed once more if that takes fewer."""
+def pack_shard(sizes: np.ndarray, capacity: int, full: tuple[float, ...] = (0.9, 0.96, 0.99)) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sum_of_squares`, with the items of containers below each share ``full`` of the capacity packed once more if that takes fewer."""
     containers, offsets = sum_of_squares(sizes, capacity)
-    fill = np.bincount(containers, weights=sizes)
-    poor = np.flatnonzero(fill[containers] < full * capacity)
-    if len(poor):
+    for share in full:
+        fill = np.bincount(containers, weights=sizes)
+        poor = np.flatnonzero(fill[containers] < share * capacity)
+        if not len(poor):
+            continue
         k, at = best_fit_decreasing(sizes[poor], capacity)
         names = np.unique(containers[poor])
         if k.max() + 1 < len(names):
