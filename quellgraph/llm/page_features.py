@@ -1,14 +1,20 @@
-"""Content and link features of the page-like part of a commit.
+"""Content and link features of the page-like part of a commit, in two views that share nothing.
 
-The page-like part is the body of the message and the added lines of files that aren't code, configuration or data. Each of
-its lines is told by its form only, never by topic words: a sentence, a line of links, a line with a price or an article number,
-a line of bare keywords, or code.
+The page-like part is the body of the message and the added lines of files that aren't code, configuration or data.
+
+* The form of its lines, from which weak labels are made: each line is told by its form only, never by topic words, as a
+  sentence, a line of links, a line with a price or an article number, a line of bare keywords, or code.
+* Its texture, which the trees see: shares of kinds of characters, lengths, variety and repetition of words, how well it
+  compresses. No line is told apart here, and no rule of the labels can be read from it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from itertools import pairwise
+from math import sqrt
 
 # Frequent function words of the languages that the messages are written in.
 FUNCTION_WORDS = frozenset(
@@ -33,7 +39,7 @@ OTHER_NAMES = re.compile(r"(?i)(^|/)(requirements[^/]*\.txt|changelog[^/]*|chang
 
 _DIFF = re.compile(r"^diff --(?:git|cc|combined) ", re.M)
 _URL = re.compile(r"https?://([^/\s\"'<>)\]]+)[^\s\"'<>)\]]*")
-_TAG = re.compile(r"<[^>\n]{1,400}>")
+_TAG = re.compile(r"<[^<>\n]+>")
 _WORD = re.compile(r"[^\W\d_]+")
 _PRICE = re.compile(r"(?:[$€£¥]\s?\d)|\b\d+[.,]\d{2}\b|\b\d+\s?(?:EUR|USD|GBP|%)|\bSKU\b|\b(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{5,}\b")
 _HASH = re.compile(r"(?:^|(?<=\s))[#@][^\W\d]\w*")
@@ -72,7 +78,10 @@ def page_lines(text: str) -> tuple[list[str], int]:
 
 def features(text: str | None) -> list[float]:
     """The values of ``NAMES``; all zero for a null or empty text."""
-    lines, other = page_lines(text or "")
+    return line_forms(*page_lines(text or ""))
+
+
+def line_forms(lines: list[str], other: int) -> list[float]:
     n = sentences = link_lines = price_lines = bullets = code = tags = bare = block = best = 0
     w_all = w_sentence = w_link = w_price = w_code = 0
     hosts: Counter[str] = Counter()
@@ -154,3 +163,47 @@ def weak_label(f: list[float]) -> int:
         if v["tags"] >= 8 or (v["hosts"] >= 3 and v["keyword_words"] >= 12 and v["block"] >= 30):
             return 1
     return -1
+
+
+TEXTURE = (
+    "characters", "lines", "mean_line", "line_spread", "letters", "digits", "capitals", "blanks", "slashes", "points", "commas", "brackets", "marks", "bars", "quotes", "angles",
+    "word_length", "variety", "top_word", "top_pair", "function_share", "function_kinds", "squeeze", "ended_lines", "repeated_lines", "capital_words", "long_run", "plain_share",
+)
+
+
+def texture(lines: list[str], other: int) -> list[float]:
+    """The values of ``TEXTURE``; all zero where there are no lines with text."""
+    lines = [x for x in map(str.strip, lines) if x]
+    body = "\n".join(lines)
+    n = len(body)
+    if not n:
+        return [0.0] * len(TEXTURE)
+    count = Counter(body)
+    share = lambda kinds: sum(count[c] for c in kinds) / n
+    spelt = _WORD.findall(body)
+    words = [w.lower() for w in spelt]
+    k = max(1, len(words))
+    letters = sum(map(len, words))
+    uses, pairs = Counter(words), Counter(pairwise(words))
+    run = longest = functions = 0
+    for w in words:
+        known = w in FUNCTION_WORDS
+        functions += known
+        run = 0 if known else run + 1
+        longest = max(longest, run)
+    lengths = list(map(len, lines))
+    mean = sum(lengths) / len(lines)
+    raw = body.encode("utf-8", "replace")
+    return [
+        n, len(lines), mean, sqrt(sum((x - mean) ** 2 for x in lengths) / len(lines)), letters / n, share("0123456789"), sum(v for c, v in count.items() if c.isupper()) / n, share(" \t"), share("/:"),
+        share("."), share(","), share("{}()[];="), share("#@"), share("|"), share("\"'`"), share("<>"), letters / k, len(uses) / k, max(uses.values(), default=0) / k, max(pairs.values(), default=0) / k,
+        functions / k, len(uses.keys() & FUNCTION_WORDS), len(zlib.compress(raw, 1)) / len(raw), sum(x[-1] in ".!?。" for x in lines) / len(lines), 1 - len(set(lines)) / len(lines),
+        sum(w[0].isupper() for w in spelt) / k, longest, len(lines) / max(1, len(lines) + other),
+    ]
+
+
+def views(text: str | None) -> tuple[list[float], int, float]:
+    """The texture, the weak label, and the longest run of words outside sentences."""
+    page = page_lines(text or "")
+    forms = line_forms(*page)
+    return texture(*page), weak_label(forms), forms[NAMES.index("block")]

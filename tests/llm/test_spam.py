@@ -3,7 +3,7 @@ import pytest
 
 spam = pytest.importorskip("quellgraph.llm.spam")
 from quellgraph.llm import trees  # noqa: E402
-from quellgraph.llm.page_features import NAMES, features, weak_label  # noqa: E402
+from quellgraph.llm.page_features import NAMES, TEXTURE, features, views, weak_label  # noqa: E402
 
 HEAD = "commit 41c9cd3c\nAuthor: x <x@y.test>\nDate: 2025\n\n    {}\n\ndiff --git a/{} b/{}\n@@ -1 +1,9 @@\n"
 
@@ -34,6 +34,22 @@ def test_features_edge_cases():
     assert [weak_label(features(t)) for _, t in pages(0)] == [1, 1, 1, 0, 0, 0, 0, 0]
 
 
+def test_texture_edge_cases():
+    assert views(None) == views("") == ([0.0] * len(TEXTURE), 0, 0.0)
+    for text in ("x", "\ud800 lone", "<" * 100_000, "word " * 300_000):
+        assert len(views(text)[0]) == len(TEXTURE)
+
+
+def test_trees_never_saw_the_rules_features():
+    """Trees on the texture of some pages, held against the truth of others."""
+    rows = [(truth, views(text)) for k in range(60) for truth, text in pages(k)]
+    cut = len(rows) // 2
+    model = trees.fit(np.array([v[0] for _, v in rows[:cut]]), np.array([v[1] for _, v in rows[:cut]], float))
+    held = trees.predict(model, np.array([v[0] for _, v in rows[cut:]])) >= 0.5
+    truth = np.array([t for t, _ in rows[cut:]]) == 1
+    assert (held & truth).sum() >= 0.95 * truth.sum() and (held & ~truth).sum() <= 0.05 * held.sum()
+
+
 def test_trees_held_out():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 8))
