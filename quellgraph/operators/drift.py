@@ -3,17 +3,23 @@
 Every file gets a fingerprint of its paths and types. Over the files of a feed in order, the first and last file of each path
 and type are algebraic aggregates, so that a feed with a third of all files is combined map-side like any other, and every
 change is read off them: paths added, removed and renamed, and types that changed for good. Each change is a step
-``(feed, file, kind, path, new path)``. A file is routed through the renames of its feed, the latest first, back to the names
-at the start of the feed; values become lists of strings; paths of the feed that a file lacks get a null.
+``(feed, file, kind, path, new path)``.
+
+One target schema holds for all feeds: every path that ever holds a scalar, by its oldest name in any feed, with the type
+that most files have there. Each file is routed through the steps of its feed, the latest first: renames back, then defaults for
+paths that it lacks, then casts to the target types; what was applied and what couldn't be cast is recorded with the file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quellgraph.operators.json_walk import fields_of
-from quellgraph.runtime import cut, global_index
+from quellgraph.runtime import cut, global_index, spread_join, written
 
 
 def _parent(c: str) -> F.Column:
@@ -24,15 +30,15 @@ def _parent(c: str) -> F.Column:
 def read_files(df: DataFrame, *, feed: str = "feed_id", file_id: str = "file_id", order: str = "exported_at", content: str = "content", values: bool = False, keep: list[str] = ()) -> DataFrame:
     """Distinct files ``(feed, file_id, at, *keep, fields, fingerprint, idx)``; ``idx`` numbers all files by feed, ``at``, file_id.
 
-    Files without feed or id are left out, those delivered twice count once, a null time comes first. The files are kept in the
-    shared folder, as several aggregates read them.
+    Files without feed or id are left out, those delivered twice count once (one id with two contents is two files), a null time
+    comes first. Each file is walked once and kept in the shared folder, as several aggregates read it.
     """
     named = df.select(F.col(feed).alias("feed"), F.col(file_id).alias("file_id"), F.col(order).alias("at"), *keep, F.col(content).alias("content")).where("feed is not null and file_id is not null")
-    walked = fields_of(named, ["feed", "file_id", "at", *keep], "content", values=values).dropDuplicates(["file_id"])
+    named = named.withColumn("_h", F.xxhash64("content"))
+    index = global_index(named.select("feed", "at", "file_id", "_h").distinct(), ["feed", "at", "file_id", "_h"]).select("file_id", "_h", "idx")
+    walked = fields_of(named.distinct(), ["feed", "file_id", "at", *keep, "_h"], "content", values=values)
     prints = walked.withColumn("fingerprint", F.xxhash64(F.transform("fields", lambda f: F.struct(f["path"], f["types"]))))
-    files = cut(prints)
-    index = global_index(files.select("feed", "at", "file_id"), ["feed", "at", "file_id"]).select("file_id", "idx")
-    return files.join(index, "file_id")
+    return written(prints.join(index, ["file_id", "_h"]).drop("_h"))
 
 
 def changes(files: DataFrame) -> DataFrame:
@@ -85,23 +91,136 @@ def _back(path: F.Column, step: F.Column) -> F.Column:
     return F.when(path == new, old).when(path.startswith(F.concat(new, F.lit("."))), F.concat(old, F.substring(path, F.length(new) + 1, F.length(path)))).otherwise(path)
 
 
-def consistent(files: DataFrame, steps: DataFrame) -> DataFrame:
-    """One row ``(feed, file_id, *keep, idx, fingerprint, version, values)`` per file, in the names at the start of its feed.
+#: The scalar types and their bits in :mod:`json_walk`.
+SCALARS = {"string": 1, "number": 2, "boolean": 4}
+
+
+def routed(files: DataFrame, steps: DataFrame) -> DataFrame:
+    """``files`` with ``version``, the number of steps of the feed up to the file, and ``named``, the paths that hold scalars under their
+    names at the start of the feed: (path, was, types, items). A feed's files are spread, however many there are."""
+    renames = F.collect_list(F.when(F.col("change_kind") == "renamed", F.struct("idx", "field_path", "new_path")))
+    per_feed = steps.groupBy("feed").agg(F.sort_array(renames, asc=False).alias("renames"), F.sort_array(F.collect_list("idx")).alias("at_steps"))  # a few steps per path that a feed ever had
+    load = files.groupBy("feed").agg(F.count("*").alias("load"))
+    out = spread_join(files, load.join(per_feed, "feed"), ["feed"], "load", F.xxhash64("file_id"))
+    none = F.array().cast("array<struct<idx:bigint,field_path:string,new_path:string>>")
+    out = out.withColumn("_own", F.filter(F.coalesce("renames", none), lambda s: s["idx"] <= F.col("idx")))
+    held = F.filter("fields", lambda f: F.size(f["items"]) > 0)
+    named = F.transform(held, lambda f: F.struct(F.aggregate(F.col("_own"), f["path"], lambda p, s: _back(p, s)).alias("path"), f["path"].alias("was"), f["types"].alias("types"), f["items"].alias("items")))
+    version = F.coalesce(F.size(F.filter("at_steps", lambda i: i <= F.col("idx"))), F.lit(0))
+    return out.withColumn("named", named).withColumn("version", version).drop("renames", "at_steps", "_own", "fields")
+
+
+def path_uses(named: DataFrame) -> DataFrame:
+    """``(path, n_files, string, number, boolean)``: how many files hold the path, and with which scalar types."""
+    n = [F.sum(F.when(F.col("types").bitwiseAND(bit) > 0, 1).otherwise(0)).alias(t) for t, bit in SCALARS.items()]
+    return named.select(F.inline("named")).groupBy("path").agg(F.count("*").alias("n_files"), *n)
 
-    ``values`` maps every path of the feed that ever holds a scalar to the list of its values as text, null where the file lacks
-    the path; ``version`` counts the steps of the feed up to the file. Needs files read with ``values=True``. Where two paths
-    of a file end up under one name, their values are joined.
+
+def apart(files: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Those of ``pairs`` of paths that no file holds both of."""
+    out = []
+    for low in range(0, len(pairs), 200):
+        some = pairs[low : low + 200]
+        both = [F.max(F.arrays_overlap("p", F.array(F.lit(a))) & F.arrays_overlap("p", F.array(F.lit(b)))).alias(f"b{i}") for i, (a, b) in enumerate(some)]
+        row = files.select(F.transform("fields", lambda f: f["path"]).alias("p")).agg(*both).first()
+        out += [x for x, held in zip(some, row, strict=True) if not held]
+    return out
+
+
+def target_schema(uses: list[Row], renames: list[tuple[str, str]]) -> tuple[dict[str, str], dict[str, str]]:
+    """The target type by path, and the path by lower-cased name, for all feeds.
+
+    ``renames`` (old, new) of one feed hold in all of them, and paths that differ in case only are one, in the spelling of most files. The type is the scalar type that most files have, the first of ``SCALARS`` among equals.
+    """
+    old = {new.lower(): was for was, new in sorted(renames, reverse=True)}
+
+    def root(path: str) -> str:
+        seen = {path.lower()}
+        while True:
+            parts = path.split(".")
+            found = next((i for i in range(1, len(parts) + 1) if ".".join(parts[:i]).lower() in old), 0)
+            if found:
+                path = ".".join([old[".".join(parts[:found]).lower()], *parts[found:]])
+            if not found or path.lower() in seen:  # renamed there and back: the smallest name of the circle
+                return path if not found else min(seen)
+            seen.add(path.lower())
+
+    groups: dict[str, list[Row]] = {}
+    for u in uses:
+        groups.setdefault(root(u["path"]).lower(), []).append(u)
+    types, names = {}, {}
+    for low, members in sorted(groups.items()):
+        like = [u for u in members if u["path"].lower() == low]
+        name = max(like, key=lambda u: (u["n_files"], u["path"]))["path"] if like else root(members[0]["path"])
+        types[name] = max(SCALARS, key=lambda t: (sum(u[t] for u in members), -SCALARS[t]))
+        names |= {u["path"].lower(): name for u in members}
+    return types, names
+
+
+def _cast(text: str, kind: str) -> object:
+    """``text`` in the type ``kind``; raises ValueError where it isn't one. Numbers from true and false are 1 and 0."""
+    if kind == "string":
+        return text
+    if kind == "number":
+        return float({"true": "1", "false": "0"}.get(text, text))
+    low = text.strip().lower()
+    if low in ("true", "1", "yes", "false", "0", "no"):
+        return low in ("true", "1", "yes")
+    raise ValueError(text)
+
+
+def consistent(files: DataFrame, steps: DataFrame, *, keep: list[str] = (), defaults: dict[str, list[str]] | None = None, max_paths: int = 5_000) -> DataFrame:
+    """One row ``(feed, file_id, *keep, version, fingerprint, data, applied, uncast)`` per file: one table for all feeds.
+
+    ``data`` has a field for every path of :func:`target_schema`, a list of its type: absent paths have their default, else null; a
+    lone value is a list of one; where two paths of a file end up under one name, their values are joined. ``applied`` lists the
+    renames, casts and defaults of the file; ``uncast`` the (path, value) that couldn't be cast, which aren't in ``data``. Needs files
+    read with ``values=True``. What one feed renamed is one path in all feeds, unless some file holds both: then the two only changed
+    places there by chance. The schema is the only thing collected; more than ``max_paths`` paths are an error.
     """
-    per_feed = steps.groupBy("feed").agg(
-        F.sort_array(F.collect_list(F.when(F.col("change_kind") == "renamed", F.struct("idx", "field_path", "new_path"))), asc=False).alias("renames"), F.sort_array(F.collect_list("idx")).alias("at_steps")
-    )  # a feed has at most a few steps per path that it ever had
-    routed = files.join(per_feed, "feed", "left").withColumn("renames", F.coalesce("renames", F.array().cast("array<struct<idx:bigint,field_path:string,new_path:string>>")))
-    own = F.filter("renames", lambda s: s["idx"] <= F.col("idx"))
-    named = F.transform(F.filter("fields", lambda f: F.size(f["items"]) > 0), lambda f: F.struct(F.aggregate(F.col("_own"), f["path"], lambda p, s: _back(p, s)).alias("path"), f["items"].alias("items")))
-    routed = routed.withColumn("_own", own).withColumn("_named", named)
-    routed = routed.withColumn("version", F.coalesce(F.size(F.filter("at_steps", lambda i: i <= F.col("idx"))), F.lit(0))).drop("fields", "renames", "_own", "at_steps")
-    known = routed.select("feed", F.explode(F.transform("_named", lambda f: f["path"])).alias("p")).groupBy("feed").agg(F.sort_array(F.collect_set("p")).alias("_paths"))
-    full = routed.join(known, "feed", "left")
-    values = F.transform(F.coalesce("_paths", F.array()), lambda p: F.struct(p.alias("key"), F.flatten(F.transform(F.filter("_named", lambda f: f["path"] == p), lambda f: f["items"])).alias("value")))
-    values = F.transform(values, lambda e: F.struct(e["key"], F.when(F.size(e["value"]) > 0, e["value"]).alias("value")))
-    return full.select(*[c for c in full.columns if c not in ("_named", "_paths")], F.map_from_entries(values).alias("values"))
+    named = written(routed(files, steps).select("feed", "file_id", *keep, "version", "fingerprint", "named"))
+    uses = path_uses(named).limit(max_paths + 1).collect()
+    pairs = [tuple(r) for r in steps.where("change_kind = 'renamed'").select("field_path", "new_path").distinct().limit(max_paths + 1).collect()]
+    if max(len(uses), len(pairs)) > max_paths:
+        raise ValueError(f"more than {max_paths} paths; raise max_paths or split the feeds")
+    target, names = target_schema(uses, apart(files, pairs))
+    default = {p: [_cast(x, target[p]) for x in v] for p, v in (defaults or {}).items() if p in target}
+    kinds = {"string": (pa.string(), "string"), "number": (pa.float64(), "double"), "boolean": (pa.bool_(), "boolean")}
+    bits = {bit: t for t, bit in SCALARS.items()}
+    heads = ["feed", "file_id", *keep, "version", "fingerprint"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data: dict[str, list] = {p: [] for p in target}
+            applied, uncast = [], []
+            for fields in batch.column(len(heads)).to_pylist():
+                row, done, failed = {}, [], []
+                for f in fields:
+                    p = names[f["path"].lower()]
+                    kind = target[p]
+                    if p != f["was"]:
+                        done.append(f"renamed {f['was']} to {p}")
+                    own = f["types"] & 7
+                    if own and own != SCALARS[kind]:
+                        done.append(f"cast {p} from {bits.get(own, 'mixed')} to {kind}")
+                    for x in f["items"]:
+                        try:
+                            value = _cast(x, kind)
+                        except ValueError:
+                            failed.append({"path": p, "value": x})
+                        else:
+                            row.setdefault(p, []).append(value)
+                for p, column in data.items():
+                    if p not in row and p in default:
+                        done.append(f"default {p}")
+                    column.append(row.get(p, default.get(p)))
+                applied.append(done)
+                uncast.append(failed)
+            struct = pa.StructArray.from_arrays([pa.array(c, pa.list_(kinds[target[p]][0])) for p, c in data.items()], list(data)) if data else pa.nulls(len(applied), pa.string())
+            made = [struct, pa.array(applied, pa.list_(pa.string())), pa.array(uncast, pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(heads))], *made], [*heads, "data", "applied", "uncast"])
+
+    quote = lambda n: "`" + n.replace("`", "``") + "`"
+    inner = "struct<" + ",".join(f"{quote(p)}:array<{kinds[t][1]}>" for p, t in target.items()) + ">" if target else "string"
+    schema = ", ".join(f"{quote(f.name)} {f.dataType.simpleString()}" for f in named.select(*heads).schema)
+    return named.mapInArrow(run, f"{schema}, data {inner}, applied array<string>, uncast array<struct<path:string,value:string>>")

@@ -108,7 +108,7 @@ def p4_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topologies.select(F.lit("topology_type").alias("field_name"), *cols).unionByName(resources.select(F.lit("Resource").alias("field_name"), "key_value", "n_rows", F.round("share", 9).alias("share")), allowMissingColumns=True)
 
 
-@query()
+@query(sql.P5)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = drift.read_files(table(spark, sf_dir, "policy_files"))
     return drift.changes(files).select("file_id", "change_kind", "field_path", "new_path").distinct()
@@ -117,7 +117,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p5_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = drift.read_files(table(spark, sf_dir, "policy_files"), values=True, keep=["family"])
-    return drift.consistent(files, drift.changes(files)).select("feed", "file_id", "family", "version", "fingerprint", "values")
+    return drift.consistent(files, drift.changes(files), keep=["family"])
 
 
 @query(sql.P6)

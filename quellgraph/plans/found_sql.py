@@ -67,3 +67,26 @@ P6_TEXTS = rf"""
     firsts AS (SELECT record_id, family, min(record_id) OVER (PARTITION BY family, content) AS first_id FROM whole)"""
 P6 = f"WITH {P6_TEXTS} SELECT first_id, record_id AS copy_id FROM firsts WHERE record_id <> first_id"
 P6_DISTINCT = f"WITH {P6_TEXTS} SELECT family, first_id, count(*) AS copies FROM firsts GROUP BY 1, 2"
+
+# Paths of every file by a recursive walk; then the definition of a change, step by step.
+P5 = """WITH RECURSIVE
+    files AS (SELECT file_id, feed_id, content::JSON AS j, row_number() OVER (PARTITION BY feed_id ORDER BY exported_at, file_id) AS i, count(*) OVER (PARTITION BY feed_id) AS n FROM (SELECT DISTINCT file_id, feed_id, exported_at, content FROM policy_files)),
+    walk AS (SELECT file_id, '' AS path, j, false AS named FROM files UNION ALL
+        (SELECT file_id, CASE WHEN k.key IS NULL THEN path WHEN path = '' THEN k.key ELSE path || '.' || k.key END, k.value, k.key IS NOT NULL FROM walk, LATERAL (
+            SELECT unnest(json_keys(j)) AS key, unnest(list_transform(json_keys(j), lambda x: json_extract(j, '$."' || x || '"'))) AS value WHERE json_type(j) = 'OBJECT' UNION ALL SELECT NULL, unnest(j::JSON[]) WHERE json_type(j) = 'ARRAY') k)),
+    places AS (SELECT file_id, path, CASE WHEN json_type(j) = 'VARCHAR' THEN 'string' WHEN json_type(j) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN json_type(j) = 'NULL' THEN NULL ELSE lower(json_type(j)) END AS t FROM walk WHERE named),
+    seen AS (SELECT f.feed_id, f.i, f.n, p.path, count(DISTINCT t) AS kinds, min(t) AS t FROM places p JOIN files f USING (file_id) GROUP BY ALL),
+    runs AS (SELECT feed_id, n, path, min(i) AS a, max(i) AS b FROM seen GROUP BY ALL HAVING count(*) >= 2 AND max(i) - min(i) + 1 = count(*)),
+    moves AS (
+        SELECT feed_id, path, 'added' AS kind, a AS i, CASE WHEN contains(path, '.') THEN regexp_replace(path, '\\.[^.]*$', '') ELSE '' END AS parent FROM runs WHERE a >= 3
+        UNION ALL SELECT feed_id, path, 'removed', b + 1, CASE WHEN contains(path, '.') THEN regexp_replace(path, '\\.[^.]*$', '') ELSE '' END FROM runs WHERE n - b >= 2
+    ),
+    own AS (SELECT * FROM moves m WHERE NOT EXISTS (SELECT 1 FROM moves p WHERE p.feed_id = m.feed_id AND p.kind = m.kind AND p.i = m.i AND p.path = m.parent)),
+    swaps AS (SELECT feed_id, i, parent, max(path) FILTER (kind = 'removed') AS old, max(path) FILTER (kind = 'added') AS new FROM own GROUP BY ALL HAVING count(*) FILTER (kind = 'removed') = 1 AND count(*) FILTER (kind = 'added') = 1),
+    typed AS (SELECT *, t <> lag(t) OVER (PARTITION BY feed_id, path ORDER BY i) AS turn, row_number() OVER (PARTITION BY feed_id, path ORDER BY i) AS k, count(*) OVER (PARTITION BY feed_id, path) AS m, max(kinds) OVER (PARTITION BY feed_id, path) AS most FROM seen WHERE kinds > 0),
+    turns AS (SELECT feed_id, path, min(i) FILTER (turn) AS i, min(k) FILTER (turn) AS k, any_value(m) AS m FROM typed WHERE most = 1 GROUP BY 1, 2 HAVING count(*) FILTER (turn) = 1),
+    steps AS (
+        SELECT feed_id, i, kind AS change_kind, path AS field_path, '' AS new_path FROM own o WHERE NOT EXISTS (SELECT 1 FROM swaps s WHERE s.feed_id = o.feed_id AND s.i = o.i AND s.parent = o.parent)
+        UNION ALL SELECT feed_id, i, 'renamed', old, new FROM swaps UNION ALL SELECT feed_id, i, 'type', path, '' FROM turns WHERE k - 1 >= 2 AND m - k + 1 >= 2
+    )
+    SELECT DISTINCT file_id, change_kind, field_path, new_path FROM steps JOIN files USING (feed_id, i)"""

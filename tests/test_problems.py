@@ -6,6 +6,7 @@ from datetime import datetime
 import brute
 import pytest
 from conftest import rows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quellgraph.operators import drift, key_states, nested, orphans, packed_fields, same_records
@@ -128,8 +129,10 @@ def test_drift_kinds(spark):
     files = drift.read_files(df.unionByName(df.limit(3)), values=True)
     got = rows(drift.changes(files), "file_id", "change_kind", "field_path", "new_path")
     assert got == {(2, "renamed", "o.x", "o.y"), (2, "added", "new", ""), (6, "removed", "new", ""), (4, "type", "a", "")}
-    table_ = {r["file_id"]: r["values"] for r in drift.consistent(files, drift.changes(files)).collect()}
-    assert table_[0]["o.x"] == ["1"] and table_[7]["o.x"] == ["1"] and table_[0]["new.in"] is None and table_[3]["new.in"] == ["1"]
+    table_ = {r["file_id"]: r for r in drift.consistent(files, drift.changes(files), defaults={"new.in": ["7"]}).collect()}
+    assert table_[0]["data"]["o.x"] == ["1"] and table_[7]["data"]["o.x"] == ["1"] and table_[0]["data"]["new.in"] == [7.0] and table_[3]["data"]["new.in"] == [1.0]
+    assert table_[0]["data"]["a"] == ["1"] or table_[0]["data"]["a"] == [1.0]
+    assert "renamed o.y to o.x" in table_[7]["applied"] and "default new.in" in table_[0]["applied"]
     assert got == brute.p5([(r.file_id, r.feed_id, r.exported_at, r.content) for r in df.collect()])
 
 
@@ -139,6 +142,26 @@ def test_drift_edge_cases(spark):
     assert drift.read_files(odd).count() == 5 and drift.changes(drift.read_files(odd)).count() == 0
 
 
+def test_one_table_for_all_feeds(spark):
+    """Casts to the type that most files have, values that can't be cast kept apart, the same fields for every feed."""
+    a = feed(spark, [{"n": 1}, {"n": 2.5}, {"n": "3"}, {"n": "x", "only": True}], "a")
+    b = feed(spark, [{"m": ["p", "q"]}, {"m": None}], "b").withColumn("file_id", F.col("file_id") + 10)
+    files = drift.read_files(a.unionByName(a).unionByName(b), values=True)
+    got = {r["file_id"]: r for r in drift.consistent(files, drift.changes(files)).collect()}
+    assert len(got) == 6 and {tuple(r["data"].asDict()) for r in got.values()} == {("m", "n", "only")}
+    kind, _ = drift.target_schema(drift.path_uses(drift.routed(files, drift.changes(files))).collect(), [])
+    assert kind == {"m": "string", "n": "number", "only": "boolean"} or kind == {"m": "string", "n": "string", "only": "boolean"}
+    kind, names = drift.target_schema([Row(path=p, n_files=n, string=n, number=0, boolean=0) for p, n in (("a.new.x", 3), ("a.old.x", 1), ("A.OLD.y", 2), ("a.old.Y", 1), ("p", 1), ("q", 5))], [("a.old", "a.new"), ("p", "q"), ("q", "p")])
+    assert set(kind) == {"a.old.x", "A.OLD.y", "p"} and names["a.new.x"] == "a.old.x" and names["q"] == names["p"] == "p"
+    assert [got[i]["data"]["n"] for i in range(4)] == [["1"], ["2.5"], ["3"], ["x"]] and got[10]["data"]["m"] == ["p", "q"] and got[11]["data"]["m"] is None
+    more = drift.read_files(a.unionByName(feed(spark, [{"n": 4}] * 3, "c").withColumn("file_id", F.col("file_id") + 20)), values=True)
+    cast = {r["file_id"]: r for r in drift.consistent(more, drift.changes(more)).collect()}
+    assert cast[2]["data"]["n"] == [3.0] and cast[3]["data"]["n"] is None and [tuple(x) for x in cast[3]["uncast"]] == [("n", "x")] and "cast n from string to number" in cast[2]["applied"]
+    assert drift.consistent(files.limit(0), drift.changes(files)).count() == 0
+    with pytest.raises(ValueError, match="max_paths"):
+        drift.consistent(files, drift.changes(files), max_paths=2)
+
+
 def test_global_index(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), "id")
     got = [tuple(r) for r in global_index(df, ["g", "id"]).orderBy("idx").collect()]
