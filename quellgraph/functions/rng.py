@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def unit(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *map(_text, parts))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def unit_of(*parts: str | int) -> float:
+    """:func:`unit` of plain values."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / (1 << 32)
+
+
 def draw_order(*parts: Column | str | int) -> Column:
     """A key to sort by for a random order."""
     return F.md5(F.concat_ws("|", *map(_text, parts)))

@@ -1,7 +1,7 @@
-"""Small graphs as dense matrices: one task per graph, many graphs at once.
+"""Graphs that fit in a task: one task per graph, many graphs at once, as sparse arrays.
 
-Only graphs of at most ``DENSE_NODES`` nodes and ``DENSE_EDGES`` edges are given to these kernels; larger ones take the
-set-based operators of the same name.
+Only graphs of at most ``SMALL_NODES`` nodes and ``SMALL_EDGES`` edges are given to these kernels; larger ones take the
+set-based form of the same operator. Both forms give the same result.
 """
 
 from __future__ import annotations
@@ -13,31 +13,130 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DENSE_NODES, DENSE_EDGES = 2_000, 400_000
+#: What one task may hold.
+SMALL_NODES, SMALL_EDGES = 200_000, 2_000_000
+#: Nodes up to which all eigenpairs are computed; beyond, only the leading ones, by iteration to a tolerance.
+EIGEN_NODES = 2_000
+TOLERANCE = 1e-12
 
 
 def small_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The ids of graphs that fit the dense kernels; one row per graph."""
-    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") <= DENSE_NODES)
+    """The ids of graphs that fit a task; one row per graph."""
+    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL_NODES)
     m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
-    return n.join(m, "graph_id", "left").where(F.coalesce("m", F.lit(0)) <= DENSE_EDGES).select("graph_id")
-
-
-def matrix(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    """The node ids in the order of ``ord``, and the weighted adjacency matrix in that order."""
-    ids = nodes.sort_values(["ord", "node_id"])["node_id"].tolist()
-    at = {v: i for i, v in enumerate(ids)}
-    a = np.zeros((len(ids), len(ids)))
-    if len(edges):
-        a[edges["src"].map(at).to_numpy(), edges["dst"].map(at).to_numpy()] = edges["weight"].to_numpy()
-    return ids, a
-
-
-def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = (), fit: DataFrame | None = None) -> DataFrame:
-    """``kernel(nodes, edges)`` for every small graph, or those of ``fit``; ``columns`` are those of the nodes that it needs besides id and ord."""
+    return n.join(m, "graph_id", "left").where(F.coalesce("m", F.lit(0)) <= SMALL_EDGES).select("graph_id")
+
+
+class Sparse:
+    """A graph as arrays: the node ids in the order of ``ord``, and ends and weights of its edges by place; one edge per ordered pair."""
+
+    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
+        self.ids = nodes.sort_values(["ord", "node_id"])["node_id"].tolist()
+        self.n = len(self.ids)
+        place = pd.Series(np.arange(self.n), index=pd.Index(self.ids, dtype=object))
+        e = edges.drop_duplicates(["src", "dst"], keep="last")
+        a, b = place.reindex(e["src"]).to_numpy(), place.reindex(e["dst"]).to_numpy()
+        known = ~(np.isnan(a) | np.isnan(b)) if len(e) else np.zeros(0, bool)
+        self.src, self.dst, self.w = a[known].astype(np.int64), b[known].astype(np.int64), e["weight"].to_numpy(float)[known]
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """A x: every node gets the weighted sum of those it points to."""
+        return np.bincount(self.src, self.w * x[self.dst], self.n).astype(float)  # of no edges at all, it is whole numbers
+
+    def back(self, x: np.ndarray) -> np.ndarray:
+        """The product with the transpose."""
+        return np.bincount(self.dst, self.w * x[self.src], self.n).astype(float)
+
+    def matrix(self) -> np.ndarray:
+        a = np.zeros((self.n, self.n))
+        a[self.src, self.dst] = self.w
+        return a
+
+    def acyclic(self) -> bool:
+        """Whether the edges with weight have no circle: nodes without an edge into them are taken away until none is left."""
+        on = self.w > 0
+        src, dst = self.src[on], self.dst[on]
+        order = np.argsort(src, kind="stable")
+        to, ends = dst[order].tolist(), np.searchsorted(src[order], np.arange(self.n + 1)).tolist()
+        into = np.bincount(dst, minlength=self.n).tolist()
+        free = [v for v, k in enumerate(into) if not k]
+        for v in free:
+            for w in to[ends[v] : ends[v + 1]]:
+                into[w] -= 1
+                if not into[w]:
+                    free.append(w)
+        return len(free) == self.n
+
+    def leading(self) -> tuple[float, np.ndarray]:
+        """The largest real part of an eigenvalue, and the moduli of its right eigenvector over their largest; 0 and zeros without circles."""
+        if not self.n or self.acyclic():
+            return 0.0, np.zeros(self.n)
+        if self.n <= EIGEN_NODES:
+            values, vectors = np.linalg.eig(self.matrix())
+            k = int(values.real.argmax())
+            v = np.abs(vectors[:, k])
+            return float(values[k].real), v / v.max()
+        x, top = np.ones(self.n), 1.0
+        for _ in range(200_000):  # the shift by I keeps periodic graphs from swinging
+            y = self.times(x) + x
+            top = y.max()
+            y /= top
+            move, x = np.abs(y - x).max(), y
+            if move < TOLERANCE:
+                break
+        return float(top - 1), x
+
+    def gap(self, symmetrize: str) -> float:
+        """Between the two largest eigenvalues of the symmetric matrix."""
+        if self.n < 2:
+            return 0.0
+        if symmetrize == "lower":
+            keep = self.src >= self.dst
+            i, j, w = self.src[keep], self.dst[keep], self.w[keep]
+            off = i != j
+            rows, cols, w = np.concatenate([i, j[off]]), np.concatenate([j, i[off]]), np.concatenate([w, w[off]])
+        else:
+            rows, cols, w = np.concatenate([self.src, self.dst]), np.concatenate([self.dst, self.src]), np.concatenate([self.w, self.w]) / 2
+        if self.n <= EIGEN_NODES:
+            s = np.zeros((self.n, self.n))
+            np.add.at(s, (rows, cols), w)
+            values = np.sort(np.linalg.eigvalsh(s))
+            return max(0.0, float(values[-1] - values[-2]))
+        return _lanczos_gap(lambda x: np.bincount(rows, w * x[cols], self.n).astype(float), self.n)
+
+
+def _lanczos_gap(times: Callable[[np.ndarray], np.ndarray], n: int, most: int = 300) -> float:
+    """The gap of the two largest eigenvalues of a symmetric matrix, by Lanczos with full orthogonalisation, until both residuals are
+    below 1e-10 of the radius."""
+    q = np.random.default_rng(1).standard_normal(n)
+    basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+    gap = 0.0
+    for _ in range(min(most, n)):
+        z = times(basis[-1])
+        alpha.append(float(basis[-1] @ z))
+        for _ in range(2):
+            for v in basis:
+                z -= (v @ z) * v
+        length = float(np.linalg.norm(z))
+        t = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
+        values, vectors = np.linalg.eigh(t)
+        if len(alpha) > 1:
+            gap = float(values[-1] - values[-2])
+            if length * np.abs(vectors[-1, -2:]).max() < 1e-10 * max(1.0, np.abs(values).max()):
+                break
+        if length < 1e-12:
+            break
+        beta.append(length)
+        basis.append(z / length)
+    return max(0.0, gap)
+
+
+def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = (), fit: DataFrame | None = None, edge_columns: tuple[str, ...] = ()) -> DataFrame:
+    """``kernel(nodes, edges)`` for every small graph, or those of ``fit``; ``columns`` are those of the nodes that it needs besides id and
+    ord, ``edge_columns`` those of the edges besides ends and weight."""
     fit = small_graphs(nodes, edges) if fit is None else fit
     n = nodes.select("graph_id", "node_id", "ord", *columns).join(fit, "graph_id", "left_semi")
-    e = edges.select("graph_id", "src", "dst", "weight").join(fit, "graph_id", "left_semi")
+    e = edges.select("graph_id", "src", "dst", "weight", *edge_columns).join(fit, "graph_id", "left_semi")
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = kernel(a, b)
@@ -49,55 +148,103 @@ def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame
 
 def spectral_gap(nodes: DataFrame, edges: DataFrame, symmetrize: str = "lower") -> DataFrame:
     """``(graph_id, spectral_gap)``: the two largest eigenvalues of the symmetric matrix, from the lower triangle mirrored
-    (``lower``) or the mean with the transpose (``avg``); 0 below two nodes."""
+    (``lower``) or the mean with the transpose (``avg``); 0 below two nodes. No row for graphs beyond a task."""
+    return per_graph(nodes, edges, lambda n, e: pd.DataFrame({"spectral_gap": [Sparse(n, e).gap(symmetrize)]}), "spectral_gap double")
+
+
+def spectral_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(graph_id, node_id, lambda_max, vector)`` of :meth:`Sparse.leading`."""
 
     def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        _, a = matrix(n, e)
-        if len(a) < 2:
-            return pd.DataFrame({"spectral_gap": [0.0]})
-        s = np.tril(a) + np.tril(a, -1).T if symmetrize == "lower" else (a + a.T) / 2
-        values = np.sort(np.linalg.eigvalsh(s))
-        return pd.DataFrame({"spectral_gap": [max(0.0, float(values[-1] - values[-2]))]})
+        a = Sparse(n, e)
+        value, vector = a.leading()
+        return pd.DataFrame({"node_id": a.ids, "lambda_max": value, "vector": vector})
 
-    return per_graph(nodes, edges, kernel, "spectral_gap double")
+    return per_graph(nodes, edges, kernel, "node_id string, lambda_max double, vector double")
 
 
-def acyclic(a: np.ndarray) -> bool:
-    left = a > 0
-    keep = np.ones(len(a), bool)
-    while keep.any():
-        free = keep & ~(left[keep].any(axis=0))
-        if not free.any():
-            return False
-        keep &= ~free
-    return True
+def component_roots(n: int, src: list[int], dst: list[int]) -> list[int]:
+    """The smallest place of each node's component, directions aside."""
+    root = list(range(n))
 
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def spectral_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(graph_id, node_id, lambda_max, vector)``: the largest real part of an eigenvalue and the moduli of its right eigenvector
-    over their largest. A graph without cycles is nilpotent: 0 and an undefined vector, given as 0."""
+    for x, y in zip(src, dst, strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [top(x) for x in range(n)]
 
-    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids, a = matrix(n, e)
-        if not len(ids) or acyclic(a):
-            return pd.DataFrame({"node_id": ids, "lambda_max": 0.0, "vector": 0.0})
-        values, vectors = np.linalg.eig(a)
-        k = int(values.real.argmax())
-        v = np.abs(vectors[:, k])
-        return pd.DataFrame({"node_id": ids, "lambda_max": float(values[k].real), "vector": v / v.max()})
 
-    return per_graph(nodes, edges, kernel, "node_id string, lambda_max double, vector double")
+def small_components(nodes: DataFrame, edges: DataFrame, fit: DataFrame) -> DataFrame:
+    """``(graph_id, node_id, component)``: the smallest node id of the weakly connected component."""
+
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        a = Sparse(v, e)
+        roots = component_roots(a.n, a.src.tolist(), a.dst.tolist())
+        return pd.DataFrame({"node_id": a.ids, "component": [a.ids[r] for r in roots]})
+
+    return per_graph(nodes.select("graph_id", "node_id", F.lit(0).alias("ord")), edges.withColumn("weight", F.lit(1.0)), kernel, "node_id string, component string", (), fit)
+
 
+def _clustering(a: Sparse) -> np.ndarray:
+    """2T / d(d - 1) of each node in the undirected graph, 0 below degree 2."""
+    near: list[set[int]] = [set() for _ in range(a.n)]
+    for x, y in zip(a.src.tolist(), a.dst.tolist(), strict=True):
+        if x != y:
+            near[x].add(y)
+            near[y].add(x)
+    rank = sorted(range(a.n), key=lambda v: (len(near[v]), v))
+    place = [0] * a.n
+    for i, v in enumerate(rank):
+        place[v] = i
+    later = [{w for w in near[v] if place[w] > place[v]} for v in range(a.n)]  # at most sqrt(2m) each
+    triangles = [0] * a.n
+    for v in range(a.n):
+        for w in later[v]:
+            for u in later[v] & later[w]:
+                triangles[v] += 1
+                triangles[w] += 1
+                triangles[u] += 1
+    return np.array([2.0 * t / (len(s) * (len(s) - 1)) if len(s) > 1 else 0.0 for t, s in zip(triangles, near, strict=True)])
 
-#: Sources x edges up to which shortest paths are counted by one task.
-PATH_WORK = 20_000_000
+
+def small_clustering(nodes: DataFrame, edges: DataFrame, fit: DataFrame) -> DataFrame:
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        a = Sparse(v, e)
+        return pd.DataFrame({"node_id": a.ids, "clustering": _clustering(a)})
+
+    return per_graph(nodes, edges.withColumn("weight", F.lit(1.0)), kernel, "node_id string, clustering double", (), fit)
+
+
+def structure(nodes: DataFrame, edges: DataFrame, fit: DataFrame) -> DataFrame:
+    """``(graph_id, n_nodes, degree_entropy, density, clustering, spectral_gap)``: the parts of a fingerprint that need no paths, in one task per graph."""
+
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        a = Sparse(v, e)
+        degree = np.bincount(a.src, minlength=a.n) + np.bincount(a.dst, minlength=a.n)
+        p = degree[degree > 0] / max(1, degree.sum())
+        density = len(a.src) / (a.n * (a.n - 1)) if a.n > 1 else 0.0
+        return pd.DataFrame({"n_nodes": [a.n], "degree_entropy": [max(0.0, float(-(p * np.log2(p)).sum()))], "density": [density], "clustering": [float(_clustering(a).mean()) if a.n else 0.0], "spectral_gap": [a.gap("lower")]})
+
+    return per_graph(nodes, edges, kernel, "n_nodes bigint, degree_entropy double, density double, clustering double, spectral_gap double", (), fit)
+
+
+#: Sources x (nodes + edges) that one task counts the shortest paths of, and up to which a graph is dealt to tasks that way.
+TASK_PATHS, PATH_WORK = 4_000_000, 2_000_000_000
 
 
 def path_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The ids of graphs whose shortest paths one task can count."""
+    """``(graph_id, parts)``: graphs whose shortest paths tasks count that hold all their edges and a part of their nodes as sources."""
     n = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
     m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
-    return n.join(m, "graph_id", "left").where((F.col("n") <= DENSE_NODES) & (F.col("n") * (F.col("n") + F.coalesce("m", F.lit(0))) <= PATH_WORK)).select("graph_id")
+    work = F.col("n") * (F.col("n") + F.coalesce("m", F.lit(0)))
+    small = (F.col("n") <= SMALL_NODES) & (F.coalesce("m", F.lit(0)) <= SMALL_EDGES) & (work <= PATH_WORK)
+    return n.join(m, "graph_id", "left").where(small).select("graph_id", F.ceil(work / TASK_PATHS).cast("int").alias("parts"))
 
 
 def _levels(out: list[list[int]], s: int, n: int) -> tuple[list[int], list[int], list[float]]:
@@ -105,68 +252,97 @@ def _levels(out: list[list[int]], s: int, n: int) -> tuple[list[int], list[int],
     dist, sigma, order = [-1] * n, [0.0] * n, [s]
     dist[s], sigma[s] = 0, 1.0
     for v in order:
+        near, there = dist[v] + 1, sigma[v]
         for w in out[v]:
             if dist[w] < 0:
-                dist[w] = dist[v] + 1
+                dist[w] = near
                 order.append(w)
-            if dist[w] == dist[v] + 1:
-                sigma[w] += sigma[v]
+            if dist[w] == near:
+                sigma[w] += there
     return order, dist, sigma
 
 
-def path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def path_counts(nodes: DataFrame, edges: DataFrame, fit: DataFrame | None = None) -> DataFrame:
     """``(graph_id, node_id, betweenness, directed_sum, directed_pairs, undirected_sum)``: per node as source, the sums of distances
-    and the number of nodes reached. For graphs of :func:`path_graphs`."""
+    and the number of nodes reached. For graphs of :func:`path_graphs`; every part of the sources is a task."""
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids = a["node_id"].tolist()
+        ids = sorted({*a["node_id"], *b["src"], *b["dst"]})
         n, at = len(ids), {v: i for i, v in enumerate(ids)}
-        pairs = {(at[x], at[y]) for x, y in zip(b["src"], b["dst"], strict=True) if x != y}
-        out, both = [[] for _ in ids], [set() for _ in ids]
-        for x, y in pairs:
+        out, both, back = [[] for _ in ids], [set() for _ in ids], [[] for _ in ids]
+        for x, y in {(at[x], at[y]) for x, y in zip(b["src"], b["dst"], strict=True) if x != y}:
             out[x].append(y)
+            back[y].append(x)
             both[x].add(y)
             both[y].add(x)
-        back = [[] for _ in ids]
-        for x, y in pairs:
-            back[y].append(x)
         score, rows = [0.0] * n, []
-        for s in range(n):
+        for v in a["node_id"]:
+            s = at[v]
             order, dist, sigma = _levels(out, s, n)
             delta = [0.0] * n
             for w in reversed(order):
-                for v in back[w]:
-                    if dist[v] == dist[w] - 1 and dist[v] >= 0:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+                near, part = dist[w] - 1, (1 + delta[w]) / sigma[w]
+                for u in back[w]:
+                    if dist[u] == near >= 0:
+                        delta[u] += sigma[u] * part
                 if w != s:
                     score[w] += delta[w]
-            _, und, _ = _levels(both, s, n)
-            rows.append((sum(dist[v] for v in order), len(order) - 1, sum(x for x in und if x > 0)))
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-        return pd.DataFrame([(key[0], v, b_ * scale, *r) for v, b_, r in zip(ids, score, rows, strict=True)], columns=["graph_id", "node_id", "betweenness", "directed_sum", "directed_pairs", "undirected_sum"])
+            seen, und, _ = _levels(both, s, n)
+            rows.append((v, 0.0, sum(dist[u] for u in order), len(order) - 1, sum(und[u] for u in seen)))
+        rows += [(v, x, 0, 0, 0) for v, x in zip(ids, score, strict=True) if x]
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["graph_id", "node_id", "b", "d", "p", "u"])
+
+    fit = path_graphs(nodes, edges) if fit is None else fit
+    n = nodes.select("graph_id", "node_id").join(fit, "graph_id").withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("parts")))
+    e = edges.select("graph_id", "src", "dst").join(fit, "graph_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", F.col("part").cast("bigint"))
+    by = lambda df: df.drop("parts").groupBy("graph_id", "part")
+    parts = by(n).cogroup(by(e)).applyInPandas(run, "graph_id string, node_id string, b double, d bigint, p bigint, u bigint")
+    size = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
+    total = parts.groupBy("graph_id", "node_id").agg(F.sum("b").alias("b"), F.sum("d").alias("directed_sum"), F.sum("p").alias("directed_pairs"), F.sum("u").alias("undirected_sum")).join(size, "graph_id")
+    scale = F.when(F.col("_n") > 2, 1 / ((F.col("_n") - 1) * (F.col("_n") - 2))).otherwise(0.0)
+    return total.select("graph_id", "node_id", (F.col("b") * scale).alias("betweenness"), "directed_sum", "directed_pairs", "undirected_sum")
 
-    fit = path_graphs(nodes, edges)
-    n = nodes.select("graph_id", "node_id").join(fit, "graph_id", "left_semi")
-    e = edges.select("graph_id", "src", "dst").join(fit, "graph_id", "left_semi")
-    return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(run, "graph_id string, node_id string, betweenness double, directed_sum bigint, directed_pairs bigint, undirected_sum bigint")
+
+#: Nodes up to which a layout lets every pair repel; beyond, nodes are pushed by the centres of the cells of a grid.
+PAIR_NODES, CELLS = 4_000, 32
 
 
 def layout(nodes: DataFrame, edges: DataFrame, k: float = 2.0, rounds: int = 50, seed: int = 42) -> DataFrame:
-    """``(graph_id, node_id, x, y, z)``: a spring layout scaled to -10..10, and 10 x privilege as height."""
+    """``(graph_id, node_id, x, y, z)``: a spring layout scaled to -10..10, and 10 x privilege as height. No rows for graphs beyond a task."""
+
+    def push(place: np.ndarray) -> np.ndarray:
+        n = len(place)
+        if n <= PAIR_NODES:
+            others, mass = place, np.ones(n)
+        else:
+            low, high = place.min(0), place.max(0)
+            cell = np.minimum(((place - low) / np.maximum(high - low, 1e-9) * CELLS).astype(int), CELLS - 1) @ np.array([CELLS, 1])
+            used, inverse, count = np.unique(cell, return_inverse=True, return_counts=True)
+            others = np.stack([np.bincount(inverse, place[:, i], len(used)) / count for i in (0, 1)], 1)
+            mass = count.astype(float)
+        out = np.empty_like(place)
+        for at in range(0, n, 1_000):  # so that no matrix of all pairs is held
+            away = place[at : at + 1_000, None] - others[None]
+            far = np.maximum((away**2).sum(-1), 1e-4)
+            out[at : at + 1_000] = (away * (mass * k * k / far)[..., None]).sum(1)
+        return out
 
-    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids, a = matrix(n, e)
-        pull = ((a + a.T) > 0).astype(float)
-        place = np.random.default_rng(seed).random((len(ids), 2))
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        a = Sparse(v, e)
+        pairs = np.unique(np.stack([np.minimum(a.src, a.dst), np.maximum(a.src, a.dst)], 1)[(a.src != a.dst) & (a.w > 0)], axis=0) if len(a.src) else np.zeros((0, 2), np.int64)
+        i, j = pairs[:, 0], pairs[:, 1]
+        place = np.random.default_rng(seed).random((a.n, 2))
         for step in range(rounds):
-            away = place[:, None] - place[None]
-            far = np.maximum(np.sqrt((away**2).sum(-1)), 0.01)
-            move = (away * (k * k / far**2 - pull * far / k)[..., None]).sum(1)
+            move = push(place)
+            away = place[i] - place[j]
+            pull = away * np.maximum(np.sqrt((away**2).sum(-1, keepdims=True)), 0.01) / k
+            for c in (0, 1):
+                move[:, c] += (np.bincount(j, pull[:, c], a.n) - np.bincount(i, pull[:, c], a.n)).astype(float)
             length = np.maximum(np.sqrt((move**2).sum(-1, keepdims=True)), 0.01)
             place = place + move / length * 0.1 * (1 - step / (rounds + 1))
-        low, high = place.min(0), place.max(0)
+        low, high = (place.min(0), place.max(0)) if a.n else (0.0, 0.0)
         place = np.where(high > low, (place - low) / np.where(high > low, high - low, 1) * 20 - 10, 0.0)
-        z = 10 * n.set_index("node_id").loc[ids, "privilege_level"].fillna(0).to_numpy()
-        return pd.DataFrame({"node_id": ids, "x": place[:, 0].round(4), "y": place[:, 1].round(4), "z": z.round(4)})
+        z = 10 * v.set_index("node_id").loc[a.ids, "privilege_level"].fillna(0).to_numpy()
+        return pd.DataFrame({"node_id": a.ids, "x": place[:, 0].round(4), "y": place[:, 1].round(4), "z": z.round(4)})
 
     return per_graph(nodes, edges, kernel, "node_id string, x double, y double, z double", ("privilege_level",))

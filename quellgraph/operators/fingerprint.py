@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quellgraph.operators import dense
-from quellgraph.operators.graph import clustering, components, degree_entropy, density
-from quellgraph.operators.traversal import average_path, betweenness
+from quellgraph.operators.graph import clustering_joined, components, degree_entropy, density
+from quellgraph.operators.traversal import paths
+from quellgraph.runtime import cut
 
 
 def topology(avg_path: Column, clustering_: Column, centrality_variance: Column, density_: Column, n: Column) -> Column:
@@ -19,14 +20,18 @@ def topology(avg_path: Column, clustering_: Column, centrality_variance: Column,
 
 
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per graph. The spectral gap is null for graphs beyond the dense kernels; all else is set-based and exact."""
-    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
-    cc = clustering(nodes, edges).groupBy("graph_id").agg(F.avg("clustering").alias("clustering"))
-    cv = betweenness(nodes, edges).groupBy("graph_id").agg(F.var_pop("betweenness").alias("centrality_variance"))
-    apl = average_path(nodes, edges, components(nodes, edges))
-    out = n
-    for part in (degree_entropy(nodes, edges), density(nodes, edges), cc, cv, apl, dense.spectral_gap(nodes, edges)):
-        out = out.join(part, "graph_id", "left")
+    """One row per graph. The spectral gap is null for graphs beyond a task; all else is exact for any size."""
+    fit = cut(dense.small_graphs(nodes, edges))
+    base = dense.structure(nodes, edges, fit)
+    big = nodes.join(fit, "graph_id", "left_anti")
+    if big.take(1):
+        e = edges.join(fit, "graph_id", "left_anti")
+        some = big.groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
+        cc = clustering_joined(big, e).groupBy("graph_id").agg(F.avg("clustering").alias("clustering"))
+        for part in (degree_entropy(big, e), density(big, e), cc):
+            some = some.join(part, "graph_id", "left")
+        base = base.unionByName(some.withColumn("spectral_gap", F.lit(None).cast("double")))
+    out = base.join(paths(nodes, edges, components(nodes, edges)), "graph_id", "left")
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("degree_entropy", "density", "clustering", "centrality_variance", "avg_path_length")]
     out = out.select("graph_id", "n_nodes", *zero, "spectral_gap")
     return out.withColumn("topology_type", topology(F.col("avg_path_length"), F.col("clustering"), F.col("centrality_variance"), F.col("density"), F.col("n_nodes")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quellgraph.operators import dense
 from quellgraph.runtime import cut, no_rows, place_within
 
 
@@ -16,7 +17,10 @@ def get_node(nodes: DataFrame, node_id: str, graph_id: str = "g") -> DataFrame:
 
 
 def get_edge(edges: DataFrame, src: str, dst: str, graph_id: str = "g") -> DataFrame:
-    return edges.where((F.col("graph_id") == graph_id) & (F.col("src") == src) & (F.col("dst") == dst))
+    found = edges.where((F.col("graph_id") == graph_id) & (F.col("src") == src) & (F.col("dst") == dst))
+    if no_rows(found):
+        raise KeyError(f"{src}->{dst}")
+    return found
 
 
 def nodes_of_type(nodes: DataFrame, node_type: str) -> DataFrame:
@@ -101,21 +105,35 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(graph_id, node_id, clustering)`` on the undirected graph: 2T / d(d - 1), 0 below degree 2."""
+    """``(graph_id, node_id, clustering)`` on the undirected graph: 2T / d(d - 1), 0 below degree 2. One task per graph where it fits."""
+    fit = cut(dense.small_graphs(nodes, edges))
+    out, big = dense.small_clustering(nodes, edges, fit), nodes.join(fit, "graph_id", "left_anti")
+    return out.unionByName(clustering_joined(big, edges.join(fit, "graph_id", "left_anti"))) if big.take(1) else out
+
+
+def clustering_joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """:func:`clustering` for graphs of any size."""
     e = undirected(edges)
     d = e.select("graph_id", F.explode(F.array("a", "b")).alias("node_id")).groupBy("graph_id", "node_id").agg(F.count("*").alias("d"))
     j = nodes.select("graph_id", "node_id").join(d, ["graph_id", "node_id"], "left").join(triangles(edges), ["graph_id", "node_id"], "left")
     return j.select("graph_id", "node_id", F.when(F.col("d") >= 2, 2.0 * F.coalesce("triangles", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(graph_id, node_id, component)``: the smallest node id of the weakly connected component.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(graph_id, node_id, component)``: the smallest node id of the weakly connected component. One task per graph where it fits."""
+    fit = cut(dense.small_graphs(nodes, edges))
+    out, big = dense.small_components(nodes, edges, fit), nodes.join(fit, "graph_id", "left_anti")
+    return out.unionByName(components_joined(big, edges.join(fit, "graph_id", "left_anti"))) if big.take(1) else out
+
 
-    Alternating large-star and small-star steps: O(log n) rounds whatever the diameter, and each round is one group-by.
+def components_joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """:func:`components` for graphs of any size.
+
+    Alternating large-star and small-star steps until nothing moves: O(log n) rounds whatever the diameter, and each round is one group-by.
     """
     pairs = cut(undirected(edges).select("graph_id", F.col("a").alias("u"), F.col("b").alias("v")))
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("graph_id", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, ["graph_id", "u"]).where("v > u").select("graph_id", F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -150,6 +168,17 @@ def merge_absent(have: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return have.unionByName(keep_first(new, keys).join(have, keys, "left_anti"), allowMissingColumns=True)
 
 
+def add_edge(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """``edges`` with those of ``new`` whose ends exist; a pair that is there already keeps the heavier of both."""
+    for end in ("src", "dst"):
+        new = new.join(nodes.select("graph_id", F.col("node_id").alias(end)), ["graph_id", end], "left_semi")
+    return keep_strongest(edges.unionByName(new.select(*[c for c in edges.columns if c in new.columns]), allowMissingColumns=True))
+
+
+def drop_edge(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return edges.join(gone.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti").select(*edges.columns)
+
+
 def drop_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFrame, DataFrame]:
     return nodes.where(F.col("node_id") != node_id), edges.where((F.col("src") != node_id) & (F.col("dst") != node_id))
 

@@ -5,7 +5,6 @@ Matrix-vector models follow the product A x: a node's value comes from those it
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.functions.rng import unit
+from quellgraph.functions.rng import unit, unit_of
 from quellgraph.operators import dense
 from quellgraph.operators.graph import components
 from quellgraph.operators.traversal import bfs, check_seeds, reachability
@@ -49,21 +48,20 @@ def _mat_vec(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, scale: DataFr
     n = n.join(scale, "graph_id", "left") if isinstance(scale, DataFrame) else n.withColumn("scale", F.lit(float(scale)))
 
     def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values(["ord", "node_id"])
-        ids, a = dense.matrix(v, e)
-        a = a * float(v["scale"].iloc[0])
-        a = a if direction == "reverse" else a.T
-        start = v["seed"].fillna(0.0).to_numpy()
+        a = dense.Sparse(v, e)
+        a.w = a.w * float(v["scale"].iloc[0])
+        times = a.times if direction == "reverse" else a.back
+        start = v.sort_values(["ord", "node_id"])["seed"].fillna(0.0).to_numpy()
         x = start.copy()
         for _ in range(steps):
-            y = np.clip(a @ x, 0.0, 1.0)
+            y = np.clip(times(x), 0.0, 1.0)
             if hold_seeds:
                 y = np.where(start > 0, 1.0, y)
             move = float(np.sqrt(((y - x) ** 2).sum()))
             x = y
             if tolerance > 0 and move < tolerance:
                 break
-        return pd.DataFrame({"node_id": ids, "risk": x})
+        return pd.DataFrame({"node_id": a.ids, "risk": x})
 
     out = dense.per_graph(n, edges, kernel, "node_id string, risk double", ("seed", "scale"))
     big = nodes.join(fit, "graph_id", "left_anti")
@@ -87,14 +85,14 @@ def _mat_vec_joined(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, scale:
     x, still = cut(start), None
     held = start.withColumnRenamed("x", "_one")
     for step in range(steps):
-        live = x if still is None else x.join(F.broadcast(still), "graph_id", "left_semi")
+        live = x if still is None else x.join(still, "graph_id", "left_semi")
         y = a.join(live.select("graph_id", F.col("node_id").alias("_by"), "x"), ["graph_id", "_by"]).groupBy("graph_id", "node_id").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
         y = y.withColumn("y", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("y"))))
         if hold_seeds:
-            h = held if still is None else held.join(F.broadcast(still), "graph_id", "left_semi")
+            h = held if still is None else held.join(still, "graph_id", "left_semi")
             y = y.join(h, ["graph_id", "node_id"], "full").select("graph_id", "node_id", F.coalesce("_one", "y").alias("y"))
         both = cut(live.join(y, ["graph_id", "node_id"], "full").select("graph_id", "node_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y")))
-        rest = None if still is None else x.join(F.broadcast(still), "graph_id", "left_anti")
+        rest = None if still is None else x.join(still, "graph_id", "left_anti")
         new = both.select("graph_id", "node_id", F.col("y").alias("x"))
         x = new if rest is None else rest.unionByName(new)
         if tolerance > 0:
@@ -112,37 +110,65 @@ def epidemic(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, beta: float =
     return _result("epidemic", _mat_vec(nodes, edges, seeds, beta, max_steps, tolerance, True, direction), seeds, infection_threshold)
 
 
-def spectral_radius(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(graph_id, radius, node_id, vector)`` by power iteration on A + I, for graphs of any size.
-
-    With no negative weight the radius is an eigenvalue, and the shift by I keeps periodic graphs from swinging. A graph without
-    cycles gives a radius that falls towards 0 like 1 / rounds.
+def circular(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(graph_id)`` of graphs with a circle of edges with weight: nodes without an edge into or out of them are taken away until none is
+    left to take. As many rounds as half the longest path."""
+    left = cut(edges.where("weight > 0").select("graph_id", "src", "dst"))
+    n = left.count()
+    while n:
+        ends = left.select("graph_id", F.col("src").alias("v")).distinct().intersect(left.select("graph_id", F.col("dst").alias("v")).distinct())
+        kept = left
+        for end in ("src", "dst"):
+            kept = kept.join(ends.withColumnRenamed("v", end), ["graph_id", end], "left_semi")
+        left, before = cut(kept.select("graph_id", "src", "dst")), n
+        n = left.count()
+        if n == before:
+            break
+    return left.select("graph_id").distinct()
+
+
+def spectral_radius(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """``(graph_id, radius, node_id, vector)`` by power iteration on A + I, for graphs of any size, until no entry moves by
+    ``tolerance`` or for exactly ``rounds``.
+
+    With no negative weight the radius is an eigenvalue, and the shift by I keeps periodic graphs from swinging. Graphs without
+    circles don't converge; :func:`spectral_header` takes them out first.
     """
     a = cut(edges.where("weight > 0").select("graph_id", "src", "dst", "weight"))
-    x = nodes.select("graph_id", "node_id", F.lit(1.0).alias("x"))
-    for k in range(rounds):
+    x, k = nodes.select("graph_id", "node_id", F.lit(1.0).alias("x")), 0
+    while rounds is None or k < rounds:
+        k += 1
         y = a.join(x.select("graph_id", F.col("node_id").alias("dst"), "x"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
         z = x.join(y, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "x", (F.coalesce("y", F.lit(0.0)) + F.col("x")).alias("z"))
         top = z.groupBy("graph_id").agg(F.max("z").alias("top"))
-        x = z.join(F.broadcast(top), "graph_id").select("graph_id", "node_id", (F.col("z") / F.col("top")).alias("x"), (F.col("top") - 1).alias("radius"))
-        x = cut(x)
+        moved = cut(z.join(top, "graph_id").select("graph_id", "node_id", (F.col("z") / F.col("top")).alias("x"), (F.col("top") - 1).alias("radius"), F.abs(F.col("z") / F.col("top") - F.col("x")).alias("move")))
+        x = moved.drop("move")
+        if rounds is None and (moved.agg(F.max("move")).first()[0] or 0.0) < tolerance:
+            break
     return x.select("graph_id", "node_id", "radius", F.col("x").alias("vector"))
 
 
 def spectral_header(nodes: DataFrame, edges: DataFrame, tau: float = 0.5) -> DataFrame:
-    """``(graph_id, node_id, lambda_max, vector, cascade, probability)``: dense for small graphs, power iteration for the rest."""
+    """``(graph_id, node_id, lambda_max, vector, cascade, probability)``: one task per graph where it fits, by joins for the rest; 0 for
+    graphs without circles in both forms."""
     fit = dense.small_graphs(nodes, edges)
     big = nodes.join(fit, "graph_id", "left_anti")
     r = dense.spectral_risk(nodes, edges)
     if big.take(1):
-        e = edges.join(fit, "graph_id", "left_anti")
-        r = r.unionByName(spectral_radius(big, e).select("graph_id", "node_id", F.col("radius").alias("lambda_max"), "vector"))
+        r = r.unionByName(_spectral_joined(big, edges.join(fit, "graph_id", "left_anti")))
     lam = F.col("lambda_max")
     cascade = (lam > 1e-9) & (tau > 1 / F.greatest(lam, F.lit(1e-9)))
     chance = F.when(lam <= 1e-9, 0.0).when(cascade, F.least(F.lit(1.0), tau * lam)).otherwise(0.1 * tau * lam)
     return r.withColumn("cascade", cascade).withColumn("probability", chance)
 
 
+def _spectral_joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    round_ = cut(circular(nodes, edges))
+    flat = nodes.join(round_, "graph_id", "left_anti").select("graph_id", "node_id", F.lit(0.0).alias("lambda_max"), F.lit(0.0).alias("vector"))
+    found = spectral_radius(nodes.join(round_, "graph_id", "left_semi"), edges.join(round_, "graph_id", "left_semi"))
+    return flat.unionByName(found.select("graph_id", "node_id", F.col("radius").alias("lambda_max"), "vector"))
+
+
 def spectral_cascade(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tau: float = 0.5, risk_threshold: float = 0.3) -> DataFrame:
     """The eigenvector as risk where there is a cascade; else only seeds are compromised. Graphs without cycles: seeds only."""
     check_seeds(nodes, seeds)
@@ -173,18 +199,14 @@ def percolation_trials(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p:
             out[x].append(rest)
         start, parts = [at[x] for x in v.loc[v["seed"].notna(), "node_id"]], []
         for k in range(n_trials):
-            root = list(range(len(ids)))
-            for x, y, w, pair in ends:
-                if _unit(f"{random_seed}|c|{graph}|{k}|{pair}") < w:
-                    x, y = _root(root, x), _root(root, y)
-                    root[max(x, y)] = min(x, y)
-            tops = np.array([_root(root, x) for x in range(len(ids))], int)
+            kept = [(x, y) for x, y, w, pair in ends if unit_of(random_seed, "c", graph, k, pair) < w]
+            tops = np.array(dense.component_roots(len(ids), [x for x, _ in kept], [y for _, y in kept]), int)
             size = np.bincount(tops, minlength=len(ids))[tops]
             reached, todo = np.zeros(len(ids), bool), list(start)
             reached[start] = True
             while todo:
                 for y, w, pair in out[todo.pop()]:
-                    if not reached[y] and _unit(f"{random_seed}|r|{graph}|{k}|{pair}") < w:
+                    if not reached[y] and unit_of(random_seed, "r", graph, k, pair) < w:
                         reached[y] = True
                         todo.append(y)
             parts.append(pd.DataFrame({"trial": k, "node_id": ids, "in_giant": size > giant_threshold * len(ids), "reached": reached, "component": [ids[x] for x in tops], "size": size}))
@@ -197,17 +219,6 @@ def percolation_trials(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p:
     return done
 
 
-def _unit(text: str) -> float:
-    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / (1 << 32)
-
-
-def _root(root: list[int], x: int) -> int:
-    while root[x] != x:
-        root[x] = root[root[x]]
-        x = root[x]
-    return x
-
-
 def _percolation_joined(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p: float, n_trials: int, giant_threshold: float, random_seed: int) -> DataFrame:
     """:func:`percolation_trials` for graphs of any size, with the same draws. Trials are extra keys of the same joins."""
     trial = F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")

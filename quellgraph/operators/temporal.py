@@ -1,19 +1,18 @@
 """Attackers that dwell and move: one simulation per (graph, strategy, seed).
 
-Walks are sequential; what is distributed is their number. On graphs up to the dense kernels' limits a walk is a task of its own;
+Walks are sequential; what is distributed is their number. On graphs that fit a task a walk is a task of its own;
 on larger ones all walkers move on together, by joins of the nodes they are at with the edges.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.functions.rng import unit
+from quellgraph.functions.rng import unit, unit_of
 from quellgraph.operators.dense import small_graphs
 from quellgraph.runtime import cut, place_within
 
@@ -24,10 +23,6 @@ JUMPS = ["ASSUME_ROLE", "AUTHENTICATE_AS"]
 _OUT = "graph_id string, strategy string, seed int, time_step int, current_node string, action string, n_compromised int, detected boolean, strictness string, n_events int, high_reached boolean"
 
 
-def _draw(*parts) -> float:
-    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / (1 << 32)
-
-
 def _strictness(events: int, jumps: int, step: int) -> str:
     """From the running reading: all probes are allowed, so only their frequency and privileged edges count."""
     if not events:
@@ -51,7 +46,7 @@ def walk(edges: pd.DataFrame, privilege: dict[str, float], start: str, strategy:
             n = len(probes)
             events += n
             jumps += int(probes["edge_type"].isin(JUMPS).sum()) if n else 0
-            noticed = any(_draw(seed, strategy, "see", t, k) < detection for k in range(max(1, n)))
+            noticed = any(unit_of(seed, strategy, "see", t, k) < detection for k in range(max(1, n)))
         else:
             waited = 0
             free = near[~near["dst"].isin(been)] if near is not None else None
@@ -63,7 +58,7 @@ def walk(edges: pd.DataFrame, privilege: dict[str, float], start: str, strategy:
                 elif strategy == "stealthy":
                     to = free.nsmallest(1, "weight", keep="first")["dst"].iloc[0]
                 else:
-                    to = free["dst"].iloc[int(_draw(seed, "go", t) * len(free))]
+                    to = free["dst"].iloc[int(unit_of(seed, "go", t) * len(free))]
                 if (at, to) not in blocked:
                     at, action = to, "MOVE"
                     been.add(to)

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.functions.rng import unit
+from quellgraph.functions.rng import unit, unit_of
 from quellgraph.operators import dense
-from quellgraph.runtime import cut
+from quellgraph.runtime import cut, written
 
 BROADCAST_ROWS = 200_000
 
@@ -39,7 +39,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, edge_t
     start = cut(seeds.select(*keys, "node_id").distinct())
     if list(keys) != on:
         return _bfs_levels(hop, start, max_depth, keys, on)
-    big = hop.groupBy(*on).agg(F.count("*").alias("m")).where(F.col("m") > dense.DENSE_EDGES).select(*on)
+    big = hop.groupBy(*on).agg(F.count("*").alias("m")).where(F.col("m") > dense.SMALL_EDGES).select(*on)
     some = bool(big.take(1))
     few = lambda df: df.join(big, on, "left_anti") if some else df
     out = _bfs_small(few(hop), few(start), max_depth, on)
@@ -99,14 +99,60 @@ def reachability_header(nodes: DataFrame, result: DataFrame, high: float = 0.9)
     return g.select("graph_id", "n_compromised", "depth", F.when(F.col("_high") == 1, 1.0).otherwise(F.col("n_compromised") / F.col("n")).alias("cascade_probability"), F.lit(1.0).alias("confidence"))
 
 
+_STEP = "graph_id string, kind string, src string, dst string, level int, outcome string"
+
+
 def gated(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 6, conditions: bool = False, random_seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Traversal by delegation tokens: ``(visited, steps)``.
 
     At level d, every edge from the frontier to a node not seen before the level is attempted: it fails if d exceeds the edge's
     delegation depth limit and, with ``conditions``, with probability 1 - weight. ``visited`` is ``(graph_id, node_id, level)``;
     ``steps`` has one row per attempt, ``(graph_id, src, dst, level, outcome)``.
+    Graphs that fit are walked one to a task, the others level by level, with the same draws.
     """
     check_seeds(nodes, seeds)
+    hop = edges.select("graph_id", "src", "dst", "weight", "delegation_depth_limit")
+    start = seeds.select("graph_id", "node_id").distinct()
+    big = cut(hop.groupBy("graph_id").agg(F.count("*").alias("m")).where(F.col("m") > dense.SMALL_EDGES).select("graph_id"))
+    some = bool(big.take(1))
+    few = lambda df: df.join(big, "graph_id", "left_anti") if some else df
+
+    def run(key: tuple, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list] = {}
+        for a, b, w, most in zip(e["src"], e["dst"], e["weight"], e["delegation_depth_limit"], strict=True):
+            near.setdefault(a, []).append((b, w, most))
+        front, rows = list(s["node_id"]), []
+        level = dict.fromkeys(front, 0)
+        for depth in range(max_depth):
+            reached: dict[str, int] = {}
+            for a in front:
+                for b, w, most in near.get(a, ()):
+                    if b in level:
+                        continue
+                    if most is not None and most == most and most < depth:
+                        outcome = "depth_exceeded"
+                    elif conditions and not (w is not None and unit_of(random_seed, depth, key[0], a, b) < w):
+                        outcome = "condition_failed"
+                    else:
+                        outcome = "succeeded"
+                        reached[b] = depth + 1
+                    rows.append((key[0], "step", a, b, depth, outcome))
+            level |= reached
+            front = list(reached)
+        rows += [(key[0], "seen", v, None, k, None) for v, k in level.items()]
+        return pd.DataFrame(rows, columns=["graph_id", "kind", "src", "dst", "level", "outcome"])
+
+    walked = written(few(start).groupBy("graph_id").cogroup(few(hop).groupBy("graph_id")).applyInPandas(run, _STEP))
+    seen = walked.where("kind = 'seen'").select("graph_id", F.col("src").alias("node_id"), "level")
+    steps = walked.where("kind = 'step'").select("graph_id", "src", "dst", "level", "outcome")
+    if some:
+        a, b = _gated_levels(hop.join(big, "graph_id", "left_semi"), start.join(big, "graph_id", "left_semi"), max_depth, conditions, random_seed)
+        seen, steps = seen.unionByName(a), steps.unionByName(b)
+    return seen, steps
+
+
+def _gated_levels(edges: DataFrame, seeds: DataFrame, max_depth: int, conditions: bool, random_seed: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`gated` for graphs of any size, level by level."""
     hop = cut(edges.select("graph_id", "src", "dst", "weight", "delegation_depth_limit"))
     front = cut(seeds.select("graph_id", "node_id").distinct().withColumn("level", F.lit(0)))
     seen, n, log = front, front.count(), []
@@ -133,14 +179,17 @@ def parents(steps: DataFrame) -> DataFrame:
     return first.select("graph_id", "node_id", F.col("s.src").alias("parent"), F.col("s.level").alias("level"))
 
 
-def paths_to(steps: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
+def paths_to(steps: DataFrame, targets: DataFrame) -> DataFrame:
     """``(graph_id, node_id, path)`` from a seed to each of ``targets`` that was reached, by :func:`parents`; seeds are their own path."""
     up = cut(parents(steps).select("graph_id", F.col("node_id").alias("_at"), "parent"))
     paths = targets.select("graph_id", "node_id", F.array("node_id").alias("path"), F.col("node_id").alias("_at"))
-    for _ in range(max_depth):
-        paths = paths.join(up, ["graph_id", "_at"], "left").select("graph_id", "node_id", F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), F.col("path"))).alias("path"), F.coalesce("parent", "_at").alias("_at"))
-        paths = cut(paths)
-    return paths.select("graph_id", "node_id", "path")
+    done = paths.limit(0).select("graph_id", "node_id", "path")
+    while True:  # as many rounds as the deepest path has steps
+        on = cut(paths.join(up, ["graph_id", "_at"], "left"))
+        done = done.unionByName(on.where("parent is null").select("graph_id", "node_id", "path"))
+        paths = on.where("parent is not null").select("graph_id", "node_id", F.concat(F.array("parent"), F.col("path")).alias("path"), F.col("parent").alias("_at"))
+        if not paths.take(1):
+            return done
 
 
 def simple_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, target_privilege: float = 0.8, max_hops: int = 10) -> DataFrame:
@@ -167,27 +216,37 @@ def all_pairs(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> Data
     return bfs(e, nodes.select("graph_id", F.col("node_id").alias("source"), "node_id"), keys=("graph_id", "source"))
 
 
-def average_path(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """``(graph_id, avg_path_length)`` on the largest weak component: directed if it is strongly connected, else undirected.
-
-    Small graphs are counted one to a task, the others by joins."""
-    fit = dense.path_graphs(nodes, edges)
+def _largest(comps: DataFrame) -> DataFrame:
+    """``(graph_id, node_id, k)``: the nodes of each graph's largest component, and its size."""
     size = comps.groupBy("graph_id", "component").agg(F.count("*").alias("k"))
     largest = size.groupBy("graph_id").agg(F.max_by("component", F.struct("k", "component")).alias("component"), F.max("k").alias("k"))
-    inside = comps.join(largest, ["graph_id", "component"]).select("graph_id", "node_id", "k")
-    g = dense.path_counts(nodes, edges).join(inside, ["graph_id", "node_id"]).groupBy("graph_id").agg(F.first("k").alias("k"), F.sum("directed_sum").alias("d1"), F.sum("directed_pairs").alias("p1"), F.sum("undirected_sum").alias("d2"))
+    return comps.join(largest, ["graph_id", "component"]).select("graph_id", "node_id", "k")
+
+
+def paths(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(graph_id, avg_path_length, centrality_variance)``: of the largest weak component, directed if it is strongly connected, else
+    undirected; and the variance of the betweenness. Paths of a graph are counted once, by tasks that hold its edges where they fit, else by joins."""
+    fit = cut(dense.path_graphs(nodes, edges))
+    own = dense.path_counts(nodes, edges, fit).join(_largest(comps), ["graph_id", "node_id"], "left")
+    inside = lambda c: F.sum(F.when(F.col("k").isNotNull(), F.col(c)))
+    g = own.groupBy("graph_id").agg(F.max("k").alias("k"), inside("directed_sum").alias("d1"), inside("directed_pairs").alias("p1"), inside("undirected_sum").alias("d2"), F.var_pop("betweenness").alias("centrality_variance"))
     full = F.col("k") * (F.col("k") - 1)
-    out = g.select("graph_id", F.when(F.col("k") < 2, 0.0).when(F.col("p1") == full, F.col("d1") / full).otherwise(F.col("d2") / full).alias("avg_path_length"))
+    out = g.select("graph_id", F.when(F.col("k") < 2, 0.0).when(F.col("p1") == full, F.col("d1") / full).otherwise(F.col("d2") / full).alias("avg_path_length"), "centrality_variance")
     big = nodes.join(fit, "graph_id", "left_anti")
     if big.take(1):
-        out = out.unionByName(_average_path_joined(big, edges.join(fit, "graph_id", "left_anti"), comps.join(fit, "graph_id", "left_anti")))
+        e = edges.join(fit, "graph_id", "left_anti")
+        variance = betweenness_joined(big, e).groupBy("graph_id").agg(F.var_pop("betweenness").alias("centrality_variance"))
+        out = out.unionByName(_average_path_joined(big, e, comps.join(fit, "graph_id", "left_anti")).join(variance, "graph_id", "left"))
     return out
 
 
+def average_path(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(graph_id, avg_path_length)`` as of :func:`paths`."""
+    return paths(nodes, edges, comps).select("graph_id", "avg_path_length")
+
+
 def _average_path_joined(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    size = comps.groupBy("graph_id", "component").agg(F.count("*").alias("k"))
-    largest = size.groupBy("graph_id").agg(F.max_by("component", F.struct("k", F.expr("component"))).alias("component"), F.max("k").alias("k"))
-    inside = comps.join(largest, ["graph_id", "component"]).select("graph_id", "node_id", "k")
+    inside = _largest(comps)
     e = edges.join(inside.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi").select("graph_id", "src", "dst")
     total = lambda d: all_pairs(inside, e, d).where("dist > 0").groupBy("graph_id").agg(F.count("*").alias("pairs"), F.sum("dist").alias("dist"))
     k = inside.groupBy("graph_id").agg(F.first("k").alias("k"))
@@ -199,8 +258,8 @@ def _average_path_joined(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph_id, node_id, betweenness)``: directed, unweighted, normalised by (n - 1)(n - 2). Small graphs are counted one to a
     task, the others by :func:`betweenness_joined`."""
-    fit = dense.path_graphs(nodes, edges)
-    out = dense.path_counts(nodes, edges).select("graph_id", "node_id", "betweenness")
+    fit = cut(dense.path_graphs(nodes, edges))
+    out = dense.path_counts(nodes, edges, fit).select("graph_id", "node_id", "betweenness")
     big = nodes.join(fit, "graph_id", "left_anti")
     return out.unionByName(betweenness_joined(big, edges.join(fit, "graph_id", "left_anti"))) if big.take(1) else out
 

@@ -60,7 +60,7 @@ def test_both_tiers_of_bfs_agree(spark, random_graphs, monkeypatch):
     n, e = random_graphs
     s = n.where("node_id = 'v00'").select("graph_id", "node_id")
     few = rows(traversal.bfs(e, s))
-    monkeypatch.setattr(dense, "DENSE_EDGES", 1)
+    monkeypatch.setattr(dense, "SMALL_EDGES", 1)
     assert rows(traversal.bfs(e, s)) == few and len(few) > 10
 
 
@@ -82,7 +82,8 @@ def test_control_and_spectral(spark, chain, random_graphs):
     got = {(r["graph_id"], r["node_id"]): r["risk"] for r in propagation.control_system(n, e, s).collect()}
     power = {(r["graph_id"], r["node_id"]): r for r in propagation.spectral_radius(n, e, 15).collect()}
     for g in ("r0", "r1", "r2"):
-        ids, a = dense.matrix(n.where(F.col("graph_id") == g).toPandas(), e.where(F.col("graph_id") == g).toPandas())
+        sparse = dense.Sparse(n.where(F.col("graph_id") == g).toPandas(), e.where(F.col("graph_id") == g).toPandas())
+        ids, a = sparse.ids, sparse.matrix()
         lam = max(np.linalg.eigvals(a).real)
         assert abs(h[g, ids[0]]["lambda_max"] - lam) < 1e-9
         z = np.ones(len(a))
@@ -99,6 +100,73 @@ def test_control_and_spectral(spark, chain, random_graphs):
         assert all(abs(got[g, v] - x[i]) < 1e-9 for i, v in enumerate(ids))
 
 
+@pytest.mark.parametrize("n_nodes", [1_990, 2_010])
+def test_graphs_without_circles_have_no_cascade_at_any_size(spark, n_nodes):
+    n, e = make(spark, [(f"v{i:05d}", "SERVICE", 0.5, 0.5) for i in range(n_nodes)], [(f"v{i:05d}", f"v{i + k:05d}", "TOKEN_MINT", 0.9, 3) for i in range(n_nodes) for k in (1, 2, 3) if i + k < n_nodes])
+    assert rows(propagation.spectral_cascade(n, e, seed(spark, "v00000")).where("compromised"), "node_id") == {("v00000",)}
+    assert propagation.stability(n, e).first()["radius"] == 0
+
+
+def test_spectral_forms_agree(spark, random_graphs, monkeypatch):
+    """Dense, iterated in one task, and by joins; with a graph without circles among them."""
+    line = make(spark, [(f"x{i}", "SERVICE", 0.1, 0.1) for i in range(9)], [(f"x{i}", f"x{i + 1}", "TOKEN_MINT", 0.5, 1) for i in range(8)], "line")
+    n, e = (a.unionByName(b) for a, b in zip(random_graphs, line, strict=True))
+    want = {tuple(r[:2]): (round(r["lambda_max"], 6), round(r["vector"], 5)) for r in propagation.spectral_header(n, e).collect()}
+    assert want["line", "x0"] == (0.0, 0.0) and want["r0", "v00"][0] > 0.5
+    for g in ("r0", "r1", "line"):
+        sparse = dense.Sparse(n.where(F.col("graph_id") == g).toPandas(), e.where(F.col("graph_id") == g).toPandas())
+        gaps = [sparse.gap(k) for k in ("lower", "avg")]
+        with monkeypatch.context() as m:
+            m.setattr(dense, "EIGEN_NODES", 0)
+            value, vector = sparse.leading()
+            assert all(want[g, v] == (round(value, 6), round(x, 5)) for v, x in zip(sparse.ids, vector, strict=True))
+            assert np.allclose([sparse.gap(k) for k in ("lower", "avg")], gaps, atol=1e-8)
+    n, e = (x.where("graph_id in ('r0', 'line')") for x in (n, e))
+    monkeypatch.setattr(dense, "SMALL_NODES", 0)
+    got = {tuple(r[:2]): (round(r["lambda_max"], 6), round(r["vector"], 5)) for r in propagation.spectral_header(n, e).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] in ("r0", "line")}
+
+
+def test_structure_forms_agree(spark, random_graphs, monkeypatch):
+    n, e = (x.where("graph_id = 'r1'") for x in random_graphs)
+    own = lambda: ({tuple(r[:2]): round(r[2], 9) for r in graph.clustering(n, e).collect()}, rows(graph.components(n, e)), [round(v, 9) if isinstance(v, float) else v for k, v in fingerprint.fingerprint(n, e).first().asDict().items() if k != "spectral_gap"])
+    few = own()
+    monkeypatch.setattr(dense, "TASK_PATHS", 60)
+    assert own() == few
+    monkeypatch.setattr(dense, "SMALL_NODES", 0)
+    assert own() == few
+
+
+def test_layout_of_large_graphs(monkeypatch):
+    import pandas as pd
+
+    kernel = {}
+    monkeypatch.setattr(dense, "per_graph", lambda n, e, k, *a: kernel.setdefault("k", k))
+    dense.layout(None, None, rounds=5)
+    v = pd.DataFrame({"ord": 0, "node_id": [f"v{i:05d}" for i in range(5_000)], "privilege_level": 0.5})
+    e = pd.DataFrame({"src": v["node_id"].iloc[:-1].to_numpy(), "dst": v["node_id"].iloc[1:].to_numpy(), "weight": 0.5})
+    out = kernel["k"](v, e)
+    assert len(out) == 5_000 and out[["x", "y"]].abs().max().max() <= 10 and out["x"].nunique() > 4_000 and (out["z"] == 5).all()
+
+
+def test_gated_forms_agree(spark, random_graphs):
+    n, e = random_graphs
+    s = n.where("node_id = 'v00'").select("graph_id", "node_id")
+    for conditions in (False, True):
+        few, many = traversal.gated(n, e, s, 6, conditions), traversal._gated_levels(e, s, 6, conditions, 42)
+        assert rows(few[0]) == rows(many[0]) and rows(few[1]) == rows(many[1]) and few[1].count() == many[1].count() > 20
+
+
+def test_edges_put_in_and_taken_out(spark, chain):
+    n, e = chain
+    new = spark.createDataFrame([("g", 9, "D", "A", "ASSUME_ROLE", 0.3, 1), ("g", 10, "A", "B", "TOKEN_MINT", 0.9, 1), ("g", 11, "A", "nobody", "TOKEN_MINT", 0.9, 1)], "graph_id string, ord int, src string, dst string, edge_type string, weight double, delegation_depth_limit int")
+    more = graph.add_edge(n, e, new)
+    assert rows(more, "src", "dst", "weight") == {("A", "B", 0.9), ("B", "C", 0.7), ("C", "D", 0.9), ("D", "A", 0.3)}
+    assert rows(graph.drop_edge(more, new), "src", "dst") == {("B", "C"), ("C", "D")}
+    with pytest.raises(KeyError):
+        graph.get_edge(e, "A", "D")
+
+
 def test_epidemic_tiers(spark, random_graphs):
     n, e = random_graphs
     s = n.where("node_id = 'v00'").select("graph_id", "node_id")
@@ -256,7 +324,7 @@ def test_temporal_on_any_graph(spark, random_graphs, monkeypatch):
     for options in ({"detection": 0.01, "steps": 30, "blocked": stop}, {"steps": 18}, {"detection": 0.0, "steps": 13, "dwell": 2}):
         dense_form = sorted(map(tuple, temporal.simulate(n, e, s, runs, **options).collect()))
         with monkeypatch.context() as m:
-            m.setattr(dense, "DENSE_NODES", 0)
+            m.setattr(dense, "SMALL_NODES", 0)
             joined = sorted(map(tuple, temporal.simulate(n, e, s, runs, **options).collect()))
         assert len(dense_form) == 4 * 4 * options["steps"] and joined == dense_form
 
