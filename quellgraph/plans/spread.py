@@ -18,8 +18,8 @@ STEPS, TRIALS = 6, 5
 
 
 def _org(spark, d):
-    """The graphs of the organisations, read once."""
-    return cut(org_nodes(spark, d)), cut(org_edges(spark, d)), cut(org_seeds(spark, d))
+    """The graphs of the organisations."""
+    return org_nodes(spark, d), org_edges(spark, d), org_seeds(spark, d)
 
 
 def _rounded(r, *cols, places=6):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quellgraph.operators.evaluation import pick_seeds
-from quellgraph.runtime import table, trimmed
+from quellgraph.runtime import table, trimmed, written_once
 from quellgraph.schema import EDGES, NODES, conform
 
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}\x1c-\x1f]+|[\s\p{{Z}}\x1c-\x1f]+$', '', 'g')"
@@ -16,7 +16,7 @@ def sql_trim(c: str) -> str:
     return _TRIM.format(c)
 
 
-def org_nodes(spark: SparkSession, d: str) -> DataFrame:
+def _org_nodes(spark: SparkSession, d: str) -> DataFrame:
     """A node per organisation and id, whatever its spans."""
     n = table(spark, d, "org_graph").where("org_id is not null and node_id is not null")
     g = n.groupBy(F.col("org_id").alias("graph_id"), trimmed(F.col("node_id")).alias("node_id")).agg(
@@ -25,7 +25,7 @@ def org_nodes(spark: SparkSession, d: str) -> DataFrame:
     return conform(g, NODES)
 
 
-def org_edges(spark: SparkSession, d: str) -> DataFrame:
+def _org_edges(spark: SparkSession, d: str) -> DataFrame:
     """An edge per organisation and ordered pair of known nodes."""
     e = table(spark, d, "org_edges").where("org_id is not null and source is not null and target is not null")
     e = e.groupBy(F.col("org_id").alias("graph_id"), trimmed(F.col("source")).alias("src"), trimmed(F.col("target")).alias("dst")).agg(
@@ -37,8 +37,17 @@ def org_edges(spark: SparkSession, d: str) -> DataFrame:
     return conform(e.withColumn("edge_id", F.concat_ws("->", "src", "dst")), EDGES)
 
 
+def org_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`_org_nodes`, made once in a session."""
+    return written_once(spark, "org_nodes", [f"{d}/org_graph.parquet"], lambda: _org_nodes(spark, d))
+
+
+def org_edges(spark: SparkSession, d: str) -> DataFrame:
+    return written_once(spark, "org_edges", [f"{d}/org_graph.parquet", f"{d}/org_edges.parquet"], lambda: _org_edges(spark, d))
+
+
 def org_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return pick_seeds(org_nodes(spark, d))
+    return written_once(spark, "org_seeds", [f"{d}/org_graph.parquet"], lambda: pick_seeds(org_nodes(spark, d)))
 
 
 ORG_SQL = rf"""

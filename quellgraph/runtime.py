@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a session of this engine needs; a cluster sets its own partition counts and sizes.
 SETTINGS = {
@@ -82,6 +83,34 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], load: str, s
     return out.select(*left.columns, *[F.col("_found").getField(v).alias(v) for v in values])
 
 
+_KEPT: dict[tuple, tuple[str, T.StructType]] = {}
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written_once(spark: SparkSession, name: str, sources: list[str], make) -> DataFrame:
+    """``make()`` written by :func:`written` once in a session, and read again as long as neither the files ``sources`` change nor the copy is gone."""
+    stamps = []
+    for source in sources:
+        p, fs = _path(spark, source)
+        stamps.append((source, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()))
+    key = (spark.sparkContext.applicationId, name, *stamps)
+    if key in _KEPT:
+        path, schema = _KEPT[key]
+        p, fs = _path(spark, path)
+        if fs.exists(p):
+            return spark.read.schema(schema).parquet(path)
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    df = make()
+    df.write.parquet(path)
+    _KEPT[key] = path, df.schema
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def no_rows(df: DataFrame) -> bool:
     return not df.take(1)
 
