@@ -19,7 +19,7 @@ PRIORS = {
 THRESHOLD = 0.35
 # Recommended weights by topology of the fingerprint, in this order of models.
 HINT_MODELS = ("graph_traversal", "epidemic", "spectral", "percolation", "control_system")
-HINTS = {"HUB": (0.2, 0.1, 0.5, 0.1, 0.1), "CHAIN": (0.15, 0.45, 0.1, 0.1, 0.2), "DENSE_CLUSTER": (0.1, 0.15, 0.15, 0.5, 0.1), "MIXED": (0.2, 0.2, 0.2, 0.2, 0.2)}
+HINTS = {"HUB": (0.1, 0.1, 0.5, 0.2, 0.1), "CHAIN": (0.15, 0.45, 0.1, 0.1, 0.2), "DENSE_CLUSTER": (0.1, 0.15, 0.15, 0.5, 0.1), "MIXED": (0.2, 0.2, 0.2, 0.2, 0.2)}
 
 
 def _table(spark: SparkSession, values: dict, models: tuple) -> DataFrame:

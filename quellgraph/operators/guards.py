@@ -121,6 +121,8 @@ def feedback(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, guards: DataF
         log = levels if log is None else log.unionByName(levels)
         edges = cut(block(edges, guards, levels))
         seeds = cut(expand_seeds(seeds, edges))
+    if log is None:
+        log = seeds.select("graph_id", F.lit(0).alias("cycle"), F.lit(0.0).alias("risk"), F.lit(0.0).alias("anomaly_score"), F.lit("NOMINAL").alias("strictness")).limit(0)
     return edges, seeds, log
 
 

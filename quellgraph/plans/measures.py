@@ -16,7 +16,7 @@ from quellgraph.plans.registry import query
 from quellgraph.plans.views import ORG_SQL, org_edges, org_nodes, org_seeds
 from quellgraph.runtime import cut, table
 from quellgraph.sources import iam as iam_source
-from quellgraph.sources import simulate
+from quellgraph.sources import k8s, simulate
 
 # The node lists split by rule, and each list as a set of flags per node.
 LISTS_SQL = r"""
@@ -135,25 +135,32 @@ def passrole_lateral(spark, d):
     return strong.join(roles, "graph_id").where("src != dst").join(e, ["graph_id", "src", "dst"], "left_anti")
 
 
-ACTIONS = ("*", "sts:AssumeRole", "sts:TagSession", "lambda:InvokeFunction", "secretsmanager:GetSecretValue", "ssm:GetParameters", "kms:Decrypt", "codepipeline:StartPipelineExecution", "lambda:UpdateFunctionCode", "cloudformation:CreateStack", "s3:GetObject", "iam:PassRole", "ec2:Describe*", "s3:*", "events:PutRule", "logs:PutLogEvents")
-_VALUES = "a AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in ACTIONS) + "]) AS action)"
+_ACTION = r'"([A-Za-z0-9-]+:[A-Za-z0-9*]+)"'
+_EXTRA = ("*", "sts:TagSession", "ec2:*", "s3:*", "events:PutRule", "lambda:InvokeAsync", "secretsmanager:GetRandomPassword", "eks:DescribeCluster", "kms:ScheduleKeyDeletion", "organizations:ListRoots", "rds:RebootDBInstance")
+_ACTIONS_SQL = f"a AS (SELECT DISTINCT unnest(regexp_extract_all(content, '{_ACTION}', 1)) AS action FROM policy_files UNION SELECT unnest([{', '.join(repr(x) for x in _EXTRA)}]))"
 
 
-def _prefix_sql(col: str) -> str:
-    return f"CASE WHEN {col} = '*' THEN 'ASSUME_ROLE' " + " ".join(f"WHEN {' OR '.join(f'starts_with({col}, {p!r})' for p in ps)} THEN '{k}'" for k, ps in iam.ACTION_PREFIXES.items()) + " ELSE 'AUTHENTICATE_AS' END"
+def _actions(spark, d) -> DataFrame:
+    """Everything in the policy files that reads like an action, and some that they lack."""
+    found = table(spark, d, "policy_files").select(F.explode(F.regexp_extract_all("content", F.lit(_ACTION), F.lit(1))).alias("action"))
+    return found.unionByName(spark.createDataFrame([(x,) for x in _EXTRA], "action string")).distinct()
 
 
-@query(f"WITH {_VALUES} SELECT action, {_prefix_sql('lower(trim(action))')} AS edge_type FROM a")
+# The prefixes below are stated here again, and not taken from the functions that they check.
+@query(f"""WITH {_ACTIONS_SQL}, l AS (SELECT action, lower(trim(action)) AS x FROM a) SELECT action, CASE WHEN x = '*' THEN 'ASSUME_ROLE' WHEN starts_with(x, 'sts:assumerole') THEN 'ASSUME_ROLE'
+    WHEN regexp_matches(x, '^(lambda:invoke|apigateway:invoke|states:startexecution|states:startsynccexecution|events:put|sqs:sendmessage|sns:publish)') THEN 'TOKEN_MINT'
+    WHEN regexp_matches(x, '^(secretsmanager:getsecretvalue|secretsmanager:getrandompassword|ssm:getparameter|ssm:getsecretvalue|kms:decrypt|kms:generatedata)') THEN 'SECRET_READ'
+    WHEN regexp_matches(x, '^(codedeploy:|codepipeline:|codebuild:|ecr:initiatelayerupload|ecs:updateservice|ecs:registercontainerinstance|eks:|lambda:updatefunctioncode|lambda:createfunction|lambda:publishversion|elasticbeanstalk:updateenvironment|cloudformation:create|cloudformation:update|cloudformation:execute)') THEN 'DEPLOY_TO'
+    ELSE 'AUTHENTICATE_AS' END AS edge_type FROM l""")
 def action_edge_type(spark, d):
-    a = spark.createDataFrame([(x,) for x in ACTIONS], "action string")
-    return a.select("action", iam.action_edge_type(F.col("action")).alias("edge_type"))
+    return _actions(spark, d).select("action", iam.action_edge_type(F.col("action")).alias("edge_type"))
 
 
-@query(f"""WITH {_VALUES}, l AS (SELECT action, lower(action) AS x FROM a) SELECT action, CASE WHEN x = '*' THEN 1.0 WHEN starts_with(x, 'iam:') THEN 0.9 WHEN starts_with(x, 'sts:') THEN 0.85 WHEN {' OR '.join(f'starts_with(x, {p!r})' for p in iam.STRONG_PREFIXES)} THEN 0.75
-    WHEN {' OR '.join(f'starts_with(x, {p!r})' for p in iam.SECRET_PREFIXES)} THEN 0.7 WHEN x LIKE '%:*' THEN 0.65 WHEN {' OR '.join(f'contains(x, {p!r})' for p in iam.WRITE_VERBS)} THEN 0.5 ELSE 0.25 END::DOUBLE AS privilege FROM l""")
+@query(f"""WITH {_ACTIONS_SQL}, l AS (SELECT action, lower(action) AS x FROM a) SELECT action, CASE WHEN x = '*' THEN 1.0 WHEN starts_with(x, 'iam:') THEN 0.9 WHEN starts_with(x, 'sts:') THEN 0.85
+    WHEN regexp_matches(x, '^(organizations:|kms:create|kms:delete|kms:schedule|ec2:[*]|eks:|ecs:register|lambda:create|lambda:delete|lambda:update|cloudformation:)') THEN 0.75 WHEN regexp_matches(x, '^(secretsmanager:|ssm:getparam|kms:decrypt)') THEN 0.7
+    WHEN x LIKE '%:*' THEN 0.65 WHEN regexp_matches(x, '(create|delete|update|put|write|invoke|attach|detach|modify|start|stop|reboot)') THEN 0.5 ELSE 0.25 END::DOUBLE AS privilege FROM l""")
 def privilege_ladder(spark, d):
-    a = spark.createDataFrame([(x,) for x in ACTIONS], "action string")
-    return a.select("action", iam.action_privilege(F.array("action")).alias("privilege"))
+    return _actions(spark, d).select("action", iam.action_privilege(F.array("action")).alias("privilege"))
 
 
 ARN_SQL = r"""p AS (SELECT policy_arn AS arn FROM policy_catalog UNION ALL SELECT 'arn:aws:iam::1:root' UNION ALL SELECT 'lambda.amazonaws.com' UNION ALL SELECT 'arn:aws:s3:::bucket' UNION ALL SELECT 'arn:aws:lambda:eu:1:function:f' UNION ALL SELECT 'arn:aws:iam::1:role/a/b'),
@@ -244,3 +251,48 @@ def synthetic_sweep(spark, d):
     r = pr.graph_traversal(n, e, s).unionByName(pr.epidemic(n, e, s, direction="forward")).unionByName(pr.percolation(n, e, s, n_trials=5))
     j = r.join(truth, ["graph_id", "node_id"], "left").select("model", F.regexp_replace("graph_id", "-[0-9]+$", "").alias("topology"), F.col("compromised").alias("predicted"), F.coalesce("actual", F.lit(False)).alias("actual"))
     return _r6(ve.prf(j, ["model", "topology"], "calibration"), "precision", "recall", "f1")
+
+
+_MANIFEST = """apiVersion: rbac.authorization.k8s.io/v1
+kind: ClusterRole
+metadata: {{name: nation-{0}}}
+rules:
+- resources: [secrets]
+  verbs: [get]
+---
+kind: ServiceAccount
+metadata: {{name: supplier-{1}, namespace: region-{2}}}
+---
+kind: RoleBinding
+metadata: {{name: b, namespace: region-{2}}}
+roleRef: {{kind: ClusterRole, name: nation-{0}}}
+subjects:
+- {{kind: ServiceAccount, name: supplier-{1}, namespace: region-{2}}}
+- {{kind: User, name: nation-{0}-owner}}
+- {{kind: Group, name: "system:masters"}}
+"""
+
+
+def _manifests(spark, d) -> DataFrame:
+    """A cluster manifest per supplier: a role per nation, an account in its region, and who is bound to the role."""
+    j = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"))
+    parts = _MANIFEST.replace("{{", "{").replace("}}", "}")
+    text = F.lit(parts)
+    for i, c in enumerate(("n_nationkey", "s_suppkey", "n_regionkey")):
+        text = F.replace(text, F.lit(f"{{{i}}}"), F.col(c).cast("string"))
+    return j.select(F.concat(F.lit("cluster-"), F.col("s_suppkey").cast("string")).alias("graph_id"), text.alias("content"))
+
+
+_CLUSTERS = "c AS (SELECT 'cluster-' || s_suppkey AS graph_id, s_suppkey AS s, n_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@query(f"""WITH {_CLUSTERS} SELECT graph_id, 'clusterrole:nation-' || n AS node_id, 'ROLE' AS node_type FROM c UNION ALL SELECT graph_id, 'sa:region-' || r || ':supplier-' || s, 'USER' FROM c UNION ALL SELECT graph_id, 'k8s:user:nation-' || n || '-owner', 'USER' FROM c
+    UNION ALL SELECT graph_id, 'k8s:group:system:masters', 'WORKLOAD' FROM c UNION ALL SELECT graph_id, 'k8s:secret:*', 'SECRET' FROM c""")
+def cluster_nodes(spark, d):
+    return k8s.load(_manifests(spark, d))[0].select("graph_id", "node_id", "node_type")
+
+
+@query(f"""WITH {_CLUSTERS}, s AS (SELECT graph_id, n, unnest(['sa:region-' || r || ':supplier-' || s, 'k8s:user:nation-' || n || '-owner', 'k8s:group:system:masters']) AS src FROM c)
+    SELECT graph_id, src, 'clusterrole:nation-' || n AS dst, 'ASSUME_ROLE' AS edge_type, 3 AS delegation_depth_limit FROM s UNION ALL SELECT graph_id, 'clusterrole:nation-' || n, 'k8s:secret:*', 'SECRET_READ', 2 FROM c""")
+def cluster_edges(spark, d):
+    return k8s.load(_manifests(spark, d))[1].select("graph_id", "src", "dst", "edge_type", "delegation_depth_limit")

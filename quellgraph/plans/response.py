@@ -11,6 +11,7 @@ from quellgraph.operators import mutation as mu
 from quellgraph.operators import propagation as pr
 from quellgraph.operators import traversal as t
 from quellgraph.operators import verification as ve
+from quellgraph.operators.analysis import analyse
 from quellgraph.plans.registry import query
 from quellgraph.plans.spread import FLAGS, GATED_SQL, _org, flags, flags_full
 from quellgraph.plans.views import GUARD_SQL, ORG_SQL, guard_events
@@ -131,7 +132,10 @@ def strictness_transitions(spark, d):
     return gu.transitions(log).withColumn("risk", F.round("risk", 6))
 
 
-@query()
+@query("""WITH x AS (SELECT ts, CASE WHEN event_type = 'error' THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, event_id % 3 = 0 AS deep, event_id % 2 = 0 AS jump FROM events),
+    g AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n_events, sum((decision = 'ALLOWED')::INT)::BIGINT AS n_allowed, sum((decision = 'BLOCKED' AND deep)::INT)::BIGINT AS escalations, sum((decision = 'ALLOWED' AND jump)::INT)::BIGINT AS jumps FROM x GROUP BY 1),
+    s AS (SELECT *, 0.3 * least(1.0, n_events / 3600.0::DOUBLE / 5) + 0.2 * greatest(0.0, (0.8 - n_allowed / n_events::DOUBLE) / 0.8) + 0.3 * least(1.0, escalations / 5.0::DOUBLE) + 0.2 * least(1.0, jumps / 3.0::DOUBLE) AS score FROM g)
+    SELECT epoch_us(window_start) // 1000000 AS window_start, n_events, n_allowed, escalations, jumps, round(score, 8) AS score, score > 0.6 AS anomaly FROM s""")
 def sensor_stream(spark, d):
     """The tumbling windows again, as a stream over the files that are there."""
     schema = table(spark, d, "events").schema
@@ -140,7 +144,7 @@ def sensor_stream(spark, d):
     e = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "BLOCKED").otherwise("ALLOWED").alias("decision"), F.when(ids % 3 == 0, "depth_exceeded").otherwise("ok").alias("reason"), F.when(ids % 2 == 0, "ASSUME_ROLE").otherwise("SECRET_READ").alias("edge_type"))
     import uuid
 
-    return monitor.run_available(monitor.sensor_windows(e, width="1 hour"), f"sensor_{uuid.uuid4().hex}", "complete")
+    return _windows(monitor.run_available(monitor.sensor_windows(e, width="1 hour"), f"sensor_{uuid.uuid4().hex}", "complete"))
 
 
 BLOCKED = f"{FLAGS}, {SCORED}, {TOP}, blocked AS (SELECT graph_id, src, dst FROM ranked WHERE rank <= 20), left_edges AS (SELECT e.* FROM edges e WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.graph_id = e.graph_id AND b.src = e.src AND b.dst = e.dst)), walk2 AS (SELECT graph_id, node_id, 0 AS level FROM seeds UNION SELECT w.graph_id, e.dst, level + 1 FROM walk2 w JOIN left_edges e ON e.graph_id = w.graph_id AND e.src = w.node_id WHERE level < 6 AND level <= e.lim), seen2 AS (SELECT DISTINCT graph_id, node_id FROM walk2)"
@@ -195,17 +199,23 @@ def depth_waves(spark, d):
     return steps.where("outcome = 'succeeded'").groupBy("graph_id", "level").agg(F.count("*").alias("n_steps"), F.countDistinct("dst").alias("n_nodes"))
 
 
+def _again(spark, d):
+    """The analysis by six models, with weights by topology, as the feedback loop repeats it."""
+    history = table(spark, d, "model_history")
+    return lambda n, e, s: analyse(n, e, s, history)[2]
+
+
 @query()
 def feedback_log(spark, d):
-    n, e, s, f, seen, steps = flags(spark, d)
-    g = gu.guard_set(e, f, steps, seen, s)
-    return gu.feedback(n, e, s, g, lambda a, b, c: pr.graph_traversal(a, b, c), 2)[2].withColumn("risk", F.round("risk", 6))
+    n, e, s, f, seen, steps = flags_full(spark, d)
+    g = cut(gu.guard_set(e, f, steps, seen, s))
+    return gu.feedback(n, e, s, g, _again(spark, d))[2].withColumn("risk", F.round("risk", 6))
 
 
 @query()
 def containment_run(spark, d):
-    n, e, s, f, *_ = flags(spark, d)
-    return gu.contain(n, e, s, f, lambda a, b, c: pr.graph_traversal(a, b, c), t.bfs(e, s), 2)["metrics"]
+    n, e, s, f, *_ = flags_full(spark, d)
+    return gu.contain(n, e, s, f, _again(spark, d), t.bfs(e, s))["metrics"]
 
 
 _SHARE = "picked AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY md5(concat_ws('|', 42, graph_id, src, dst))) - 1 AS i, round(count(*) OVER (PARTITION BY graph_id) * 0.3) AS k FROM {0}), p AS (SELECT * FROM picked WHERE i < k)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quellgraph.operators import ensemble as en
+from quellgraph.operators import pipeline
 from quellgraph.operators import propagation as pr
 from quellgraph.operators import traversal as t
 from quellgraph.operators import verification as ve
@@ -61,7 +62,30 @@ def spectral_cascade(spark, d):
     return _rounded(pr.spectral_cascade(*_org(spark, d)), "risk")
 
 
-@query()
+def power_sql(rounds: int) -> str:
+    """Rounds of (A + I) x over its largest entry, unrolled; edges without weight don't count."""
+    out = ["z0 AS (SELECT graph_id, node_id, 1.0::DOUBLE AS x, 0.0::DOUBLE AS radius FROM nodes)"]
+    for k in range(1, rounds + 1):
+        out.append(f"u{k} AS (SELECT z.graph_id, z.node_id, z.x + coalesce(y.y, 0.0) AS x FROM z{k - 1} z LEFT JOIN (SELECT e.graph_id, e.src AS node_id, sum(e.weight * z.x) AS y FROM edges e JOIN z{k - 1} z ON z.graph_id = e.graph_id AND z.node_id = e.dst WHERE e.weight > 0 GROUP BY 1, 2) y USING (graph_id, node_id))")
+        out.append(f"z{k} AS (SELECT graph_id, node_id, x / max(x) OVER (PARTITION BY graph_id) AS x, max(x) OVER (PARTITION BY graph_id) - 1 AS radius FROM u{k})")
+    return ", ".join(out)
+
+
+def control_sql(steps: int, scale: float) -> str:
+    """Steps of x <- clip(scale A x) from the seeds, which aren't held, unrolled."""
+    out = ["c0 AS (SELECT n.graph_id, n.node_id, (s.node_id IS NOT NULL)::DOUBLE AS x, s.node_id IS NOT NULL AS seed FROM nodes n LEFT JOIN seeds s ON s.graph_id = n.graph_id AND s.node_id = n.node_id)"]
+    for k in range(1, steps + 1):
+        out.append(f"c{k} AS (SELECT c.graph_id, c.node_id, least(1.0, greatest(0.0, coalesce(y.y, 0.0))) AS x, c.seed FROM c{k - 1} c LEFT JOIN (SELECT e.graph_id, e.src AS node_id, sum({scale} * e.weight * c.x) AS y FROM edges e JOIN c{k - 1} c ON c.graph_id = e.graph_id AND c.node_id = e.dst GROUP BY 1, 2) y USING (graph_id, node_id))")
+    return ", ".join(out)
+
+
+@query(f"WITH {ORG_SQL}, {control_sql(5, 0.7)} SELECT graph_id, node_id, round(x, 6) AS risk FROM c5")
+def control_steps(spark, d):
+    """Five steps of the control system at a given scale, where the control system itself takes the radius."""
+    return _rounded(pr._mat_vec(*_org(spark, d), 0.7, 5, 0, False, "reverse"), "risk")
+
+
+@query(f"WITH {ORG_SQL}, {power_sql(12)} SELECT graph_id, node_id, round(radius, 5) AS radius, round(x, 5) AS vector FROM z12")
 def power_iteration(spark, d):
     n, e, _ = _org(spark, d)
     return _rounded(pr.spectral_radius(n, e, 12), "radius", "vector", places=5)
@@ -78,24 +102,40 @@ def percolation_reach(spark, d):
     return trials.where("reached").groupBy("graph_id", "node_id").agg(F.count("*").alias("times_reached"))
 
 
-@query()
+def _perco(trials: int) -> str:
+    """Both samples of every trial: components of the undirected graph, and what the seeds reach."""
+    draw = lambda what: _UNIT.format(f"'42', '{what}', graph_id, trial, src, dst")
+    return f"""{ORG_SQL}, trials AS (SELECT unnest(range(0, {trials})) AS trial), drawn AS (SELECT graph_id, trial, src, dst, {draw('c')} < least(1.0, weight * 0.6) AS c, {draw('r')} < least(1.0, weight * 0.6) AS r FROM edges CROSS JOIN trials),
+    hit AS (SELECT graph_id, trial, node_id FROM seeds CROSS JOIN trials UNION SELECT h.graph_id, h.trial, k.dst FROM hit h JOIN drawn k ON k.r AND k.graph_id = h.graph_id AND k.trial = h.trial AND k.src = h.node_id),
+    un AS (SELECT graph_id, trial, src AS a, dst AS b FROM drawn WHERE c UNION SELECT graph_id, trial, dst, src FROM drawn WHERE c),
+    comp AS (SELECT n.graph_id, t.trial, n.node_id AS s, n.node_id AS v FROM nodes n CROSS JOIN trials t UNION SELECT c.graph_id, c.trial, c.s, u.b FROM comp c JOIN un u ON u.graph_id = c.graph_id AND u.trial = c.trial AND u.a = c.v),
+    sized AS (SELECT graph_id, trial, s AS node_id, min(v) AS component, count(*) AS size FROM comp GROUP BY 1, 2, 3), ns AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1),
+    t AS (SELECT z.*, z.size > 0.3 * ns.n AS giant, h.node_id IS NOT NULL AS reached FROM sized z JOIN ns USING (graph_id) LEFT JOIN hit h USING (graph_id, trial, node_id))"""
+
+
+@query(f"WITH RECURSIVE {_perco(100)} SELECT graph_id, node_id, count(*) AS times_reached FROM hit GROUP BY 1, 2")
 def percolation_reach_full(spark, d):
-    """:func:`percolation_reach` over all trials of the operator; its SQL follows 5."""
+    """:func:`percolation_reach` over all trials of the operator."""
     trials = pr.percolation_trials(*_org(spark, d))
     return trials.where("reached").groupBy("graph_id", "node_id").agg(F.count("*").alias("times_reached"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_perco(100)}, own AS (SELECT t.graph_id, trial, max(size) AS k FROM t JOIN seeds USING (graph_id, node_id) GROUP BY 1, 2), best AS (SELECT graph_id, arg_max(trial, (k, -trial)) AS trial FROM own GROUP BY 1),
+    won AS (SELECT DISTINCT t.graph_id, t.node_id FROM t JOIN best USING (graph_id, trial) WHERE (t.graph_id, t.component) IN (SELECT (x.graph_id, x.component) FROM t x JOIN best b ON b.graph_id = x.graph_id AND b.trial = x.trial JOIN seeds s ON s.graph_id = x.graph_id AND s.node_id = x.node_id)),
+    share AS (SELECT graph_id, node_id, avg(giant::INT) AS g, avg(reached::INT) AS r FROM t GROUP BY 1, 2),
+    risk AS (SELECT x.graph_id, x.node_id, CASE WHEN s.node_id IS NOT NULL THEN 1.0 ELSE least(1.0, 0.4 * g + 0.6 * r) END AS risk, w.node_id IS NOT NULL OR s.node_id IS NOT NULL AS sure FROM share x LEFT JOIN seeds s USING (graph_id, node_id) LEFT JOIN won w USING (graph_id, node_id))
+    SELECT graph_id, 'percolation' AS model, node_id, round(risk, 6) AS risk, round(risk, 9) >= 0.5 OR sure AS compromised FROM risk""")
 def percolation_risk(spark, d):
     return _rounded(pr.percolation(*_org(spark, d)), "risk")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_perco(100)}, per AS (SELECT graph_id, trial, max(giant::INT) AS giant, max(CASE WHEN giant THEN size ELSE 0 END) AS size FROM t GROUP BY 1, 2)
+    SELECT graph_id, round(avg(giant), 6) AS giant_probability, round(avg(size), 6) AS mean_giant_size FROM per GROUP BY 1""")
 def percolation_giants(spark, d):
     return _rounded(pr.percolation_header(written(pr.percolation_trials(*_org(spark, d)))), "giant_probability", "mean_giant_size")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_perco(100)}, c AS (SELECT graph_id, size, count(*) AS n FROM (SELECT DISTINCT graph_id, trial, component, size FROM t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, size) AS k FROM c) SELECT graph_id, size, n FROM r WHERE k <= 20""")
 def percolation_sizes(spark, d):
     return pr.component_sizes(pr.percolation_trials(*_org(spark, d)))
 
@@ -231,7 +271,17 @@ def token_traversal_random(spark, d):
     return v.groupBy("graph_id").agg((F.countDistinct("node_id") > 0).alias("any_reached"))
 
 
-@query()
+def steps_sql(depth: int = 6) -> str:
+    """Levels of a token traversal with conditions, unrolled."""
+    out = ["f0 AS (SELECT graph_id, node_id FROM seeds), s0 AS (SELECT * FROM f0)"]
+    for k in range(depth):
+        lucky = _UNIT.format(f"'42', {k}, e.graph_id, e.src, e.dst")
+        out.append(f"t{k} AS (SELECT e.graph_id, e.src, e.dst, {k} AS level, CASE WHEN e.lim < {k} THEN 'depth_exceeded' WHEN {lucky} < e.weight THEN 'succeeded' ELSE 'condition_failed' END AS outcome FROM edges e JOIN f{k} f ON f.graph_id = e.graph_id AND f.node_id = e.src WHERE NOT EXISTS (SELECT 1 FROM s{k} s WHERE s.graph_id = e.graph_id AND s.node_id = e.dst))")
+        out.append(f"f{k + 1} AS (SELECT DISTINCT graph_id, dst AS node_id FROM t{k} WHERE outcome = 'succeeded'), s{k + 1} AS (SELECT * FROM s{k} UNION ALL SELECT * FROM f{k + 1})")
+    return ", ".join(out) + ", all_steps AS (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(depth)) + ")"
+
+
+@query(f"WITH {ORG_SQL}, {steps_sql()} SELECT graph_id, level, outcome, count(*) AS n FROM all_steps GROUP BY 1, 2, 3")
 def token_steps(spark, d):
     return t.gated(*_org(spark, d), conditions=True)[1].groupBy("graph_id", "level", "outcome").agg(F.count("*").alias("n"))
 
@@ -310,6 +360,27 @@ def topology_priors(spark, d):
     return en.priors(spark)
 
 
+@query("""SELECT topology_type, model, w::DOUBLE AS weight FROM (VALUES ('HUB', 'graph_traversal', 0.1), ('HUB', 'epidemic', 0.1), ('HUB', 'spectral', 0.5), ('HUB', 'percolation', 0.2), ('HUB', 'control_system', 0.1),
+    ('CHAIN', 'graph_traversal', 0.15), ('CHAIN', 'epidemic', 0.45), ('CHAIN', 'spectral', 0.1), ('CHAIN', 'percolation', 0.1), ('CHAIN', 'control_system', 0.2), ('DENSE_CLUSTER', 'graph_traversal', 0.1), ('DENSE_CLUSTER', 'epidemic', 0.15),
+    ('DENSE_CLUSTER', 'spectral', 0.15), ('DENSE_CLUSTER', 'percolation', 0.5), ('DENSE_CLUSTER', 'control_system', 0.1), ('MIXED', 'graph_traversal', 0.2), ('MIXED', 'epidemic', 0.2), ('MIXED', 'spectral', 0.2), ('MIXED', 'percolation', 0.2),
+    ('MIXED', 'control_system', 0.2)) t(topology_type, model, w)""")
+def weight_hints(spark, d):
+    return en.hints(spark)
+
+
+@query(f"WITH RECURSIVE {THREE}, r AS (SELECT e.graph_id, e.src, e.dst, row_number() OVER (PARTITION BY e.graph_id ORDER BY ord, e.src, e.dst) AS rank FROM edges e JOIN bfs a ON a.graph_id = e.graph_id AND a.node_id = e.src AND a.risk >= 0.4 JOIN bfs b ON b.graph_id = e.graph_id AND b.node_id = e.dst AND b.risk >= 0.4) SELECT graph_id, src, dst, rank FROM r WHERE rank <= 10")
+def critical_edges(spark, d):
+    n, e, s = _org(spark, d)
+    return pr.critical_edges(e, pr.graph_traversal(n, e, s))
+
+
+@query("SELECT graph_id, round(avg(precision_score), 6) AS mean_cascade, round(stddev_pop(precision_score), 6) AS std_cascade FROM model_history WHERE precision_score IS NOT NULL GROUP BY 1")
+def cascade_spread(spark, d):
+    """Mean and deviation per graph, over the scores of its history in place of the models' headers."""
+    h = table(spark, d, "model_history").where("precision_score is not null").select("graph_id", F.col("precision_score").alias("cascade_probability"))
+    return _rounded(en.cascade_spread(h), "mean_cascade", "std_cascade")
+
+
 @query("SELECT topology_type, model_name AS model, round(weight / sum(weight) OVER (PARTITION BY topology_type), 6) AS weight FROM current_weights")
 def weight_normalise(spark, d):
     return _rounded(en.normalised(table(spark, d, "current_weights").select("topology_type", F.col("model_name").alias("model"), "weight")), "weight")
@@ -360,3 +431,22 @@ def temporal_outcomes(spark, d):
 
     n, e, s = _org(spark, d)
     return outcomes(simulate(n, e, s, [("greedy", 1), ("stealthy", 1), ("random", 1)]))
+
+
+@query()
+def pipeline_report(spark, d):
+    """The whole pipeline over every organisation: analysis by six models, verification, five cycles of containment."""
+    return pipeline.run(*_org(spark, d), table(spark, d, "model_history")).report()
+
+
+@query()
+def pipeline_topologies(spark, d):
+    """The same over synthetic graphs of all archetypes."""
+    return pipeline.all_topologies(spark).report()
+
+
+@query()
+def analysis_rows(spark, d):
+    """The analysis file: 11 columns per node, with a place in space."""
+    r = pipeline.run(*_org(spark, d), table(spark, d, "model_history"), cycles=0)
+    return r.node_rows()

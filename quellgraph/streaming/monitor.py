@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quellgraph.operators.guards import sensor
-from quellgraph.runtime import shared_dir
+from quellgraph.runtime import cut, shared_dir
 
 
 def sensor_windows(events: DataFrame, ts: str = "ts", width: str = "60 seconds", slide: str | None = None, lateness: str = "5 minutes", by: list[str] = (), threshold: float = 0.6) -> DataFrame:
@@ -86,24 +87,73 @@ def strictness_stream(events: DataFrame, key: str = "graph_id", ts: str = "ts")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, into a table in the shared folder, and gives the table. Its checkpoint lies beside it."""
+    """Runs a stream over what is there, into a table in the shared folder, and gives the table. Its checkpoint lies beside it.
+
+    In ``complete`` mode every batch writes its whole result to a folder of its own, and the last one is the table.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{name}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True)
+    last = {"path": f"{base}-out"}
     if mode == "complete":
-        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-        return spark.table(name)
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}-out").option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}-out")
 
+        def keep(batch: DataFrame, number: int) -> None:
+            last["path"] = f"{base}-out/batch-{number}"
+            batch.write.mode("overwrite").parquet(last["path"])
+
+        writer = writer.foreachBatch(keep)
+    else:
+        writer = writer.format("parquet").option("path", last["path"])
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last["path"])
+
+
+def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that hands each batch, computed once, to every sink in turn."""
 
-def on_breach(launch: Callable[[list[str]], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that launches an analysis for principals with a BREACH in the batch."""
+    def handle(batch: DataFrame, number: int) -> None:
+        kept = cut(batch)
+        for sink in sinks:
+            sink(kept, number)
+
+    return handle
+
+
+def on_breach(launch: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that launches an analysis for the principals with a BREACH in the batch, given as a table of one column,
+    however many there are; not called where there are none."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        hit = [r[0] for r in batch.where("status = 'BREACH'").select("principal").distinct().limit(1000).collect()]
-        if hit:
+        hit = cut(batch.where("status = 'BREACH'").select("principal").distinct())
+        if hit.take(1):
             launch(hit)
 
     return handle
+
+
+def replay(events: DataFrame, breaches: DataFrame, keys: list[str]) -> DataFrame:
+    """Recorded events (principal, action, ts) with their status: BREACH where ``breaches`` names their keys, else OK. A stream or a batch."""
+    b = breaches.select(*keys).distinct().withColumn("_b", F.lit(True))
+    return events.join(b, keys, "left").withColumn("status", F.when(F.col("_b"), "BREACH").otherwise("OK")).drop("_b")
+
+
+def learn(history_path: str, weights_path: str, **options) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that appends scored predictions to the history and replaces the weights of the topologies in the batch
+    by their adaptive ones."""
+    from quellgraph.operators.ensemble import adaptive
+    from quellgraph.sources.state import append_history, upsert_weights
+
+    def handle(batch: DataFrame, _: int) -> None:
+        kept = cut(batch)
+        append_history(kept, history_path)
+        spark = batch.sparkSession
+        seen = spark.read.parquet(history_path).join(kept.select("topology_type").distinct(), "topology_type", "left_semi")
+        upsert_weights(spark, cut(adaptive(seen, **options)), weights_path)
+
+    return handle
+
+
+def progress(query: StreamingQuery) -> DataFrame:
+    """What a running query has said of its last batches: (batch, started, input_rows, rows_per_second, duration_ms)."""
+    rows = [(int(p["batchId"]), str(p["timestamp"]), int(p["numInputRows"]), float(p["processedRowsPerSecond"] or 0.0), int(p["batchDuration"])) for p in query.recentProgress]
+    return SparkSession.getActiveSession().createDataFrame(rows, "batch bigint, started string, input_rows bigint, rows_per_second double, duration_ms bigint")
