@@ -127,8 +127,11 @@ def train(graphs: list, held_out: list, *, epochs: int = 80, rate: float = 1e-3,
     return {k: w.tolist() for k, w in kept.items()}, best
 
 
-def training_graphs(nodes: DataFrame, edges: DataFrame, x: DataFrame, labels: DataFrame) -> list:
-    """Graphs as (x, normalised adjacency, labels) on the driver: for the sweeps' synthetic graphs, tens of nodes each."""
+def training_graphs(nodes: DataFrame, edges: DataFrame, x: DataFrame, labels: DataFrame, most: int = 200_000) -> list:
+    """Graphs as (x, normalised adjacency, labels) on the driver: for the sweeps' synthetic graphs, tens of nodes each. More than
+    ``most`` nodes or edges are refused, not cut."""
+    if max(nodes.limit(most + 1).count(), edges.limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} nodes or edges; train on fewer graphs")
     n = nodes.join(x, ["graph_id", "node_id"]).join(labels.select("graph_id", "node_id", F.col("compromised").cast("double").alias("y")), ["graph_id", "node_id"]).select("graph_id", "node_id", "x", "y").toPandas()
     e = edges.select("graph_id", "src", "dst", "weight").toPandas()
     out, by = [], dict(list(e.groupby("graph_id")))

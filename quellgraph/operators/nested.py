@@ -106,3 +106,44 @@ def policy_arns(dumps: DataFrame, keys: list[str], dump: str = "dump") -> DataFr
     row = lambda listed: lambda a: F.struct(F.lit(listed).alias("listed"), a.alias("policy_arn"))
     rows = F.concat(F.transform(F.flatten(F.array(*attached)), row(False)), F.transform(own, row(True)))
     return lists.select(*[F.col(f"_{k}").alias(k) for k in keys], F.inline(rows))
+
+
+#: The inline policies of each kind of entity.
+INLINE = {"UserDetailList": "UserPolicyList", "GroupDetailList": "GroupPolicyList", "RoleDetailList": "RolePolicyList"}
+_WHOLE = "struct<UserName:string,GroupName:string,RoleName:string,Arn:string,AssumeRolePolicyDocument:string," + ",".join(f"{x}:string" for x in INLINE.values()) + ">"
+_POLICY = "struct<PolicyName:string,PolicyDocument:string>"
+_VERSION = "struct<VersionId:string,IsDefaultVersion:string,Document:string>"
+
+
+def documents(dumps: DataFrame, keys: list[str], dump: str = "dump") -> DataFrame:
+    """One row per policy document of a dump, with the path to its parent: ``(*keys, parent_list, parent_pos, kind, doc_pos, doc_name, version, document)``.
+
+    ``kind`` is ``inline`` (of users, groups and roles), ``trust`` (of roles) or ``version`` (of the policies that the dump lists);
+    ``document`` is JSON text, whether it came as an object, as text or percent-encoded. Positions count from 1, a lone value counts as
+    a list of one. Absent and null documents keep their row, without a version.
+    """
+    body = dumps.select(*[F.col(k).alias(f"_{k}") for k in keys], dump_body(F.col(dump)).alias("_body"))
+    lists = body.select(*[f"_{k}" for k in keys], *[as_list(F.col(f"_body.{x}"), _WHOLE).alias(x) for x in ENTITY_LISTS], as_list(F.col("_body.Policies"), "struct<PolicyName:string,Arn:string,PolicyVersionList:string>").alias("Policies"))
+
+    def row(parent: str, i: Column, kind: str, j: Column, name: Column, text: Column) -> Column:
+        doc = decoded(text)
+        return F.struct(
+            F.lit(parent).alias("parent_list"), (i + 1).alias("parent_pos"), F.lit(kind).alias("kind"), j.alias("doc_pos"), name.alias("doc_name"), F.get_json_object(doc, "$.Version").alias("version"), doc.alias("document")
+        )
+
+    rows = []
+    for x in ENTITY_LISTS:
+        inline = F.flatten(F.transform(x, lambda e, i: F.coalesce(F.transform(as_list(e[INLINE[x]], _POLICY), lambda p, j: row(x, i, "inline", j + 1, p["PolicyName"], p["PolicyDocument"])), F.array())))  # noqa: B023
+        rows.append(F.coalesce(inline, F.array()))
+    trust = F.transform("RoleDetailList", lambda e, i: row("RoleDetailList", i, "trust", F.lit(1), e["RoleName"], e["AssumeRolePolicyDocument"]))
+    versions = F.flatten(F.transform("Policies", lambda p, i: F.coalesce(F.transform(as_list(p["PolicyVersionList"], _VERSION), lambda v, j: row("Policies", i, "version", j + 1, v["VersionId"], v["Document"])), F.array())))
+    rows += [F.coalesce(F.filter(trust, lambda r: r["document"].isNotNull()), F.array()), F.coalesce(versions, F.array())]
+    return lists.select(*[F.col(f"_{k}").alias(k) for k in keys], F.inline(F.flatten(F.array(*rows))))
+
+
+def statements(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per statement of :func:`documents`: ``(*keys, parent_list, parent_pos, kind, doc_pos, statement_pos, sid, effect, actions, resources)``;
+    absent actions and resources are null, lone ones lists of one."""
+    st = as_list(F.from_json("document", "struct<Statement:string>")["Statement"], "struct<Sid:string,Effect:string,Action:string,Resource:string>")
+    s = docs.select(*keys, "parent_list", "parent_pos", "kind", "doc_pos", F.posexplode(st).alias("_i", "s"))
+    return s.select(*keys, "parent_list", "parent_pos", "kind", "doc_pos", (F.col("_i") + 1).alias("statement_pos"), F.col("s.Sid").alias("sid"), F.col("s.Effect").alias("effect"), as_list(F.col("s.Action"), "string").alias("actions"), as_list(F.col("s.Resource"), "string").alias("resources"))

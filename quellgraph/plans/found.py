@@ -80,6 +80,19 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.entities(table(spark, sf_dir, "account_dump"), ["dump_id", "account_id", "captured_at"]).distinct()
 
 
+@query(sql.P3_DOCUMENTS)
+def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All policy documents of the dumps, with their parents: inline, trust and versions."""
+    docs = nested.documents(table(spark, sf_dir, "account_dump"), ["dump_id"])
+    return docs.select("dump_id", "parent_list", "parent_pos", "kind", "doc_pos", "doc_name", "version").distinct()
+
+
+@query(sql.P3_STATEMENTS)
+def p3_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = nested.documents(table(spark, sf_dir, "account_dump").select("dump_id", "dump").distinct(), ["dump_id"])
+    return nested.statements(docs, ["dump_id"]).withColumns({c: F.array_join(c, "\n") for c in ("actions", "resources")})
+
+
 def _resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource values in the permission statements of the lambda files, each file once, whatever the feed calls the field."""
     files = table(spark, sf_dir, "policy_files").where("family = 'lambda_execution_role'").select("file_id", "content").distinct()

@@ -90,3 +90,19 @@ P5 = """WITH RECURSIVE
         UNION ALL SELECT feed_id, i, 'renamed', old, new FROM swaps UNION ALL SELECT feed_id, i, 'type', path, '' FROM turns WHERE k - 1 >= 2 AND m - k + 1 >= 2
     )
     SELECT DISTINCT file_id, change_kind, field_path, new_path FROM steps JOIN files USING (feed_id, i)"""
+
+_JSON_DOC = """CASE WHEN json_type({0}) = 'VARCHAR' THEN (CASE WHEN starts_with(json_extract_string({0}, '$'), '%') THEN url_decode(json_extract_string({0}, '$')) ELSE json_extract_string({0}, '$') END)::JSON WHEN json_type({0}) = 'NULL' THEN NULL ELSE {0} END"""
+_JSON_LIST = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN [] WHEN json_type({0}) = 'ARRAY' THEN {0}::JSON[] ELSE [{0}] END"
+P3_DOCS = f"""{DUMPS},
+    pols AS (SELECT dump_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS e FROM (SELECT dump_id, {_JSON_LIST.format("json_extract(j, '$.Policies')")} AS a FROM roots)),
+    raws AS (
+        SELECT dump_id, entity_list AS parent_list, entity_pos AS parent_pos, 'inline' AS kind, unnest(range(1, len(a) + 1)) AS doc_pos, unnest(a) AS i, 'PolicyName' AS nm, 'PolicyDocument' AS dc FROM (SELECT dump_id, entity_list, entity_pos, {_JSON_LIST.format("json_extract(e, CASE entity_list WHEN 'UserDetailList' THEN '$.UserPolicyList' WHEN 'GroupDetailList' THEN '$.GroupPolicyList' ELSE '$.RolePolicyList' END)")} AS a FROM ents)
+        UNION ALL SELECT dump_id, 'Policies', pos, 'version', unnest(range(1, len(a) + 1)), unnest(a), 'VersionId', 'Document' FROM (SELECT dump_id, pos, {_JSON_LIST.format("json_extract(e, '$.PolicyVersionList')")} AS a FROM pols)
+        UNION ALL SELECT dump_id, entity_list, entity_pos, 'trust', 1, e, 'RoleName', 'AssumeRolePolicyDocument' FROM ents WHERE entity_list = 'RoleDetailList' AND json_extract(e, '$.AssumeRolePolicyDocument') IS NOT NULL AND json_type(json_extract(e, '$.AssumeRolePolicyDocument')) <> 'NULL'
+    ),
+    docs_ AS (SELECT dump_id, parent_list, parent_pos, kind, doc_pos, json_extract_string(i, '$.' || nm) AS doc_name, {_JSON_DOC.format("json_extract(i, '$.' || dc)")} AS doc FROM raws)"""
+P3_DOCUMENTS = f"WITH {P3_DOCS} SELECT DISTINCT dump_id, parent_list, parent_pos::INT AS parent_pos, kind, doc_pos::INT AS doc_pos, doc_name, json_extract_string(doc, '$.Version') AS version FROM docs_"
+P3_STATEMENTS = f"""WITH {P3_DOCS}, st AS (SELECT dump_id, parent_list, parent_pos, kind, doc_pos, unnest(range(1, len(a) + 1)) AS statement_pos, unnest(a) AS s FROM (SELECT *, {_JSON_LIST.format("json_extract(doc, '$.Statement')")} AS a FROM docs_))
+    SELECT dump_id, parent_list, parent_pos::INT AS parent_pos, kind, doc_pos::INT AS doc_pos, statement_pos::INT AS statement_pos, json_extract_string(s, '$.Sid') AS sid, json_extract_string(s, '$.Effect') AS effect,
+        CASE WHEN json_extract(s, '$.Action') IS NOT NULL AND json_type(json_extract(s, '$.Action')) <> 'NULL' THEN array_to_string(list_transform({_JSON_LIST.format("json_extract(s, '$.Action')")}, lambda x: json_extract_string(x, '$')), chr(10)) END AS actions,
+        CASE WHEN json_extract(s, '$.Resource') IS NOT NULL AND json_type(json_extract(s, '$.Resource')) <> 'NULL' THEN array_to_string(list_transform({_JSON_LIST.format("json_extract(s, '$.Resource')")}, lambda x: json_extract_string(x, '$')), chr(10)) END AS resources FROM st"""

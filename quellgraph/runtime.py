@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quellgraph-"))
     return os.path.dirname(sc.getCheckpointDir())

@@ -13,12 +13,12 @@ MODELS = ("graph_traversal", "epidemic", "spectral_cascade", "percolation", "con
 
 #: ``ord`` is the order of insertion: it fixes matrix order and the order among ties.
 NODES = T.StructType([
-    T.StructField("graph_id", T.StringType()), T.StructField("ord", T.IntegerType()), T.StructField("node_id", T.StringType()), T.StructField("node_type", T.StringType()), T.StructField("name", T.StringType()),
+    T.StructField("graph_id", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("node_id", T.StringType()), T.StructField("node_type", T.StringType()), T.StructField("name", T.StringType()),
     T.StructField("privilege_level", T.DoubleType()), T.StructField("sensitivity", T.DoubleType()), T.StructField("compromise_status", T.BooleanType()), T.StructField("cascade_risk", T.DoubleType()),
     T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
 ])
 EDGES = T.StructType([
-    T.StructField("graph_id", T.StringType()), T.StructField("ord", T.IntegerType()), T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("edge_id", T.StringType()),
+    T.StructField("graph_id", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("edge_id", T.StringType()),
     T.StructField("edge_type", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("delegation_depth_limit", T.IntegerType()), T.StructField("requires_mfa", T.BooleanType()),
     T.StructField("is_conditional", T.BooleanType()), T.StructField("conditions", T.StringType()), T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
 ])

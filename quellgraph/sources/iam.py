@@ -56,7 +56,7 @@ def statements(policies: DataFrame) -> DataFrame:
     default = F.when(trust, F.array(F.lit("sts:AssumeRole"))).otherwise(F.array(F.lit("*")))
     condition = F.coalesce(F.json_object_keys("s.Condition"), F.array().cast("array<string>"))
     return s.select(
-        "graph_id", (F.col("ord") * 1000 + F.col("_i")).alias("ord"), "subject_id", "subject_arn", trust.alias("trust"), F.coalesce(as_list(F.col("s.Action"), "string"), default).alias("actions"),
+        "graph_id", (F.col("ord").cast("bigint") * (1 << 20) + F.col("_i")).alias("ord"), "subject_id", "subject_arn", trust.alias("trust"), F.coalesce(as_list(F.col("s.Action"), "string"), default).alias("actions"),
         F.coalesce(as_list(F.col("s.Resource"), "string"), F.array(F.lit("*"))).alias("resources"), F.when(trust, principals(F.col("s.Principal"))).alias("principals"), condition.alias("condition_keys"),
         F.coalesce("s.Condition", F.lit("{}")).alias("conditions"),
     )
@@ -136,7 +136,7 @@ def load_account_dumps(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         by_name = F.concat(F.lit(f"iam:{name[:-4].lower()}:"), F.coalesce(f"e.{name}", F.lit(f"unknown-{name[:-4].lower()}")))
         node = by_name if kind == "GroupDetailList" else F.when(arn != "", iam.arn_node_id(arn)).otherwise(by_name)
         per.append(e.select(
-            "graph_id", F.lit(kind).alias("kind"), (F.col("_i") + rank * 100_000).alias("ord"), node.alias("subject_id"), F.when(arn == "", node).otherwise(arn).alias("subject_arn"),
+            "graph_id", F.lit(kind).alias("kind"), (F.col("_i") + F.lit(rank << 40)).alias("ord"), node.alias("subject_id"), F.when(arn == "", node).otherwise(arn).alias("subject_arn"),
             F.coalesce(as_list(F.col(f"e.{inline}"), _POLICY), none).alias("inline"), F.coalesce(as_list(F.col("e.AttachedManagedPolicies"), _POLICY), none).alias("attached"),
             as_list(F.col("e.GroupList"), "string").alias("groups"), F.col("e.AssumeRolePolicyDocument").alias("trust_doc"),
         ))
@@ -155,8 +155,8 @@ def load_account_dumps(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = ents.where("kind = 'UserDetailList'").select("graph_id", "ord", F.col("subject_id").alias("src"), F.explode("groups").alias("g")).select(
         "graph_id", "ord", "src", F.concat(F.lit("iam:group:"), "g").alias("dst"), F.lit("AUTHENTICATE_AS").alias("edge_type"), F.lit(0.5).alias("weight"), F.lit(2).alias("delegation_depth_limit")
     )
-    groups = _named_nodes(member.withColumn("ord", F.col("ord") + 500_000), "dst", "dst", "ord", "aws_iam_account_dump").withColumn("node_type", F.lit("ROLE")).withColumn("privilege_level", F.lit(0.4))
-    ends = _named_nodes(rights.unionByName(trust).withColumn("ord", F.lit(2_000_000_000)), "other_id", "other_arn", "ord", "aws_iam_account_dump")
+    groups = _named_nodes(member.withColumn("ord", F.col("ord") + (1 << 50)), "dst", "dst", "ord", "aws_iam_account_dump").withColumn("node_type", F.lit("ROLE")).withColumn("privilege_level", F.lit(0.4))
+    ends = _named_nodes(rights.unionByName(trust).withColumn("ord", F.lit(1 << 60)), "other_id", "other_arn", "ord", "aws_iam_account_dump")
     wild = F.col("node_id") == iam.WILDCARD
     ends = ends.withColumn("node_type", F.when(wild, "SECRET").otherwise(F.col("node_type"))).withColumn("privilege_level", F.when(wild, 1.0).otherwise(F.col("privilege_level"))).withColumn("sensitivity", F.when(wild, 1.0).otherwise(F.col("sensitivity")))
     edges = rights.unionByName(trust).unionByName(member, allowMissingColumns=True)

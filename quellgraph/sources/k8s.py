@@ -23,7 +23,7 @@ RESOURCE_EDGES = {
     "pods/attach": ("TOKEN_MINT", "k8s:pod:exec", 0.7), "pods/portforward": ("TOKEN_MINT", "k8s:pod:pf", 0.6), "clusterrolebindings": ("ASSUME_ROLE", "k8s:rbac:*", 0.9), "rolebindings": ("ASSUME_ROLE", "k8s:rbac:*", 0.8),
 }
 
-_ROW = "graph_id string, ord int, kind string, name string, namespace string, verbs array<string>, resources array<string>, n_rules int, ref_kind string, ref_name string, subjects array<struct<kind:string,name:string,namespace:string>>"
+_ROW = "graph_id string, ord bigint, kind string, name string, namespace string, verbs array<string>, resources array<string>, n_rules int, ref_kind string, ref_name string, subjects array<struct<kind:string,name:string,namespace:string>>"
 
 
 def parse(docs: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def load(docs: DataFrame, infer: bool = True) -> tuple[DataFrame, DataFrame]:
     first = keep_first(role_nodes.unionByName(accounts), ["graph_id", "node_id"])
     binds = r.where("kind in ('RoleBinding', 'ClusterRoleBinding')").withColumn("_ns", F.coalesce("namespace", F.lit("cluster")))
     binds = binds.withColumn("role_id", F.when(F.col("ref_kind") == "ClusterRole", F.concat(F.lit("clusterrole:"), "ref_name")).otherwise(F.concat_ws(":", F.lit("role"), "_ns", "ref_name")))
-    later = 1_000_000
+    later = 1 << 40
     made = binds.select(
         "graph_id", (F.col("ord") + later).alias("ord"), F.col("role_id").alias("node_id"), F.lit("ROLE").alias("node_type"), F.col("ref_name").alias("name"), _known(F.col("ref_name"), F.lit(0.5)).alias("privilege_level"),
         F.lit(0.5).alias("sensitivity"), tags(kind=F.col("ref_kind"), source=F.lit("k8s_rbac_binding")).alias("tags"),
@@ -100,7 +100,7 @@ def load(docs: DataFrame, infer: bool = True) -> tuple[DataFrame, DataFrame]:
         wild = F.array(F.struct(F.lit(0).alias("i"), F.lit("*").alias("resource"), F.lit("ASSUME_ROLE").alias("edge_type"), F.lit("k8s:rbac:*").alias("dst"), F.lit(0.95).alias("weight")))
         got = roles.select("graph_id", "ord", F.col("node_id").alias("src"), F.inline(F.when(every, wild).otherwise(F.filter(F.array(*table), allowed))))
         star = F.col("resource") == "*"
-        got = got.withColumn("ord", F.col("ord") * 10 + F.col("i") + 2 * later)
+        got = got.withColumn("ord", F.col("ord") * (1 << 8) + F.col("i") + 2 * later)
         extra = got.select(
             "graph_id", "ord", F.col("dst").alias("node_id"), F.when(star, "ROLE").when(F.col("edge_type") == "SECRET_READ", "SECRET").otherwise("WORKLOAD").alias("node_type"), F.when(star, "k8s-cluster-wildcard").otherwise(F.col("dst")).alias("name"),
             F.when(star, 1.0).otherwise(0.5).alias("privilege_level"), F.when(star, 1.0).when(F.col("edge_type") == "SECRET_READ", 0.9).otherwise(0.7).alias("sensitivity"), tags(source=F.lit("k8s_rbac_derived")).alias("tags"),

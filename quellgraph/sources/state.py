@@ -35,7 +35,12 @@ def _in_order(rows: Column) -> Column:
 
 
 def snapshots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(graph_id, content)``: each graph as JSON, in the order of insertion. One row per graph: for graphs that fit one row."""
+    """``(graph_id, content)``: each graph as JSON, in the order of insertion. One row per graph, so that a graph beyond a task is an error."""
+    from quellgraph.operators.dense import small_graphs
+
+    large = nodes.join(small_graphs(nodes, edges), "graph_id", "left_anti").select("graph_id").take(1)
+    if large:
+        raise ValueError(f"graph {large[0][0]} doesn't fit one row; export its tables")
     n = nodes.groupBy("graph_id").agg(_in_order(F.collect_list(F.struct("ord", F.struct(*[c for c in nodes.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("n"))
     named = edges.withColumnsRenamed({"src": "source", "dst": "target"})
     e = named.groupBy("graph_id").agg(_in_order(F.collect_list(F.struct("ord", F.struct(*[c for c in named.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("e"))

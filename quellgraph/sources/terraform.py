@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quellgraph.functions import iam
 from quellgraph.operators.graph import keep_first
+from quellgraph.runtime import cut
 from quellgraph.schema import EDGES, NODES, conform
 
 # What managed policies allow, as far as graphs need it.
@@ -284,7 +285,8 @@ def load(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         rows = scenario_rows(dict(zip(part["path"], part["content"], strict=True)))
         return pd.DataFrame([(part["graph_id"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["graph_id", "ord", "kind", "subject", "payload"])
 
-    r = files.groupBy("graph_id").applyInPandas(parse, "graph_id string, ord int, kind string, subject string, payload string").persist()
+    r = files.groupBy("graph_id").applyInPandas(parse, "graph_id string, ord bigint, kind string, subject string, payload string")
+    r = cut(r)
     src = lambda s: F.create_map(F.lit("source"), F.lit(s))
     who = r.where("kind in ('user', 'role')").select(
         "graph_id", "ord", F.col("subject").alias("node_id"), F.upper("kind").alias("node_type"), F.col("payload").alias("name"), F.when(F.col("kind") == "user", 0.3).otherwise(0.5).alias("privilege_level"),
@@ -292,18 +294,18 @@ def load(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     st = r.where("kind = 'statement'").withColumn("s", F.from_json("payload", "struct<actions:array<string>,resources:array<string>,condition_keys:array<string>>"))
     st = st.select("graph_id", "subject", F.col("s.actions").alias("actions"), F.col("s.condition_keys").alias("keys"), "ord", F.posexplode("s.resources").alias("_i", "resource")).withColumn("resource", F.trim("resource"))
-    st = st.withColumn("dst", _resource_id(F.col("resource"), F.col("actions"))).withColumn("ord", F.col("ord") * 100 + F.col("_i"))
+    st = st.withColumn("dst", _resource_id(F.col("resource"), F.col("actions"))).withColumn("ord", F.col("ord") * (1 << 20) + F.col("_i"))
     things = st.select(
-        "graph_id", (F.col("ord") + 1_000_000).alias("ord"), F.col("dst").alias("node_id"), _resource_type(F.col("actions")).alias("node_type"), F.element_at(F.split("dst", ":"), -1).alias("name"), iam.action_privilege(F.col("actions")).alias("privilege_level"),
+        "graph_id", (F.col("ord") + (1 << 52)).alias("ord"), F.col("dst").alias("node_id"), _resource_type(F.col("actions")).alias("node_type"), F.element_at(F.split("dst", ":"), -1).alias("name"), iam.action_privilege(F.col("actions")).alias("privilege_level"),
         iam.arn_sensitivity(F.col("resource")).alias("sensitivity"), src("terraform_policy").alias("tags"),
     )
     trust = r.where("kind = 'trust'")
     services = trust.where("subject like 'service:%'").select(
-        "graph_id", (F.col("ord") + 2_000_000).alias("ord"), F.col("subject").alias("node_id"), F.lit("SERVICE").alias("node_type"), F.concat(F.substring("subject", 9, 200), F.lit(".amazonaws.com")).alias("name"), F.lit(0.3).alias("privilege_level"), F.lit(0.3).alias("sensitivity"), src("terraform_trust").alias("tags")
+        "graph_id", (F.col("ord") + (2 << 52)).alias("ord"), F.col("subject").alias("node_id"), F.lit("SERVICE").alias("node_type"), F.concat(F.substr("subject", F.lit(9)), F.lit(".amazonaws.com")).alias("name"), F.lit(0.3).alias("privilege_level"), F.lit(0.3).alias("sensitivity"), src("terraform_trust").alias("tags")
     )
     nodes = keep_first(conform(who.unionByName(things).unionByName(services), NODES), ["graph_id", "node_id"])
     rights = st.select("graph_id", "ord", F.col("subject").alias("src"), "dst", iam.dominant_edge_type(F.col("actions")).alias("edge_type"), iam.statement_weight(F.col("actions"), F.col("keys")).alias("weight"), F.lit(DEPTH).alias("delegation_depth_limit"))
-    assume = trust.select("graph_id", (F.col("ord") + 2_000_000).alias("ord"), F.col("subject").alias("src"), F.col("payload").alias("dst"), F.lit("ASSUME_ROLE").alias("edge_type"), F.lit(0.8).alias("weight"), F.lit(DEPTH).alias("delegation_depth_limit"))
+    assume = trust.select("graph_id", (F.col("ord") + (2 << 52)).alias("ord"), F.col("subject").alias("src"), F.col("payload").alias("dst"), F.lit("ASSUME_ROLE").alias("edge_type"), F.lit(0.8).alias("weight"), F.lit(DEPTH).alias("delegation_depth_limit"))
     known = nodes.select("graph_id", F.col("node_id").alias("src"))
     assume = assume.join(known, ["graph_id", "src"], "left_semi").select(*assume.columns)
     edges = keep_first(conform(rights.unionByName(assume), EDGES), ["graph_id", "src", "dst"])
@@ -316,9 +318,9 @@ def load(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     low = F.lower("dst")
     tasks = nodes.where("node_type = 'ROLE' and lower(node_id) like '%privd%'").select("graph_id", F.col("node_id").alias("dst"))
-    edges = lateral(edges, edges.where(low.contains("ecs")).select("graph_id", "src"), tasks, 0.6, 3_000_000)
+    edges = lateral(edges, edges.where(low.contains("ecs")).select("graph_id", "src"), tasks, 0.6, 3 << 52)
     by_src = edges.groupBy("graph_id", "src").agg(F.max(low.contains("lambda")).alias("l"), F.max(low.contains("wildcard")).alias("w"), F.max(low.contains("iam:resource")).alias("i"))
-    edges = lateral(edges, by_src.where("(l or w) and (l or i)").select("graph_id", "src"), roles, 0.7, 4_000_000)
+    edges = lateral(edges, by_src.where("(l or w) and (l or i)").select("graph_id", "src"), roles, 0.7, 4 << 52)
 
     entry = r.where("kind = 'user'").select("graph_id", F.col("subject").alias("node_id")).unionByName(r.where("kind in ('profile', 'ecs')").select("graph_id", F.col("subject").alias("node_id")).join(nodes, ["graph_id", "node_id"], "left_semi")).distinct()
     fallback = nodes.withColumn("_rank", F.when(F.col("node_id").startswith("service:"), 0).when(F.col("node_type") == "ROLE", 1).otherwise(2)).join(entry, "graph_id", "left_anti").groupBy("graph_id").agg(F.min_by("node_id", F.struct("_rank", "ord", "node_id")).alias("node_id"))

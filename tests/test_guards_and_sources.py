@@ -201,7 +201,7 @@ resource "aws_iam_role_policy_attachment" "a" {
 '''
     n, e, s = terraform.load(spark.createDataFrame([("sc", "a.tf", tf)], "graph_id string, path string, content string"))
     assert rows(e, "src", "dst", "edge_type") == {
-        ("iam:user:chris", "iam:role:mgr", "ASSUME_ROLE"), ("iam:role:mgr", "lambda:function:wildcard", "ASSUME_ROLE") if False else ("iam:role:mgr", "lambda:function:wildcard", "AUTHENTICATE_AS"), ("service:lambda", "iam:role:debug", "ASSUME_ROLE"),
+        ("iam:user:chris", "iam:role:mgr", "ASSUME_ROLE"), ("iam:role:mgr", "lambda:function:wildcard", "AUTHENTICATE_AS"), ("service:lambda", "iam:role:debug", "ASSUME_ROLE"),
         ("iam:role:debug", "aws:resource:wildcard", "ASSUME_ROLE"), ("iam:role:mgr", "iam:role:debug", "AUTHENTICATE_AS"),
     }
     assert rows(s, "node_id") == {("iam:user:chris",)}
