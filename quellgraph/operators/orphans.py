@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quellgraph.runtime import global_index, spread_join
+from quellgraph.runtime import global_index, spread_join, written
 
 #: Events of one key that one task may sort, unless 1 / MOST_HOT of all events is more. At most MOST_HOT keys can be above it.
 HOT_ROWS, MOST_HOT = 2_000_000, 4096
@@ -31,7 +31,7 @@ def number_keys(sides: list[DataFrame], keys: list[str]) -> DataFrame:
     for more in sides[1:]:
         rows = rows.unionByName(more.select(*keys))
     counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("load"))
-    return global_index(counts, keys, "key")
+    return global_index(written(counts), keys, "key")  # sorting by ranges reads it twice
 
 
 def with_number(df: DataFrame, numbers: DataFrame, keys: list[str]) -> DataFrame:
