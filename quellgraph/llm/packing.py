@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.runtime import cut, global_index
+from quellgraph.runtime import cut, global_index, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the vocabulary above is used with.
@@ -139,7 +139,7 @@ def pack(sizes: DataFrame, capacity: int = 2048, *, shard_items: int = 100_000)
     which is packed like any other item. Items of size 0 take no room: container and offset are null. An id that occurs twice
     is two items. The result follows from the ids and sizes alone, not from their layout in files.
     """
-    sizes = global_index(sizes.select("id", "n_tokens"), ["id", "n_tokens"], "_u")
+    sizes = global_index(written(sizes.select("id", "n_tokens")), ["id", "n_tokens"], "_u")  # sorting by ranges reads it twice
     full = sizes.where(F.col("n_tokens") >= capacity).select("id", "_u", F.posexplode(F.sequence(F.lit(1), F.floor(F.col("n_tokens") / capacity).cast("int"))).alias("_i", "piece"))
     full = full.select("id", "piece", F.lit(capacity).cast("bigint").alias("n_tokens"), F.concat_ws("-", F.lit("full"), "_u", "piece").alias("container_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = F.col("n_tokens") % capacity
