@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -58,11 +59,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: columnar, for wide or large results used several times."""
-    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_OWN: list[tuple[SparkSession, str]] = []
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when this process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _OWN:
+        atexit.register(_tidy)
+    _OWN.append((spark, path))
+    return path
+
+
+def _tidy() -> None:
+    for spark, path in _OWN:
+        try:
+            p, fs = _path(spark, path)
+            fs.delete(p, True)
+        except Exception:  # noqa: BLE001 - the session is gone already, and its files are the folder owner's
+            return
+
+
 #: Keys that hold at least 1 / HOT_SHARE of all rows are hot. There can't be more than so many of them, however large the data.
 HOT_SHARE = 4096
 
@@ -105,7 +127,7 @@ def written_once(spark: SparkSession, name: str, sources: list[str], make) -> Da
         p, fs = _path(spark, path)
         if fs.exists(p):
             return spark.read.schema(schema).parquet(path)
-    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    path = own_path(spark, "written")
     df = make()
     df.write.parquet(path)
     _KEPT[key] = path, df.schema

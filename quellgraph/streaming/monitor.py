@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quellgraph.operators.guards import sensor
-from quellgraph.runtime import cut, shared_dir
+from quellgraph.runtime import cut, own_path
 
 
 def sensor_windows(events: DataFrame, ts: str = "ts", width: str = "60 seconds", slide: str | None = None, lateness: str = "5 minutes", by: list[str] = (), threshold: float = 0.6) -> DataFrame:
@@ -87,18 +87,18 @@ def strictness_stream(events: DataFrame, key: str = "graph_id", ts: str = "ts")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, into a table in the shared folder, and gives the table. Its checkpoint lies beside it.
+    """Runs a stream over what is there, into a new table in the shared folder, and gives the table. Its checkpoint lies within.
 
     In ``complete`` mode every batch writes its whole result to a folder of its own, and the last one is the table.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{name}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True)
-    last = {"path": f"{base}-out"}
+    base = own_path(spark, f"stream-{name}")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    last = {"path": f"{base}/out"}
     if mode == "complete":
 
         def keep(batch: DataFrame, number: int) -> None:
-            last["path"] = f"{base}-out/batch-{number}"
+            last["path"] = f"{base}/out-{number}"
             batch.write.mode("overwrite").parquet(last["path"])
 
         writer = writer.foreachBatch(keep)

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quellgraph.operators import dense, ensemble, fingerprint, gcn, graph, propagation, temporal, traversal, verification
+from quellgraph.operators import dense, ensemble, fingerprint, gcn, graph, pipeline, propagation, temporal, traversal, verification
 from quellgraph.runtime import cut
 from quellgraph.schema import EDGES, NODES, check, conform
 from quellgraph.sources import simulate
@@ -384,3 +384,21 @@ def test_six_models_vote(spark, small):
     for x in got:
         k = len(votes.get((x["graph_id"], x["node_id"]), ()))
         assert x["risk"] == round(k / 6, 6) and x["compromised"] == (k >= 4)
+
+
+def test_pipeline(spark, chain, tmp_path):
+    n, e = chain
+    run = pipeline.run(n, e, seed(spark, "A"), cycles=2, percolation={"n_trials": 5})
+    r = run.report().first()
+    assert r["topology_type"] == "HUB" and r["weight_source"] == "topology_prior" and r["tokens"] >= 1 and 0 <= r["success_rate"] <= 1
+    nodes = run.node_rows()
+    assert nodes.columns[1:] == ["node_id", "type", "privilege_level", "x", "y", "z", "risk_score", "state", "in_pbr", "in_vbr", "exploitability_score"] and nodes.count() == 4
+    assert {x["src"]: x["state"] for x in run.edge_rows().collect()}.keys() == {"A", "B", "C"} and rows(run.edge_rows(), "state") <= {("blocked",), ("critical",), ("normal",)}
+    one = pipeline.inspect(run, "g", "B").first()
+    assert one["out_edges"] == {"TOKEN_MINT": 1} and one["in_edges"] == {"AUTHENTICATE_AS": 1} and pipeline.inspect(run, "g", "nobody").count() == 0
+    run.export(str(tmp_path))
+    assert spark.read.option("header", True).csv(str(tmp_path / "analysis")).count() == 4 and spark.read.option("header", True).csv(str(tmp_path / "verification")).count() == 4
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
+    with pytest.raises(ValueError, match="fusion"):
+        pipeline.fuse("median", run.results)
+    assert pipeline.fuse("voting", run.results).count() == 4

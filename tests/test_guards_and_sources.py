@@ -116,6 +116,28 @@ def test_streams_equal_batches(spark, tmp_path):
     assert rows(monitor.checked(pings, edges.where("src = 'a'")), "src", "status") == {("a", "blocked"), ("b", "allowed")}
 
 
+def test_sinks_of_a_stream(spark, tmp_path):
+    """Fan-out, breaches as a table however many, replay, weights learnt from a batch, progress."""
+    events = spark.createDataFrame([(f"p{i}", "use" if i % 2 else "see", i) for i in range(3_000)], "principal string, action string, n long")
+    breaches = spark.createDataFrame([("use",)], "action string")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    seen, hit = [], []
+    sink = monitor.fan_out(lambda b, k: seen.append((k, b.count())), monitor.on_breach(lambda who: hit.append(who.count())))
+    q = monitor.replay(stream, breaches, ["action"]).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == [(0, 3_000)] and hit == [1_500]
+    assert monitor.progress(q).agg(F.sum("input_rows")).first()[0] == 3_000
+    monitor.on_breach(lambda who: hit.append("never"))(monitor.replay(events, breaches.limit(0), ["action"]), 1)
+    assert hit == [1_500]
+    from quellgraph.schema import MODELS
+
+    scored = spark.createDataFrame([(i, "HUB", m, 0.9 if m == "gnn" else 0.3) for i, m in enumerate(MODELS * 6)], "id long, topology_type string, model_name string, f1_score double")
+    monitor.learn(str(tmp_path / "history"), str(tmp_path / "weights"))(scored, 0)
+    w = {r["model"]: round(r["weight"], 6) for r in spark.read.parquet(str(tmp_path / "weights")).collect()}
+    assert w["gnn"] == 0.375 and w["epidemic"] == 0.125
+
+
 TRUST = {"Version": "2012-10-17", "Statement": [{"Effect": "Allow", "Principal": {"Service": "lambda.amazonaws.com"}, "Action": "sts:AssumeRole"}]}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quellgraph.operators import drift, key_states, nested, orphans, packed_fields, same_records
 from quellgraph.plans import found
-from quellgraph.runtime import global_index, table
+from quellgraph.runtime import global_index, spread_join, table
 
 
 def cols(spark, d, name, *c):
@@ -103,6 +103,28 @@ def test_nested_edge_cases(spark):
     assert nested.items(spark.createDataFrame([], "dump_id long, dump string"), ["dump_id"]).count() == 0
 
 
+def test_documents_and_their_statements(spark):
+    doc = {"Version": "v", "Statement": {"Effect": "Allow", "Action": "a", "Resource": ["r", "q"]}}
+    dump = {
+        "UserDetailList": [{"UserPolicyList": [{"PolicyName": "p", "PolicyDocument": doc}, {"PolicyName": "none"}]}], "GroupDetailList": {"GroupPolicyList": {"PolicyName": "g", "PolicyDocument": json.dumps({"Statement": [{}, {"Sid": "s"}]})}},
+        "RoleDetailList": [{"RoleName": "r", "AssumeRolePolicyDocument": "%7B%22Version%22%3A%22t%22%7D", "RolePolicyList": None}, {"RoleName": "bare"}], "Policies": [{"Arn": "x", "PolicyVersionList": [{"VersionId": "v1", "Document": doc}, {"VersionId": "v2"}]}, {}],
+    }
+    data = [(1, json.dumps(dump)), (2, json.dumps({"AuthorizationDetails": dump})), (3, None), (4, ""), (5, "not json"), (6, "{}")]
+    docs = nested.documents(spark.createDataFrame(data, "dump_id long, dump string").withColumn("kind", F.lit(1)), ["dump_id"])
+    one = {("UserDetailList", 1, "inline", 1, "p", "v"), ("UserDetailList", 1, "inline", 2, "none", None), ("GroupDetailList", 1, "inline", 1, "g", None), ("RoleDetailList", 1, "trust", 1, "r", "t"), ("Policies", 1, "version", 1, "v1", "v"), ("Policies", 1, "version", 2, "v2", None)}
+    assert rows(docs.drop("document")) == {(k, *r) for k in (1, 2) for r in one}
+    st = nested.statements(docs.where("dump_id = 1"), ["dump_id"])
+    assert {(r["parent_list"], r["statement_pos"], r["sid"], tuple(r["resources"] or ())) for r in st.collect()} == {("UserDetailList", 1, None, ("r", "q")), ("Policies", 1, None, ("r", "q")), ("GroupDetailList", 1, None, ()), ("GroupDetailList", 2, "s", ())}
+
+
+def test_spread_join_of_hot_keys(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)] + [(901, None), (902, "unknown")], "id long, k string")
+    right = left.where("k is not null and k != 'unknown'").groupBy("k").agg(F.count("*").alias("load"), F.min("id").alias("v"))
+    got = spread_join(left, right, ["k"], "load", F.xxhash64("id"))
+    want = left.join(right.drop("load"), "k", "left").select("id", "k", "v")
+    assert rows(got) == rows(want) and got.count() == 902 and got.columns == ["id", "k", "v"]
+
+
 # key states
 
 
@@ -178,6 +200,8 @@ def test_same_records_notations(spark):
     df = spark.createDataFrame(data, "id long, family string, t string").withColumn("pairs", F.lit("clash"))
     got = rows(same_records.same_records(df, "id", "family", "t"), "id", "first_id")
     assert got == {(10, 10), (11, 10), (12, 10), (13, 10), (14, 10), (15, 10), (16, 16), (17, 17), (1, 1), (91, 91), (92, 91), (93, 93), (94, 93)}
+    assert rows(same_records.same_records(df, "id", "family", "t", hot_rows=2), "id", "first_id") == got  # dealt to several tasks
+    assert "SortAggregate" not in same_records.same_records(df, "id", "family", "t")._jdf.queryExecution().toString()
     assert same_records.same_records(df.limit(0), "id", "family", "t").count() == 0
     assert rows(same_records.distinct_records(df.where("id < 16 and family = 'f'"), "id", "family", "t")) == {("f", 10, 6)}
 
