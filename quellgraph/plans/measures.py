@@ -174,6 +174,55 @@ def arn_parse(spark, d):
     return a.select("arn", iam.arn_node_id(F.col("arn")).alias("node_id"))
 
 
+_LIST_OF = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN NULL WHEN json_type({0}) = 'ARRAY' THEN list_transform({0}::JSON[], lambda x: json_extract_string(x, '$')) WHEN json_extract_string({0}, '$') = '' THEN NULL ELSE [json_extract_string({0}, '$')] END"
+_ARN_ID = r"""CASE WHEN NOT regexp_matches({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)') THEN {0} WHEN split_part(regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 5), '/', 1) = 'root' THEN 'iam:root:' || regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 4)
+    ELSE regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 2) || ':' || split_part(regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 5), '/', 1) || ':' || regexp_replace(regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 5), '^[^/]*/', '') END"""
+# The rules of policies: how documents nest, and what a statement gives. Prefixes are stated here again.
+POLICY_SQL = rf"""
+    f AS (SELECT DISTINCT file_id::VARCHAR AS graph_id, content::JSON AS j FROM policy_files),
+    b AS (SELECT *, json_exists(j, '$.RoleName') OR json_exists(j, '$.TrustPolicy') AS bundle, coalesce(json_extract_string(j, '$.RoleArn'), '') AS arn FROM f),
+    subjects AS (SELECT graph_id, j, bundle, CASE WHEN NOT bundle THEN 'iam:policy:policy-subject' WHEN arn <> '' THEN {_ARN_ID.format('arn')} ELSE 'iam:role:' || coalesce(json_extract_string(j, '$.RoleName'), 'unknown-role') END AS subject FROM b),
+    wraps AS (
+        SELECT graph_id, subject, 1 AS o, j AS w FROM subjects WHERE NOT bundle UNION ALL SELECT graph_id, subject, unnest(range(2, len(a) + 2)), json_extract(unnest(a), '$.Document')
+        FROM (SELECT graph_id, subject, CASE json_type(json_extract(j, '$.PermissionPolicies')) WHEN 'ARRAY' THEN json_extract(j, '$.PermissionPolicies')::JSON[] WHEN 'OBJECT' THEN [json_extract(j, '$.PermissionPolicies')] ELSE [] END AS a FROM subjects WHERE bundle)
+    ),
+    pdocs AS (
+        SELECT graph_id, subject, o, CASE WHEN json_exists(w, '$.Statement') THEN w ELSE coalesce(json_extract(w, '$.PolicyVersion.Document'), json_extract(w, '$.Document')) END AS doc FROM wraps
+        UNION ALL SELECT graph_id, subject, 1, json_extract(j, '$.TrustPolicy') FROM subjects WHERE bundle
+    ),
+    lists AS (SELECT graph_id, subject, o, CASE WHEN doc IS NULL OR json_extract(doc, '$.Statement') IS NULL THEN [] WHEN json_type(json_extract(doc, '$.Statement')) = 'ARRAY' THEN json_extract(doc, '$.Statement')::JSON[] ELSE [json_extract(doc, '$.Statement')] END AS a FROM pdocs),
+    st AS (SELECT graph_id, subject, o * 1048576 + unnest(range(0, len(a))) AS o, unnest(a) AS s FROM lists),
+    said AS (
+        SELECT graph_id, subject, o, coalesce(json_type(json_extract(s, '$.Principal')), 'NULL') <> 'NULL' AS trust, json_extract(s, '$.Principal') AS p, coalesce({_LIST_OF.format("json_extract(s, '$.Action')")}, CASE WHEN coalesce(json_type(json_extract(s, '$.Principal')), 'NULL') <> 'NULL' THEN ['sts:AssumeRole'] ELSE ['*'] END) AS acts,
+            coalesce({_LIST_OF.format("json_extract(s, '$.Resource')")}, ['*']) AS res, CASE WHEN json_type(json_extract(s, '$.Condition')) = 'OBJECT' THEN json_keys(json_extract(s, '$.Condition')) ELSE [] END AS conds FROM st WHERE coalesce(json_extract_string(s, '$.Effect'), 'Allow') = 'Allow'
+    ),
+    who AS (SELECT *, CASE WHEN json_type(p) = 'OBJECT' THEN list_concat(list_concat(coalesce({_LIST_OF.format("json_extract(p, '$.AWS')")}, []), coalesce({_LIST_OF.format("json_extract(p, '$.Service')")}, [])), coalesce({_LIST_OF.format("json_extract(p, '$.Federated')")}, [])) ELSE {_LIST_OF.format('p')} END AS ps FROM said),
+    meant AS (SELECT *, list_max(list_transform(acts, lambda x: CASE WHEN trim(x) = '*' OR starts_with(lower(trim(x)), 'sts:assumerole') THEN 5 WHEN regexp_matches(lower(trim(x)), '^(secretsmanager:getsecretvalue|secretsmanager:getrandompassword|ssm:getparameter|ssm:getsecretvalue|kms:decrypt|kms:generatedata)') THEN 4
+            WHEN regexp_matches(lower(trim(x)), '^(codedeploy:|codepipeline:|codebuild:|ecr:initiatelayerupload|ecs:updateservice|ecs:registercontainerinstance|eks:|lambda:updatefunctioncode|lambda:createfunction|lambda:publishversion|elasticbeanstalk:updateenvironment|cloudformation:create|cloudformation:update|cloudformation:execute)') THEN 3
+            WHEN regexp_matches(lower(trim(x)), '^(lambda:invoke|apigateway:invoke|states:startexecution|states:startsynccexecution|events:put|sqs:sendmessage|sns:publish)') THEN 2 ELSE 1 END)) AS rank,
+        list_min(list_transform(acts, lambda x: CASE WHEN x = '*' THEN 1 WHEN starts_with(lower(x), 'iam:') THEN 2 WHEN starts_with(lower(x), 'sts:') THEN 3 WHEN regexp_matches(lower(x), '^(organizations:|kms:create|kms:delete|kms:schedule|ec2:[*]|eks:|ecs:register|lambda:create|lambda:delete|lambda:update|cloudformation:)') THEN 4
+            WHEN regexp_matches(lower(x), '^(secretsmanager:|ssm:getparam|kms:decrypt)') THEN 5 WHEN lower(x) LIKE '%:*' THEN 6 WHEN regexp_matches(lower(x), '(create|delete|update|put|write|invoke|attach|detach|modify|start|stop|reboot)') THEN 7 ELSE 8 END)) AS step FROM who),
+    ends AS (SELECT graph_id, subject, o, trust, unnest(CASE WHEN trust THEN (CASE WHEN len(ps) = 0 THEN ['*'] ELSE ps END) ELSE res END) AS other, (['AUTHENTICATE_AS', 'TOKEN_MINT', 'DEPLOY_TO', 'SECRET_READ', 'ASSUME_ROLE'])[coalesce(rank, 1)] AS edge_type, ([2, 3, 2, 1, 6])[coalesce(rank, 1)] AS delegation_depth_limit,
+        round(greatest(0.05, least(1.0, ([1.0, 0.9, 0.85, 0.75, 0.7, 0.65, 0.5, 0.25])[coalesce(step, 8)]::DOUBLE * CASE WHEN len(conds) > 0 THEN 0.8::DOUBLE ELSE 1.0 END * CASE WHEN len(list_filter(conds, lambda k: contains(lower(k), 'mfa') OR contains(lower(k), 'multifactorauthpresent'))) > 0 THEN 0.7::DOUBLE ELSE 1.0 END)), 4) AS weight FROM meant),
+    named AS (SELECT *, CASE WHEN NOT trust AND other = '*' THEN 'aws:resource:wildcard' ELSE {_ARN_ID.format('other')} END AS other_id FROM ends),
+    raw_pe AS (SELECT graph_id, o, CASE WHEN trust THEN other_id ELSE subject END AS src, CASE WHEN trust THEN subject ELSE other_id END AS dst, edge_type, weight::DOUBLE AS weight, delegation_depth_limit FROM named),
+    pe AS (SELECT * FROM raw_pe WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY weight DESC, o) = 1)"""
+
+
+_ARN_TYPE = """CASE WHEN contains(lower({0}), ':role/') OR ends_with(lower({0}), ':role') THEN 'ROLE' WHEN contains(lower({0}), ':user/') THEN 'USER' WHEN regexp_matches(lower({0}), '(lambda|apigateway|states)') THEN 'SERVICE' WHEN regexp_matches(lower({0}), '(secretsmanager|/secret:|ssm|kms)') THEN 'SECRET'
+    WHEN regexp_matches(lower({0}), '(ec2|ecs|eks|pod)') THEN 'WORKLOAD' WHEN regexp_matches(lower({0}), '(codepipeline|codebuild|codedeploy)') THEN 'DEPLOYMENT' WHEN contains(lower({0}), 's3') THEN 'SECRET' WHEN contains(lower({0}), '.amazonaws.com') THEN 'SERVICE' ELSE 'USER' END"""
+_ARN_SENSITIVITY = """CASE WHEN regexp_matches(lower({0}), '(secretsmanager|ssm|kms)') THEN 0.9 WHEN regexp_matches(lower({0}), '(:role/|iam:)') THEN 0.8 WHEN regexp_matches(lower({0}), '(lambda|ec2|eks|ecs)') THEN 0.6 WHEN contains(lower({0}), 's3') THEN 0.5 WHEN regexp_matches(lower({0}), '(logs|cloudwatch|cloudtrail)') THEN 0.3 ELSE 0.4 END::DOUBLE"""
+POLICY_NODES_SQL = f"""{POLICY_SQL},
+    all_n AS (
+        SELECT graph_id, 0 AS o, subject AS node_id, CASE WHEN bundle THEN 'ROLE' ELSE 'USER' END AS node_type, CASE WHEN bundle THEN 0.5 ELSE 0.3 END::DOUBLE AS privilege_level, CASE WHEN bundle THEN 0.6 ELSE 0.4 END::DOUBLE AS sensitivity, bundle AS own
+        FROM subjects z WHERE bundle OR EXISTS (SELECT 1 FROM pdocs d WHERE d.graph_id = z.graph_id AND d.doc IS NOT NULL)
+        UNION ALL SELECT graph_id, o, other_id, {_ARN_TYPE.format('other')}, CASE WHEN {_ARN_TYPE.format('other')} = 'ROLE' THEN 0.5 ELSE 0.3 END, {_ARN_SENSITIVITY.format('other')}, false FROM named
+    ),
+    first_n AS (SELECT * FROM all_n QUALIFY row_number() OVER (PARTITION BY graph_id, node_id ORDER BY o) = 1),
+    best AS (SELECT graph_id, src AS node_id, round(max(weight), 4) AS w FROM pe GROUP BY 1, 2),
+    pn AS (SELECT n.graph_id, n.node_id, node_type, CASE WHEN own THEN coalesce(w, privilege_level) ELSE privilege_level END AS privilege_level, sensitivity FROM first_n n LEFT JOIN best USING (graph_id, node_id))"""
+
+
 def _files(spark, d, family=None):
     f = table(spark, d, "policy_files")
     f = (f if family is None else f.where(F.col("family") == family)).dropDuplicates(["file_id"])
@@ -186,7 +235,7 @@ def detect_formats(spark, d):
     return f.select("file_id", iam_source.detect_format(F.col("content")).alias("format"))
 
 
-@query()
+@query(f"WITH {POLICY_SQL} SELECT graph_id, src, dst, edge_type, weight, delegation_depth_limit FROM pe WHERE graph_id IN (SELECT file_id::VARCHAR FROM policy_files WHERE family = 's3_read_only')")
 def policy_edges(spark, d):
     return iam_source.load_policies(_files(spark, d, "s3_read_only"))[1].select("graph_id", "src", "dst", "edge_type", "weight", "delegation_depth_limit")
 
@@ -196,23 +245,23 @@ def _role_bundles(spark, d):
     return iam_source.load_role_bundles(_files(spark, d).where(iam_source.detect_format(F.col("content")) == "role_bundle"))
 
 
-@query()
+@query(f"WITH {POLICY_NODES_SQL} SELECT * FROM pn WHERE graph_id IN (SELECT graph_id FROM subjects WHERE bundle)")
 def role_bundle_nodes(spark, d):
     return _role_bundles(spark, d)[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
 
 
-@query()
+@query(f"WITH {POLICY_SQL} SELECT graph_id, src, dst, edge_type, weight, delegation_depth_limit FROM pe WHERE graph_id IN (SELECT graph_id FROM subjects WHERE bundle)")
 def role_bundle_edges(spark, d):
     return _role_bundles(spark, d)[1].select("graph_id", "src", "dst", "edge_type", "weight", "delegation_depth_limit")
 
 
-@query()
+@query(f"WITH {POLICY_NODES_SQL} SELECT * FROM pn")
 def policy_file_nodes(spark, d):
     """Every file by its detected format."""
     return iam_source.load_any(_files(spark, d))[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
 
 
-@query()
+@query(f"WITH {POLICY_SQL} SELECT graph_id, src, dst, edge_type, weight, delegation_depth_limit FROM pe")
 def policy_file_edges(spark, d):
     return iam_source.load_any(_files(spark, d))[1].select("graph_id", "src", "dst", "edge_type", "weight", "delegation_depth_limit")
 
