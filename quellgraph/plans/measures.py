@@ -12,6 +12,7 @@ from quellgraph.operators import evaluation as ev
 from quellgraph.operators import packed_fields
 from quellgraph.operators import traversal as t
 from quellgraph.operators import verification as ve
+from quellgraph.plans.found_sql import P3_DOCS
 from quellgraph.plans.registry import query
 from quellgraph.plans.views import ORG_SQL, org_edges, org_nodes, org_seeds
 from quellgraph.runtime import cut, table
@@ -177,21 +178,9 @@ def arn_parse(spark, d):
 _LIST_OF = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN NULL WHEN json_type({0}) = 'ARRAY' THEN list_transform({0}::JSON[], lambda x: json_extract_string(x, '$')) WHEN json_extract_string({0}, '$') = '' THEN NULL ELSE [json_extract_string({0}, '$')] END"
 _ARN_ID = r"""CASE WHEN NOT regexp_matches({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)') THEN {0} WHEN split_part(regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 5), '/', 1) = 'root' THEN 'iam:root:' || regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 4)
     ELSE regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 2) || ':' || split_part(regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 5), '/', 1) || ':' || regexp_replace(regexp_extract({0}, '^arn:([^:]+):([^:]*):([^:]*):([^:]*):(.+)', 5), '^[^/]*/', '') END"""
-# The rules of policies: how documents nest, and what a statement gives. Prefixes are stated here again.
-POLICY_SQL = rf"""
-    f AS (SELECT DISTINCT file_id::VARCHAR AS graph_id, content::JSON AS j FROM policy_files),
-    b AS (SELECT *, json_exists(j, '$.RoleName') OR json_exists(j, '$.TrustPolicy') AS bundle, coalesce(json_extract_string(j, '$.RoleArn'), '') AS arn FROM f),
-    subjects AS (SELECT graph_id, j, bundle, CASE WHEN NOT bundle THEN 'iam:policy:policy-subject' WHEN arn <> '' THEN {_ARN_ID.format('arn')} ELSE 'iam:role:' || coalesce(json_extract_string(j, '$.RoleName'), 'unknown-role') END AS subject FROM b),
-    wraps AS (
-        SELECT graph_id, subject, 1 AS o, j AS w FROM subjects WHERE NOT bundle UNION ALL SELECT graph_id, subject, unnest(range(2, len(a) + 2)), json_extract(unnest(a), '$.Document')
-        FROM (SELECT graph_id, subject, CASE json_type(json_extract(j, '$.PermissionPolicies')) WHEN 'ARRAY' THEN json_extract(j, '$.PermissionPolicies')::JSON[] WHEN 'OBJECT' THEN [json_extract(j, '$.PermissionPolicies')] ELSE [] END AS a FROM subjects WHERE bundle)
-    ),
-    pdocs AS (
-        SELECT graph_id, subject, o, CASE WHEN json_exists(w, '$.Statement') THEN w ELSE coalesce(json_extract(w, '$.PolicyVersion.Document'), json_extract(w, '$.Document')) END AS doc FROM wraps
-        UNION ALL SELECT graph_id, subject, 1, json_extract(j, '$.TrustPolicy') FROM subjects WHERE bundle
-    ),
-    lists AS (SELECT graph_id, subject, o, CASE WHEN doc IS NULL OR json_extract(doc, '$.Statement') IS NULL THEN [] WHEN json_type(json_extract(doc, '$.Statement')) = 'ARRAY' THEN json_extract(doc, '$.Statement')::JSON[] ELSE [json_extract(doc, '$.Statement')] END AS a FROM pdocs),
-    st AS (SELECT graph_id, subject, o * 1048576 + unnest(range(0, len(a))) AS o, unnest(a) AS s FROM lists),
+# What the statements of ``stated`` (graph_id, subject, o, a) give. Prefixes are stated here again.
+STATEMENT_SQL = rf"""
+    st AS (SELECT graph_id, subject, o * 1048576 + unnest(range(0, len(a))) AS o, unnest(a) AS s FROM stated),
     said AS (
         SELECT graph_id, subject, o, coalesce(json_type(json_extract(s, '$.Principal')), 'NULL') <> 'NULL' AS trust, json_extract(s, '$.Principal') AS p, coalesce({_LIST_OF.format("json_extract(s, '$.Action')")}, CASE WHEN coalesce(json_type(json_extract(s, '$.Principal')), 'NULL') <> 'NULL' THEN ['sts:AssumeRole'] ELSE ['*'] END) AS acts,
             coalesce({_LIST_OF.format("json_extract(s, '$.Resource')")}, ['*']) AS res, CASE WHEN json_type(json_extract(s, '$.Condition')) = 'OBJECT' THEN json_keys(json_extract(s, '$.Condition')) ELSE [] END AS conds FROM st WHERE coalesce(json_extract_string(s, '$.Effect'), 'Allow') = 'Allow'
@@ -203,10 +192,25 @@ POLICY_SQL = rf"""
         list_min(list_transform(acts, lambda x: CASE WHEN x = '*' THEN 1 WHEN starts_with(lower(x), 'iam:') THEN 2 WHEN starts_with(lower(x), 'sts:') THEN 3 WHEN regexp_matches(lower(x), '^(organizations:|kms:create|kms:delete|kms:schedule|ec2:[*]|eks:|ecs:register|lambda:create|lambda:delete|lambda:update|cloudformation:)') THEN 4
             WHEN regexp_matches(lower(x), '^(secretsmanager:|ssm:getparam|kms:decrypt)') THEN 5 WHEN lower(x) LIKE '%:*' THEN 6 WHEN regexp_matches(lower(x), '(create|delete|update|put|write|invoke|attach|detach|modify|start|stop|reboot)') THEN 7 ELSE 8 END)) AS step FROM who),
     ends AS (SELECT graph_id, subject, o, trust, unnest(CASE WHEN trust THEN (CASE WHEN len(ps) = 0 THEN ['*'] ELSE ps END) ELSE res END) AS other, (['AUTHENTICATE_AS', 'TOKEN_MINT', 'DEPLOY_TO', 'SECRET_READ', 'ASSUME_ROLE'])[coalesce(rank, 1)] AS edge_type, ([2, 3, 2, 1, 6])[coalesce(rank, 1)] AS delegation_depth_limit,
-        round(greatest(0.05, least(1.0, ([1.0, 0.9, 0.85, 0.75, 0.7, 0.65, 0.5, 0.25])[coalesce(step, 8)]::DOUBLE * CASE WHEN len(conds) > 0 THEN 0.8::DOUBLE ELSE 1.0 END * CASE WHEN len(list_filter(conds, lambda k: contains(lower(k), 'mfa') OR contains(lower(k), 'multifactorauthpresent'))) > 0 THEN 0.7::DOUBLE ELSE 1.0 END)), 4) AS weight FROM meant),
+        round(greatest(0.05, least(1.0, ([1.0, 0.9, 0.85, 0.75, 0.7, 0.65, 0.5, 0.25])[coalesce(step, 8)]::DOUBLE * CASE WHEN len(conds) > 0 THEN 0.8::DOUBLE ELSE 1.0 END * CASE WHEN len(list_filter(conds, lambda k: contains(lower(k), 'mfa') OR contains(lower(k), 'multifactorauthpresent'))) > 0 THEN 0.7::DOUBLE ELSE 1.0 END)), 4) AS weight, len(conds) > 0 AS is_conditional FROM meant),
     named AS (SELECT *, CASE WHEN NOT trust AND other = '*' THEN 'aws:resource:wildcard' ELSE {_ARN_ID.format('other')} END AS other_id FROM ends),
-    raw_pe AS (SELECT graph_id, o, CASE WHEN trust THEN other_id ELSE subject END AS src, CASE WHEN trust THEN subject ELSE other_id END AS dst, edge_type, weight::DOUBLE AS weight, delegation_depth_limit FROM named),
+    raw_pe AS (SELECT graph_id, o, CASE WHEN trust THEN other_id ELSE subject END AS src, CASE WHEN trust THEN subject ELSE other_id END AS dst, edge_type, weight::DOUBLE AS weight, delegation_depth_limit, is_conditional FROM named),
     pe AS (SELECT * FROM raw_pe WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY weight DESC, o) = 1)"""
+# How the documents of policies and role bundles nest.
+POLICY_SQL = rf"""
+    f AS (SELECT DISTINCT file_id::VARCHAR AS graph_id, content::JSON AS j FROM policy_files),
+    b AS (SELECT *, json_exists(j, '$.RoleName') OR json_exists(j, '$.TrustPolicy') AS bundle, coalesce(json_extract_string(j, '$.RoleArn'), '') AS arn FROM f),
+    subjects AS (SELECT graph_id, j, bundle, CASE WHEN NOT bundle THEN 'iam:policy:policy-subject' WHEN arn <> '' THEN {_ARN_ID.format('arn')} ELSE 'iam:role:' || coalesce(json_extract_string(j, '$.RoleName'), 'unknown-role') END AS subject FROM b),
+    wraps AS (
+        SELECT graph_id, subject, 1 AS o, j AS w FROM subjects WHERE NOT bundle UNION ALL SELECT graph_id, subject, unnest(range(2, len(a) + 2)), json_extract(unnest(a), '$.Document')
+        FROM (SELECT graph_id, subject, CASE json_type(json_extract(j, '$.PermissionPolicies')) WHEN 'ARRAY' THEN json_extract(j, '$.PermissionPolicies')::JSON[] WHEN 'OBJECT' THEN [json_extract(j, '$.PermissionPolicies')] ELSE [] END AS a FROM subjects WHERE bundle)
+    ),
+    pdocs AS (
+        SELECT graph_id, subject, o, CASE WHEN json_exists(w, '$.Statement') THEN w ELSE coalesce(json_extract(w, '$.PolicyVersion.Document'), json_extract(w, '$.Document')) END AS doc FROM wraps
+        UNION ALL SELECT graph_id, subject, 1, json_extract(j, '$.TrustPolicy') FROM subjects WHERE bundle
+    ),
+    stated AS (SELECT graph_id, subject, o, CASE WHEN doc IS NULL OR json_extract(doc, '$.Statement') IS NULL THEN [] WHEN json_type(json_extract(doc, '$.Statement')) = 'ARRAY' THEN json_extract(doc, '$.Statement')::JSON[] ELSE [json_extract(doc, '$.Statement')] END AS a FROM pdocs),
+{STATEMENT_SQL}"""
 
 
 _ARN_TYPE = """CASE WHEN contains(lower({0}), ':role/') OR ends_with(lower({0}), ':role') THEN 'ROLE' WHEN contains(lower({0}), ':user/') THEN 'USER' WHEN regexp_matches(lower({0}), '(lambda|apigateway|states)') THEN 'SERVICE' WHEN regexp_matches(lower({0}), '(secretsmanager|/secret:|ssm|kms)') THEN 'SECRET'
@@ -276,7 +280,24 @@ def account_nodes(spark, d):
     return iam_source.load_account_dumps(_dumps(spark, d))[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
 
 
-@query()
+ACCOUNT_SQL = rf"""{P3_DOCS},
+    subj AS (SELECT dump_id, entity_list, entity_pos, e, coalesce(json_extract_string(e, '$.Arn'), '') AS arn FROM ents),
+    ids AS (SELECT dump_id, entity_list, entity_pos, e, arn, ((CASE entity_list WHEN 'UserDetailList' THEN 0 WHEN 'GroupDetailList' THEN 1 ELSE 2 END)::BIGINT << 40) + entity_pos - 1 AS o,
+        CASE WHEN entity_list = 'GroupDetailList' THEN 'iam:group:' || coalesce(json_extract_string(e, '$.GroupName'), 'unknown-group') WHEN arn <> '' THEN {_ARN_ID.format('arn')} WHEN entity_list = 'UserDetailList' THEN 'iam:user:' || coalesce(json_extract_string(e, '$.UserName'), 'unknown-user') ELSE 'iam:role:' || coalesce(json_extract_string(e, '$.RoleName'), 'unknown-role') END AS subject FROM subj),
+    managed AS (SELECT d.dump_id, json_extract_string(p.e, '$.Arn') AS arn, arg_min(d.doc, d.doc_pos) AS doc FROM docs_ d JOIN pols p ON p.dump_id = d.dump_id AND p.pos = d.parent_pos
+        JOIN raws r ON r.dump_id = d.dump_id AND r.kind = 'version' AND r.parent_pos = d.parent_pos AND r.doc_pos = d.doc_pos WHERE d.kind = 'version' AND lower(json_extract_string(r.i, '$.IsDefaultVersion')) = 'true' AND d.doc IS NOT NULL GROUP BY 1, 2),
+    adocs AS (
+        SELECT i.dump_id, subject, o, doc, kind = 'trust' AS trusting FROM docs_ d JOIN ids i ON i.dump_id = d.dump_id AND i.entity_list = d.parent_list AND i.entity_pos = d.parent_pos WHERE kind IN ('inline', 'trust')
+        UNION ALL SELECT i.dump_id, subject, o, m.doc, false FROM rows_ r JOIN ids i USING (dump_id, entity_list, entity_pos) JOIN managed m ON m.dump_id = r.dump_id AND m.arn = json_extract_string(r.i, '$.PolicyArn') WHERE field_name = 'AttachedManagedPolicies'
+    ),
+    split AS (SELECT dump_id, subject, o, trusting, CASE WHEN doc IS NULL OR json_extract(doc, '$.Statement') IS NULL THEN [] WHEN json_type(json_extract(doc, '$.Statement')) = 'ARRAY' THEN json_extract(doc, '$.Statement')::JSON[] ELSE [json_extract(doc, '$.Statement')] END AS a FROM adocs),
+    stated AS (SELECT dump_id::VARCHAR AS graph_id, subject, o, list_filter(a, lambda x: (coalesce(json_type(json_extract(x, '$.Principal')), 'NULL') <> 'NULL') = trusting) AS a FROM split),
+    {STATEMENT_SQL},
+    member AS (SELECT dump_id::VARCHAR AS graph_id, o, subject AS src, 'iam:group:' || json_extract_string(r.i, '$') AS dst, 'AUTHENTICATE_AS' AS edge_type, 0.5::DOUBLE AS weight, 2 AS delegation_depth_limit, false AS is_conditional FROM rows_ r JOIN ids USING (dump_id, entity_list, entity_pos) WHERE field_name = 'GroupList' AND entity_list = 'UserDetailList'),
+    ae AS (SELECT * FROM (SELECT * FROM raw_pe UNION ALL SELECT * FROM member) WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY weight DESC, o) = 1)"""
+
+
+@query(f"WITH {ACCOUNT_SQL} SELECT graph_id, src, dst, edge_type, weight, delegation_depth_limit, is_conditional FROM ae")
 def account_edges(spark, d):
     return iam_source.load_account_dumps(_dumps(spark, d))[1].select("graph_id", "src", "dst", "edge_type", "weight", "delegation_depth_limit", "is_conditional")
 

@@ -153,7 +153,8 @@ def load_account_dumps(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rights = raw_edges(statements(inline.unionByName(attached.select(*inline.columns))).where("not trust"))
     trust = raw_edges(statements(ents.select("graph_id", "ord", "subject_id", "subject_arn", F.col("trust_doc").alias("document")).where("document is not null")).where("trust"))
     member = ents.where("kind = 'UserDetailList'").select("graph_id", "ord", F.col("subject_id").alias("src"), F.explode("groups").alias("g")).select(
-        "graph_id", "ord", "src", F.concat(F.lit("iam:group:"), "g").alias("dst"), F.lit("AUTHENTICATE_AS").alias("edge_type"), F.lit(0.5).alias("weight"), F.lit(2).alias("delegation_depth_limit")
+        "graph_id", "ord", "src", F.concat(F.lit("iam:group:"), "g").alias("dst"), F.lit("AUTHENTICATE_AS").alias("edge_type"), F.lit(0.5).alias("weight"), F.lit(2).alias("delegation_depth_limit"),
+        F.lit(False).alias("requires_mfa"), F.lit(False).alias("is_conditional"),
     )
     groups = _named_nodes(member.withColumn("ord", F.col("ord") + (1 << 50)), "dst", "dst", "ord", "aws_iam_account_dump").withColumn("node_type", F.lit("ROLE")).withColumn("privilege_level", F.lit(0.4))
     ends = _named_nodes(rights.unionByName(trust).withColumn("ord", F.lit(1 << 60)), "other_id", "other_arn", "ord", "aws_iam_account_dump")
