@@ -150,9 +150,9 @@ def components_joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def keep_strongest(edges: DataFrame) -> DataFrame:
-    """One edge per ordered pair: the heaviest, the first among equals; loops are dropped."""
+    """One edge per ordered pair: the heaviest, the first among equals, by kind if they are equally early; loops are dropped."""
     rest = [c for c in edges.columns if c not in ("graph_id", "src", "dst")]
-    best = edges.where("src != dst").groupBy("graph_id", "src", "dst").agg(F.max_by(F.struct(*rest), F.struct("weight", -F.col("ord"))).alias("e"))
+    best = edges.where("src != dst").groupBy("graph_id", "src", "dst").agg(F.max_by(F.struct(*rest), F.struct("weight", -F.col("ord"), *[c for c in ("edge_type",) if c in rest])).alias("e"))
     return best.select("graph_id", "src", "dst", *[F.col("e").getField(c).alias(c) for c in rest]).select(*edges.columns)
 
 

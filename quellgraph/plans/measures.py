@@ -195,7 +195,7 @@ STATEMENT_SQL = rf"""
         round(greatest(0.05, least(1.0, ([1.0, 0.9, 0.85, 0.75, 0.7, 0.65, 0.5, 0.25])[coalesce(step, 8)]::DOUBLE * CASE WHEN len(conds) > 0 THEN 0.8::DOUBLE ELSE 1.0 END * CASE WHEN len(list_filter(conds, lambda k: contains(lower(k), 'mfa') OR contains(lower(k), 'multifactorauthpresent'))) > 0 THEN 0.7::DOUBLE ELSE 1.0 END)), 4) AS weight, len(conds) > 0 AS is_conditional FROM meant),
     named AS (SELECT *, CASE WHEN NOT trust AND other = '*' THEN 'aws:resource:wildcard' ELSE {_ARN_ID.format('other')} END AS other_id FROM ends),
     raw_pe AS (SELECT graph_id, o, CASE WHEN trust THEN other_id ELSE subject END AS src, CASE WHEN trust THEN subject ELSE other_id END AS dst, edge_type, weight::DOUBLE AS weight, delegation_depth_limit, is_conditional FROM named),
-    pe AS (SELECT * FROM raw_pe WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY weight DESC, o) = 1)"""
+    pe AS (SELECT * FROM raw_pe WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY weight DESC, o, edge_type DESC) = 1)"""
 # How the documents of policies and role bundles nest.
 POLICY_SQL = rf"""
     f AS (SELECT DISTINCT file_id::VARCHAR AS graph_id, content::JSON AS j FROM policy_files),
@@ -275,26 +275,31 @@ def _dumps(spark, d):
     return a.select(F.col("dump_id").cast("string").alias("graph_id"), F.col("dump").alias("content"))
 
 
-@query()
-def account_nodes(spark, d):
-    return iam_source.load_account_dumps(_dumps(spark, d))[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
-
-
 ACCOUNT_SQL = rf"""{P3_DOCS},
     subj AS (SELECT dump_id, entity_list, entity_pos, e, coalesce(json_extract_string(e, '$.Arn'), '') AS arn FROM ents),
-    ids AS (SELECT dump_id, entity_list, entity_pos, e, arn, ((CASE entity_list WHEN 'UserDetailList' THEN 0 WHEN 'GroupDetailList' THEN 1 ELSE 2 END)::BIGINT << 40) + entity_pos - 1 AS o,
+    ids AS (SELECT dump_id, entity_list, entity_pos, e, arn, ((CASE entity_list WHEN 'UserDetailList' THEN 0 WHEN 'GroupDetailList' THEN 1 ELSE 2 END)::BIGINT << 28) + entity_pos - 1 AS o,
         CASE WHEN entity_list = 'GroupDetailList' THEN 'iam:group:' || coalesce(json_extract_string(e, '$.GroupName'), 'unknown-group') WHEN arn <> '' THEN {_ARN_ID.format('arn')} WHEN entity_list = 'UserDetailList' THEN 'iam:user:' || coalesce(json_extract_string(e, '$.UserName'), 'unknown-user') ELSE 'iam:role:' || coalesce(json_extract_string(e, '$.RoleName'), 'unknown-role') END AS subject FROM subj),
     managed AS (SELECT d.dump_id, json_extract_string(p.e, '$.Arn') AS arn, arg_min(d.doc, d.doc_pos) AS doc FROM docs_ d JOIN pols p ON p.dump_id = d.dump_id AND p.pos = d.parent_pos
         JOIN raws r ON r.dump_id = d.dump_id AND r.kind = 'version' AND r.parent_pos = d.parent_pos AND r.doc_pos = d.doc_pos WHERE d.kind = 'version' AND lower(json_extract_string(r.i, '$.IsDefaultVersion')) = 'true' AND d.doc IS NOT NULL GROUP BY 1, 2),
     adocs AS (
-        SELECT i.dump_id, subject, o, doc, kind = 'trust' AS trusting FROM docs_ d JOIN ids i ON i.dump_id = d.dump_id AND i.entity_list = d.parent_list AND i.entity_pos = d.parent_pos WHERE kind IN ('inline', 'trust')
-        UNION ALL SELECT i.dump_id, subject, o, m.doc, false FROM rows_ r JOIN ids i USING (dump_id, entity_list, entity_pos) JOIN managed m ON m.dump_id = r.dump_id AND m.arn = json_extract_string(r.i, '$.PolicyArn') WHERE field_name = 'AttachedManagedPolicies'
+        SELECT i.dump_id, subject, o * 4096 + CASE WHEN kind = 'inline' THEN doc_pos - 1 ELSE 0 END AS o, doc, kind = 'trust' AS trusting FROM docs_ d JOIN ids i ON i.dump_id = d.dump_id AND i.entity_list = d.parent_list AND i.entity_pos = d.parent_pos WHERE kind IN ('inline', 'trust')
+        UNION ALL SELECT i.dump_id, subject, o * 4096 + 2048 + item_pos - 1, m.doc, false FROM rows_ r JOIN ids i USING (dump_id, entity_list, entity_pos) JOIN managed m ON m.dump_id = r.dump_id AND m.arn = json_extract_string(r.i, '$.PolicyArn') WHERE field_name = 'AttachedManagedPolicies'
     ),
     split AS (SELECT dump_id, subject, o, trusting, CASE WHEN doc IS NULL OR json_extract(doc, '$.Statement') IS NULL THEN [] WHEN json_type(json_extract(doc, '$.Statement')) = 'ARRAY' THEN json_extract(doc, '$.Statement')::JSON[] ELSE [json_extract(doc, '$.Statement')] END AS a FROM adocs),
     stated AS (SELECT dump_id::VARCHAR AS graph_id, subject, o, list_filter(a, lambda x: (coalesce(json_type(json_extract(x, '$.Principal')), 'NULL') <> 'NULL') = trusting) AS a FROM split),
     {STATEMENT_SQL},
     member AS (SELECT dump_id::VARCHAR AS graph_id, o, subject AS src, 'iam:group:' || json_extract_string(r.i, '$') AS dst, 'AUTHENTICATE_AS' AS edge_type, 0.5::DOUBLE AS weight, 2 AS delegation_depth_limit, false AS is_conditional FROM rows_ r JOIN ids USING (dump_id, entity_list, entity_pos) WHERE field_name = 'GroupList' AND entity_list = 'UserDetailList'),
-    ae AS (SELECT * FROM (SELECT * FROM raw_pe UNION ALL SELECT * FROM member) WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY weight DESC, o) = 1)"""
+    ae AS (SELECT * FROM (SELECT * FROM raw_pe UNION ALL SELECT * FROM member) WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY graph_id, src, dst ORDER BY weight DESC, o, edge_type DESC) = 1)"""
+
+
+@query(rf"""WITH {ACCOUNT_SQL},
+    texts AS (SELECT i.dump_id, i.entity_list, i.entity_pos, list(coalesce(json_extract_string(x.i, '$.PolicyName'), '')) AS names FROM ids i JOIN (SELECT dump_id, parent_list AS entity_list, parent_pos AS entity_pos, i FROM raws WHERE kind = 'inline' UNION ALL SELECT dump_id, entity_list, entity_pos, i FROM rows_ WHERE field_name = 'AttachedManagedPolicies') x USING (dump_id, entity_list, entity_pos) GROUP BY 1, 2, 3),
+    own_n AS (SELECT i.dump_id::VARCHAR AS graph_id, o, subject AS node_id, CASE WHEN i.entity_list = 'UserDetailList' THEN 'USER' ELSE 'ROLE' END AS node_type, CASE WHEN len(list_filter(coalesce(names, []), lambda x: regexp_matches(lower(x), '(admin|poweruser|fullaccess|administrator|iam|root|sudo|owner)'))) > 0 THEN 0.9 WHEN len(coalesce(names, [])) > 0 THEN 0.5 ELSE 0.2 END::DOUBLE AS privilege_level, CASE WHEN arn = '' THEN {_ARN_SENSITIVITY.format('subject')} ELSE {_ARN_SENSITIVITY.format('arn')} END AS sensitivity FROM ids i LEFT JOIN texts USING (dump_id, entity_list, entity_pos)),
+    group_n AS (SELECT graph_id, o + (1::BIGINT << 50), dst, 'ROLE', 0.4::DOUBLE, {_ARN_SENSITIVITY.format('dst')} FROM member WHERE dst IS NOT NULL),
+    end_n AS (SELECT graph_id, 1::BIGINT << 60, other_id, CASE WHEN other_id = 'aws:resource:wildcard' THEN 'SECRET' ELSE {_ARN_TYPE.format('other')} END, CASE WHEN other_id = 'aws:resource:wildcard' THEN 1.0 WHEN {_ARN_TYPE.format('other')} = 'ROLE' THEN 0.5 ELSE 0.3 END::DOUBLE, CASE WHEN other_id = 'aws:resource:wildcard' THEN 1.0 ELSE {_ARN_SENSITIVITY.format('other')} END FROM named)
+    SELECT graph_id, node_id, node_type, privilege_level, sensitivity FROM (SELECT * FROM own_n UNION ALL SELECT * FROM group_n UNION ALL SELECT * FROM end_n) QUALIFY row_number() OVER (PARTITION BY graph_id, node_id ORDER BY o) = 1""")
+def account_nodes(spark, d):
+    return iam_source.load_account_dumps(_dumps(spark, d))[0].select("graph_id", "node_id", "node_type", "privilege_level", "sensitivity")
 
 
 @query(f"WITH {ACCOUNT_SQL} SELECT graph_id, src, dst, edge_type, weight, delegation_depth_limit, is_conditional FROM ae")

@@ -136,7 +136,7 @@ def load_account_dumps(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         by_name = F.concat(F.lit(f"iam:{name[:-4].lower()}:"), F.coalesce(f"e.{name}", F.lit(f"unknown-{name[:-4].lower()}")))
         node = by_name if kind == "GroupDetailList" else F.when(arn != "", iam.arn_node_id(arn)).otherwise(by_name)
         per.append(e.select(
-            "graph_id", F.lit(kind).alias("kind"), (F.col("_i") + F.lit(rank << 40)).alias("ord"), node.alias("subject_id"), F.when(arn == "", node).otherwise(arn).alias("subject_arn"),
+            "graph_id", F.lit(kind).alias("kind"), (F.col("_i").cast("bigint") + F.lit(rank << 28)).alias("ord"), node.alias("subject_id"), F.when(arn == "", node).otherwise(arn).alias("subject_arn"),
             F.coalesce(as_list(F.col(f"e.{inline}"), _POLICY), none).alias("inline"), F.coalesce(as_list(F.col("e.AttachedManagedPolicies"), _POLICY), none).alias("attached"),
             as_list(F.col("e.GroupList"), "string").alias("groups"), F.col("e.AssumeRolePolicyDocument").alias("trust_doc"),
         ))
@@ -148,10 +148,10 @@ def load_account_dumps(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     managed = body.select("graph_id", F.explode(as_list(F.col("b.Policies"), _MANAGED)).alias("p")).select("graph_id", F.col("p.Arn").alias("arn"), F.get(F.filter(as_list(F.col("p.PolicyVersionList"), _VERSION), lambda v: v["IsDefaultVersion"]), F.lit(0))["Document"].alias("document"))
     managed = managed.where("arn != '' and document is not null").groupBy("graph_id", "arn").agg(F.last("document").alias("document"))
-    inline = ents.select("graph_id", "ord", "subject_id", "subject_arn", F.explode("inline").alias("p")).select("graph_id", "ord", "subject_id", "subject_arn", F.col("p.PolicyDocument").alias("document"))
-    attached = ents.select("graph_id", "ord", "subject_id", "subject_arn", F.explode("attached").alias("p")).select("graph_id", "ord", "subject_id", "subject_arn", F.col("p.PolicyArn").alias("arn")).join(managed, ["graph_id", "arn"])
+    inline = ents.select("graph_id", "ord", "subject_id", "subject_arn", F.posexplode("inline").alias("_j", "p")).select("graph_id", (F.col("ord") * (1 << 12) + F.col("_j")).alias("ord"), "subject_id", "subject_arn", F.col("p.PolicyDocument").alias("document"))
+    attached = ents.select("graph_id", "ord", "subject_id", "subject_arn", F.posexplode("attached").alias("_j", "p")).select("graph_id", (F.col("ord") * (1 << 12) + (1 << 11) + F.col("_j")).alias("ord"), "subject_id", "subject_arn", F.col("p.PolicyArn").alias("arn")).join(managed, ["graph_id", "arn"])
     rights = raw_edges(statements(inline.unionByName(attached.select(*inline.columns))).where("not trust"))
-    trust = raw_edges(statements(ents.select("graph_id", "ord", "subject_id", "subject_arn", F.col("trust_doc").alias("document")).where("document is not null")).where("trust"))
+    trust = raw_edges(statements(ents.select("graph_id", (F.col("ord") * (1 << 12)).alias("ord"), "subject_id", "subject_arn", F.col("trust_doc").alias("document")).where("document is not null")).where("trust"))
     member = ents.where("kind = 'UserDetailList'").select("graph_id", "ord", F.col("subject_id").alias("src"), F.explode("groups").alias("g")).select(
         "graph_id", "ord", "src", F.concat(F.lit("iam:group:"), "g").alias("dst"), F.lit("AUTHENTICATE_AS").alias("edge_type"), F.lit(0.5).alias("weight"), F.lit(2).alias("delegation_depth_limit"),
         F.lit(False).alias("requires_mfa"), F.lit(False).alias("is_conditional"),
