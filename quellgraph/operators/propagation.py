@@ -5,6 +5,7 @@ Matrix-vector models follow the product A x: a node's value comes from those it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -178,6 +179,40 @@ def spectral_cascade(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tau:
     return r.select("graph_id", F.lit("spectral_cascade").alias("model"), "node_id", risk.alias("risk"), (seed | (F.col("cascade") & (risk >= risk_threshold))).alias("compromised"))
 
 
+def _samples(v: pd.DataFrame, e: pd.DataFrame, p: float, n_trials: int, random_seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per trial, by place in the sorted ids: the first node of the component, its size, and whether the seeds reach."""
+    ids, graph = sorted(v["node_id"]), v["graph_id"].iloc[0] if len(v) else ""
+    at = {x: i for i, x in enumerate(ids)}
+    ends = [(at[x], at[y], min(1.0, w * p), f"{x}|{y}") for x, y, w in zip(e["src"], e["dst"], e["weight"], strict=True)]
+    out: list[list] = [[] for _ in ids]
+    for x, *rest in ends:
+        out[x].append(rest)
+    start = [at[x] for x in v.loc[v["seed"].notna(), "node_id"]]
+    for k in range(n_trials):
+        kept = [(x, y) for x, y, w, pair in ends if unit_of(random_seed, "c", graph, k, pair) < w]
+        tops = np.array(dense.component_roots(len(ids), [x for x, _ in kept], [y for _, y in kept]), int)
+        size = np.bincount(tops, minlength=len(ids))[tops]
+        reached, todo = np.zeros(len(ids), bool), list(start)
+        reached[start] = True
+        while todo:
+            for y, w, pair in out[todo.pop()]:
+                if not reached[y] and unit_of(random_seed, "r", graph, k, pair) < w:
+                    reached[y] = True
+                    todo.append(y)
+        yield k, tops, size, reached
+
+
+def _trial_graphs(nodes: DataFrame, edges: DataFrame, n_trials: int) -> DataFrame:
+    """The ids of graphs whose trials one task samples."""
+    m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
+    fit = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).join(m, "graph_id", "left")
+    return cut(fit.where((F.col("n") + F.coalesce("m", F.lit(0))) * n_trials <= TRIAL_WORK).select("graph_id"))
+
+
+def _with_seed(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    return nodes.select("graph_id", "node_id", "ord").join(seeds.select("graph_id", "node_id").distinct().withColumn("seed", F.lit(1.0)), ["graph_id", "node_id"], "left")
+
+
 def percolation_trials(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p: float = 0.6, n_trials: int = 100, giant_threshold: float = 0.3, random_seed: int = 42) -> DataFrame:
     """``(graph_id, trial, node_id, in_giant, reached, component, size)`` for every trial and node.
 
@@ -185,31 +220,11 @@ def percolation_trials(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p:
     undirected graph, one for reaching from the seeds along edges. Small graphs go one to a task, with all their trials.
     """
     check_seeds(nodes, seeds)
-    m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
-    fit = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).join(m, "graph_id", "left")
-    fit = cut(fit.where((F.col("n") + F.coalesce("m", F.lit(0))) * n_trials <= TRIAL_WORK).select("graph_id"))
-    n = nodes.select("graph_id", "node_id", "ord").join(seeds.select("graph_id", "node_id").distinct().withColumn("seed", F.lit(1.0)), ["graph_id", "node_id"], "left")
+    fit, n = _trial_graphs(nodes, edges, n_trials), _with_seed(nodes, seeds)
 
     def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids, graph = sorted(v["node_id"]), v["graph_id"].iloc[0] if len(v) else ""
-        at = {x: i for i, x in enumerate(ids)}
-        ends = [(at[x], at[y], min(1.0, w * p), f"{x}|{y}") for x, y, w in zip(e["src"], e["dst"], e["weight"], strict=True)]
-        out: list[list] = [[] for _ in ids]
-        for x, *rest in ends:
-            out[x].append(rest)
-        start, parts = [at[x] for x in v.loc[v["seed"].notna(), "node_id"]], []
-        for k in range(n_trials):
-            kept = [(x, y) for x, y, w, pair in ends if unit_of(random_seed, "c", graph, k, pair) < w]
-            tops = np.array(dense.component_roots(len(ids), [x for x, _ in kept], [y for _, y in kept]), int)
-            size = np.bincount(tops, minlength=len(ids))[tops]
-            reached, todo = np.zeros(len(ids), bool), list(start)
-            reached[start] = True
-            while todo:
-                for y, w, pair in out[todo.pop()]:
-                    if not reached[y] and unit_of(random_seed, "r", graph, k, pair) < w:
-                        reached[y] = True
-                        todo.append(y)
-            parts.append(pd.DataFrame({"trial": k, "node_id": ids, "in_giant": size > giant_threshold * len(ids), "reached": reached, "component": [ids[x] for x in tops], "size": size}))
+        ids = sorted(v["node_id"])
+        parts = [pd.DataFrame({"trial": k, "node_id": ids, "in_giant": size > giant_threshold * len(ids), "reached": reached, "component": [ids[x] for x in tops], "size": size}) for k, tops, size, reached in _samples(v, e, p, n_trials, random_seed)]
         return pd.concat(parts)
 
     done = dense.per_graph(n, edges, kernel, "trial int, node_id string, in_giant boolean, reached boolean, component string, size bigint", ("seed",), fit)
@@ -240,6 +255,32 @@ def _percolation_joined(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p:
 def percolation(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p: float = 0.6, n_trials: int = 100, giant_threshold: float = 0.3, random_seed: int = 42) -> DataFrame:
     """Risk min(1, .4 share of trials in a giant component + .6 share reached), 1 for seeds; compromised from .5, in the trial
     whose seed component is largest (the first among equals), or a seed."""
+    check_seeds(nodes, seeds)
+    fit = _trial_graphs(nodes, edges, n_trials)
+
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(v["node_id"])
+        seed = np.isin(ids, v.loc[v["seed"].notna(), "node_id"].tolist())
+        giant, reach, most, won = np.zeros(len(ids)), np.zeros(len(ids)), -1, np.zeros(len(ids), bool)
+        for _, tops, size, reached in _samples(v, e, p, n_trials, random_seed):
+            giant += size > giant_threshold * len(ids)
+            reach += reached
+            own = int(size[seed].max()) if seed.any() else -1
+            if own > most:
+                most, won = own, np.isin(tops, tops[seed])
+        risk = np.where(seed, 1.0, np.minimum(1.0, 0.4 * (giant / n_trials) + 0.6 * (reach / n_trials)))
+        return pd.DataFrame({"node_id": ids, "risk": risk, "compromised": (risk >= 0.5) | won | seed})
+
+    done = dense.per_graph(_with_seed(nodes, seeds), edges, kernel, "node_id string, risk double, compromised boolean", ("seed",), fit)
+    done = done.select("graph_id", F.lit("percolation").alias("model"), "node_id", "risk", "compromised")
+    big = nodes.join(fit, "graph_id", "left_anti")
+    if big.take(1):
+        done = done.unionByName(_percolation_risk(big, edges.join(fit, "graph_id", "left_anti"), seeds.join(fit, "graph_id", "left_anti"), p, n_trials, giant_threshold, random_seed))
+    return done
+
+
+def _percolation_risk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p: float, n_trials: int, giant_threshold: float, random_seed: int) -> DataFrame:
+    """:func:`percolation` from the rows of all trials, for graphs of any size."""
     t = written(percolation_trials(nodes, edges, seeds, p, n_trials, giant_threshold, random_seed))
     s = seeds.select("graph_id", "node_id").distinct().withColumn("_s", F.lit(True))
     own = t.join(s, ["graph_id", "node_id"], "left_semi").groupBy("graph_id", "trial").agg(F.max("size").alias("k"))

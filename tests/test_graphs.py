@@ -334,6 +334,8 @@ def test_percolation_tiers(spark, random_graphs, monkeypatch):
     s = n.where("node_id = 'v00'").select("graph_id", "node_id")
     cols = ("graph_id", "trial", "node_id", "in_giant", "reached", "component", "size")
     few = rows(propagation.percolation_trials(n, e, s, n_trials=20), *cols)
+    fused = {tuple(r[:3]): (round(r["risk"], 9), r["compromised"]) for r in propagation.percolation(n, e, s, n_trials=20).collect()}
+    assert fused == {tuple(r[:3]): (round(r["risk"], 9), r["compromised"]) for r in propagation._percolation_risk(n, e, s, 0.6, 20, 0.3, 42).collect()} and len(fused) == 36
     monkeypatch.setattr(propagation, "TRIAL_WORK", 0)
     assert len(few) == 3 * 20 * 12 and few == rows(propagation.percolation_trials(n, e, s, n_trials=20), *cols)
 
