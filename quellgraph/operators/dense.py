@@ -234,32 +234,104 @@ def structure(nodes: DataFrame, edges: DataFrame, fit: DataFrame) -> DataFrame:
     return per_graph(nodes, edges, kernel, "n_nodes bigint, degree_entropy double, density double, clustering double, spectral_gap double", (), fit)
 
 
-#: Sources x (nodes + edges) that one task counts the shortest paths of, and up to which a graph is dealt to tasks that way.
-TASK_PATHS, PATH_WORK = 4_000_000, 2_000_000_000
+#: Sources x (nodes + edges) that one task counts the shortest paths of, and into how many tasks a graph is dealt at most: each holds all its edges.
+TASK_PATHS, PATH_PARTS = 200_000_000, 24
+#: (Source, edge) pairs and words of (source, edge) bits that a task holds at once.
+PAIRS_AT_ONCE, WORDS_AT_ONCE = 1_500_000, 2_000_000
+#: Levels up to which all nodes are looked at in every level.
+WIDE_LEVELS = 64
 
 
 def path_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph_id, parts)``: graphs whose shortest paths tasks count that hold all their edges and a part of their nodes as sources."""
     n = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
     m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
-    work = F.col("n") * (F.col("n") + F.coalesce("m", F.lit(0)))
-    small = (F.col("n") <= SMALL_NODES) & (F.coalesce("m", F.lit(0)) <= SMALL_EDGES) & (work <= PATH_WORK)
-    return n.join(m, "graph_id", "left").where(small).select("graph_id", F.ceil(work / TASK_PATHS).cast("int").alias("parts"))
-
-
-def _levels(out: list[list[int]], s: int, n: int) -> tuple[list[int], list[int], list[float]]:
-    """Breadth first from ``s``: the order of visits, the distances (-1: none) and the numbers of shortest paths."""
-    dist, sigma, order = [-1] * n, [0.0] * n, [s]
-    dist[s], sigma[s] = 0, 1.0
-    for v in order:
-        near, there = dist[v] + 1, sigma[v]
-        for w in out[v]:
-            if dist[w] < 0:
-                dist[w] = near
-                order.append(w)
-            if dist[w] == near:
-                sigma[w] += there
-    return order, dist, sigma
+    parts = F.least(F.ceil(F.col("n") * (F.col("n") + F.coalesce("m", F.lit(0))) / TASK_PATHS), F.lit(PATH_PARTS))
+    small = (F.col("n") <= SMALL_NODES) & (F.coalesce("m", F.lit(0)) <= SMALL_EDGES)
+    return n.join(m, "graph_id", "left").where(small).select("graph_id", parts.cast("int").alias("parts"))
+
+
+def _adjacency(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges without loops and repeats, by source: where each node's start, the other ends, each node's number."""
+    pairs = np.unique((src * n + dst)[src != dst])
+    src, dst = pairs // max(n, 1), pairs % max(n, 1)
+    at = np.searchsorted(src, np.arange(n + 1))
+    return at[:-1], dst, np.diff(at)
+
+
+def _shortest(n: int, at: np.ndarray, to: np.ndarray, degree: np.ndarray, sources: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Brandes from all ``sources`` at once, level by level; a place is (number of the source) x n + node. Adds the dependencies to
+    ``score`` and gives the sums of the distances and the numbers of other nodes reached, by source."""
+    k = len(sources)
+    own = np.arange(k) * n + sources
+    dist, sigma = np.full(k * n, -1, np.int32), np.zeros(k * n)
+    dist[own], sigma[own] = 0, 1.0
+    total, found = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    front, row, level, steps = own, np.arange(k), 0, []
+    while len(front):
+        level += 1
+        node = front - row * n
+        deg = degree[node]
+        i = np.repeat(np.arange(len(front)), deg)
+        places = to[np.arange(len(i)) + (at[node] - np.cumsum(deg) + deg)[i]] + (row * n)[i]
+        new = dist[places] < 0
+        by, places = front[i[new]], places[new]
+        dist[places] = level
+        if len(places) > k * n // 4:
+            sigma += np.bincount(places, sigma[by], k * n)
+        else:
+            np.add.at(sigma, places, sigma[by])
+        front = np.unique(places) if len(places) < k * n // 16 else np.flatnonzero(dist == level)
+        row = front // n
+        steps.append((by, places))
+        here = np.bincount(row, minlength=k)
+        found += here
+        total += level * here
+    delta = np.zeros(k * n)
+    for by, places in reversed(steps):
+        np.add.at(delta, by, (1 + delta[places]) / sigma[places] * sigma[by])
+    delta[own] = 0.0
+    score += delta.reshape(k, n).sum(0)
+    return total, found
+
+
+def _path_sums(n: int, at: np.ndarray, to: np.ndarray, degree: np.ndarray, sources: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_shortest` of any number of sources."""
+    total, found = np.zeros((2, len(sources)), np.int64)
+    step = max(1, PAIRS_AT_ONCE // max(1, n + len(to)))
+    for low in range(0, len(sources), step):
+        total[low : low + step], found[low : low + step] = _shortest(n, at, to, degree, sources[low : low + step], score)
+    return total, found
+
+
+def _distance_sums(n: int, at: np.ndarray, to: np.ndarray, degree: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """The sum of the distances to all nodes reached, by source; a bit per source and node, or :func:`_shortest` where there are many levels."""
+    out, words = np.zeros(len(sources), np.int64), max(1, WORDS_AT_ONCE // (n + len(to)))
+    some = np.flatnonzero(degree)
+    for low in range(0, len(sources), 64 * words):
+        part = sources[low : low + 64 * words]
+        bits = np.zeros((n, -(-len(part) // 64) * 8), np.uint8)
+        j = np.arange(len(part))
+        bits[part, j // 8] = np.uint8(128) >> (j % 8).astype(np.uint8)
+        front = bits.view(np.uint64)
+        seen, level, far = front.copy(), 0, False
+        while len(some):
+            level += 1
+            if far := level > WIDE_LEVELS:
+                break
+            near = np.zeros_like(front)
+            near[some] = np.bitwise_or.reduceat(front[to], at[some], axis=0)
+            near &= ~seen
+            moved = near[near.any(1)]
+            if not len(moved):
+                break
+            seen |= near
+            front = near
+            for i in range(0, len(moved), 4_096):
+                out[low : low + len(part)] += level * np.unpackbits(moved[i : i + 4_096].view(np.uint8), axis=1)[:, : len(part)].sum(0, dtype=np.int64)
+        if far:
+            out[low : low + len(part)] = _path_sums(n, at, to, degree, part, np.zeros(n))[0]
+    return out
 
 
 def path_counts(nodes: DataFrame, edges: DataFrame, fit: DataFrame | None = None) -> DataFrame:
@@ -267,30 +339,17 @@ def path_counts(nodes: DataFrame, edges: DataFrame, fit: DataFrame | None = None
     and the number of nodes reached. For graphs of :func:`path_graphs`; every part of the sources is a task."""
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted({*a["node_id"], *b["src"], *b["dst"]})
-        n, at = len(ids), {v: i for i, v in enumerate(ids)}
-        out, both, back = [[] for _ in ids], [set() for _ in ids], [[] for _ in ids]
-        for x, y in {(at[x], at[y]) for x, y in zip(b["src"], b["dst"], strict=True) if x != y}:
-            out[x].append(y)
-            back[y].append(x)
-            both[x].add(y)
-            both[y].add(x)
-        score, rows = [0.0] * n, []
-        for v in a["node_id"]:
-            s = at[v]
-            order, dist, sigma = _levels(out, s, n)
-            delta = [0.0] * n
-            for w in reversed(order):
-                near, part = dist[w] - 1, (1 + delta[w]) / sigma[w]
-                for u in back[w]:
-                    if dist[u] == near >= 0:
-                        delta[u] += sigma[u] * part
-                if w != s:
-                    score[w] += delta[w]
-            seen, und, _ = _levels(both, s, n)
-            rows.append((v, 0.0, sum(dist[u] for u in order), len(order) - 1, sum(und[u] for u in seen)))
-        rows += [(v, x, 0, 0, 0) for v, x in zip(ids, score, strict=True) if x]
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["graph_id", "node_id", "b", "d", "p", "u"])
+        codes, ids = pd.factorize(pd.concat([a["node_id"], b["src"], b["dst"]], ignore_index=True))
+        n, m = len(ids), len(b)
+        sources, src, dst = (x.astype(np.int64) for x in (codes[: len(a)], codes[len(a) : len(a) + m], codes[len(a) + m :]))
+        at, to, degree = _adjacency(n, src, dst)
+        score, (d, p, u) = np.zeros(n), np.zeros((3, n), np.int64)
+        d[sources], p[sources] = _path_sums(n, at, to, degree, sources, score)
+        at, to, degree = _adjacency(n, np.concatenate([src, dst]), np.concatenate([dst, src]))
+        u[sources] = _distance_sums(n, at, to, degree, sources)
+        kept = score > 0
+        kept[sources] = True
+        return pd.DataFrame({"graph_id": key[0], "node_id": np.asarray(ids, object)[kept], "b": score[kept], "d": d[kept], "p": p[kept], "u": u[kept]})
 
     fit = path_graphs(nodes, edges) if fit is None else fit
     n = nodes.select("graph_id", "node_id").join(fit, "graph_id").withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("parts")))

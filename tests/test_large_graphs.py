@@ -1,0 +1,91 @@
+"""Graphs too large for one task's work are dealt to tasks, not to rows of (source, node) or (trial, node)."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quellgraph.operators import dense
+from quellgraph.runtime import cut
+from quellgraph.schema import EDGES, NODES, conform
+
+
+def ring(spark, n):
+    """``n`` nodes, each pointing to the next two; a row each, nothing more is needed of them."""
+    v = lambda c: F.format_string("v%06d", c)
+    nodes = spark.range(n).select(F.lit("g").alias("graph_id"), v("id").alias("node_id"))
+    return nodes, spark.range(2 * n).select(F.lit("g").alias("graph_id"), v(F.col("id") % n).alias("src"), v((F.col("id") + 1 + F.expr(f"id div {n}")) % n).alias("dst"))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Two graphs of 40 nodes, one of them with a long tail."""
+    rng = np.random.default_rng(9)
+    edges = {("a", int(x), int(y)) for x, y in rng.integers(0, 40, (90, 2))} | {("b", i, i + 1) for i in range(39)} | {("b", int(x), int(y)) for x, y in rng.integers(0, 20, (40, 2))}
+    n = spark.createDataFrame([(g, i, f"v{i:02d}", "SERVICE", 0.1, 0.5) for g in "ab" for i in range(40)], "graph_id string, ord int, node_id string, node_type string, privilege_level double, sensitivity double")
+    e = spark.createDataFrame([(g, i, f"v{x:02d}", f"v{y:02d}", "TOKEN_MINT", 0.3 + (x + y) % 7 / 10, 3) for i, (g, x, y) in enumerate(sorted(edges)) if x != y], "graph_id string, ord int, src string, dst string, edge_type string, weight double, delegation_depth_limit int")
+    return cut(conform(n, NODES)), cut(conform(e, EDGES))
+
+
+def test_paths_of_large_graphs_go_to_tasks(spark):
+    n, e = ring(spark, 30_000)  # n (n + m) is 2.7 billion
+    got = dense.path_graphs(n, e).collect()
+    assert [(r["graph_id"], r["parts"]) for r in got] == [("g", 14)]
+
+
+def brute(n, pairs):
+    """By plain search: betweenness before it is scaled, sums of distances and nodes reached along edges, and sums without directions."""
+    out, score, sums = {}, [0.0] * n, []
+    for x, y in pairs:
+        if x != y:
+            out.setdefault(x, set()).add(y)
+    both = {}
+    for x, ys in out.items():
+        for y in ys:
+            both.setdefault(x, set()).add(y)
+            both.setdefault(y, set()).add(x)
+
+    def search(near, s):
+        dist, sigma, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near.get(v, ()):
+                if w not in dist:
+                    dist[w], sigma[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        return order, dist, sigma
+
+    for s in range(n):
+        order, dist, sigma = search(out, s)
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in out.get(v, ()) if dist[w] == dist[v] + 1)
+            score[v] += delta[v] if v != s else 0.0
+        sums.append((sum(dist.values()), len(dist) - 1, sum(search(both, s)[1].values())))
+    return score, sums
+
+
+@pytest.mark.parametrize(("at_once", "wide"), [(1_500_000, 64), (300, 1), (1, 3)])
+def test_path_kernels(monkeypatch, at_once, wide):
+    monkeypatch.setattr(dense, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(dense, "WIDE_LEVELS", wide)
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (2, 1), (30, 20), (90, 200), (70, 400)):
+        src, dst = rng.integers(0, n, m), rng.integers(0, n, m)
+        score, own = np.zeros(n), np.arange(n)
+        d, p = dense._path_sums(n, *dense._adjacency(n, src, dst), own, score)
+        u = dense._distance_sums(n, *dense._adjacency(n, np.concatenate([src, dst]), np.concatenate([dst, src])), own)
+        want = brute(n, zip(src.tolist(), dst.tolist(), strict=True))
+        assert np.allclose(score, want[0]) and list(zip(d.tolist(), p.tolist(), u.tolist(), strict=True)) == want[1]
+
+
+def test_path_counts_in_parts(spark, mixed, monkeypatch):
+    n, e = mixed
+    monkeypatch.setattr(dense, "TASK_PATHS", 400)
+    got = {(r["graph_id"], r["node_id"]): r for r in dense.path_counts(n, e).collect()}
+    assert dense.path_graphs(n, e).agg(F.min("parts")).first()[0] > 5 and len(got) == 80
+    for g in "ab":
+        score, sums = brute(40, [(int(r["src"][1:]), int(r["dst"][1:])) for r in e.where(F.col("graph_id") == g).collect()])
+        for i in range(40):
+            r = got[g, f"v{i:02d}"]
+            assert abs(r["betweenness"] - score[i] / (39 * 38)) < 1e-12 and (r["directed_sum"], r["directed_pairs"], r["undirected_sum"]) == sums[i]
