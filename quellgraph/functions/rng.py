@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ def unit_of(*parts: str | int) -> float:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / (1 << 32)
 
 
+def units_of(first: str, rest: list[bytes]) -> np.ndarray:
+    """:func:`unit_of` of ``first``, the leading values joined by ``|``, with each of ``rest``, the text of the last ones."""
+    head = f"{first}|".encode()
+    return np.frombuffer(b"".join([hashlib.md5(head + x).digest() for x in rest]), ">u4")[::4] / (1 << 32)
+
+
 def draw_order(*parts: Column | str | int) -> Column:
     """A key to sort by for a random order."""
     return F.md5(F.concat_ws("|", *map(_text, parts)))

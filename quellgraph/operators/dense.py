@@ -180,6 +180,19 @@ def component_roots(n: int, src: list[int], dst: list[int]) -> list[int]:
     return [top(x) for x in range(n)]
 
 
+def component_places(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """:func:`component_roots` of arrays: the roots at both ends of an edge are tied, the larger to the smaller, until all are the same."""
+    root = np.arange(n)
+    while True:
+        a, b = root[src], root[dst]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
 def small_components(nodes: DataFrame, edges: DataFrame, fit: DataFrame) -> DataFrame:
     """``(graph_id, node_id, component)``: the smallest node id of the weakly connected component."""
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.functions.rng import unit, unit_of
+from quellgraph.functions.rng import unit, units_of
 from quellgraph.operators import dense
 from quellgraph.operators.graph import components
 from quellgraph.operators.traversal import bfs, check_seeds, reachability
@@ -22,8 +22,8 @@ from quellgraph.runtime import cut, top_within, written
 # The stated confidence of each model, and of the stand-in for the network without trained weights.
 CONFIDENCE = {"graph_traversal": 1.0, "epidemic": 0.2608, "spectral_cascade": 0.2974, "percolation": 0.7279, "control_system": 0.1267, "gnn": 0.62}
 FALLBACK_CONFIDENCE = 0.5
-#: Trials x (nodes + edges) up to which percolation is sampled by one task.
-TRIAL_WORK = 2_500_000
+#: Trials x (nodes + edges) up to which percolation is sampled by one task, and into how many tasks the trials of a graph are dealt at most.
+TRIAL_WORK, TRIAL_PARTS = 2_500_000, 20
 
 
 def _result(model: str, df: DataFrame, seeds: DataFrame, threshold: float) -> DataFrame:
@@ -179,24 +179,27 @@ def spectral_cascade(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, tau:
     return r.select("graph_id", F.lit("spectral_cascade").alias("model"), "node_id", risk.alias("risk"), (seed | (F.col("cascade") & (risk >= risk_threshold))).alias("compromised"))
 
 
-def _samples(v: pd.DataFrame, e: pd.DataFrame, p: float, n_trials: int, random_seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _samples(v: pd.DataFrame, e: pd.DataFrame, p: float, trials: range, random_seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per trial, by place in the sorted ids: the first node of the component, its size, and whether the seeds reach."""
     ids, graph = sorted(v["node_id"]), v["graph_id"].iloc[0] if len(v) else ""
     at = {x: i for i, x in enumerate(ids)}
-    ends = [(at[x], at[y], min(1.0, w * p), f"{x}|{y}") for x, y, w in zip(e["src"], e["dst"], e["weight"], strict=True)]
+    src, dst = (np.array([at[x] for x in e[c]], np.int64) for c in ("src", "dst"))
+    chance = np.fmin(1.0, e["weight"].to_numpy(float) * p)
+    pairs = [f"{x}|{y}".encode() for x, y in zip(e["src"], e["dst"], strict=True)]
     out: list[list] = [[] for _ in ids]
-    for x, *rest in ends:
+    for x, *rest in zip(src.tolist(), dst.tolist(), chance.tolist(), pairs, strict=True):
         out[x].append(rest)
     start = [at[x] for x in v.loc[v["seed"].notna(), "node_id"]]
-    for k in range(n_trials):
-        kept = [(x, y) for x, y, w, pair in ends if unit_of(random_seed, "c", graph, k, pair) < w]
-        tops = np.array(dense.component_roots(len(ids), [x for x, _ in kept], [y for _, y in kept]), int)
+    for k in trials:
+        kept = units_of(f"{random_seed}|c|{graph}|{k}", pairs) < chance
+        tops = dense.component_places(len(ids), src[kept], dst[kept])
         size = np.bincount(tops, minlength=len(ids))[tops]
-        reached, todo = np.zeros(len(ids), bool), list(start)
+        reached, todo, head = np.zeros(len(ids), bool), list(start), f"{random_seed}|r|{graph}|{k}"
         reached[start] = True
         while todo:
-            for y, w, pair in out[todo.pop()]:
-                if not reached[y] and unit_of(random_seed, "r", graph, k, pair) < w:
+            near = [x for x in out[todo.pop()] if not reached[x[0]]]
+            for (y, w, _), drawn in zip(near, units_of(head, [x[2] for x in near]).tolist(), strict=True):
+                if drawn < w and not reached[y]:
                     reached[y] = True
                     todo.append(y)
         yield k, tops, size, reached
@@ -209,6 +212,16 @@ def _trial_graphs(nodes: DataFrame, edges: DataFrame, n_trials: int) -> DataFram
     return cut(fit.where((F.col("n") + F.coalesce("m", F.lit(0))) * n_trials <= TRIAL_WORK).select("graph_id"))
 
 
+def _trial_parts(nodes: DataFrame, edges: DataFrame, n_trials: int) -> DataFrame:
+    """``(graph_id, parts)``: graphs that a task holds, and to how many tasks their trials are dealt."""
+    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    m = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
+    m_ = F.coalesce("m", F.lit(0))
+    parts = F.least(F.ceil((F.col("n") + m_) * n_trials / max(1, TRIAL_WORK)), F.lit(TRIAL_PARTS), F.lit(max(1, n_trials)))
+    fit = n.join(m, "graph_id", "left").where((F.col("n") <= dense.SMALL_NODES) & (m_ <= dense.SMALL_EDGES))
+    return cut(fit.select("graph_id", parts.cast("int").alias("parts")))
+
+
 def _with_seed(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_id", "ord").join(seeds.select("graph_id", "node_id").distinct().withColumn("seed", F.lit(1.0)), ["graph_id", "node_id"], "left")
 
@@ -224,7 +237,7 @@ def percolation_trials(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p:
 
     def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(v["node_id"])
-        parts = [pd.DataFrame({"trial": k, "node_id": ids, "in_giant": size > giant_threshold * len(ids), "reached": reached, "component": [ids[x] for x in tops], "size": size}) for k, tops, size, reached in _samples(v, e, p, n_trials, random_seed)]
+        parts = [pd.DataFrame({"trial": k, "node_id": ids, "in_giant": size > giant_threshold * len(ids), "reached": reached, "component": [ids[x] for x in tops], "size": size}) for k, tops, size, reached in _samples(v, e, p, range(n_trials), random_seed)]
         return pd.concat(parts)
 
     done = dense.per_graph(n, edges, kernel, "trial int, node_id string, in_giant boolean, reached boolean, component string, size bigint", ("seed",), fit)
@@ -256,23 +269,26 @@ def percolation(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p: float =
     """Risk min(1, .4 share of trials in a giant component + .6 share reached), 1 for seeds; compromised from .5, in the trial
     whose seed component is largest (the first among equals), or a seed."""
     check_seeds(nodes, seeds)
-    fit = _trial_graphs(nodes, edges, n_trials)
+    fit = _trial_parts(nodes, edges, n_trials)
 
-    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(v["node_id"])
         seed = np.isin(ids, v.loc[v["seed"].notna(), "node_id"].tolist())
-        giant, reach, most, won = np.zeros(len(ids)), np.zeros(len(ids)), -1, np.zeros(len(ids), bool)
-        for _, tops, size, reached in _samples(v, e, p, n_trials, random_seed):
+        giant, reach, most, first, won = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), -1, -1, np.zeros(len(ids), bool)
+        for k, tops, size, reached in _samples(v, e, p, range(key[1], n_trials, v["parts"].iloc[0] if len(v) else 1), random_seed):
             giant += size > giant_threshold * len(ids)
             reach += reached
             own = int(size[seed].max()) if seed.any() else -1
             if own > most:
-                most, won = own, np.isin(tops, tops[seed])
-        risk = np.where(seed, 1.0, np.minimum(1.0, 0.4 * (giant / n_trials) + 0.6 * (reach / n_trials)))
-        return pd.DataFrame({"node_id": ids, "risk": risk, "compromised": (risk >= 0.5) | won | seed})
-
-    done = dense.per_graph(_with_seed(nodes, seeds), edges, kernel, "node_id string, risk double, compromised boolean", ("seed",), fit)
-    done = done.select("graph_id", F.lit("percolation").alias("model"), "node_id", "risk", "compromised")
+                most, first, won = own, k, np.isin(tops, tops[seed])
+        return pd.DataFrame({"graph_id": key[0], "node_id": ids, "seed": seed, "giant": giant, "reach": reach, "own": most, "trial": first, "won": won})
+
+    dealt = lambda df: df.join(fit, "graph_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    n, e = dealt(_with_seed(nodes, seeds).drop("ord")), dealt(edges.select("graph_id", "src", "dst", "weight")).drop("parts")
+    parts = n.groupBy("graph_id", "part").cogroup(e.groupBy("graph_id", "part")).applyInPandas(run, "graph_id string, node_id string, seed boolean, giant bigint, reach bigint, own bigint, trial int, won boolean")
+    done = parts.groupBy("graph_id", "node_id").agg(F.max("seed").alias("seed"), F.sum("giant").alias("g"), F.sum("reach").alias("r"), F.max_by("won", F.struct("own", -F.col("trial"))).alias("won"))
+    risk = F.when(F.col("seed"), 1.0).otherwise(F.least(F.lit(1.0), 0.4 * (F.col("g") / n_trials) + 0.6 * (F.col("r") / n_trials)))
+    done = done.select("graph_id", F.lit("percolation").alias("model"), "node_id", risk.alias("risk"), ((risk >= 0.5) | F.col("won") | F.col("seed")).alias("compromised"))
     big = nodes.join(fit, "graph_id", "left_anti")
     if big.take(1):
         done = done.unionByName(_percolation_risk(big, edges.join(fit, "graph_id", "left_anti"), seeds.join(fit, "graph_id", "left_anti"), p, n_trials, giant_threshold, random_seed))
@@ -347,4 +363,4 @@ def run_single(name: str, nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
 def run_all(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, use_gnn: bool = True, **options: dict) -> DataFrame:
     """The results of all models, kept; ``options`` by model name."""
     names = [m for m in MODELS if use_gnn or m != "gnn"]
-    return cut(reduce(DataFrame.unionByName, [run_single(m, nodes, edges, seeds, **options.get(m, {})) for m in names]))
+    return written(reduce(DataFrame.unionByName, [run_single(m, nodes, edges, seeds, **options.get(m, {})) for m in names]))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,6 +88,27 @@ def _tidy() -> None:
             return
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to anymore; it waits for a collection of garbage otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What :func:`written` writes inside is deleted at the end, and what is freed by then; only what was cut or collected inside may be used later."""
+    before = len(_OWN)
+    try:
+        yield
+    finally:
+        gone = [x for x in _OWN[before:] if os.path.basename(x[1]).startswith("written-")]
+        _OWN[before:] = [x for x in _OWN[before:] if x not in gone]
+        for _, path in gone:
+            p, fs = _path(spark, path)
+            fs.delete(p, True)
+        free(spark)
+
+
 #: Keys that hold at least 1 / HOT_SHARE of all rows are hot. There can't be more than so many of them, however large the data.
 HOT_SHARE = 4096
 
@@ -127,7 +151,7 @@ def written_once(spark: SparkSession, name: str, sources: list[str], make) -> Da
         p, fs = _path(spark, path)
         if fs.exists(p):
             return spark.read.schema(schema).parquet(path)
-    path = own_path(spark, "written")
+    path = own_path(spark, "once")
     df = make()
     df.write.parquet(path)
     _KEPT[key] = path, df.schema

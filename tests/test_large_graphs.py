@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quellgraph.operators import dense
+from quellgraph.operators import dense, propagation
 from quellgraph.runtime import cut
 from quellgraph.schema import EDGES, NODES, conform
 
@@ -89,3 +89,26 @@ def test_path_counts_in_parts(spark, mixed, monkeypatch):
         for i in range(40):
             r = got[g, f"v{i:02d}"]
             assert abs(r["betweenness"] - score[i] / (39 * 38)) < 1e-12 and (r["directed_sum"], r["directed_pairs"], r["undirected_sum"]) == sums[i]
+
+
+def test_components_of_arrays():
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 0), (1, 0), (50, 20), (200, 190), (300, 900)):
+        src, dst = rng.integers(0, max(n, 1), m), rng.integers(0, max(n, 1), m)
+        assert dense.component_places(n, src, dst).tolist() == dense.component_roots(n, src.tolist(), dst.tolist())
+
+
+def test_percolation_in_parts(spark, mixed, monkeypatch):
+    n, e = mixed
+    s = n.where("node_id = 'v00'").select("graph_id", "node_id")
+    got = lambda: {tuple(r[:3]): (r["risk"], r["compromised"]) for r in propagation.percolation(n, e, s, n_trials=12).collect()}
+    one = got()
+    monkeypatch.setattr(propagation, "TRIAL_WORK", 300)
+    monkeypatch.setattr(propagation, "_percolation_risk", None)  # no rows of trials
+    assert propagation._trial_parts(n, e, 12).agg(F.min("parts")).first()[0] > 3 and got() == one and len(one) == 80
+
+
+def test_units_of_are_those_of_unit():
+    from quellgraph.functions.rng import unit_of, units_of
+
+    assert units_of("42|c|g|3", [b"a|b", "ä|c".encode()]).tolist() == [unit_of(42, "c", "g", 3, "a|b"), unit_of(42, "c", "g", 3, "ä|c")] and len(units_of("1", [])) == 0
