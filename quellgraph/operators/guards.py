@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quellgraph.functions.rng import draw_order
 from quellgraph.functions.tokens import anomaly_score, consensus, guard_decision, strictness_of
 from quellgraph.operators.traversal import gated
-from quellgraph.runtime import cut, top_within
+from quellgraph.runtime import cut, scratch, top_within
 
 GUARDS_PER_EDGE = 3
 
@@ -101,6 +101,18 @@ def expand_seeds(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return seeds.select("graph_id", "node_id").unionByName(hop).distinct()
 
 
+def _levels(cycle: int, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, guards: DataFrame, analyse) -> DataFrame:
+    """``(graph_id, cycle, risk, anomaly_score, strictness)`` of a cycle of :func:`feedback`, kept."""
+    pred = analyse(nodes, edges, seeds)
+    risk = pred.where("compromised").groupBy("graph_id").agg(F.avg("risk").alias("risk"))
+    levels = seeds.select("graph_id").distinct().join(risk, "graph_id", "left").select("graph_id", F.coalesce("risk", F.lit(0.0)).alias("risk")).withColumn("strictness", strictness_of(F.col("risk")))
+    live = edges.where("weight > 0").join(guards, ["graph_id", "src", "dst"], "left_semi").join(levels, "graph_id")
+    tried = live.select("graph_id", "src", "dst", "edge_type", F.lit("valid").alias("base"), "strictness", F.col("delegation_depth_limit").alias("depth"), F.col("delegation_depth_limit").alias("max_depth"), F.lit(0.0).alias("age"), F.lit(False).alias("approved"))
+    seen = sensor(decisions(tried), ["graph_id"]).select("graph_id", "anomaly_score", "anomaly")
+    levels = levels.join(seen, "graph_id", "left").withColumn("strictness", F.when(F.coalesce("anomaly", F.lit(False)) & (F.col("strictness") == "NOMINAL"), "ELEVATED").otherwise(F.col("strictness")))
+    return cut(levels.select("graph_id", F.lit(cycle).alias("cycle"), "risk", F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"), "strictness"))
+
+
 def feedback(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, guards: DataFrame, analyse, cycles: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The loop of risk and strictness: ``(edges, seeds, log)`` after ``cycles``.
 
@@ -110,14 +122,8 @@ def feedback(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, guards: DataF
     """
     log = None
     for cycle in range(cycles):
-        pred = analyse(nodes, edges, seeds)
-        risk = pred.where("compromised").groupBy("graph_id").agg(F.avg("risk").alias("risk"))
-        levels = seeds.select("graph_id").distinct().join(risk, "graph_id", "left").select("graph_id", F.coalesce("risk", F.lit(0.0)).alias("risk")).withColumn("strictness", strictness_of(F.col("risk")))
-        live = edges.where("weight > 0").join(guards, ["graph_id", "src", "dst"], "left_semi").join(levels, "graph_id")
-        tried = live.select("graph_id", "src", "dst", "edge_type", F.lit("valid").alias("base"), "strictness", F.col("delegation_depth_limit").alias("depth"), F.col("delegation_depth_limit").alias("max_depth"), F.lit(0.0).alias("age"), F.lit(False).alias("approved"))
-        seen = sensor(decisions(tried), ["graph_id"]).select("graph_id", "anomaly_score", "anomaly")
-        levels = levels.join(seen, "graph_id", "left").withColumn("strictness", F.when(F.coalesce("anomaly", F.lit(False)) & (F.col("strictness") == "NOMINAL"), "ELEVATED").otherwise(F.col("strictness")))
-        levels = cut(levels.select("graph_id", F.lit(cycle).alias("cycle"), "risk", F.coalesce("anomaly_score", F.lit(0.0)).alias("anomaly_score"), "strictness"))
+        with scratch(nodes.sparkSession):
+            levels = _levels(cycle, nodes, edges, seeds, guards, analyse)
         log = levels if log is None else log.unionByName(levels)
         edges = cut(block(edges, guards, levels))
         seeds = cut(expand_seeds(seeds, edges))

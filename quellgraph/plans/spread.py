@@ -303,7 +303,7 @@ def flags_full(spark, d):
     """:func:`flags` from the analysis by all six models."""
     n, e, s, _, _, p = _analysed(spark, d)
     seen, steps = t.gated(n, e, s)
-    return n, e, s, cut(ve.flags(n, p, seen)), seen, steps
+    return n, e, s, written(ve.flags(n, p, seen)), seen, steps
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from quellgraph.operators import dense, propagation
@@ -112,3 +113,24 @@ def test_units_of_are_those_of_unit():
     from quellgraph.functions.rng import unit_of, units_of
 
     assert units_of("42|c|g|3", [b"a|b", "ä|c".encode()]).tolist() == [unit_of(42, "c", "g", 3, "a|b"), unit_of(42, "c", "g", 3, "ä|c")] and len(units_of("1", [])) == 0
+
+
+def test_feedback_keeps_nothing_of_a_cycle(spark, mixed):
+    from pathlib import Path
+
+    from quellgraph.operators import guards
+    from quellgraph.runtime import shared_dir, written
+
+    n, e = mixed
+    s = cut(n.where("node_id = 'v00'").select("graph_id", "node_id"))
+    here = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("written-*")}
+    before, made = here(), []
+
+    def analyse(nodes, edges, seeds):
+        out = written(nodes.select("graph_id", "node_id", F.lit(0.9).alias("risk"), F.lit(True).alias("compromised")))
+        made.append(len(here() - before))
+        return out
+
+    after, _, log = guards.feedback(n, e, s, e.where("src = 'v00'").select("graph_id", "src", "dst"), analyse, 2)
+    assert made == [1, 1] and here() == before
+    assert rows(log, "graph_id", "cycle", F.round("risk", 6)) == {(g, k, 0.9) for g in "ab" for k in (0, 1)} and after.where("weight = 0").count() == e.where("src = 'v00'").count()
