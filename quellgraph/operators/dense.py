@@ -6,13 +6,15 @@ set-based form of the same operator. Both forms give the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quellgraph.runtime import free, written
+
 #: What one task may hold.
 SMALL_NODES, SMALL_EDGES = 200_000, 2_000_000
 #: Nodes up to which all eigenpairs are computed; beyond, only the leading ones, by iteration to a tolerance.
@@ -347,32 +349,138 @@ def _distance_sums(n: int, at: np.ndarray, to: np.ndarray, degree: np.ndarray, s
     return out
 
 
-def path_counts(nodes: DataFrame, edges: DataFrame, fit: DataFrame | None = None) -> DataFrame:
-    """``(graph_id, node_id, betweenness, directed_sum, directed_pairs, undirected_sum)``: per node as source, the sums of distances
-    and the number of nodes reached. For graphs of :func:`path_graphs`; every part of the sources is a task."""
+def packed(nodes: DataFrame, edges: DataFrame, fit: DataFrame, columns: tuple[str, ...] = (), edge_columns: tuple[str, ...] = ()) -> DataFrame:
+    """``(graph_id, parts, ids, n, src, dst, *columns, *edge_columns)``, one row per graph of ``fit`` (graph_id, parts), written: the sorted ids of its
+    ``n`` nodes, behind them those of ends that are no nodes; the ends of its edges as places among them (int32); and the ``columns`` of nodes
+    and edges as doubles, all as bytes. Whoever deals a graph to many tasks sends this and not its rows."""
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        codes, ids = pd.factorize(pd.concat([a["node_id"], b["src"], b["dst"]], ignore_index=True))
-        n, m = len(ids), len(b)
-        sources, src, dst = (x.astype(np.int64) for x in (codes[: len(a)], codes[len(a) : len(a) + m], codes[len(a) + m :]))
-        at, to, degree = _adjacency(n, src, dst)
-        score, (d, p, u) = np.zeros(n), np.zeros((3, n), np.int64)
-        d[sources], p[sources] = _path_sums(n, at, to, degree, sources, score)
-        at, to, degree = _adjacency(n, np.concatenate([src, dst]), np.concatenate([dst, src]))
-        u[sources] = _distance_sums(n, at, to, degree, sources)
-        kept = score > 0
-        kept[sources] = True
-        return pd.DataFrame({"graph_id": key[0], "node_id": np.asarray(ids, object)[kept], "b": score[kept], "d": d[kept], "p": p[kept], "u": u[kept]})
-
-    fit = path_graphs(nodes, edges) if fit is None else fit
-    n = nodes.select("graph_id", "node_id").join(fit, "graph_id").withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("parts")))
-    e = edges.select("graph_id", "src", "dst").join(fit, "graph_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", F.col("part").cast("bigint"))
-    by = lambda df: df.drop("parts").groupBy("graph_id", "part")
-    parts = by(n).cogroup(by(e)).applyInPandas(run, "graph_id string, node_id string, b double, d bigint, p bigint, u bigint")
-    size = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
-    total = parts.groupBy("graph_id", "node_id").agg(F.sum("b").alias("b"), F.sum("d").alias("directed_sum"), F.sum("p").alias("directed_pairs"), F.sum("u").alias("undirected_sum")).join(size, "graph_id")
-    scale = F.when(F.col("_n") > 2, 1 / ((F.col("_n") - 1) * (F.col("_n") - 2))).otherwise(0.0)
-    return total.select("graph_id", "node_id", (F.col("b") * scale).alias("betweenness"), "directed_sum", "directed_pairs", "undirected_sum")
+    def run(key: tuple, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("node_id")
+        ids = v["node_id"].tolist()
+        ids += sorted(set(e["src"]).union(e["dst"]).difference(ids))
+        place = pd.Series(np.arange(len(ids), dtype=np.int32), index=pd.Index(ids, dtype=object))
+        row = {"graph_id": key[0], "parts": int(v["parts"].iloc[0]) if len(v) else 0, "ids": ids, "n": len(v)}
+        row |= {c: place.reindex(e[c]).to_numpy(np.int32).tobytes() for c in ("src", "dst")}
+        row |= {c: v[c].to_numpy(float).tobytes() for c in columns} | {c: e[c].to_numpy(float).tobytes() for c in edge_columns}
+        return pd.DataFrame([row] if len(v) else [], columns=list(row))
+
+    n = nodes.select("graph_id", "node_id", *columns).join(fit, "graph_id")
+    e = edges.where("src is not null and dst is not null").select("graph_id", "src", "dst", *edge_columns).join(fit, "graph_id", "left_semi")
+    kinds = "".join(f", {c} binary" for c in ("src", "dst", *columns, *edge_columns))
+    return written(n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(run, f"graph_id string, parts int, ids array<string>, n int{kinds}"))
+
+
+#: Tasks that parts of graphs are dealt to; each has few bytes and much work, so that they mustn't be put together by size.
+DEALT = 48
+
+
+def dealt(graphs: DataFrame, run: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` for every ``part`` from 0 to ``parts`` - 1 of the rows of ``graphs``, which it gets one at a time."""
+    each = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.repartition(DEALT, "graph_id", "part").groupBy("graph_id", "part").applyInPandas(run, schema)
+
+
+def of_nodes(graphs: DataFrame, parts: DataFrame, run: Callable[[pd.Series, pd.DataFrame], dict], schema: str) -> DataFrame:
+    """A row per node of what ``run`` makes of a graph's packed row and its parts, which it gets in order."""
+
+    def kernel(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"graph_id": key[0], **run(g.iloc[0], p.sort_values("part"))})
+
+    return graphs.groupBy("graph_id").cogroup(parts.groupBy("graph_id")).applyInPandas(kernel, f"graph_id string, {schema}")
+
+
+def _largest_place(n: int, ids: list[str], src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Which of the ``n`` nodes are in the largest weak component, of equally large ones that with the last first id."""
+    known = (src < n) & (dst < n)
+    roots = component_places(n, src[known], dst[known])
+    size = np.bincount(roots, minlength=n)
+    return roots == max(np.flatnonzero(size == size.max()), key=lambda i: ids[i])
+
+
+def _strong(src: np.ndarray, dst: np.ndarray, inside: np.ndarray) -> bool:
+    """Whether all places ``inside`` reach each other."""
+    for a, b in ((src, dst), (dst, src)):
+        at, to, degree = _adjacency(len(inside), a, b)
+        seen, front = np.zeros(len(inside), bool), np.flatnonzero(inside)[:1]
+        seen[front] = True
+        while len(front):
+            deg = degree[front]
+            near = to[np.arange(deg.sum()) + np.repeat(at[front] - np.cumsum(deg) + deg, deg)]
+            front = np.unique(near[~seen[near]])
+            seen[front] = True
+        if not seen[inside].all():
+            return False
+    return True
+
+
+def path_counts(nodes: DataFrame, edges: DataFrame, fit: DataFrame | None = None, sums: bool = True) -> DataFrame:
+    """``(graph_id, node_id, betweenness, directed_sum, directed_pairs, undirected_sum)``: per node as source, the sums of distances
+    and the number of nodes reached, 0 without ``sums``. For graphs of :func:`path_graphs`; every part of the sources is a task."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        n, src, dst, sources = _unpacked(g.iloc[0])
+        score, found = np.zeros(n), np.zeros((3, len(sources)), np.int64)
+        found[0], found[1] = _path_sums(n, *_adjacency(n, src, dst), sources, score)
+        if sums:
+            found[2] = _distance_sums(n, *_adjacency(n, np.concatenate([src, dst]), np.concatenate([dst, src])), sources)
+        return pd.DataFrame({"graph_id": [key[0]], "part": [key[1]], "score": [score.tobytes()], "found": [found.tobytes() if sums else None]})
+
+    def total(g: pd.Series, p: pd.DataFrame) -> dict:
+        score, n = sum(np.frombuffer(x) for x in p["score"]), int(g["n"])
+        found = np.zeros((3, len(score)), np.int64)
+        for part, x in zip(p["part"], p["found"], strict=True) if sums else ():
+            found[:, part : n : len(p)] = np.frombuffer(x, np.int64).reshape(3, -1)
+        kept = (score > 0) | (np.arange(len(score)) < n)
+        d, pairs, u = found[:, kept]
+        return {"node_id": np.asarray(g["ids"], object)[kept], "betweenness": score[kept] * (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0), "directed_sum": d, "directed_pairs": pairs, "undirected_sum": u}
+
+    graphs = packed(nodes, edges, path_graphs(nodes, edges) if fit is None else fit)
+    free(nodes.sparkSession)
+    parts = dealt(graphs.select("graph_id", "parts", "n", F.size("ids").alias("all"), "src", "dst"), run, "graph_id string, part int, score binary, found binary")
+    return of_nodes(graphs.select("graph_id", "ids", "n"), parts, total, "node_id string, betweenness double, directed_sum bigint, directed_pairs bigint, undirected_sum bigint")
+
+
+def _unpacked(g: pd.Series) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of all places, the ends of the edges, and the sources of a dealt row's part."""
+    src, dst = (np.frombuffer(g[c], np.int32).astype(np.int64) for c in ("src", "dst"))
+    return int(g["all"]), src, dst, np.arange(int(g["part"]), int(g["n"]), int(g["parts"]))
+
+
+def path_totals(nodes: DataFrame, edges: DataFrame, fit: DataFrame, variance: bool = True) -> DataFrame:
+    """``(graph_id, avg_path_length, centrality_variance)`` as of :func:`quellgraph.operators.traversal.paths`, of the graphs of ``fit``; the variance is
+    null unless asked for, as betweenness takes most of the time."""
+
+    def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for g in batch.to_dict("records"):
+                src, dst = (np.frombuffer(g[c], np.int32).astype(np.int64) for c in ("src", "dst"))
+                inside = np.zeros(len(g["ids"]), bool)
+                inside[: g["n"]] = _largest_place(g["n"], list(g["ids"]), src, dst)
+                rows.append({c: g[c] for c in ("graph_id", "parts", "n", "src", "dst")} | {"all": len(inside), "inside": np.packbits(inside).tobytes(), "k": int(inside.sum()), "strong": _strong(src, dst, inside)})
+            yield pd.DataFrame(rows, columns=["graph_id", "parts", "n", "all", "src", "dst", "inside", "k", "strong"])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        g = rows.iloc[0]
+        n, src, dst, sources = _unpacked(g)
+        inside = sources[np.unpackbits(np.frombuffer(g["inside"], np.uint8), count=n).astype(bool)[sources]]
+        a, b = (src, dst) if g["strong"] else (np.concatenate([src, dst]), np.concatenate([dst, src]))
+        dist, score = int(_distance_sums(n, *_adjacency(n, a, b), inside).sum()) if g["k"] > 1 else 0, np.zeros(n if variance else 0)
+        if variance:
+            _path_sums(n, *_adjacency(n, src, dst), sources, score)
+        return pd.DataFrame({"graph_id": [key[0]], "n": [g["n"]], "k": [g["k"]], "dist": [dist], "score": [score.tobytes()]})
+
+    def total(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        n, k = int(p["n"].iloc[0]), int(p["k"].iloc[0])
+        score = sum(np.frombuffer(x) for x in p["score"])
+        score = np.concatenate([score[:n], score[n:][score[n:] > 0]]) * (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0)
+        return pd.DataFrame({"graph_id": [key[0]], "avg_path_length": [p["dist"].sum() / (k * (k - 1)) if k > 1 else 0.0], "centrality_variance": [score.var() if variance else None]})
+
+    graphs = packed(nodes, edges, fit)
+    free(nodes.sparkSession)
+    each = graphs.mapInPandas(largest, "graph_id string, parts int, n int, all int, src binary, dst binary, inside binary, k int, strong boolean")
+    parts = dealt(each, run, "graph_id string, n int, k int, dist bigint, score binary")
+    return parts.groupBy("graph_id").applyInPandas(total, "graph_id string, avg_path_length double, centrality_variance double")
 
 
 #: Nodes up to which a layout lets every pair repel; beyond, nodes are pushed by the centres of the cells of a grid.

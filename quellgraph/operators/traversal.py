@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quellgraph.functions.rng import unit, unit_of
 from quellgraph.operators import dense
+from quellgraph.operators.graph import components
 from quellgraph.runtime import cut, written
 
 BROADCAST_ROWS = 200_000
@@ -35,15 +36,16 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, edge_t
     """
     hop = edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else edges
     on = [k for k in keys if k in edges.columns]
-    hop = cut(hop.select(*on, "src", "dst").distinct())
+    hop = hop.select(*on, "src", "dst")
     start = cut(seeds.select(*keys, "node_id").distinct())
     if list(keys) != on:
-        return _bfs_levels(hop, start, max_depth, keys, on)
+        return _bfs_levels(cut(hop.distinct()), start, max_depth, keys, on)
     big = hop.groupBy(*on).agg(F.count("*").alias("m")).where(F.col("m") > dense.SMALL_EDGES).select(*on)
     some = bool(big.take(1))
     few = lambda df: df.join(big, on, "left_anti") if some else df
     out = _bfs_small(few(hop), few(start), max_depth, on)
     if some:
+        hop = cut(hop.distinct())
         out = out.unionByName(_bfs_levels(hop.join(big, on, "left_semi"), start.join(big, on, "left_semi"), max_depth, keys, on))
     return out
 
@@ -223,26 +225,26 @@ def _largest(comps: DataFrame) -> DataFrame:
     return comps.join(largest, ["graph_id", "component"]).select("graph_id", "node_id", "k")
 
 
-def paths(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, edges: DataFrame, comps: DataFrame | None = None, variance: bool = True) -> DataFrame:
     """``(graph_id, avg_path_length, centrality_variance)``: of the largest weak component, directed if it is strongly connected, else
-    undirected; and the variance of the betweenness. Paths of a graph are counted once, by tasks that hold its edges where they fit, else by joins."""
+    undirected; and the variance of the betweenness, null if not asked for. Paths of a graph are counted by tasks that hold its edges where
+    they fit, else by joins; ``comps`` are the components of the latter, found here if not given."""
     fit = cut(dense.path_graphs(nodes, edges))
-    own = dense.path_counts(nodes, edges, fit).join(_largest(comps), ["graph_id", "node_id"], "left")
-    inside = lambda c: F.sum(F.when(F.col("k").isNotNull(), F.col(c)))
-    g = own.groupBy("graph_id").agg(F.max("k").alias("k"), inside("directed_sum").alias("d1"), inside("directed_pairs").alias("p1"), inside("undirected_sum").alias("d2"), F.var_pop("betweenness").alias("centrality_variance"))
-    full = F.col("k") * (F.col("k") - 1)
-    out = g.select("graph_id", F.when(F.col("k") < 2, 0.0).when(F.col("p1") == full, F.col("d1") / full).otherwise(F.col("d2") / full).alias("avg_path_length"), "centrality_variance")
+    out = dense.path_totals(nodes, edges, fit, variance)
     big = nodes.join(fit, "graph_id", "left_anti")
     if big.take(1):
         e = edges.join(fit, "graph_id", "left_anti")
-        variance = betweenness_joined(big, e).groupBy("graph_id").agg(F.var_pop("betweenness").alias("centrality_variance"))
-        out = out.unionByName(_average_path_joined(big, e, comps.join(fit, "graph_id", "left_anti")).join(variance, "graph_id", "left"))
+        inside = components(big, e) if comps is None else comps.join(fit, "graph_id", "left_anti")
+        more = _average_path_joined(big, e, inside)
+        if variance:
+            more = more.join(betweenness_joined(big, e).groupBy("graph_id").agg(F.var_pop("betweenness").alias("centrality_variance")), "graph_id", "left")
+        out = out.unionByName(more, allowMissingColumns=True)
     return out
 
 
-def average_path(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+def average_path(nodes: DataFrame, edges: DataFrame, comps: DataFrame | None = None) -> DataFrame:
     """``(graph_id, avg_path_length)`` as of :func:`paths`."""
-    return paths(nodes, edges, comps).select("graph_id", "avg_path_length")
+    return paths(nodes, edges, comps, False).select("graph_id", "avg_path_length")
 
 
 def _average_path_joined(nodes: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph_id, node_id, betweenness)``: directed, unweighted, normalised by (n - 1)(n - 2). Small graphs are counted one to a
     task, the others by :func:`betweenness_joined`."""
     fit = cut(dense.path_graphs(nodes, edges))
-    out = dense.path_counts(nodes, edges, fit).select("graph_id", "node_id", "betweenness")
+    out = dense.path_counts(nodes, edges, fit, False).select("graph_id", "node_id", "betweenness")
     big = nodes.join(fit, "graph_id", "left_anti")
     return out.unionByName(betweenness_joined(big, edges.join(fit, "graph_id", "left_anti"))) if big.take(1) else out
 

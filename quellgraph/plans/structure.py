@@ -135,7 +135,7 @@ def multi_seed_distance(spark, d):
     SELECT b.graph_id, round(CASE WHEN k < 2 THEN 0.0 WHEN d1.p = k * (k - 1) THEN d1.x / (k * (k - 1))::DOUBLE ELSE d2.x / (k * (k - 1))::DOUBLE END, 6) AS avg_path_length FROM big b LEFT JOIN d1 USING (graph_id) LEFT JOIN d2 USING (graph_id)""")
 def avg_path_length(spark, d):
     n, e = org_nodes(spark, d), org_edges(spark, d)
-    return t.average_path(n, e, g.components(n, e)).withColumn("avg_path_length", F.round("avg_path_length", 6))
+    return t.average_path(n, e).withColumn("avg_path_length", F.round("avg_path_length", 6))
 
 
 @query()

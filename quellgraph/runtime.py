@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -91,6 +92,9 @@ def _tidy() -> None:
 def free(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of tables that nothing refers to anymore; it waits for a collection of garbage otherwise."""
     gc.collect()
+    waiting, until = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None), time.time() + 1.5
+    while waiting and time.time() < until:  # py4j lets go of what was collected here in a thread of its own, which looks once a second
+        time.sleep(0.05)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -155,7 +159,9 @@ def written_once(spark: SparkSession, name: str, sources: list[str], make) -> Da
     df = make()
     df.write.parquet(path)
     _KEPT[key] = path, df.schema
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    free(spark)  # what made it isn't needed anymore
+    return spark.read.schema(_KEPT[key][1]).parquet(path)
 
 
 def no_rows(df: DataFrame) -> bool:

@@ -134,3 +134,39 @@ def test_feedback_keeps_nothing_of_a_cycle(spark, mixed):
     after, _, log = guards.feedback(n, e, s, e.where("src = 'v00'").select("graph_id", "src", "dst"), analyse, 2)
     assert made == [1, 1] and here() == before
     assert rows(log, "graph_id", "cycle", F.round("risk", 6)) == {(g, k, 0.9) for g in "ab" for k in (0, 1)} and after.where("weight = 0").count() == e.where("src = 'v00'").count()
+
+
+@pytest.mark.parametrize("work", [200_000_000, 400])
+def test_path_totals(spark, mixed, monkeypatch, work):
+    from quellgraph.operators import traversal
+
+    n, e = mixed
+    lone = n.where("graph_id = 'a'").limit(1).withColumn("graph_id", F.lit("lone"))
+    circle = e.where("graph_id = 'b' and src < 'v39' and dst > src").select(F.lit("circle").alias("graph_id"), F.col("src"), F.col("dst")).where("cast(substr(dst, 2) as int) = cast(substr(src, 2) as int) + 1")
+    e = e.select("graph_id", "src", "dst").unionByName(circle).unionByName(spark.createDataFrame([("circle", "v39", "v00")], "graph_id string, src string, dst string"))
+    n = n.unionByName(lone).unionByName(n.where("graph_id = 'b'").withColumn("graph_id", F.lit("circle")))
+    monkeypatch.setattr(dense, "TASK_PATHS", work)
+    got = {r["graph_id"]: r for r in traversal.paths(n, e).collect()}
+    comps = graph_components(n, e)
+    want = {r["graph_id"]: r["avg_path_length"] for r in traversal._average_path_joined(n, e, comps).collect()}
+    assert set(got) == {"a", "b", "circle", "lone"} and all(abs(got[g]["avg_path_length"] - want[g]) < 1e-12 for g in got) and got["circle"]["avg_path_length"] == 20.0
+    for g in ("a", "b"):
+        score = np.array(brute(40, [(int(r["src"][1:]), int(r["dst"][1:])) for r in e.where(F.col("graph_id") == g).collect()])[0]) / (39 * 38)
+        assert abs(got[g]["centrality_variance"] - score.var()) < 1e-12
+    assert {r[0]: r[1] for r in traversal.average_path(n, e).collect()} == {g: r["avg_path_length"] for g, r in got.items()}
+
+
+def graph_components(n, e):
+    from quellgraph.operators.graph import components
+
+    return cut(components(n, e))
+
+
+def test_packed_graphs_are_a_row_each(spark, mixed):
+    n, e = mixed
+    got = {r["graph_id"]: r for r in dense.packed(n, e, dense.path_graphs(n, e), ("privilege_level",), ("weight",)).collect()}
+    for g in "ab":
+        own = e.where(F.col("graph_id") == g).select("src", "dst", "weight").collect()
+        places = [np.frombuffer(got[g][c], np.int32) for c in ("src", "dst")]
+        ids = got[g]["ids"]
+        assert ids == sorted(ids) and got[g]["n"] == 40 and set(zip([ids[i] for i in places[0]], [ids[i] for i in places[1]], np.frombuffer(got[g]["weight"]), strict=True)) == {tuple(r) for r in own}
