@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quellgraph.operators.graph import clustering, degrees
 from quellgraph.operators.traversal import betweenness
+from quellgraph.runtime import free, written
 from quellgraph.schema import NODE_TYPES
 
 N_FEATURES = 13
@@ -23,7 +24,13 @@ def features(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     s = seeds.select("graph_id", "node_id").distinct().withColumn("_s", F.lit(1.0))
     n = nodes.groupBy("graph_id").agg(F.greatest(F.lit(1), F.count("*") - 1).alias("_m"))
     on = ["graph_id", "node_id"]
-    j = nodes.select(*on, "node_type", "privilege_level", "sensitivity").join(s, on, "left").join(degrees(nodes, edges), on).join(betweenness(nodes, edges), on).join(clustering(nodes, edges), on).join(n, "graph_id")
+    parts = []
+    for f in (degrees, betweenness, clustering):  # what one shuffled is freed before the next one runs
+        parts.append(written(f(nodes, edges)))
+        free(nodes.sparkSession)
+    j = nodes.select(*on, "node_type", "privilege_level", "sensitivity").join(s, on, "left").join(n, "graph_id")
+    for part in parts:
+        j = j.join(part, on)
     z = lambda c: F.coalesce(c, F.lit(0.0)).cast("double")
     kinds = [F.when(F.col("node_type") == t, 1.0).otherwise(0.0) for t in NODE_TYPES]
     return j.select(*on, F.array(z("_s"), z("privilege_level"), z("sensitivity"), *kinds, F.col("in_degree") / F.col("_m"), F.col("out_degree") / F.col("_m"), z("betweenness"), z("clustering")).alias("x"))

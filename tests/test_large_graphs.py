@@ -170,3 +170,13 @@ def test_packed_graphs_are_a_row_each(spark, mixed):
         places = [np.frombuffer(got[g][c], np.int32) for c in ("src", "dst")]
         ids = got[g]["ids"]
         assert ids == sorted(ids) and got[g]["n"] == 40 and set(zip([ids[i] for i in places[0]], [ids[i] for i in places[1]], np.frombuffer(got[g]["weight"]), strict=True)) == {tuple(r) for r in own}
+
+
+def test_gcn_parts_are_written_one_by_one(spark, mixed, monkeypatch):
+    from quellgraph.operators import gcn
+
+    n, e = mixed
+    kept, real = [], gcn.written
+    monkeypatch.setattr(gcn, "written", lambda df: (kept.append(df.columns[-1]), real(df))[1])
+    x = gcn.features(n, e, n.where("node_id = 'v00'"))
+    assert kept == ["degree", "betweenness", "clustering"] and x.count() == 80
