@@ -180,3 +180,13 @@ def test_gcn_parts_are_written_one_by_one(spark, mixed, monkeypatch):
     monkeypatch.setattr(gcn, "written", lambda df: (kept.append(df.columns[-1]), real(df))[1])
     x = gcn.features(n, e, n.where("node_id = 'v00'"))
     assert kept == ["degree", "betweenness", "clustering"] and x.count() == 80
+
+
+def test_gcn_in_tasks_as_by_joins(spark, mixed):
+    from quellgraph.operators import gcn
+
+    n, e = mixed
+    x = cut(gcn.features(n, e, n.where("node_id = 'v00'")))
+    w = {k: v.tolist() for k, v in gcn._layers(np.random.default_rng(0), (13, 6, 4, 1)).items()}
+    got = lambda f: {tuple(r[:2]): round(r[2], 9) for r in f(x, e, w).collect()}
+    assert got(gcn.forward) == got(gcn.forward_joined) and len(got(gcn.forward)) == 80
