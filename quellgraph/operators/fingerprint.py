@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quellgraph.operators import dense
-from quellgraph.operators.graph import clustering_joined, components, degree_entropy, density
+from quellgraph.operators.graph import clustering_joined, degree_entropy, density
 from quellgraph.operators.traversal import paths
-from quellgraph.runtime import cut
+from quellgraph.runtime import cut, free
 
 
 def topology(avg_path: Column, clustering_: Column, centrality_variance: Column, density_: Column, n: Column) -> Column:
@@ -31,7 +31,9 @@ def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         for part in (degree_entropy(big, e), density(big, e), cc):
             some = some.join(part, "graph_id", "left")
         base = base.unionByName(some.withColumn("spectral_gap", F.lit(None).cast("double")))
-    out = base.join(paths(nodes, edges, components(nodes, edges)), "graph_id", "left")
+    base = cut(base)  # a row per graph; its shuffles aren't kept while paths are counted
+    free(nodes.sparkSession)
+    out = base.join(paths(nodes, edges), "graph_id", "left")
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("degree_entropy", "density", "clustering", "centrality_variance", "avg_path_length")]
     out = out.select("graph_id", "n_nodes", *zero, "spectral_gap")
     return out.withColumn("topology_type", topology(F.col("avg_path_length"), F.col("clustering"), F.col("centrality_variance"), F.col("density"), F.col("n_nodes")))
