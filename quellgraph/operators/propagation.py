@@ -17,7 +17,7 @@ from quellgraph.functions.rng import unit, units_of
 from quellgraph.operators import dense
 from quellgraph.operators.graph import components
 from quellgraph.operators.traversal import bfs, check_seeds, reachability
-from quellgraph.runtime import cut, top_within, written
+from quellgraph.runtime import cut, free, top_within, written
 
 # The stated confidence of each model, and of the stand-in for the network without trained weights.
 CONFIDENCE = {"graph_traversal": 1.0, "epidemic": 0.2608, "spectral_cascade": 0.2974, "percolation": 0.7279, "control_system": 0.1267, "gnn": 0.62}
@@ -259,7 +259,7 @@ def _percolation_joined(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p:
     sizes = comp.groupBy("graph_id", "component").agg(F.count("*").alias("size"))
     comp = comp.join(sizes, ["graph_id", "component"])
     start = seeds.select("graph_id", "node_id", trial).select(tag.alias("graph_id"), "node_id")
-    hit = bfs(kept("r").select(tag.alias("graph_id"), "src", "dst"), start).select("graph_id", "node_id", F.lit(True).alias("reached"))
+    hit = bfs(cut(kept("r").select(tag.alias("graph_id"), "src", "dst")), start).select("graph_id", "node_id", F.lit(True).alias("reached"))
     n = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
     j = all_nodes.withColumn("_tag", tag).join(comp.withColumnRenamed("graph_id", "_tag"), ["_tag", "node_id"]).join(hit.withColumnRenamed("graph_id", "_tag"), ["_tag", "node_id"], "left").join(n, "graph_id")
     return j.select("graph_id", "trial", "node_id", (F.col("size") > giant_threshold * F.col("_n")).alias("in_giant"), F.coalesce("reached", F.lit(False)).alias("reached"), "component", "size")
@@ -271,22 +271,30 @@ def percolation(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, p: float =
     check_seeds(nodes, seeds)
     fit = _trial_parts(nodes, edges, n_trials)
 
-    def run(key: tuple, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(v["node_id"])
-        seed = np.isin(ids, v.loc[v["seed"].notna(), "node_id"].tolist())
-        giant, reach, most, first, won = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), -1, -1, np.zeros(len(ids), bool)
-        for k, tops, size, reached in _samples(v, e, p, range(key[1], n_trials, v["parts"].iloc[0] if len(v) else 1), random_seed):
-            giant += size > giant_threshold * len(ids)
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        g = rows.iloc[0]
+        ids = np.asarray(g["ids"], object)
+        n = int(g["n"])
+        seed = np.frombuffer(g["seed"]) > 0
+        v = pd.DataFrame({"graph_id": key[0], "node_id": ids[:n], "seed": np.where(seed, 1.0, np.nan)})
+        e = pd.DataFrame({c: ids[np.frombuffer(g[c], np.int32)] for c in ("src", "dst")} | {"weight": np.frombuffer(g["weight"])})
+        giant, reach, most, first, won = np.zeros(n, np.int32), np.zeros(n, np.int32), -1, -1, np.zeros(n, bool)
+        for k, tops, size, reached in _samples(v, e, p, range(key[1], n_trials, int(g["parts"])), random_seed):
+            giant += size > giant_threshold * n
             reach += reached
             own = int(size[seed].max()) if seed.any() else -1
             if own > most:
                 most, first, won = own, k, np.isin(tops, tops[seed])
-        return pd.DataFrame({"graph_id": key[0], "node_id": ids, "seed": seed, "giant": giant, "reach": reach, "own": most, "trial": first, "won": won})
+        return pd.DataFrame({"graph_id": [key[0]], "part": [key[1]], "giant": [giant.tobytes()], "reach": [reach.tobytes()], "own": [most], "trial": [first], "won": [won.tobytes()]})
+
+    def total(g: pd.Series, parts: pd.DataFrame) -> dict:
+        n, best = int(g["n"]), max(range(len(parts)), key=lambda i: (parts["own"].iloc[i], -parts["trial"].iloc[i]))
+        add = lambda c: sum(np.frombuffer(x, np.int32) for x in parts[c])
+        return {"node_id": np.asarray(g["ids"], object)[:n], "seed": np.frombuffer(g["seed"]) > 0, "g": add("giant"), "r": add("reach"), "won": np.frombuffer(parts["won"].iloc[best], bool)}
 
-    dealt = lambda df: df.join(fit, "graph_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    n, e = dealt(_with_seed(nodes, seeds).drop("ord")), dealt(edges.select("graph_id", "src", "dst", "weight")).drop("parts")
-    parts = n.groupBy("graph_id", "part").cogroup(e.groupBy("graph_id", "part")).applyInPandas(run, "graph_id string, node_id string, seed boolean, giant bigint, reach bigint, own bigint, trial int, won boolean")
-    done = parts.groupBy("graph_id", "node_id").agg(F.max("seed").alias("seed"), F.sum("giant").alias("g"), F.sum("reach").alias("r"), F.max_by("won", F.struct("own", -F.col("trial"))).alias("won"))
+    graphs = dense.packed(_with_seed(nodes, seeds).withColumn("seed", F.coalesce("seed", F.lit(0.0))), edges, fit, ("seed",), ("weight",))
+    free(nodes.sparkSession)
+    done = dense.of_nodes(graphs.select("graph_id", "ids", "n", "seed"), dense.dealt(graphs, run, "graph_id string, part int, giant binary, reach binary, own bigint, trial int, won binary"), total, "node_id string, seed boolean, g bigint, r bigint, won boolean")
     risk = F.when(F.col("seed"), 1.0).otherwise(F.least(F.lit(1.0), 0.4 * (F.col("g") / n_trials) + 0.6 * (F.col("r") / n_trials)))
     done = done.select("graph_id", F.lit("percolation").alias("model"), "node_id", risk.alias("risk"), ((risk >= 0.5) | F.col("won") | F.col("seed")).alias("compromised"))
     big = nodes.join(fit, "graph_id", "left_anti")
@@ -361,6 +369,14 @@ def run_single(name: str, nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
 
 
 def run_all(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, use_gnn: bool = True, **options: dict) -> DataFrame:
-    """The results of all models, kept; ``options`` by model name."""
-    names = [m for m in MODELS if use_gnn or m != "gnn"]
-    return written(reduce(DataFrame.unionByName, [run_single(m, nodes, edges, seeds, **options.get(m, {})) for m in names]))
+    """The results of all models, kept; ``options`` by model name. What one model shuffled is freed before the next one runs."""
+    done: dict[str, DataFrame] = {}
+    for m in MODELS:
+        if m == "gnn" and not use_gnn:
+            continue
+        if m == "gnn" and not options.get(m, {}).get("weights") and not options.get("graph_traversal"):  # the stand-in is there already
+            done[m] = done["graph_traversal"].withColumn("model", F.lit(m))
+        else:
+            done[m] = written(run_single(m, nodes, edges, seeds, **options.get(m, {})))
+            free(nodes.sparkSession)
+    return reduce(DataFrame.unionByName, done.values())

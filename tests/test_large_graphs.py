@@ -190,3 +190,14 @@ def test_gcn_in_tasks_as_by_joins(spark, mixed):
     w = {k: v.tolist() for k, v in gcn._layers(np.random.default_rng(0), (13, 6, 4, 1)).items()}
     got = lambda f: {tuple(r[:2]): round(r[2], 9) for r in f(x, e, w).collect()}
     assert got(gcn.forward) == got(gcn.forward_joined) and len(got(gcn.forward)) == 80
+
+
+def test_models_are_written_one_by_one(spark, mixed, monkeypatch):
+    n, e = mixed
+    s, kept = n.where("node_id = 'v00'").select("graph_id", "node_id"), []
+    real = propagation.written
+    monkeypatch.setattr(propagation, "written", lambda df: (kept.append(df.columns), real(df))[1])
+    got = propagation.run_all(n, e, s, percolation={"n_trials": 4})
+    assert len(kept) == 5 and {r[0]: r[1] for r in got.groupBy("model").count().collect()} == dict.fromkeys(propagation.MODELS, 80)
+    two = [rows(got.where(F.col("model") == m), "graph_id", "node_id", "risk", "compromised") for m in ("gnn", "graph_traversal")]
+    assert two[0] == two[1]
