@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quellgraph.operators import ensemble, propagation
 from quellgraph.operators.fingerprint import fingerprint
-from quellgraph.runtime import cut, free
+from quellgraph.runtime import cut, scratch
 
 
 def graph_weights(fingerprints: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def graph_weights(fingerprints: DataFrame, history: DataFrame | None = None) ->
 
 def analyse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, history: DataFrame | None = None, **options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(results, weights, prediction)`` of every graph, the results and weights kept; ``options`` by model name."""
-    weights = cut(graph_weights(fingerprint(nodes, edges), history))
-    free(nodes.sparkSession)
+    with scratch(nodes.sparkSession):
+        weights = cut(graph_weights(fingerprint(nodes, edges), history))
     results = propagation.run_all(nodes, edges, seeds, **options)
     return results, weights, ensemble.weighted(results, weights)

@@ -50,14 +50,24 @@ def invalid(weights: DataFrame, by: str = "topology_type") -> DataFrame:
     return weights.groupBy(by).agg(F.sum("weight").alias("total")).where(F.abs(F.col("total") - 1) > 1e-6)
 
 
+#: Weights by graph up to which they are sent to the results, which needn't be shuffled by graph then.
+BROADCAST_ROWS = 200_000
+
+
+def _with_weight(results: DataFrame, weights: DataFrame) -> DataFrame:
+    """``results`` with ``weight``, null for a model without one."""
+    on = ["graph_id", "model"] if "graph_id" in weights.columns else ["model"]
+    w = weights.select(*on, "weight")
+    few = on == ["model"] or w.count() <= BROADCAST_ROWS
+    return results.join(F.broadcast(w) if few else w, on, "left")
+
+
 def weighted(results: DataFrame, weights: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(graph_id, node_id, risk, compromised)``: the weighted sum of the models' risks, a model without weight counting 0.
 
     ``weights`` is (model, weight), or (graph_id, model, weight) for weights by graph; a few rows per graph.
     """
-    on = ["graph_id", "model"] if "graph_id" in weights.columns else ["model"]
-    j = results.join(F.broadcast(weights.select(*on, "weight")) if on == ["model"] else weights.select(*on, "weight"), on, "left")
-    r = j.groupBy("graph_id", "node_id").agg(F.sum(F.col("risk") * F.coalesce("weight", F.lit(0.0))).alias("risk"))
+    r = _with_weight(results, weights).groupBy("graph_id", "node_id").agg(F.sum(F.col("risk") * F.coalesce("weight", F.lit(0.0))).alias("risk"))
     return r.withColumn("risk", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "risk"))).withColumn("compromised", F.round("risk", 9) >= threshold)
 
 
@@ -78,8 +88,7 @@ def confidence(results: DataFrame, n_models: int = len(MODELS), uncertain: float
 
 def contributions(results: DataFrame, weights: DataFrame) -> DataFrame:
     """``(graph_id, model, node_id, risk, weight, weighted)``; ``weights`` as of :func:`weighted`."""
-    on = ["graph_id", "model"] if "graph_id" in weights.columns else ["model"]
-    j = results.join(F.broadcast(weights.select(*on, "weight")) if on == ["model"] else weights.select(*on, "weight"), on, "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    j = _with_weight(results, weights).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return j.select("graph_id", "model", "node_id", "risk", "weight", (F.col("risk") * F.col("weight")).alias("weighted"))
 
 

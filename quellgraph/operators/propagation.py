@@ -17,7 +17,7 @@ from quellgraph.functions.rng import unit, units_of
 from quellgraph.operators import dense
 from quellgraph.operators.graph import components
 from quellgraph.operators.traversal import bfs, check_seeds, reachability
-from quellgraph.runtime import cut, free, top_within, written
+from quellgraph.runtime import cut, free, scratch, top_within, written
 
 # The stated confidence of each model, and of the stand-in for the network without trained weights.
 CONFIDENCE = {"graph_traversal": 1.0, "epidemic": 0.2608, "spectral_cascade": 0.2974, "percolation": 0.7279, "control_system": 0.1267, "gnn": 0.62}
@@ -369,7 +369,7 @@ def run_single(name: str, nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
 
 
 def run_all(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, use_gnn: bool = True, **options: dict) -> DataFrame:
-    """The results of all models, kept; ``options`` by model name. What one model shuffled is freed before the next one runs."""
+    """The results of all models, kept; ``options`` by model name. What one model shuffled or wrote besides is gone before the next one runs."""
     done: dict[str, DataFrame] = {}
     for m in MODELS:
         if m == "gnn" and not use_gnn:
@@ -377,6 +377,6 @@ def run_all(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, use_gnn: bool
         if m == "gnn" and not options.get(m, {}).get("weights") and not options.get("graph_traversal"):  # the stand-in is there already
             done[m] = done["graph_traversal"].withColumn("model", F.lit(m))
         else:
-            done[m] = written(run_single(m, nodes, edges, seeds, **options.get(m, {})))
-            free(nodes.sparkSession)
+            with scratch(nodes.sparkSession) as keep:
+                done[m] = keep(written(run_single(m, nodes, edges, seeds, **options.get(m, {}))))
     return reduce(DataFrame.unionByName, done.values())

@@ -8,7 +8,7 @@ import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,6 +68,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """:func:`written`, and what that shuffled is freed before anything else runs."""
+    out = written(df)
+    del df
+    free(out.sparkSession)
+    return out
+
+
 _OWN: list[tuple[SparkSession, str]] = []
 
 
@@ -99,13 +107,19 @@ def free(spark: SparkSession) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What :func:`written` writes inside is deleted at the end, and what is freed by then; only what was cut or collected inside may be used later."""
-    before = len(_OWN)
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What :func:`written` writes inside is deleted at the end, and what is freed by then; only what was cut or collected inside may be used later,
+    and what was written last whenever the function that this gives is called with it."""
+    before, kept = len(_OWN), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_OWN[-1])
+        return df
+
     try:
-        yield
+        yield keep
     finally:
-        gone = [x for x in _OWN[before:] if os.path.basename(x[1]).startswith("written-")]
+        gone = [x for x in _OWN[before:] if os.path.basename(x[1]).startswith("written-") and x not in kept]
         _OWN[before:] = [x for x in _OWN[before:] if x not in gone]
         for _, path in gone:
             p, fs = _path(spark, path)

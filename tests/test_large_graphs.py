@@ -201,3 +201,30 @@ def test_models_are_written_one_by_one(spark, mixed, monkeypatch):
     assert len(kept) == 5 and {r[0]: r[1] for r in got.groupBy("model").count().collect()} == dict.fromkeys(propagation.MODELS, 80)
     two = [rows(got.where(F.col("model") == m), "graph_id", "node_id", "risk", "compromised") for m in ("gnn", "graph_traversal")]
     assert two[0] == two[1]
+
+
+def files(spark):
+    """The names of what is written in the shared folder now."""
+    from pathlib import Path
+
+    from quellgraph.runtime import shared_dir
+
+    return {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("written-*")}
+
+
+def test_weights_by_graph_are_sent_to_the_results(spark, mixed, monkeypatch):
+    from quellgraph.operators import ensemble
+    from quellgraph.operators.analysis import analyse
+
+    n, e = mixed
+    before = files(spark)
+    r, w, _ = analyse(n, e, n.where("node_id = 'v00'").select("graph_id", "node_id"), percolation={"n_trials": 4})
+    assert len(files(spark) - before) == 5  # the packed graphs are gone
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    both = []
+    for most in (ensemble.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(ensemble, "BROADCAST_ROWS", most)
+        got = ensemble.contributions(r, w)
+        assert ("Exchange hashpartitioning" in plan(got)) == (not most)
+        both.append([rows(got, "graph_id", "model", "node_id", F.round("weighted", 9)), rows(ensemble.weighted(r, w), "graph_id", "node_id", F.round("risk", 9), "compromised")])
+    assert both[0] == both[1] and [len(x) for x in both[0]] == [480, 80]
