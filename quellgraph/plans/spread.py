@@ -13,7 +13,7 @@ from quellgraph.operators.analysis import analyse
 from quellgraph.plans.registry import query
 from quellgraph.plans.structure import BFS_SQL, RISK_SQL
 from quellgraph.plans.views import ORG_SQL, org_edges, org_nodes, org_seeds
-from quellgraph.runtime import cut, table, written
+from quellgraph.runtime import cut, scratch, settled, table, written
 
 STEPS, TRIALS = 6, 5
 
@@ -351,8 +351,10 @@ def executive_summaries(spark, d):
 
 @query()
 def ensemble_metrics(spark, d):
-    *_, r, _, p = _analysed(spark, d)
-    return en.metrics(p, en.confidence(r), en.agreement(r))
+    with scratch(spark):
+        *_, r, _, p = _analysed(spark, d)
+        p, conf = settled(p), settled(en.confidence(r))
+        return cut(en.metrics(p, conf, settled(en.agreement(r))))  # a row per graph
 
 
 @query("SELECT topology_type, model, weight FROM (VALUES " + ", ".join(f"('{k}', '{m}', {w}::DOUBLE)" for k, ws in en.PRIORS.items() for m, w in zip(en.MODELS, ws, strict=True)) + ") t(topology_type, model, weight)")

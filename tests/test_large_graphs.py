@@ -228,3 +228,25 @@ def test_weights_by_graph_are_sent_to_the_results(spark, mixed, monkeypatch):
         assert ("Exchange hashpartitioning" in plan(got)) == (not most)
         both.append([rows(got, "graph_id", "model", "node_id", F.round("weighted", 9)), rows(ensemble.weighted(r, w), "graph_id", "node_id", F.round("risk", 9), "compromised")])
     assert both[0] == both[1] and [len(x) for x in both[0]] == [480, 80]
+
+
+@pytest.fixture
+def analysed(spark, mixed, monkeypatch):
+    """The queries over the analysis of the two graphs."""
+    from quellgraph.operators.analysis import analyse
+    from quellgraph.plans import spread
+
+    n, e = mixed
+    s = cut(n.where("node_id = 'v00'").select("graph_id", "node_id"))
+    monkeypatch.setattr(spread, "_analysed", lambda *_: (n, e, s, *analyse(n, e, s, percolation={"n_trials": 4})))
+    return spread
+
+
+def test_metrics_leave_nothing_written(spark, analysed):
+    from quellgraph.operators import ensemble
+
+    before = files(spark)
+    got = analysed.ensemble_metrics(spark, "")
+    assert files(spark) == before
+    *_, r, _, p = analysed._analysed()
+    assert rows(got) == rows(ensemble.metrics(p, ensemble.confidence(r), ensemble.agreement(r))) and got.count() == 2
