@@ -13,7 +13,7 @@ from quellgraph.operators.analysis import analyse
 from quellgraph.plans.registry import query
 from quellgraph.plans.structure import BFS_SQL, RISK_SQL
 from quellgraph.plans.views import ORG_SQL, org_edges, org_nodes, org_seeds
-from quellgraph.runtime import cut, scratch, settled, table, written
+from quellgraph.runtime import cut, free, scratch, settled, table, written
 
 STEPS, TRIALS = 6, 5
 
@@ -301,9 +301,12 @@ def flags(spark, d):
 
 def flags_full(spark, d):
     """:func:`flags` from the analysis by all six models."""
-    n, e, s, _, _, p = _analysed(spark, d)
+    with scratch(spark) as keep:  # the results aren't needed beyond the prediction
+        n, e, s, *_, p = _analysed(spark, d)
+        p = keep(written(p))
     seen, steps = t.gated(n, e, s)
-    return n, e, s, written(ve.flags(n, p, seen)), seen, steps
+    free(spark)
+    return n, e, s, settled(ve.flags(n, p, seen)), seen, steps
 
 
 @query()

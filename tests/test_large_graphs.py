@@ -250,3 +250,13 @@ def test_metrics_leave_nothing_written(spark, analysed):
     assert files(spark) == before
     *_, r, _, p = analysed._analysed()
     assert rows(got) == rows(ensemble.metrics(p, ensemble.confidence(r), ensemble.agreement(r))) and got.count() == 2
+
+
+def test_flags_leave_no_results(spark, analysed):
+    from quellgraph.operators import traversal, verification
+
+    before = files(spark)
+    n, e, s, f, *_ = analysed.flags_full(spark, "")
+    assert len(files(spark) - before) == 3  # prediction, walk, flags
+    want = verification.flags(n, analysed._analysed()[5], traversal.gated(n, e, s)[0])
+    assert rows(verification.node_class(f)) == rows(verification.node_class(want)) and f.count() == 80
