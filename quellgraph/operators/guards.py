@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quellgraph.functions.rng import draw_order
 from quellgraph.functions.tokens import anomaly_score, consensus, guard_decision, strictness_of
 from quellgraph.operators.traversal import gated
-from quellgraph.runtime import cut, scratch, top_within
+from quellgraph.runtime import cut, scratch, settled, top_within, written
 
 GUARDS_PER_EDGE = 3
 
 
-def scored_edges(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """``edges`` with ``score``: the mean exploitability of both ends, 0 where unknown."""
+def scored_edges(edges: DataFrame, scores: DataFrame, step: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``edges`` with ``score``: the mean exploitability of both ends, 0 where unknown. ``step`` gets the edges after either end is joined."""
     s = scores.select("graph_id", "node_id", F.col("exploitability").alias("_x"))
-    j = edges.join(s.select("graph_id", F.col("node_id").alias("src"), F.col("_x").alias("_a")), ["graph_id", "src"], "left")
-    j = j.join(s.select("graph_id", F.col("node_id").alias("dst"), F.col("_x").alias("_b")), ["graph_id", "dst"], "left")
+    j = step(edges.join(s.select("graph_id", F.col("node_id").alias("src"), F.col("_x").alias("_a")), ["graph_id", "src"], "left"))
+    j = step(j.join(s.select("graph_id", F.col("node_id").alias("dst"), F.col("_x").alias("_b")), ["graph_id", "dst"], "left"))
     return j.withColumn("score", (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))) / 2).drop("_a", "_b")
 
 
@@ -26,6 +28,13 @@ def top_edges(edges: DataFrame, by: str, k: int) -> DataFrame:
     return top_within(edges.select("graph_id", "src", "dst", "ord", by), ["graph_id"], [F.desc(F.round(by, 9)), "ord", "src", "dst"], k)
 
 
+def top_scored(edges: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """:func:`top_edges` by the score of :func:`scored_edges`, written. Edges travel by either end and by graph, one after the other, and what
+    one way shuffled is freed before the next."""
+    with scratch(edges.sparkSession) as keep:
+        return keep(written(top_edges(scored_edges(edges.select("graph_id", "src", "dst", "ord"), scores, settled), "score", k)))
+
+
 def random_edges(edges: DataFrame, k: int, seed: int = 42) -> DataFrame:
     drawn = edges.select("graph_id", "src", "dst", draw_order(seed, "graph_id", "src", "dst").alias("_d"))
     return top_within(drawn, ["graph_id"], ["_d"], k).drop("_d")

@@ -36,7 +36,7 @@ def high_risk_edges(spark, d):
 def high_risk_edges_full(spark, d):
     """:func:`high_risk_edges` from the analysis by all six models."""
     _, e, _, f, *_ = flags_full(spark, d)
-    return gu.top_edges(gu.scored_edges(e, f), "score", 10).select("graph_id", "src", "dst", F.round("score", 6).alias("score"), "rank")
+    return gu.top_scored(e, f, 10).select("graph_id", "src", "dst", F.round("score", 6).alias("score"), "rank")
 
 
 @query()

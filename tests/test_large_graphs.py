@@ -260,3 +260,14 @@ def test_flags_leave_no_results(spark, analysed):
     assert len(files(spark) - before) == 3  # prediction, walk, flags
     want = verification.flags(n, analysed._analysed()[5], traversal.gated(n, e, s)[0])
     assert rows(verification.node_class(f)) == rows(verification.node_class(want)) and f.count() == 80
+
+
+def test_top_scored_edges_keep_only_the_top(spark, mixed):
+    from quellgraph.operators import guards
+
+    n, e = mixed
+    x = cut(n.where("node_id < 'v30'").select("graph_id", "node_id", (F.substring("node_id", 2, 2).cast("double") / 40).alias("exploitability")))
+    before = files(spark)
+    got = guards.top_scored(e, x, 7)
+    assert len(files(spark) - before) == 1
+    assert rows(got) == rows(guards.top_edges(guards.scored_edges(e, x), "score", 7)) and got.count() == 14
