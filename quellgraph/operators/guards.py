@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quellgraph.functions.rng import draw_order
 from quellgraph.functions.tokens import anomaly_score, consensus, guard_decision, strictness_of
 from quellgraph.operators.traversal import gated
-from quellgraph.runtime import cut, scratch, settled, top_within, written
+from quellgraph.runtime import cut, free, scratch, settled, top_within, written
 
 GUARDS_PER_EDGE = 3
 
@@ -46,7 +46,8 @@ def guard_set(edges: DataFrame, scores: DataFrame, steps: DataFrame, verified: D
     ends = ["graph_id", "src", "dst"]
     walked = steps.where("outcome = 'succeeded'").select(*ends)
     out = edges.join(verified.select("graph_id", F.col("node_id").alias("src")).distinct(), ["graph_id", "src"], "left_semi").select(*ends)
-    chosen = cut(top_edges(scored_edges(edges, scores), "score", top_k).select(*ends).unionByName(walked).unionByName(out).distinct())
+    chosen = cut(top_scored(edges, scores, top_k).select(*ends).unionByName(walked).unionByName(out).distinct())
+    free(edges.sparkSession)
     into = edges.join(seeds.select("graph_id", F.col("node_id").alias("dst")).distinct(), ["graph_id", "dst"], "left_semi").select(*ends)
     return chosen.unionByName(into.join(chosen, "graph_id", "left_anti"))
 

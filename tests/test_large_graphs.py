@@ -271,3 +271,21 @@ def test_top_scored_edges_keep_only_the_top(spark, mixed):
     got = guards.top_scored(e, x, 7)
     assert len(files(spark) - before) == 1
     assert rows(got) == rows(guards.top_edges(guards.scored_edges(e, x), "score", 7)) and got.count() == 14
+
+
+def test_guard_set_keeps_only_the_top_written(spark, mixed, monkeypatch):
+    from quellgraph.operators import guards
+    from quellgraph.operators.traversal import gated
+
+    n, e = mixed
+    s = cut(n.where("node_id = 'v00'").select("graph_id", "node_id"))
+    x = cut(n.select("graph_id", "node_id", F.lit(0.5).alias("exploitability")))
+    seen, steps = gated(n, e, s)
+    freed, real = [], guards.free
+    monkeypatch.setattr(guards, "free", lambda *a: (freed.append(1), real(*a)))
+    before = files(spark)
+    got = guards.guard_set(e, x, steps, seen, s, 3)
+    assert freed and len(files(spark) - before) == 1
+    ends = ["graph_id", "src", "dst"]
+    want = rows(guards.top_edges(guards.scored_edges(e, x), "score", 3), *ends) | rows(steps.where("outcome = 'succeeded'"), *ends) | rows(e.join(seen.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi"), *ends)
+    assert rows(got) == want
