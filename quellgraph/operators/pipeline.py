@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quellgraph.operators import ensemble, guards, traversal, verification
 from quellgraph.operators.analysis import analyse
 from quellgraph.operators.dense import layout
-from quellgraph.runtime import cut, written
+from quellgraph.runtime import cut, free, settled
 from quellgraph.schema import EDGES, NODES, conform
 
 FUSION = ("weighted", "voting")
@@ -49,7 +49,7 @@ class Run:
 
     def node_rows(self) -> DataFrame:
         """The analysis file's 11 columns, and the graph."""
-        place = layout(self.nodes, self.edges).withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z"})
+        place = settled(layout(self.nodes, self.edges)).withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z"})
         state = verification.visual_state(self.flags).join(self.prediction.select("graph_id", "node_id", F.col("risk").alias("_risk")), ["graph_id", "node_id"], "left")
         j = state.join(place, ["graph_id", "node_id"], "left")
         shown = F.when(F.col("in_vbr"), 1.0).otherwise(F.coalesce("_risk", F.lit(0.0)))
@@ -81,9 +81,10 @@ def run(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, history: DataFrame
     analyses again in every cycle. Graphs without nodes have no rows anywhere."""
     nodes, edges = conform(nodes, NODES), conform(edges, EDGES)
     results, weights, _ = analyse(nodes, edges, seeds, history, **options)
-    prediction = written(fuse(fusion, results, weights))
+    prediction = settled(fuse(fusion, results, weights))
     visited, steps = traversal.gated(nodes, edges, seeds, max_depth, True, random_seed)
-    flags = written(verification.flags(nodes, prediction, visited))
+    free(nodes.sparkSession)
+    flags = settled(verification.flags(nodes, prediction, visited))
 
     def again(n: DataFrame, e: DataFrame, s: DataFrame) -> DataFrame:
         r, w, _ = analyse(n, e, s, history, **options)

@@ -289,3 +289,14 @@ def test_guard_set_keeps_only_the_top_written(spark, mixed, monkeypatch):
     ends = ["graph_id", "src", "dst"]
     want = rows(guards.top_edges(guards.scored_edges(e, x), "score", 3), *ends) | rows(steps.where("outcome = 'succeeded'"), *ends) | rows(e.join(seen.withColumnRenamed("node_id", "src"), ["graph_id", "src"], "left_semi"), *ends)
     assert rows(got) == want
+
+
+def test_rows_of_a_run_are_made_part_by_part(spark, mixed, monkeypatch):
+    from quellgraph.operators import pipeline
+
+    n, e = mixed
+    kept, real = [], pipeline.settled
+    monkeypatch.setattr(pipeline, "settled", lambda df: (kept.append(df.columns[-1]), real(df))[1])
+    r = pipeline.run(n, e, cut(n.where("node_id = 'v00'").select("graph_id", "node_id")), cycles=0, percolation={"n_trials": 4})
+    out = r.node_rows()
+    assert kept == ["compromised", "exploitability", "z"] and out.count() == 80 and out.where("x is null").count() == 0
