@@ -1,11 +1,13 @@
 """Graphs that fit in a task: one task per graph, many graphs at once, as sparse arrays.
 
-Only graphs of at most ``SMALL_NODES`` nodes and ``SMALL_EDGES`` edges are given to these kernels; larger ones take the
-set-based form of the same operator. Both forms give the same result.
+Only graphs of at most ``SMALL_NODES`` nodes and ``SMALL_EDGES`` edges are given to these kernels as rows; larger ones take the
+set-based form of the same operator, or are numbered by joins and go to the same kernel as numbers (:func:`by_number`). All forms
+give the same result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quellgraph.runtime import free, written
+from quellgraph.runtime import cut, free, place_within, written
 
-#: What one task may hold.
+#: What one task may hold as rows.
 SMALL_NODES, SMALL_EDGES = 200_000, 2_000_000
 #: Nodes up to which all eigenpairs are computed; beyond, only the leading ones, by iteration to a tolerance.
 EIGEN_NODES = 2_000
@@ -41,6 +43,13 @@ class Sparse:
         known = ~(np.isnan(a) | np.isnan(b)) if len(e) else np.zeros(0, bool)
         self.src, self.dst, self.w = a[known].astype(np.int64), b[known].astype(np.int64), e["weight"].to_numpy(float)[known]
 
+    @classmethod
+    def placed(cls, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> Sparse:
+        """A graph whose nodes are known by their places only, which are its ids."""
+        a, order = cls.__new__(cls), np.lexsort((dst, src))
+        a.ids, a.n, a.src, a.dst, a.w = np.arange(n), n, src[order].astype(np.int64), dst[order].astype(np.int64), w[order]
+        return a
+
     def times(self, x: np.ndarray) -> np.ndarray:
         """A x: every node gets the weighted sum of those it points to."""
         return np.bincount(self.src, self.w * x[self.dst], self.n).astype(float)  # of no edges at all, it is whole numbers
@@ -133,10 +142,12 @@ def _lanczos_gap(times: Callable[[np.ndarray], np.ndarray], n: int, most: int =
     return max(0.0, gap)
 
 
-def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = (), fit: DataFrame | None = None, edge_columns: tuple[str, ...] = ()) -> DataFrame:
+def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, columns: tuple[str, ...] = (), fit: DataFrame | None = None, edge_columns: tuple[str, ...] = (), beyond: Callable[[Sparse, dict[str, np.ndarray]], pd.DataFrame] | None = None) -> DataFrame:
     """``kernel(nodes, edges)`` for every small graph, or those of ``fit``; ``columns`` are those of the nodes that it needs besides id and
-    ord, ``edge_columns`` those of the edges besides ends and weight."""
-    fit = small_graphs(nodes, edges) if fit is None else fit
+    ord, ``edge_columns`` those of the edges besides ends and weight. All other graphs go to ``beyond`` by :func:`by_number`; without it
+    they have no rows, and the caller gives them another form."""
+    if fit is None:
+        fit = cut(small_graphs(nodes, edges)) if beyond else small_graphs(nodes, edges)
     n = nodes.select("graph_id", "node_id", "ord", *columns).join(fit, "graph_id", "left_semi")
     e = edges.select("graph_id", "src", "dst", "weight", *edge_columns).join(fit, "graph_id", "left_semi")
 
@@ -145,7 +156,47 @@ def per_graph(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame
         out.insert(0, "graph_id", key[0])
         return out
 
-    return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(run, f"graph_id string, {schema}")
+    out = n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(run, f"graph_id string, {schema}")
+    if beyond and (big := nodes.join(fit, "graph_id", "left_anti")).take(1):
+        out = out.unionByName(by_number(big, edges.join(fit, "graph_id", "left_anti"), beyond, schema, columns))
+    return out
+
+
+def by_number(nodes: DataFrame, edges: DataFrame, kernel: Callable[[Sparse, dict[str, np.ndarray]], pd.DataFrame], schema: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``kernel(graph, values)`` for graphs of which a task can't hold the rows: their nodes are numbered and their edges joined with the
+    numbers, so that the task gets 16 bytes an edge and no text. ``values`` are the ``columns`` of the nodes by place; a ``node_id`` that the
+    kernel gives is a place, and becomes the id."""
+    last = F.coalesce("ord", F.lit(2**63 - 1)).alias("ord")
+    at = cut(place_within(nodes.select("graph_id", "node_id", last, *columns), "graph_id", ["ord", "node_id"], "place"))
+    e = edges.dropDuplicates(["graph_id", "src", "dst"]).select("graph_id", "src", "dst", "weight")
+    for end in ("src", "dst"):
+        e = e.join(at.select("graph_id", F.col("node_id").alias(end), F.col("place").alias(f"{end}_place")), ["graph_id", end])
+
+    def bytes_of(df: DataFrame, of_edges: bool, places: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for g, rows in batch.groupby("graph_id", sort=False):
+                    cells = [rows[c].to_numpy(np.int32).tobytes() for c in places] + [rows[c].to_numpy(float).tobytes() for c in numbers]
+                    yield pd.DataFrame({"graph_id": [g], "of_edges": [of_edges], "cells": [cells]})
+
+        return df.select("graph_id", *places, *numbers).mapInPandas(pack, "graph_id string, of_edges boolean, cells array<binary>")
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        def joined(of_edges: bool, i: int, kind: type) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x[i], kind) for x in p.loc[p["of_edges"] == of_edges, "cells"])])
+
+        order = np.argsort(joined(False, 0, np.int32))
+        values = {c: joined(False, i, float)[order] for i, c in enumerate(columns, 1)}
+        out = kernel(Sparse.placed(len(order), joined(True, 0, np.int32), joined(True, 1, np.int32), joined(True, 2, float)), values)
+        out.insert(0, "graph_id", key[0])
+        return out
+
+    parts = bytes_of(at, False, ("place",), columns).unionByName(bytes_of(e, True, ("src_place", "dst_place"), ("weight",)))
+    out = parts.groupBy("graph_id").applyInPandas(run, f"graph_id string, {schema.replace('node_id string', 'node_id bigint')}")
+    if "node_id" not in out.columns:
+        return out
+    ids = at.select("graph_id", F.col("node_id").alias("_id"), F.col("place").alias("node_id"))
+    return out.join(ids, ["graph_id", "node_id"]).withColumn("node_id", F.col("_id")).select(*out.columns)
 
 
 def spectral_gap(nodes: DataFrame, edges: DataFrame, symmetrize: str = "lower") -> DataFrame:
@@ -483,37 +534,95 @@ def path_totals(nodes: DataFrame, edges: DataFrame, fit: DataFrame, variance: bo
     return parts.groupBy("graph_id").applyInPandas(total, "graph_id string, avg_path_length double, centrality_variance double")
 
 
-#: Nodes up to which a layout lets every pair repel; beyond, nodes are pushed by the centres of the cells of a grid.
-PAIR_NODES, CELLS = 4_000, 32
+#: Nodes up to which the pairs of a layout are added up one by one; beyond, those of far cells are summed by expansions.
+PAIR_NODES = 500
+#: Terms of an expansion, which leave less than 1e-14 of what a cell adds at NEAR + 1 cells or more; and pairs of near nodes held at once.
+TERMS, NEAR, PAIRS_HELD = 28, 2, 500_000
+#: Squared distance below which nodes push each other no harder.
+CLOSEST = 1e-4
 
 
-def layout(nodes: DataFrame, edges: DataFrame, k: float = 2.0, rounds: int = 50, seed: int = 42) -> DataFrame:
-    """``(graph_id, node_id, x, y, z)``: a spring layout scaled to -10..10, and 10 x privilege as height. No rows for graphs beyond a task."""
+def _repel_pairs(place: np.ndarray, force: float) -> np.ndarray:
+    """``force`` x the sum over all other nodes of the vector from them over its squared length."""
+    out, (x, y) = np.empty_like(place), place.T.copy()
+    for at in range(0, len(place), 1_000):  # so that no matrix of all pairs is held
+        dx, dy = x[at : at + 1_000, None] - x, y[at : at + 1_000, None] - y
+        over = force / np.maximum(dx * dx + dy * dy, CLOSEST)
+        out[at : at + 1_000, 0], out[at : at + 1_000, 1] = (dx * over).sum(1), (dy * over).sum(1)
+    return out
 
-    def push(place: np.ndarray) -> np.ndarray:
-        n = len(place)
-        if n <= PAIR_NODES:
-            others, mass = place, np.ones(n)
-        else:
-            low, high = place.min(0), place.max(0)
-            cell = np.minimum(((place - low) / np.maximum(high - low, 1e-9) * CELLS).astype(int), CELLS - 1) @ np.array([CELLS, 1])
-            used, inverse, count = np.unique(cell, return_inverse=True, return_counts=True)
-            others = np.stack([np.bincount(inverse, place[:, i], len(used)) / count for i in (0, 1)], 1)
-            mass = count.astype(float)
-        out = np.empty_like(place)
-        for at in range(0, n, 1_000):  # so that no matrix of all pairs is held
-            away = place[at : at + 1_000, None] - others[None]
-            far = np.maximum((away**2).sum(-1), 1e-4)
-            out[at : at + 1_000] = (away * (mass * k * k / far)[..., None]).sum(1)
-        return out
 
-    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        a = Sparse(v, e)
-        pairs = np.unique(np.stack([np.minimum(a.src, a.dst), np.maximum(a.src, a.dst)], 1)[(a.src != a.dst) & (a.w > 0)], axis=0) if len(a.src) else np.zeros((0, 2), np.int64)
-        i, j = pairs[:, 0], pairs[:, 1]
+class Cells:
+    """:func:`_repel_pairs` of many nodes to rounding, not from all pairs: the sum is the conjugate of that of 1 / (z - z_j), and nodes of a cell at
+    least NEAR + 1 cells off enter by the powers of their places in it (fast multipole method on a grid, cells meeting by Fourier transform)."""
+
+    def __init__(self, n: int):
+        self.c = c = 2 ** min(7, max(3, round(math.log2(n / 4) / 2)))
+        j = np.arange(2 * c)
+        j = np.where(j < c, j, j - 2 * c)
+        step = np.abs(j)
+        far = (np.maximum(step[:, None], step[None]) > NEAR) & (step < c)[:, None] & (step < c)[None]
+        over = np.where(far, 1 / np.where(far, j[None] + 1j * j[:, None], 1), 0)
+        power, kernel = over.copy(), []
+        for m in range(2 * TERMS - 1):
+            kernel.append(np.fft.fft2(power).ravel() * math.factorial(m))
+            power = power * over
+        self.kernel, self.share = np.array(kernel), np.array([1 / math.factorial(m) for m in range(TERMS)])
+
+    def repel(self, place: np.ndarray, force: float) -> np.ndarray:
+        c, n = self.c, len(place)
+        low = place.min(0)
+        width = max(float((place.max(0) - low).max()), 1e-9) / c
+        at = (place - low) / width
+        cell = np.minimum(at.astype(np.int64), c - 1)
+        order = np.argsort(cell[:, 1] * c + cell[:, 0], kind="stable")
+        at, (col, row), (x, y) = at[order], cell[order].T.copy(), place[order].T.copy()
+        number = row * c + col
+        inside = (at[:, 0] - col - 0.5) + 1j * (at[:, 1] - row - 0.5)
+        sums, power = np.zeros((TERMS, 2 * c, 2 * c), complex), np.ones(n, complex)
+        for i in range(TERMS):
+            sums[i, :c, :c] = (np.bincount(number, power.real, c * c) + 1j * np.bincount(number, power.imag, c * c)).reshape(c, c)
+            power = power * inside
+        sums = np.fft.fft2(sums).reshape(TERMS, -1) * self.share[:, None]
+        far = np.zeros(n, complex)
+        for i in reversed(range(TERMS)):
+            term = np.einsum("kf,kf->f", sums, self.kernel[i : i + TERMS]) * self.share[i] * (-1) ** i
+            far = far * inside + np.fft.ifft2(term.reshape(2 * c, 2 * c))[:c, :c].ravel()[number]
+        out = np.stack([far.real, -far.imag], 1) / width
+        start = np.searchsorted(number, np.arange(c * c + 1))
+        for up in range(-NEAR, NEAR + 1):  # the cells of a row that are near lie side by side
+            there = (row + up >= 0) & (row + up < c)
+            base = np.where(there, row + up, 0) * c
+            first = start[base + np.maximum(col - NEAR, 0)]
+            count = np.where(there, start[base + np.minimum(col + NEAR, c - 1) + 1] - first, 0)
+            total, a = np.cumsum(count), 0
+            while a < n:
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS_HELD, "right")))
+                k = count[a:b]
+                i = np.repeat(np.arange(a, b), k)
+                j = np.arange(len(i)) + np.repeat(first[a:b] - np.cumsum(k) + k, k)
+                dx, dy = x[i] - x[j], y[i] - y[j]
+                over = 1 / np.maximum(dx * dx + dy * dy, CLOSEST)
+                out[a:b, 0] += np.bincount(i - a, dx * over, b - a)
+                out[a:b, 1] += np.bincount(i - a, dy * over, b - a)
+                a = b
+        back = np.empty_like(out)
+        back[order] = out * force
+        return back
+
+
+def layout(nodes: DataFrame, edges: DataFrame, k: float = 2.0, rounds: int = 50, seed: int = 42) -> DataFrame:
+    """``(graph_id, node_id, x, y, z)``: a spring layout scaled to -10..10 in which every pair of nodes repels, and 10 x privilege as height; for
+    graphs of any size."""
+
+    def frame(a: Sparse, privilege: np.ndarray) -> pd.DataFrame:
+        linked = (a.src != a.dst) & (a.w > 0)
+        pairs = np.unique(np.minimum(a.src, a.dst)[linked] * a.n + np.maximum(a.src, a.dst)[linked])
+        i, j = pairs // max(a.n, 1), pairs % max(a.n, 1)
         place = np.random.default_rng(seed).random((a.n, 2))
+        repel = _repel_pairs if a.n <= PAIR_NODES else Cells(a.n).repel
         for step in range(rounds):
-            move = push(place)
+            move = repel(place, k * k)
             away = place[i] - place[j]
             pull = away * np.maximum(np.sqrt((away**2).sum(-1, keepdims=True)), 0.01) / k
             for c in (0, 1):
@@ -522,7 +631,10 @@ def layout(nodes: DataFrame, edges: DataFrame, k: float = 2.0, rounds: int = 50,
             place = place + move / length * 0.1 * (1 - step / (rounds + 1))
         low, high = (place.min(0), place.max(0)) if a.n else (0.0, 0.0)
         place = np.where(high > low, (place - low) / np.where(high > low, high - low, 1) * 20 - 10, 0.0)
-        z = 10 * v.set_index("node_id").loc[a.ids, "privilege_level"].fillna(0).to_numpy()
-        return pd.DataFrame({"node_id": a.ids, "x": place[:, 0].round(4), "y": place[:, 1].round(4), "z": z.round(4)})
+        return pd.DataFrame({"node_id": a.ids, "x": place[:, 0].round(4), "y": place[:, 1].round(4), "z": (10 * np.where(np.isnan(privilege), 0.0, privilege)).round(4)})
+
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        a = Sparse(v, e)
+        return frame(a, v.set_index("node_id").loc[a.ids, "privilege_level"].to_numpy(float))
 
-    return per_graph(nodes, edges, kernel, "node_id string, x double, y double, z double", ("privilege_level",))
+    return per_graph(nodes, edges, kernel, "node_id string, x double, y double, z double", ("privilege_level",), None, (), lambda a, values: frame(a, values["privilege_level"]))

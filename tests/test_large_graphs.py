@@ -300,3 +300,32 @@ def test_rows_of_a_run_are_made_part_by_part(spark, mixed, monkeypatch):
     r = pipeline.run(n, e, cut(n.where("node_id = 'v00'").select("graph_id", "node_id")), cycles=0, percolation={"n_trials": 4})
     out = r.node_rows()
     assert kept == ["compromised", "exploitability", "z"] and out.count() == 80 and out.where("x is null").count() == 0
+
+
+def test_layout_has_all_nodes_of_graphs_beyond_a_task(spark, mixed, monkeypatch):
+    """The same places, whether a graph goes to its task as rows or as numbers; with loops, a node without edges, and ends that are no nodes."""
+    n, e = mixed
+    lone = spark.createDataFrame([("a", None, "lone", None), ("c", 0, "only", 0.4)], "graph_id string, ord long, node_id string, privilege_level double")
+    n = n.unionByName(lone, allowMissingColumns=True)
+    e = e.unionByName(spark.createDataFrame([("a", "v01", "v01", 0.5), ("a", "v02", "nobody", 0.5)], "graph_id string, src string, dst string, weight double"), allowMissingColumns=True)
+    want = rows(dense.layout(n, e, rounds=10))
+    assert len(want) == 82
+    monkeypatch.setattr(dense, "SMALL_NODES", 0)
+    assert rows(dense.layout(n, e, rounds=10)) == want
+
+
+@pytest.mark.parametrize("n", [2, 600])
+def test_all_pairs_of_a_layout_repel_at_any_size(monkeypatch, n):
+    import pandas as pd
+
+    kernel = {}
+    monkeypatch.setattr(dense, "per_graph", lambda n, e, k, *a: kernel.setdefault("k", k))
+    dense.layout(None, None, rounds=30)
+    rng = np.random.default_rng(4)
+    ids = np.array([f"v{i:05d}" for i in range(n)])
+    v = pd.DataFrame({"ord": 0, "node_id": ids, "privilege_level": 0.5})
+    e = pd.DataFrame({"src": ids[np.r_[np.zeros(n // 4, int), rng.integers(0, n, n)]], "dst": ids[rng.integers(0, n, n + n // 4)], "weight": 0.5})
+    monkeypatch.setattr(dense, "PAIR_NODES", n)
+    want = kernel["k"](v, e)
+    monkeypatch.setattr(dense, "PAIR_NODES", 0)
+    pd.testing.assert_frame_equal(kernel["k"](v, e), want)
