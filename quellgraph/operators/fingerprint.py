@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quellgraph.operators import dense
 from quellgraph.operators.graph import clustering_joined, degree_entropy, density
 from quellgraph.operators.traversal import paths
-from quellgraph.runtime import cut, free
+from quellgraph.runtime import cut, free, written
 
 
 def topology(avg_path: Column, clustering_: Column, centrality_variance: Column, density_: Column, n: Column) -> Column:
@@ -20,17 +20,20 @@ def topology(avg_path: Column, clustering_: Column, centrality_variance: Column,
 
 
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per graph. The spectral gap is null for graphs beyond a task; all else is exact for any size."""
+    """One row per graph, of any size. Edges count once per ordered pair, and with both ends among the nodes; paths pass all."""
     fit = cut(dense.small_graphs(nodes, edges))
     base = dense.structure(nodes, edges, fit)
     big = nodes.join(fit, "graph_id", "left_anti")
     if big.take(1):
-        e = edges.join(fit, "graph_id", "left_anti")
+        e = edges.join(fit, "graph_id", "left_anti").dropDuplicates(["graph_id", "src", "dst"])
+        for end in ("src", "dst"):
+            e = e.join(big.select("graph_id", F.col("node_id").alias(end)), ["graph_id", end], "left_semi")
+        e = written(e.select("graph_id", "src", "dst", "weight"))
         some = big.groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
         cc = clustering_joined(big, e).groupBy("graph_id").agg(F.avg("clustering").alias("clustering"))
-        for part in (degree_entropy(big, e), density(big, e), cc):
+        for part in (degree_entropy(big, e), density(big, e), cc, dense.spectral_gap(big, e, fit=fit)):
             some = some.join(part, "graph_id", "left")
-        base = base.unionByName(some.withColumn("spectral_gap", F.lit(None).cast("double")))
+        base = base.unionByName(some)
     base = cut(base)  # a row per graph; its shuffles aren't kept while paths are counted
     free(nodes.sparkSession)
     out = base.join(paths(nodes, edges), "graph_id", "left")

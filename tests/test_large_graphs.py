@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quellgraph.operators import dense, propagation
+from quellgraph.operators import dense, fingerprint, propagation
 from quellgraph.runtime import cut
 from quellgraph.schema import EDGES, NODES, conform
 
@@ -329,3 +329,37 @@ def test_all_pairs_of_a_layout_repel_at_any_size(monkeypatch, n):
     want = kernel["k"](v, e)
     monkeypatch.setattr(dense, "PAIR_NODES", 0)
     pd.testing.assert_frame_equal(kernel["k"](v, e), want)
+
+
+def test_fingerprints_of_graphs_beyond_a_task_are_whole(spark, mixed, monkeypatch):
+    """The spectral gap too; with a loop, a pair stored twice, ends that are no nodes, and graphs of one and two nodes."""
+    n, e = mixed
+    more = spark.createDataFrame([("c", 0, "only", 0.4), ("d", 0, "x", 0.4), ("d", 1, "y", 0.4)], "graph_id string, ord long, node_id string, privilege_level double")
+    n = n.unionByName(more, allowMissingColumns=True)
+    twice = e.where("graph_id = 'a'").limit(1).select("graph_id", "src", "dst", "weight")
+    odd = spark.createDataFrame([("a", "v01", "v01", 0.5), ("a", "v02", "nobody", 0.5), ("d", "y", "x", 0.5)], "graph_id string, src string, dst string, weight double").unionByName(twice)
+    e = cut(e.unionByName(odd, allowMissingColumns=True))
+    own = lambda: {tuple(round(x, 7) + 0.0 if isinstance(x, float) else x for x in r) for r in fingerprint.fingerprint(n, e).collect()}
+    few = own()
+    assert len(few) == 4 and all(None not in r for r in few)
+    gaps = {(r[0], r[1], round(r["spectral_gap"], 7)) for kind in ("lower", "avg") for r in dense.spectral_gap(n, e, kind).withColumn("kind", F.lit(kind)).select("graph_id", "kind", "spectral_gap").collect()}
+    monkeypatch.setattr(dense, "SMALL_NODES", 0)
+    assert own() == few
+    assert gaps == {(r[0], r[1], round(r["spectral_gap"], 7)) for kind in ("lower", "avg") for r in dense.spectral_gap(n, e, kind).withColumn("kind", F.lit(kind)).select("graph_id", "kind", "spectral_gap").collect()}
+
+
+@pytest.mark.parametrize("kind", ["chain", "two alike", "random"])
+def test_gaps_do_not_depend_on_the_number_of_nodes(monkeypatch, kind):
+    """All eigenvalues, or the largest two by iteration, which goes on until they are found."""
+    import pandas as pd
+
+    n, rng = 1_200, np.random.default_rng(8)
+    a, b = (np.arange(n - 1), np.arange(1, n)) if kind == "chain" else rng.integers(0, n // 2 if kind == "two alike" else n, (2, 2_000))
+    w = np.ones(len(a)) if kind == "chain" else rng.random(len(a))
+    if kind == "two alike":
+        a, b, w = np.r_[a, a + n // 2], np.r_[b, b + n // 2], np.r_[w, w]
+    ids = np.array([f"v{i:05d}" for i in range(n)])
+    graph = dense.Sparse(pd.DataFrame({"ord": 0, "node_id": ids}), pd.DataFrame({"src": ids[b], "dst": ids[a], "weight": w}))
+    want = graph.gap("lower")
+    monkeypatch.setattr(dense, "EIGEN_NODES", 0)
+    assert abs(graph.gap("lower") - want) < 1e-7
